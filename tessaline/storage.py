@@ -36,7 +36,7 @@ def save(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return the table read back."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/tessaline-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _saved.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
