@@ -39,3 +39,43 @@ def joined(spans):
 
 def sha256(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def fingerprint(text):
+    import xxhash
+
+    words = WORDS.findall((text or "").translate(LOWER))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or [" ".join(words)]
+    hashed = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
+
+
+def components(n, linked):
+    """The smallest number that each of 0..n-1 reaches."""
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j) and (a := find(i)) != (b := find(j)):
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def line_shingles(line):
+    return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
+
+
+def similar(a, b, at_least=0.8):
+    x, y = line_shingles(a), line_shingles(b)
+    return len(x & y) >= at_least * len(x | y)
