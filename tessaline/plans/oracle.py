@@ -1,15 +1,223 @@
-"""DuckDB SQL for the queries of this package."""
+"""DuckDB SQL for the queries of this package, written apart from their Spark plans."""
 
 from __future__ import annotations
 
+_RUNS = """
+runs AS (
+  SELECT user_id, event_type, run_no, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM (
+    SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM (
+      SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS starts FROM events))
+  GROUP BY user_id, event_type, run_no)
+"""
+
+_SUPPLIERS = """
+s AS (
+  SELECT l_suppkey, count(*) AS n_lines, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT o_custkey) AS n_customers, max(CAST(floor(l_extendedprice) AS BIGINT)) AS top_price
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey)
+"""
+_SIGNALS = ("n_lines", "n_parts", "n_customers", "top_price")
+
+
+def _p(x: str) -> str:
+    return f"CASE WHEN min({x}) OVER () < max({x}) OVER () THEN 100.0 * (rank() OVER (ORDER BY {x}) - 1 + (count(*) OVER (PARTITION BY {x}) - 1) / 2.0) / (count(*) OVER () - 1) ELSE 0 END"
+
+
+_HOT = f"""
+{_SUPPLIERS}, p AS (SELECT l_suppkey, {", ".join(f"{_p(x)} AS p_{x}, CASE WHEN min({x}) OVER () < max({x}) OVER () THEN 1 ELSE 0 END AS a_{x}" for x in _SIGNALS)} FROM s),
+h AS (SELECT l_suppkey, round(CASE WHEN {"+".join(f"a_{x}" for x in _SIGNALS)} > 0 THEN ({"+".join(f"p_{x}" for x in _SIGNALS)}) / ({"+".join(f"a_{x}" for x in _SIGNALS)}) ELSE 0 END, 2) AS score FROM p),
+r AS (SELECT *, row_number() OVER (ORDER BY score DESC, l_suppkey) AS position FROM h)
+"""
+
+_METRICS = """
+m AS (
+  SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers,
+    (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal < 0) AS debtors,
+    (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS suppliers FROM nation)
+"""
+
+_SIZED = "e AS (SELECT event_id, user_id, ts, CAST(floor(value) AS BIGINT) AS size, event_type = 'purchase' AS protected FROM events)"
+
+_SLUG = "regexp_replace(regexp_replace({}, '[^\\p{{L}}\\p{{Nd}}]+', '-', 'g'), '^-|-$', '', 'g')"
+
+_MUTATED = """
+a AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
+b AS (
+  SELECT CASE WHEN o_orderkey % 89 = 0 THEN o_orderkey + 100000000 ELSE o_orderkey END AS o_orderkey,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS o_orderstatus,
+    CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority
+  FROM orders WHERE o_orderkey % 97 <> 0),
+cells AS (
+  SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, 'o_orderstatus' AS kind, coalesce(a.o_orderstatus, '') AS before, coalesce(b.o_orderstatus, '') AS after FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
+  UNION ALL
+  SELECT coalesce(a.o_orderkey, b.o_orderkey), 'o_orderpriority', coalesce(a.o_orderpriority, ''), coalesce(b.o_orderpriority, '') FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey),
+diffs AS (SELECT * FROM cells WHERE before <> after)
+"""
+
+_LINES = """
+body AS (SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n$', '') AS text FROM documents),
+lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM body WHERE text <> '')
+"""
+
+_HALVES = """
+want AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01'),
+got AS (SELECT l_partkey, l_returnflag FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01'),
+delta AS (
+  SELECT l_partkey, l_returnflag, 'missing' AS kind, count(*) AS n FROM (SELECT * FROM want EXCEPT ALL SELECT * FROM got) GROUP BY ALL
+  UNION ALL SELECT l_partkey, l_returnflag, 'unexpected', count(*) FROM (SELECT * FROM got EXCEPT ALL SELECT * FROM want) GROUP BY ALL)
+"""
+
+_RESOLVED = """
+symbols AS (SELECT lower(concat_ws('|', p_name, p_brand, p_type, CAST(p_size AS VARCHAR))) AS name, p_partkey FROM part),
+sites AS (SELECT p_partkey AS site, CASE WHEN p_partkey % 10 = 0 THEN 'no such ' ELSE '' END || lower(concat_ws('|', p_name, p_brand, p_type, CAST(p_size AS VARCHAR))) AS name FROM part),
+resolved AS (
+  SELECT site, count(p_partkey) AS n_candidates, min(p_partkey) AS candidate,
+    CASE WHEN count(p_partkey) = 1 THEN 'matched' WHEN count(p_partkey) > 1 THEN 'ambiguous' ELSE 'unresolved' END AS status
+  FROM sites LEFT JOIN symbols USING (name) GROUP BY site)
+"""
+
+_FINDINGS = f"""
+{_LINES}, findings AS (
+  SELECT doc_id, line_no, code FROM lines, (VALUES ('R001', 'token|secret|password'), ('R002', '[#$%&*]{{3}}'), ('R003', '[Ll]icen[sc]e'), ('R004', '@[a-z0-9]+[.]'), ('R005', '[0-9]{{6}}'), ('R006', '^[^ ]+$')) d(code, pattern)
+  WHERE regexp_matches(line, pattern) AND NOT (code = 'R005' AND regexp_matches(line, '[A-Za-z]{{30}}'))),
+directives AS (
+  SELECT doc_id, no, line_no, line_no + doc_id % 2 AS target_line, code FROM documents, (VALUES (1, 1), (2, 1), (3, 2)) n(no, line_no), (VALUES ('R002'), ('R003')) c(code))
+"""
+
+_DAY = "date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))"
+_RANGES = f"ranges AS (SELECT o_custkey, min({_DAY}) AS low, min({_DAY}) + count(*) * 3 AS high FROM orders GROUP BY o_custkey)"
+
+_TRADE = """
+revenue AS (
+  SELECT c_nationkey, s_nationkey, sum(CAST(l_extendedprice AS DECIMAL(20, 2))) AS revenue
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
+trade AS (
+  SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM (
+    SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY revenue DESC, s_nationkey) AS rn FROM revenue WHERE c_nationkey <> s_nationkey) WHERE rn <= 2)
+"""
+_REACH = f"""
+{_TRADE}, reach AS (
+  SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst FROM nation
+  UNION SELECT reach.src, trade.dst FROM reach JOIN trade ON reach.dst = trade.src)
+"""
+_FLOW = """
+flow AS (
+  SELECT DISTINCT n_nationkey AS src, dst FROM nation, LATERAL (SELECT unnest([n_nationkey + 1, n_nationkey * 2 + 1, n_nationkey + 7]) AS dst)
+  WHERE dst < 25 AND (n_nationkey % 4 <> 1 OR dst <> n_nationkey + 1))
+"""
+
 SQL: dict[str, str] = {
-    "w1_runs": """
-WITH marked AS (
-  SELECT *, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND lag(1) OVER w IS NOT NULL THEN 0 ELSE 1 END AS starts
-  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
-), numbered AS (
-  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run_no FROM marked
-)
-SELECT user_id, event_type, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM numbered GROUP BY user_id, run_no, event_type
-""",
+    "w1_runs": f"WITH {_RUNS} SELECT user_id, event_type, start_ts, end_ts, n FROM runs",
+    "w2_outlier_runs": f"""WITH {_RUNS} SELECT user_id, event_type, start_ts FROM (
+        SELECT *, lag(n) OVER w AS n0, lead(n) OVER w AS n1, lag(event_type) OVER w AS k0, lead(event_type) OVER w AS k1 FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY run_no))
+        WHERE n = 1 AND n0 > 1 AND n1 > 1 AND k0 = k1 AND k0 <> event_type""",
+    "w3_percentile": f"WITH {_SUPPLIERS} SELECT l_suppkey, {', '.join(f'round({_p(x)}, 6) AS p_{x}' for x in _SIGNALS)} FROM s",
+    "w4_hotspots": f"WITH {_HOT} SELECT l_suppkey, score, position FROM r",
+    "l4_topn_or_threshold": f"WITH {_HOT} SELECT l_suppkey, score, position, position <= 5 AS by_top, score >= 60 AS by_score FROM r WHERE position <= 5 OR score >= 60",
+    "p14_thresholds": f"WITH {_METRICS} SELECT n_nationkey, 'customers' AS metric, customers AS value, CAST(60 AS BIGINT) AS threshold FROM m WHERE customers > 60 UNION ALL SELECT n_nationkey, 'debtors', debtors, 5 FROM m WHERE debtors > 5",
+    "w5_priority_overlay": """SELECT o_orderkey, o_orderstatus, priority, seq FROM (
+        SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY priority DESC, seq DESC, o_orderstatus DESC) AS rn FROM (
+          SELECT o_orderkey, o_orderstatus, 0 AS priority, 0 AS seq FROM orders
+          UNION ALL SELECT o_orderkey, 'X', CAST(o_orderkey % 2 AS INTEGER), 1 FROM orders WHERE o_orderkey % 3 = 0)) WHERE rn = 1""",
+    "w6_keep_last": f"WITH {_SIZED} SELECT user_id, event_id, recency FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM e) WHERE recency <= 3",
+    "w7_size_budget": f"""WITH {_SIZED} SELECT user_id, event_id FROM (
+        SELECT *, sum(size) OVER (PARTITION BY user_id) - coalesce(sum(CASE WHEN NOT protected THEN size ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM e)
+        WHERE NOT protected AND remaining > 1000""",
+    "w8_latest": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
+    "p_older_than": "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-08'",
+    "w9_last_n": """SELECT event_type, event_id, total, total > 200 AS truncated, recency FROM (
+        SELECT *, count(*) OVER (PARTITION BY event_type) AS total, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS recency FROM events) WHERE recency <= 200""",
+    "w10_redeclared": "SELECT p_partkey, occurrence, first_partkey FROM (SELECT p_partkey, row_number() OVER w AS occurrence, first_value(p_partkey) OVER w AS first_partkey FROM part WINDOW w AS (PARTITION BY p_name, p_brand ORDER BY p_partkey)) WHERE occurrence > 1",
+    "w11_unique_names": f"WITH p AS (SELECT p_partkey, {_SLUG.format('p_name')} AS slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY p_partkey) AS no FROM p) SELECT p_partkey, CASE WHEN no = 1 THEN slug ELSE slug || '-' || no END AS unique_name FROM n",
+    "w12_nearby": "SELECT event_id, array_to_string(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '>') AS context FROM events",
+    "j2_added_removed": """WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '1995-04-01'), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-04-01')
+        SELECT o_custkey, 'removed' AS kind FROM a WHERE o_custkey NOT IN (SELECT * FROM b) UNION ALL SELECT o_custkey, 'added' FROM b WHERE o_custkey NOT IN (SELECT * FROM a)""",
+    "j3_cell_diff": f"WITH {_MUTATED} SELECT * FROM diffs",
+    "j4_file_diff": f"""WITH {_MUTATED} SELECT * FROM (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+        CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderpriority IS DISTINCT FROM b.o_orderpriority THEN 'changed' END AS kind
+        FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey) WHERE kind IS NOT NULL""",
+    "a3_diff_summary": f"WITH {_MUTATED} SELECT kind, count(*) AS n FROM diffs GROUP BY kind UNION ALL SELECT 'total', count(*) FROM diffs",
+    "j5_line_diff": f"""WITH {_LINES}, later AS (SELECT doc_id - 1 AS doc_id, line_no, line FROM lines),
+        d AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.line_no, b.line_no) AS line_no, coalesce(a.line, '') AS before, coalesce(b.line, '') AS after FROM lines a FULL JOIN later b ON a.doc_id = b.doc_id AND a.line_no = b.line_no)
+        SELECT * FROM d WHERE before <> after""",
+    "u1_multiset_delta": f"WITH {_HALVES} SELECT * FROM delta",
+    "a7_delta_by_flag": f"WITH {_HALVES} SELECT l_returnflag, CAST(sum(CASE WHEN kind = 'missing' THEN n ELSE 0 END) AS BIGINT) AS missing, CAST(sum(CASE WHEN kind = 'unexpected' THEN n ELSE 0 END) AS BIGINT) AS unexpected FROM delta GROUP BY l_returnflag",
+    "a1_status": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus <> 'F') AS O, false AS total FROM orders GROUP BY 1 UNION ALL SELECT NULL, count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus <> 'F'), true FROM orders",
+    "a2_summaries": "SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(floor(l_quantity) AS BIGINT)) AS BIGINT) AS size, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS states FROM lineitem GROUP BY 1",
+    "a4_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, 2 - CASE WHEN grouping(l_returnflag) = 1 THEN 1 ELSE 0 END - CASE WHEN grouping(l_linestatus) = 1 THEN 1 ELSE 0 END AS level FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_returnflag, l_linestatus))",
+    "a4_surface_pivot": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase FROM events GROUP BY 1",
+    "a5_inventory": "WITH a AS (SELECT o_custkey AS key, count(*) AS actual FROM orders GROUP BY 1), d AS (SELECT c_custkey AS key, c_custkey % 20 AS declared FROM customer) SELECT key, actual, declared FROM a FULL JOIN d USING (key) WHERE actual IS DISTINCT FROM declared",
+    "a8_precision": """SELECT lang, tp AS true_positive, fp AS false_positive, n, tp / nullif(tp + fp, 0) AS precision FROM (
+        SELECT lang, count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality <> 1) AS fp, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)""",
+    "a11_fans": """WITH e AS (SELECT DISTINCT o_custkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 500 <> l_suppkey % 500)
+        SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node""",
+    "a12_module_rollup": "SELECT c_nationkey, CAST(sum(CAST(floor(c_acctbal) AS BIGINT)) AS BIGINT) AS sum_balance, max(CAST(floor(c_acctbal) AS BIGINT)) AS max_balance, count(*) FILTER (c_mktsegment = 'BUILDING') AS n_building FROM customer GROUP BY 1",
+    "a13_counters": "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (event_type NOT IN ('view', 'purchase')) AS other, count(*) FILTER (value > 50) AS large FROM events GROUP BY 1",
+    "a15_evidence": "SELECT l_suppkey, l_returnflag, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS evidence FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2",
+    "a17_stage_totals": """WITH s AS (SELECT event_type, event_id, CAST(floor(value) AS BIGINT) AS elapsed, CASE WHEN event_id % 1000 = 7 THEN 2 WHEN event_id % 50 = 3 THEN 1 ELSE 0 END AS rank FROM events)
+        SELECT event_type, CAST(sum(elapsed) AS BIGINT) AS elapsed, ['ok', 'error', 'canceled'][max(rank) + 1] AS outcome, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS place FROM s GROUP BY event_type""",
+    "a19_first_wins": "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
+    "a23_digest": "SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+    "j6_resolution": f"WITH {_RESOLVED} SELECT * FROM resolved",
+    "a9_status_counts": f"WITH {_RESOLVED} SELECT status, count(*) AS n FROM resolved GROUP BY status",
+    "j6_visibility": """WITH c AS (SELECT c_custkey AS site, c_nationkey AS module, c_custkey % 120 AS name FROM customer), v AS (
+        SELECT site, s_suppkey, s_suppkey % 3 <> 0 OR s_nationkey = module AS seen FROM c LEFT JOIN supplier ON s_suppkey = name)
+        SELECT site, count(*) FILTER (seen) AS n_candidates, min(s_suppkey) FILTER (seen) AS candidate,
+          CASE WHEN count(*) FILTER (seen) = 1 THEN 'matched' WHEN count(*) FILTER (seen) > 1 THEN 'ambiguous' WHEN count(s_suppkey) > 0 THEN 'inaccessible' ELSE 'unresolved' END AS status FROM v GROUP BY site""",
+    "j9_followers": "SELECT p.p_partkey, a.p_name AS anchor_formula, CASE WHEN a.p_partkey IS NULL THEN 'failed' ELSE 'ok' END AS parse_status FROM part p LEFT JOIN part a ON a.p_partkey = p.p_partkey % 60 AND a.p_partkey <= 50",
+    "j10_expand": """SELECT p_partkey, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col FROM (SELECT p_partkey, p_size AS r0, p_size + p_partkey % 4 - 1 AS r1, p_partkey % 3 + 1 AS c1 FROM part WHERE p_partkey <= 200),
+        LATERAL (SELECT unnest(range(r0, r1 + 1)) AS "row"), LATERAL (SELECT unnest(range(1, c1 + 1)) AS col)""",
+    "p11_detectors": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings",
+    "j12_suppressed": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.doc_id = f.doc_id AND d.target_line = f.line_no AND d.code = f.code)",
+    "j12_unused_directives": f"""WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(target_line AS INTEGER) AS target_line, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target_line, code ORDER BY line_no, no) AS rn FROM directives) d
+        WHERE rn > 1 OR NOT EXISTS (SELECT 1 FROM findings f WHERE d.doc_id = f.doc_id AND d.target_line = f.line_no AND d.code = f.code)""",
+    "j13_unreached": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
+    "j15_shadowing": """WITH l AS (SELECT p_partkey, p_partkey % 400 AS k, row_number() OVER (PARTITION BY p_brand, p_partkey % 400 ORDER BY p_partkey) AS rn FROM part)
+        SELECT * FROM (SELECT p_partkey, CASE WHEN k IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 40) THEN 'module' WHEN k IN (SELECT s_suppkey * 3 FROM supplier) THEN 'procedure' WHEN rn > 1 THEN 'duplicate' END AS shadows FROM l) WHERE shadows IS NOT NULL""",
+    "j16_consume": """WITH a AS (SELECT user_id, event_type, event_id AS review_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 3 = 0),
+        b AS (SELECT user_id, event_type, event_id AS row_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 3 <> 0 AND user_id % 2 = 0)
+        SELECT review_id, row_id FROM a JOIN b USING (user_id, event_type, rn)""",
+    "p7_empty_groups": "SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 GROUP BY 1",
+    "p13_violations": """SELECT p_partkey, 'large_is_dear' AS "constraint" FROM part WHERE p_size > 45 AND NOT p_retailprice > 1000
+        UNION ALL SELECT p_partkey, 'unique' FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_name, p_brand, p_type, p_size) AS n FROM part) WHERE n > 1""",
+    "p5_point_in_range": f"WITH {_RANGES} SELECT o_orderkey, arg_min(r.o_custkey, (low, r.o_custkey)) AS o_custkey FROM orders o JOIN ranges r ON {_DAY} BETWEEN low AND high GROUP BY o_orderkey",
+    "p6_overlap": f"WITH {_RANGES} SELECT a.o_custkey, b.o_custkey AS other FROM ranges a JOIN ranges b ON a.low <= b.high AND b.low <= a.high WHERE b.o_custkey % 25 = 0",
+    "s18_layered": """WITH base AS (SELECT 'K' || p_partkey % 700 AS name, max(p_size) AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)
+        SELECT lower(name) AS name, CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_size END AS p_size, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'base,over' ELSE 'base' END AS tags FROM base""",
+    "g1_impact": f"""WITH RECURSIVE {_TRADE}, d AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM d JOIN trade ON src = node WHERE distance < 3),
+        u AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT src, distance + 1 FROM u JOIN trade ON dst = node WHERE distance < 3)
+        SELECT node, min(distance) AS distance FROM (SELECT * FROM d UNION ALL SELECT * FROM u) WHERE node <> 0 GROUP BY node""",
+    "g3_reachability": f"""WITH RECURSIVE {_REACH} SELECT CAST(n_nationkey AS BIGINT) AS node, CASE WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 0) THEN 'confirmed' WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 1) THEN 'possible' ELSE 'unreachable' END AS tier FROM nation""",
+    "g5_components": f"""WITH RECURSIVE {_TRADE}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey % 3 <> 0),
+        e AS (SELECT src, dst FROM trade WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+        c AS (SELECT node, node AS other FROM n UNION SELECT c.node, b.dst FROM c JOIN b ON c.other = b.src)
+        SELECT node, min(other) AS component FROM c GROUP BY node""",
+    "g6_scc": f"""WITH RECURSIVE {_REACH}, c AS (SELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, component, size, size > 1 AS cyclic FROM c""",
+    "g7_cycles": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
+        UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
+        SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE at_ = root""",
+    "g9_affected": f"WITH RECURSIVE {_REACH} SELECT src, count(DISTINCT n_regionkey) AS regions, count(*) AS nodes FROM reach JOIN nation ON n_nationkey = dst GROUP BY src",
+    "g13_dominators": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node),
+        s AS (SELECT r.node AS without, 0 AS node FROM r WHERE r.node <> 0 UNION SELECT without, dst FROM s JOIN flow ON src = s.node WHERE dst <> without)
+        SELECT CAST(r.node AS BIGINT) AS node, CAST(d.node AS BIGINT) AS dominator FROM r, r d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.without = d.node AND s.node = r.node)""",
+    "g14_assigned": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node),
+        m AS (SELECT f AS fact, 0 AS node FROM range(3) t(f) WHERE f <> 0 UNION SELECT fact, dst FROM m JOIN flow ON src = m.node WHERE dst % 3 <> fact)
+        SELECT CAST(r.node AS BIGINT) AS node, CAST(f AS BIGINT) AS fact FROM r, range(3) t(f) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.fact = f AND m.node = r.node)""",
+    "g15_cleanup": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node WHERE dst NOT IN (2, 7, 8))
+        SELECT CAST(n_nationkey AS BIGINT) AS node, n_nationkey NOT IN (SELECT node FROM r) AS guaranteed FROM nation WHERE n_nationkey >= 20""",
+    "d6_effects": f"WITH RECURSIVE {_REACH} SELECT DISTINCT src AS node, c_mktsegment AS fact FROM reach JOIN customer ON c_nationkey = dst WHERE dst % 6 = 0",
+    "a14_depths": "WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS depth FROM part WHERE p_partkey <= 3 UNION ALL SELECT p_partkey, depth + 1 FROM d JOIN part ON p_partkey > 3 AND p_partkey // 3 = node) SELECT node, depth FROM d",
+    "l8_rotation": """WITH c AS (SELECT p_partkey, list_transform(range(1, 6), lambda i: (p_partkey * 7 + i * 31) % 101) AS c FROM part), m AS (SELECT *, list_position(c, list_min(c)) AS at_ FROM c)
+        SELECT p_partkey, array_to_string(list_concat(c[at_:], c[:at_ - 1]), '>') AS cycle FROM m""",
+    "x_scalars": f"""WITH p AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS s, CAST(p_partkey AS HUGEINT) * 4611686018427 AS big, p_brand || ' / ' || p_type AS name FROM part)
+        SELECT k AS p_partkey, {_SLUG.format("name")} AS slug,
+          CASE WHEN k < 1 THEN NULL WHEN k <= 26 THEN chr(CAST(64 + k AS INTEGER)) WHEN k <= 702 THEN chr(CAST(65 + (k - 27) // 26 AS INTEGER)) || chr(CAST(65 + (k - 27) % 26 AS INTEGER)) WHEN k <= 18278 THEN chr(CAST(65 + (k - 703) // 676 AS INTEGER)) || chr(CAST(65 + (k - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (k - 703) % 26 AS INTEGER)) END AS letters,
+          CASE WHEN k BETWEEN 1 AND 18278 THEN CAST(k AS INTEGER) END AS number, CASE WHEN pow(s, k % 12) < 9007199254740992 THEN CAST(pow(s, k % 12) AS BIGINT) END AS power,
+          CAST(k * CASE k % 3 WHEN 0 THEN 1024 WHEN 1 THEN 1048576 ELSE 1073741824 END AS BIGINT) AS bytes,
+          CASE WHEN big * s * 1000000 <= 9223372036854775807 THEN CAST(big * s * 1000000 AS BIGINT) END AS value_0, CASE WHEN big * s * 1000000 <= 9223372036854775807 THEN 'known' ELSE 'unknown' END AS status_0,
+          CAST(big + s AS BIGINT) AS value_1, 'known' AS status_1, CAST(s AS DOUBLE) / nullif(k % 3, 0) AS value_2, CASE WHEN k % 3 = 0 THEN 'invalid' ELSE 'known' END AS status_2,
+          k // nullif(k % 4, 0) AS value_3, CASE WHEN k % 4 = 0 THEN 'invalid' ELSE 'known' END AS status_3, k % nullif(k % 5, 0) AS value_4, CASE WHEN k % 5 = 0 THEN 'invalid' ELSE 'known' END AS status_4 FROM p""",
+    "t1_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE value < 90) WHERE rn = 1",
+    "t3_sessions": """SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
+        SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""",
 }

@@ -1,18 +1,507 @@
-"""The library's own operators applied to the driver's tables."""
+"""The library's own operators applied to the driver's tables; oracle.py has their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessaline.operators import runs as _runs
+from tessaline.functions import scalars
+from tessaline.operators import diff, graph, ranking, resolve, rollup, rules
+from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-def w1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _runs.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
-    return out.selectExpr("user_id", "event_type", "first.ts AS start_ts", "last.ts AS end_ts", "n")
 
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (w1_runs,)}
+
+def _event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
+
+
+@query
+def w1_runs(spark, sf_dir):
+    return _event_runs(spark, sf_dir).selectExpr("user_id", "event_type", "first.ts AS start_ts", "last.ts AS end_ts", "n")
+
+
+@query
+def w2_outlier_runs(spark, sf_dir):
+    found = runs_.outliers(_event_runs(spark, sf_dir), ["user_id"], ["event_type"])
+    return found.where("is_outlier").selectExpr("user_id", "event_type", "first.ts AS start_ts")
+
+
+def _suppliers(spark, sf_dir):
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    own = lines.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"), F.max(F.floor("l_extendedprice").cast("long")).alias("top_price"))
+    customers = lines.select("l_suppkey", "l_orderkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey").agg(F.count_distinct("o_custkey").alias("n_customers"))
+    return own.join(customers, "l_suppkey")
+
+
+SIGNALS = ["n_lines", "n_parts", "n_customers", "top_price"]
+
+
+@query
+def w3_percentile(spark, sf_dir):
+    df = _suppliers(spark, sf_dir)
+    return df.select("l_suppkey", *(F.round(ranking.percentile(F.col(s), []), 6).alias(f"p_{s}") for s in SIGNALS))
+
+
+@query
+def w4_hotspots(spark, sf_dir):
+    return ranking.hotspots(_suppliers(spark, sf_dir), SIGNALS, ["l_suppkey"]).select("l_suppkey", "score", "position")
+
+
+@query
+def l4_topn_or_threshold(spark, sf_dir):
+    ranked = ranking.hotspots(_suppliers(spark, sf_dir), SIGNALS, ["l_suppkey"])
+    return ranking.top_or_threshold(ranked, 5, 60.0).select("l_suppkey", "score", "position", "by_top", "by_score")
+
+
+def _nation_metrics(spark, sf_dir):
+    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
+    c = customer.groupBy("c_nationkey").agg(F.count("*").alias("customers"), F.count_if(F.col("c_acctbal") < 0).alias("debtors"))
+    s = supplier.groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
+    both = nation.join(c, F.col("n_nationkey") == F.col("c_nationkey"), "left").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left")
+    return both.select("n_nationkey", *(F.coalesce(m, F.lit(0)).alias(m) for m in ("customers", "debtors", "suppliers")))
+
+
+@query
+def p14_thresholds(spark, sf_dir):
+    return rules.thresholds(_nation_metrics(spark, sf_dir), ["n_nationkey"], {"customers": 60, "debtors": 5, "suppliers": 0})
+
+
+@query
+def w5_priority_overlay(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    base = orders.select("o_orderkey", "o_orderstatus", F.lit(0).alias("priority"), F.lit(0).alias("seq"))
+    patch = orders.where("o_orderkey % 3 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_orderkey") % 2).cast("int").alias("priority"), F.lit(1).alias("seq"))
+    return ranking.overlay(base.union(patch), ["o_orderkey"], "priority", ["seq", "o_orderstatus"])
+
+
+def _sized_events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.floor("value").cast("long").alias("size"), (F.col("event_type") == "purchase").alias("protected"))
+
+
+@query
+def w6_keep_last(spark, sf_dir):
+    return ranking.keep_last(_sized_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], 3).select("user_id", "event_id", "recency")
+
+
+@query
+def w7_size_budget(spark, sf_dir):
+    return ranking.size_budget(_sized_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "size", "protected", 1000).select("user_id", "event_id")
+
+
+@query
+def w8_latest(spark, sf_dir):
+    return ranking.latest(table(spark, sf_dir, "events"), ["user_id"], ["event_type", "value"], ["ts", "event_id"])
+
+
+@query
+def p_older_than(spark, sf_dir):
+    hours = scalars.duration_hours(F.lit("7d"))
+    return table(spark, sf_dir, "events").where(F.col("ts") < F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00")) - F.make_dt_interval(hours=hours.cast("int"))).select("event_id")
+
+
+@query
+def w9_last_n(spark, sf_dir):
+    return ranking.last_n(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], 200).select("event_type", "event_id", "total", "truncated", "recency")
+
+
+@query
+def w10_redeclared(spark, sf_dir):
+    found = ranking.redeclared(table(spark, sf_dir, "part"), ["p_name", "p_brand"], ["p_partkey"])
+    return found.selectExpr("p_partkey", "occurrence", "first_at.p_partkey AS first_partkey")
+
+
+@query
+def w11_unique_names(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumn("slug", scalars.sheet_slug(F.col("p_name")))
+    return ranking.numbered_names(part, "slug", ["p_partkey"]).select("p_partkey", "unique_name")
+
+
+@query
+def w12_nearby(spark, sf_dir):
+    found = ranking.nearby(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2)
+    return found.select("event_id", F.array_join("context", ">").alias("context"))
+
+
+@query
+def j2_added_removed(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    early, late = o.where("o_orderdate < TIMESTAMP_NTZ '1995-04-01'"), o.where("o_orderdate >= TIMESTAMP_NTZ '2001-04-01'")
+    return diff.added_removed(early, late, ["o_custkey"])
+
+
+def _mutated_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    after = o.where("o_orderkey % 97 <> 0").select(
+        F.when(F.col("o_orderkey") % 89 == 0, F.col("o_orderkey") + 100_000_000).otherwise(F.col("o_orderkey")).alias("o_orderkey"),
+        F.when(F.col("o_orderkey") % 7 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("o_orderstatus"),
+        F.when(F.col("o_orderkey") % 11 == 0, None).otherwise(F.col("o_orderpriority")).alias("o_orderpriority"),
+    )
+    return o, after
+
+
+@query
+def j3_cell_diff(spark, sf_dir):
+    return diff.cell_diff(*_mutated_orders(spark, sf_dir), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"])
+
+
+@query
+def j4_file_diff(spark, sf_dir):
+    o, after = _mutated_orders(spark, sf_dir)
+    return diff.changed_keys(o, after, ["o_orderkey"], "o_orderpriority")
+
+
+@query
+def a3_diff_summary(spark, sf_dir):
+    return diff.summary(diff.cell_diff(*_mutated_orders(spark, sf_dir), ["o_orderkey"], ["o_orderstatus", "o_orderpriority"]))
+
+
+@query
+def j5_line_diff(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return diff.line_diff(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), ["doc_id"], "text")
+
+
+def _halves(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem")
+    early = F.col("l_shipdate") < F.to_timestamp_ntz(F.lit("1998-01-01 00:00:00"))
+    return rows.where(early).select("l_partkey", "l_returnflag"), rows.where(~early).select("l_partkey", "l_returnflag")
+
+
+@query
+def u1_multiset_delta(spark, sf_dir):
+    return diff.multiset_delta(*_halves(spark, sf_dir))
+
+
+@query
+def a7_delta_by_flag(spark, sf_dir):
+    return diff.delta_by(diff.multiset_delta(*_halves(spark, sf_dir)), ["l_returnflag"])
+
+
+@query
+def a1_status(spark, sf_dir):
+    return rollup.status_summary(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", ["F", "O"], "O")
+
+
+@query
+def a2_summaries(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", F.floor("l_quantity").cast("long").alias("quantity"), F.array("l_returnflag").alias("flags"), F.array("l_linestatus").alias("states"))
+    out = rollup.summaries(lines, ["l_suppkey"], "quantity", ["flags", "states"])
+    return out.select("l_suppkey", "n", "size", F.array_join("flags", ",").alias("flags"), F.array_join("states", ",").alias("states"))
+
+
+@query
+def a4_rollup(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return rollup.by_sets(lines, ["l_returnflag", "l_linestatus"], [[], ["l_returnflag"], ["l_returnflag", "l_linestatus"]], [F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity")])
+
+
+@query
+def a4_surface_pivot(spark, sf_dir):
+    kinds = [r[0] for r in [("view",), ("purchase",)]]
+    return rollup.pivoted_counts(table(spark, sf_dir, "events"), ["user_id"], "event_type", kinds)
+
+
+@query
+def a5_inventory(spark, sf_dir):
+    made = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.count("*").alias("n"))
+    declared = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), (F.col("c_custkey") % 20).alias("n"))
+    return rollup.compared_counts(made, declared, ["key"], "n")
+
+
+@query
+def a8_precision(spark, sf_dir):
+    labels, docs = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    return rules.precision(labels.join(docs, "doc_id"), ["lang"], F.col("quality") == 1, F.col("n_chars") > 500)
+
+
+@query
+def a11_fans(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edges = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select((F.col("o_custkey") % 500).alias("src"), (F.col("l_suppkey") % 500).alias("dst"))
+    return rollup.fans(edges, "src", "dst")
+
+
+@query
+def a12_module_rollup(spark, sf_dir):
+    df = table(spark, sf_dir, "customer").select("c_nationkey", F.floor("c_acctbal").cast("long").alias("balance"), (F.col("c_mktsegment") == "BUILDING").alias("building"))
+    return rollup.rolled_up(df, ["c_nationkey"], ["balance"], ["balance"], ["building"])
+
+
+@query
+def a13_counters(spark, sf_dir):
+    kind = F.col("event_type")
+    return rollup.counters(table(spark, sf_dir, "events"), ["user_id"], {"views": kind == "view", "bought": kind == "purchase", "other": ~kind.isin("view", "purchase"), "large": F.col("value") > 50})
+
+
+@query
+def a15_evidence(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    found = rollup.with_evidence(lines.where("l_linenumber <= 2"), ["l_suppkey", "l_returnflag"], ["l_partkey"])
+    return found.select("l_suppkey", "l_returnflag", F.array_join(F.transform("evidence", lambda e: e["l_partkey"].cast("string")), ",").alias("evidence"))
+
+
+@query
+def a17_stage_totals(spark, sf_dir):
+    stages = table(spark, sf_dir, "events").select("event_type", "event_id", F.floor("value").cast("long").alias("elapsed"), F.when(F.col("event_id") % 1000 == 7, "canceled").when(F.col("event_id") % 50 == 3, "error").otherwise("ok").alias("outcome"))
+    return rollup.stage_totals(stages, "event_type", ["elapsed"], "outcome", {"ok": 0, "error": 1, "canceled": 2}, "event_id")
+
+
+@query
+def a19_first_wins(spark, sf_dir):
+    return ranking.first_wins(table(spark, sf_dir, "part"), ["p_brand", "p_type"], ["p_partkey"]).select("p_brand", "p_type", "p_partkey")
+
+
+@query
+def a23_digest(spark, sf_dir):
+    return rollup.digest(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], "text")
+
+
+def _resolved(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    name = F.concat_ws("|", "p_name", "p_brand", "p_type", F.col("p_size").cast("string"))
+    symbols = part.select(name.alias("name"), "p_partkey")
+    sites = part.select(F.col("p_partkey").alias("site"), F.when(F.col("p_partkey") % 10 == 0, F.concat(F.lit("no such "), name)).otherwise(F.upper(name)).alias("name"))
+    return resolve.resolve(sites, symbols, ["site"], ["name"], "p_partkey")
+
+
+@query
+def j6_resolution(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query
+def a9_status_counts(spark, sf_dir):
+    return resolve.status_counts(_resolved(spark, sf_dir))
+
+
+@query
+def j6_visibility(spark, sf_dir):
+    supplier, customer = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    sites = customer.select(F.col("c_custkey").alias("site"), F.col("c_nationkey").alias("module"), (F.col("c_custkey") % 120).cast("string").alias("name"))
+    symbols = supplier.select("s_suppkey", F.col("s_nationkey").alias("owner"), F.col("s_suppkey").cast("string").alias("name"), (F.col("s_suppkey") % 3 == 0).alias("private"))
+    return resolve.resolve(sites, symbols, ["site"], ["name"], "s_suppkey", ~F.col("c.private") | (F.col("c.owner") == F.col("s.module")))
+
+
+@query
+def j9_followers(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    cells = part.select("p_partkey", (F.col("p_partkey") % 60).alias("idx"))
+    anchors = part.where("p_partkey <= 50").select(F.col("p_partkey").alias("idx"), "p_name")
+    return resolve.followers(cells, anchors, ["idx"], "p_name").select("p_partkey", "anchor_formula", "parse_status")
+
+
+@query
+def j10_expand(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_partkey <= 200").selectExpr("p_partkey", "p_size AS r0", "p_size + CAST(p_partkey % 4 AS INT) - 1 AS r1", "1 AS c0", "CAST(p_partkey % 3 AS INT) + 1 AS c1")
+    return resolve.expand(part, "r0", "r1", "c0", "c1").select("p_partkey", "row", "col")
+
+
+def _findings(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.detect_lines(docs, ["doc_id"], "text", {"R001": "token|secret|password", "R002": "[#$%&*]{3}", "R003": "[Ll]icen[sc]e", "R004": "@[a-z0-9]+[.]", "R005": "[0-9]{6}", "R006": "^[^ ]+$"}, {"R005": "[A-Za-z]{30}"})
+
+
+@query
+def p11_detectors(spark, sf_dir):
+    return _findings(spark, sf_dir)
+
+
+def _directives(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    n = F.explode(F.array(F.lit(1), F.lit(1), F.lit(2)))
+    return docs.select("doc_id", n.alias("line_no"), F.explode(F.array(F.lit("R002"), F.lit("R003"))).alias("code")).withColumn("target_line", F.col("line_no") + (F.col("doc_id") % 2).cast("int")).withColumn("no", F.monotonically_increasing_id())
+
+
+@query
+def j12_suppressed(spark, sf_dir):
+    return rules.suppress(_findings(spark, sf_dir), _directives(spark, sf_dir), ["doc_id"])
+
+
+@query
+def j12_unused_directives(spark, sf_dir):
+    return rules.unused_directives(_findings(spark, sf_dir), _directives(spark, sf_dir), ["doc_id"], ["line_no", "no"]).select("doc_id", "line_no", "target_line", "code")
+
+
+@query
+def j13_unreached(spark, sf_dir):
+    return rules.unmatched(table(spark, sf_dir, "orders").select("o_orderkey"), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+
+
+@query
+def j15_shadowing(spark, sf_dir):
+    part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
+    name = F.concat(F.lit("N"), (F.col("p_partkey") % 400).cast("string"))
+    locals_ = part.select("p_partkey", "p_brand", name.alias("name"))
+    modules = supplier.where("s_suppkey <= 40").select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("name"))
+    procedures = supplier.select(F.concat(F.lit("n"), (F.col("s_suppkey") * 3).cast("string")).alias("name"))
+    return resolve.shadowing(locals_, modules, procedures, "name", ["p_brand"], ["p_partkey"]).select("p_partkey", "shadows")
+
+
+@query
+def j16_consume(spark, sf_dir):
+    lines = table(spark, sf_dir, "events")
+    reviews = lines.where("event_id % 3 = 0").select("user_id", "event_type", F.col("event_id").alias("review_id"))
+    rows = lines.where("event_id % 3 <> 0 AND user_id % 2 = 0").select("user_id", "event_type", F.col("event_id").alias("row_id"))
+    return rules.consume(reviews, rows, ["user_id", "event_type"], "review_id", "row_id")
+
+
+@query
+def p7_empty_groups(spark, sf_dir):
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    df = customer.select(F.col("c_nationkey").alias("n_nationkey"), "c_acctbal")
+    return rules.with_empty_groups(df, nation, ["n_nationkey"], F.col("c_acctbal") > 9900)
+
+
+@query
+def p13_violations(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return rules.violations(part, ["p_partkey"], {"large_is_dear": (F.col("p_size") > 45, F.col("p_retailprice") > 1000)}, ["p_name", "p_brand", "p_type", "p_size"])
+
+
+def _month_ranges(spark, sf_dir):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", days.alias("day"))
+    return o.groupBy("o_custkey").agg(F.min("day").alias("low"), (F.min("day") + F.count("*").cast("int") * 3).alias("high"))
+
+
+@query
+def p5_point_in_range(spark, sf_dir):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
+    points = table(spark, sf_dir, "orders").select("o_orderkey", days.alias("day"))
+    return resolve.point_in_range(points, _month_ranges(spark, sf_dir), "day", "low", "high", ["o_orderkey"], ["o_custkey"], ["low", "o_custkey"], 30)
+
+
+@query
+def p6_overlap(spark, sf_dir):
+    ranges = _month_ranges(spark, sf_dir)
+    few = ranges.where("o_custkey % 25 = 0").withColumnRenamed("o_custkey", "other")
+    return resolve.overlaps(ranges, few, "low", "high", ["o_custkey"], ["other"], 30)
+
+
+@query
+def s18_layered(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    base = part.select(F.concat(F.lit("K"), (F.col("p_partkey") % 700).cast("string")).alias("name"), "p_size", "p_partkey").groupBy("name").agg(F.max("p_size").alias("p_size"), F.min("p_partkey").alias("p_partkey")).withColumn("tags", F.array(F.lit("base")))
+    over = base.where("p_partkey % 5 = 0").select(F.lower("name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.lit(-1)).alias("p_size"), F.lit(None).cast("long").alias("p_partkey"), F.array(F.lit("over")).alias("tags"))
+    out = resolve.layered([base, over], "name", ["p_size", "p_partkey"], ["tags"])
+    return out.select("name", "p_size", "p_partkey", F.array_join("tags", ",").alias("tags"))
+
+
+def _trade(spark, sf_dir):
+    """Each nation's customers' two best partner nations by whole revenue."""
+    lines, orders, customer, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    pairs = rows.groupBy("c_nationkey", "s_nationkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).alias("revenue"))
+    return graph.storage.save(graph.top_partners(pairs, "c_nationkey", "s_nationkey", "revenue", 2), "trade")
+
+
+def _nodes(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+
+
+@query
+def g1_impact(spark, sf_dir):
+    return graph.impact(_nodes(spark, sf_dir).where("node = 0"), _trade(spark, sf_dir), "both", 3)
+
+
+@query
+def g3_reachability(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return graph.reachability(n, _trade(spark, sf_dir), n.where("node = 0"), n.where("node = 1"))
+
+
+@query
+def g5_components(spark, sf_dir):
+    n = _nodes(spark, sf_dir).where("node % 3 <> 0")
+    return graph.clusters(n, _trade(spark, sf_dir))
+
+
+@query
+def g6_scc(spark, sf_dir):
+    return graph.strong_components(_nodes(spark, sf_dir), _trade(spark, sf_dir))
+
+
+@query
+def g7_cycles(spark, sf_dir):
+    return graph.cycles(_trade(spark, sf_dir), 5).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
+
+
+@query
+def g9_affected(spark, sf_dir):
+    reach = graph.closure(_nodes(spark, sf_dir), _trade(spark, sf_dir))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("dst"), "n_regionkey")
+    return reach.join(F.broadcast(nation), "dst").groupBy("src").agg(F.count_distinct("n_regionkey").alias("regions"), F.count("*").alias("nodes"))
+
+
+def _flow(spark, sf_dir):
+    """A flow graph from node 0: a nation leads to the next and to two more by arithmetic."""
+    n = _nodes(spark, sf_dir)
+    to = F.array(F.col("node") + 1, F.col("node") * 2 + 1, F.col("node") + 7)
+    keep = (F.col("src") % 4 != 1) | (F.col("dst") != F.col("src") + 1)
+    return n.select(F.col("node").alias("src"), F.explode(to).alias("dst")).where("dst < 25").where(keep).distinct()
+
+
+@query
+def g13_dominators(spark, sf_dir):
+    return graph.dominators(_flow(spark, sf_dir), 0)
+
+
+@query
+def g14_assigned(spark, sf_dir):
+    gives = _nodes(spark, sf_dir).select("node", (F.col("node") % 3).alias("fact"))
+    return graph.must_facts(_flow(spark, sf_dir), 0, gives)
+
+
+@query
+def g15_cleanup(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return graph.guaranteed(n.where("node >= 20"), _flow(spark, sf_dir), n.where("node = 0"), n.where("node IN (2, 7, 8)"))
+
+
+@query
+def d6_effects(spark, sf_dir):
+    facts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).where("node % 6 = 0").distinct()
+    return graph.propagate(facts, _trade(spark, sf_dir))
+
+
+@query
+def a14_depths(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") > 3, F.floor(F.col("p_partkey") / 3)).alias("parent"))
+    return graph.depths(part, "node", "parent")
+
+
+@query
+def l8_rotation(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: (F.col("p_partkey") * 7 + i * 31) % 101).alias("cycle"))
+    return part.select("p_partkey", F.array_join(F.transform(ranking.rotated(F.col("cycle")), lambda x: x.cast("string")), ">").alias("cycle"))
+
+
+@query
+def x_scalars(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    k, size = F.col("p_partkey"), F.col("p_size").cast("long")
+    big = k * 4611686018427
+    checked = [scalars.checked(op, x, y) for op, x, y in (("*", big, size * 1000000), ("+", big, size), ("/", size, k % 3), ("\\", k, k % 4), ("mod", k, k % 5))]
+    columns = [c for i, s in enumerate(checked) for c in (s["value"].alias(f"value_{i}"), s["status"].alias(f"status_{i}"))]
+    return part.select("p_partkey", scalars.sheet_slug(F.concat_ws(" / ", "p_brand", "p_type")).alias("slug"), scalars.column_letters(k).alias("letters"), scalars.column_number(scalars.column_letters(k)).alias("number"), scalars.checked_power(size, k % 12).alias("power"), scalars.size_bytes(F.concat(k.cast("string"), F.element_at(F.array(F.lit("KB"), F.lit("mib"), F.lit(" G")), (k % 3 + 1).cast("int")))).alias("bytes"), *columns)
+
+
+@query
+def t1_upsert(spark, sf_dir):
+    return ranking.latest(table(spark, sf_dir, "events").where("value < 90"), ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"])
+
+
+@query
+def t3_sessions(spark, sf_dir):
+    from tessaline.streaming.events import sessions
+
+    return sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 30)
