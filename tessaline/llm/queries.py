@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import chat, embeddings, lines, lm, mixing, packing, quality, secrets, simhash
+from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, quality, secrets, simhash
 from tessaline.sources.tables import table
 
 #: The vocabulary as files of public tokenizers; paths are the operator's parameters.
@@ -29,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 _CHAT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
@@ -73,5 +77,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing)
+    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing)
 }
