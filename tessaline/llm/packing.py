@@ -8,11 +8,14 @@ Nothing is shuffled: a task holds one batch and the pieces it carries over.
 
 from __future__ import annotations
 
+import base64
 import os
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -22,7 +25,7 @@ LENGTH = 2048
 MAX_SEGMENTS = 64
 END = 1
 #: Chunks of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: A piece is cut to fill a sequence up only where at least so many tokens are left.
 LEAST_CUT = 16
 
@@ -30,40 +33,52 @@ LEAST_CUT = 16
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
-    The tokenizer's pattern always starts a new token at a single space that another
-    character follows, so texts whose white space allows it are cut there, and the ids of
-    each chunk are remembered up to a bound.
+    ranks, if given, is a tiktoken file of the same vocabulary, which is several times
+    faster. The pattern of both starts a new token at a single space that something other
+    than white space follows, so texts are cut at spaces and the ids of each chunk are
+    remembered up to a bound. Other texts, and those with the end-of-text string, are
+    encoded whole.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, ranks: str | None) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
+        self._tokenizer, self._known, self._special = Tokenizer.from_file(path), {}, None
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._fast = None
+        if ranks:
+            import tiktoken
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            pairs = (line.split() for line in open(ranks, "rb"))  # noqa: SIM115
+            self._fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={}).encode_ordinary
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if not self._fast or any(s in text for s in self._special):
+            return self._whole(text)
         first, *rest = text.split(" ")
-        if not all(rest) or any(x[0].isspace() for x in rest):
-            return self._encode([text])[0]
-        chunks, known = [first, *(f" {x}" for x in rest)], self._known
+        known = self._known
         try:
-            return b"".join([known[x] for x in chunks])
+            ids = b"".join([known[x] for x in rest])
         except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [x for x in dict.fromkeys(chunks) if x not in known]
-        known.update(zip(new, self._encode(new), strict=True))
-        return b"".join([known[x] for x in chunks])
+            if len(known) > REMEMBERED:
+                known.clear()
+            for x in rest:
+                if x not in known:
+                    if not x or x[0].isspace():
+                        return array("I", self._fast(text)).tobytes()
+                    known[x] = array("I", self._fast(f" {x}")).tobytes()
+            ids = b"".join([known[x] for x in rest])
+        return array("I", self._fast(first)).tobytes() + ids
 
 
 @cache
-def _ids(path: str) -> Ids:
+def _ids(path: str, ranks: str | None) -> Ids:
     """The worker's own, kept from task to task."""
-    return Ids(path)
+    return Ids(path, ranks)
 
 
 class Packer:
@@ -147,26 +162,27 @@ _FIELDS = ("doc_id", "start", "length", "ids", "doc_tokens", "loss_tokens", "seq
 _ARROW = pa.schema([(f, pa.binary() if f == "ids" else pa.int64()) for f in _FIELDS])
 _SCHEMA = ", ".join(f"`{f}` {'binary' if f == 'ids' else 'long'}" for f in _FIELDS)
 #: Documents that are packed together, besides the pieces carried over.
-WINDOW = 1024
+WINDOW = 512
 
 
-def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, length: int = LENGTH, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, doc_id: str = "doc_id", text: str = "text", prompt: str | None = None, length: int = LENGTH, max_segments: int = MAX_SEGMENTS, max_loss: int | None = None) -> DataFrame:
     """A row per piece: doc_id, start, length, ids, doc_tokens, loss_tokens, sequence_id, offset.
 
     A document's ids are those of its prompt, if a column is named, then of its text, then
-    END; those of the prompt bear no loss. ids are little-endian unsigned 32-bit numbers. Each id lies in one piece. Sequences hold at most
-    length tokens, max_segments pieces and max_loss tokens that bear loss (all of them
-    unless given). Cuts fall anywhere; at a task's end the last sequence is split into
+    END; those of the prompt bear no loss. ids are little-endian unsigned 32-bit numbers.
+    Each id lies in one piece. Sequences hold at most length tokens, max_segments pieces
+    and max_loss tokens that bear loss (all of them unless given). Cuts fall anywhere; at a task's end the last sequence is split into
     powers of two.
 
     A null text or prompt is empty, so its document is END alone. Repeated ids and rows are packed each.
     An empty table gives no rows. sequence_id is unique and holds the task's number; other
-    columns are not read. tokenizer is the path of a tokenizers file on every worker.
+    columns are not read. tokenizer is the path of a tokenizers file on every
+    worker, ranks that of the same vocabulary for tiktoken, which gives the same ids sooner.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), (F.coalesce(F.col(prompt), F.lit("")) if prompt else F.lit("")).alias("prompt"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, packer = _ids(tokenizer), Packer(length, max_segments, max_loss or length)
+        ids, packer = _ids(tokenizer, ranks), Packer(length, max_segments, max_loss or length)
         end, sequence, number = np.array([END], "<u4").tobytes(), TaskContext.get().partitionId() << 40, 0
         out: list[tuple] = []
 

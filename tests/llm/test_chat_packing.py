@@ -68,7 +68,7 @@ def test_every_id_in_one_piece(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = {i: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for i, t in enumerate(texts)}
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, length int").repartition(2)
-    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
     padding = check_pieces(rows, expected, 2048)
     assert padding < 0.01 * sum(len(x) // 4 for x in expected.values())
     assert packing.pack(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
