@@ -80,11 +80,11 @@ def last_n_stream(events: DataFrame, key: str, order: str, value: str, n: int) -
         rows = list(zip(orders, values, strict=True))
         for batch in batches:
             total += len(batch)
-            rows = sorted([*rows, *zip(batch[order].tolist(), batch[value].tolist(), strict=True)])[-n:]
+            rows = sorted([*rows, *zip(batch["place"].tolist(), batch["value"].tolist(), strict=True)])[-n:]
         state.update((total, [r[0] for r in rows], [r[1] for r in rows]))
         yield pd.DataFrame({"key": [k[0]], "total": [total], "truncated": [total > n], "latest": [[r[1] for r in rows]]})
 
-    rows = events.select(F.col(key).alias("key"), F.col(order).cast("long").alias(order), F.col(value).cast("string").alias(value))
+    rows = events.select(F.col(key).alias("key"), F.col(order).cast("long").alias("place"), F.col(value).cast("string").alias("value"))
     kind = dict(rows.dtypes)["key"]
     return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, total long, truncated boolean, latest array<string>", "total long, orders array<long>, vals array<string>", "update", GroupStateTimeout.NoTimeout)
 
