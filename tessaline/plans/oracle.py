@@ -106,6 +106,21 @@ flow AS (
   WHERE dst < 25 AND (n_nationkey % 4 <> 1 OR dst <> n_nationkey + 1))
 """
 
+_CALLS = """
+calls AS (
+  SELECT o_orderkey, 'Cust' || c_custkey % 50 AS caller_name, 'N' || c_nationkey AS caller_module, 'Do' || o_orderkey % 40 AS base_name, o_orderstatus AS member
+  FROM orders JOIN customer ON o_custkey = c_custkey)
+"""
+_TAINT = f"""
+{_FLOW}, assigns AS (SELECT n_nationkey AS node, 'v' || (n_nationkey + 1) % 4 AS target, 'v' || n_nationkey % 4 AS value FROM nation WHERE n_nationkey % 3 = 1),
+cleaned AS (SELECT node, target AS var FROM assigns UNION SELECT n_nationkey, 'v' || n_nationkey % 4 FROM nation WHERE n_nationkey % 5 = 3),
+taint AS (
+  SELECT n_nationkey AS node, 'v' || n_nationkey // 8 % 4 AS var, n_nationkey AS origin FROM nation WHERE n_nationkey % 8 = 0
+  UNION SELECT dst, coalesce(target, t.var), origin FROM taint t JOIN flow ON src = t.node
+    LEFT JOIN (SELECT node, value AS var, target FROM assigns UNION ALL SELECT dst, v, NULL FROM (SELECT DISTINCT dst FROM flow), (VALUES ('v0'), ('v1'), ('v2'), ('v3')) x(v)) m ON m.node = dst AND m.var = t.var
+  WHERE target IS NOT NULL OR NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.node = dst AND c.var = t.var))
+"""
+
 SQL: dict[str, str] = {
     "w1_runs": f"WITH {_RUNS} SELECT user_id, event_type, start_ts, end_ts, n FROM runs",
     "w2_outlier_runs": f"""WITH {_RUNS} SELECT user_id, event_type, start_ts FROM (
@@ -220,4 +235,22 @@ SQL: dict[str, str] = {
     "t1_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE value < 90) WHERE rn = 1",
     "t3_sessions": """SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""",
+    "p1_calls_from": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE caller_module = 'N7'",
+    "p2_calls_to": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE base_name = 'Do7'",
+    "p3_search": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
+    "j18_hierarchy": f"WITH {_CALLS} SELECT caller_name, base_name, string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS places FROM calls GROUP BY ALL".replace("DISTINCT CAST", "CAST"),
+    "g10_dependencies": f"""WITH {_CALLS}, e AS (
+          SELECT 'procedure' AS kind, caller_name AS src, base_name AS dst, o_orderkey % 9 AS line FROM calls
+          UNION ALL SELECT 'module', caller_module, 'N' || o_orderkey % 25, o_orderkey % 9 FROM calls WHERE caller_module <> 'N' || o_orderkey % 25
+          UNION ALL SELECT 'type', caller_module, member, o_orderkey % 5 FROM calls)
+        SELECT kind, src, dst, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM e GROUP BY ALL""",
+    "a21_state_access": """WITH e AS (SELECT event_type, CAST(user_id % 12 AS VARCHAR) AS p, event_id % 4 AS k FROM events WHERE event_id % 7 = 0)
+        SELECT event_type, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (0, 3)), '') AS readers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (1, 3)), '') AS writers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (2, 3)), '') AS mutators FROM e GROUP BY 1""",
+    "d1_taint": f"WITH RECURSIVE {_TAINT} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
+    "d2_sinks": f"WITH RECURSIVE {_TAINT} SELECT DISTINCT CAST(dst AS BIGINT) AS node, 'exec' AS sink, var, CAST(origin AS BIGINT) AS origin FROM taint JOIN flow ON src = node WHERE dst % 2 = 1 AND var = 'v' || dst % 4",
+    "g11_affected": f"""WITH RECURSIVE {_TRADE}, {_FLOW}, b AS (SELECT src, dst FROM trade UNION SELECT src, dst FROM flow),
+        a AS (SELECT CAST(6 AS BIGINT) AS node, 0 AS distance UNION SELECT CAST(src AS BIGINT), distance + 1 FROM a JOIN b ON dst = node WHERE distance < 30)
+        SELECT node, min(distance) AS distance FROM a GROUP BY node""",
+    "j19_assignable": """WITH RECURSIVE up AS (SELECT n_nationkey AS s, n_nationkey AS t FROM nation UNION SELECT s, t // 2 FROM up WHERE t > 0)
+        SELECT 'T' || n_nationkey AS source, name AS target, CASE WHEN n_nationkey < 23 AND k < 23 THEN EXISTS (SELECT 1 FROM up WHERE s = n_nationkey AND t = k) END AS assignable FROM nation, (VALUES ('t1', 1), ('t2', 2), ('T24', 24)) x(name, k)""",
 }

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.functions import scalars
-from tessaline.operators import diff, graph, ranking, resolve, rollup, rules
+from tessaline.operators import calls, dataflow, diff, graph, ranking, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
+from tessaline.streaming.events import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -502,6 +503,89 @@ def t1_upsert(spark, sf_dir):
 
 @query
 def t3_sessions(spark, sf_dir):
-    from tessaline.streaming.events import sessions
-
     return sessions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 30)
+
+
+def _calls(spark, sf_dir):
+    """Orders as calls: customers call suppliers' nations."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    name = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
+    return rows.select("o_orderkey", name("Cust", F.col("c_custkey") % 50).alias("caller_name"), name("Mod.Cust", F.col("c_custkey") % 50).alias("caller_qualified"), name("N", F.col("c_nationkey")).alias("caller_module"), name("Do", F.col("o_orderkey") % 40).alias("base_name"), F.col("o_orderstatus").alias("member"), name("Obj.Do", F.col("o_orderkey") % 40).alias("text"))
+
+
+@query
+def p1_calls_from(spark, sf_dir):
+    return calls.calls_from(_calls(spark, sf_dir), "n7").select("o_orderkey")
+
+
+@query
+def p2_calls_to(spark, sf_dir):
+    return calls.calls_to(_calls(spark, sf_dir), "DO7").select("o_orderkey")
+
+
+@query
+def p3_search(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("module"))
+    return calls.search(part, "E", "contains").select("p_partkey")
+
+
+@query
+def j18_hierarchy(spark, sf_dir):
+    found = calls.hierarchy(_calls(spark, sf_dir), "caller_name", "base_name", ["o_orderkey"])
+    return found.select("caller_name", "base_name", F.array_join(F.transform("evidence", lambda e: e["o_orderkey"].cast("string")), ",").alias("places"))
+
+
+@query
+def g10_dependencies(spark, sf_dir):
+    o = _calls(spark, sf_dir)
+    rows = o.select(F.col("caller_name").alias("src"), F.col("base_name").alias("dst"), F.col("caller_module").alias("src_module"), F.concat(F.lit("N"), (F.col("o_orderkey") % 25).cast("string")).alias("dst_module"), (F.col("o_orderkey") % 9).alias("line"))
+    types = o.select(F.col("caller_module").alias("src_module"), F.col("member").alias("type_name"), (F.col("o_orderkey") % 5).alias("line"))
+    found = calls.dependencies(rows, types)
+    return found.select("kind", "src", "dst", F.array_join(F.transform("evidence", lambda e: e["line"].cast("string")), ",").alias("lines"))
+
+
+@query
+def a21_state_access(spark, sf_dir):
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("read", "write", "mutate", "readwrite"))), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").where("event_id % 7 = 0").select("event_type", (F.col("user_id") % 12).cast("string").alias("procedure"), kind.alias("kind"))
+    found = calls.state_access(rows, ["event_type"])
+    return found.select("event_type", *(F.array_join(c, ",").alias(c) for c in ("readers", "writers", "mutators")))
+
+
+def _taint(spark, sf_dir):
+    n, flow = _nodes(spark, sf_dir), _flow(spark, sf_dir)
+    name = lambda x: F.concat(F.lit("v"), (x % 4).cast("string"))
+    sources = n.where("node % 8 = 0").select("node", name(F.floor(F.col("node") / 8)).alias("var"), F.col("node").alias("origin"))
+    assigns = n.where("node % 3 = 1").select("node", name(F.col("node") + 1).alias("target"), name(F.col("node")).alias("value"))
+    kills = n.where("node % 5 = 3").select("node", name(F.col("node")).alias("var"))
+    return flow, sources, assigns, kills
+
+
+@query
+def d1_taint(spark, sf_dir):
+    flow, sources, assigns, kills = _taint(spark, sf_dir)
+    return dataflow.taint(flow, sources, assigns, kills)
+
+
+@query
+def d2_sinks(spark, sf_dir):
+    flow, sources, assigns, kills = _taint(spark, sf_dir)
+    sinks = _nodes(spark, sf_dir).where("node % 2 = 1").select("node", F.lit("exec").alias("sink"), F.concat(F.lit("v"), (F.col("node") % 4).cast("string")).alias("var"))
+    return dataflow.sink_findings(dataflow.taint(flow, sources, assigns, kills), flow, sinks)
+
+
+@query
+def g11_affected(spark, sf_dir):
+    flow, trade = _flow(spark, sf_dir), _trade(spark, sf_dir)
+    return dataflow.affected(flow, trade, _nodes(spark, sf_dir).where("node = 6"))
+
+
+@query
+def j19_assignable(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    name = lambda x: F.concat(F.lit("T"), x.cast("string"))
+    types = n.where("n_nationkey < 23").select(name(F.col("n_nationkey")).alias("name"))
+    supers = n.where("n_nationkey > 0").select(name(F.col("n_nationkey")).alias("name"), name(F.floor(F.col("n_nationkey") / 2)).alias("super"))
+    pairs = n.select(name(F.col("n_nationkey")).alias("source"), F.explode(F.array(F.lit("t1"), F.lit("t2"), F.lit("T24"))).alias("target"))
+    return dataflow.assignable(pairs, types, supers)
