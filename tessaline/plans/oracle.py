@@ -238,7 +238,7 @@ SQL: dict[str, str] = {
     "p1_calls_from": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE caller_module = 'N7'",
     "p2_calls_to": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE base_name = 'Do7'",
     "p3_search": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
-    "j18_hierarchy": f"WITH {_CALLS} SELECT caller_name, base_name, string_agg(DISTINCT CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS places FROM calls GROUP BY ALL".replace("DISTINCT CAST", "CAST"),
+    "j18_hierarchy": f"WITH {_CALLS} SELECT caller_name, base_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS places FROM calls GROUP BY ALL",
     "g10_dependencies": f"""WITH {_CALLS}, e AS (
           SELECT 'procedure' AS kind, caller_name AS src, base_name AS dst, o_orderkey % 9 AS line FROM calls
           UNION ALL SELECT 'module', caller_module, 'N' || o_orderkey % 25, o_orderkey % 9 FROM calls WHERE caller_module <> 'N' || o_orderkey % 25

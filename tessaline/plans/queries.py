@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessaline import storage
 from tessaline.functions import scalars
 from tessaline.operators import calls, dataflow, diff, graph, ranking, resolve, rollup, rules
 from tessaline.operators import runs as runs_
@@ -207,8 +208,7 @@ def a4_rollup(spark, sf_dir):
 
 @query
 def a4_surface_pivot(spark, sf_dir):
-    kinds = [r[0] for r in [("view",), ("purchase",)]]
-    return rollup.pivoted_counts(table(spark, sf_dir, "events"), ["user_id"], "event_type", kinds)
+    return rollup.pivoted_counts(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["view", "purchase"])
 
 
 @query
@@ -402,7 +402,7 @@ def _trade(spark, sf_dir):
     lines, orders, customer, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
     rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = rows.groupBy("c_nationkey", "s_nationkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).alias("revenue"))
-    return graph.storage.save(graph.top_partners(pairs, "c_nationkey", "s_nationkey", "revenue", 2), "trade")
+    return storage.save(graph.top_partners(pairs, "c_nationkey", "s_nationkey", "revenue", 2), "trade")
 
 
 def _nodes(spark, sf_dir):
