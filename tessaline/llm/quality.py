@@ -119,5 +119,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rat
     storage.drop(measured)
     text_, host_ = storage.fresh(docs, "_text", "_host")
     tagged = docs.select(F.struct("*").alias("doc"), F.col(text).alias(text_), F.col(host).alias(host_))
-    good = measure(tagged, text_).where(~F.col("_m.base_failed")).select("doc", F.col(host_).alias("host"))
+    # exploding keeps the verdict above the measures: a filter would be pushed below and work words out anew for each of them
+    passed = F.when(~F.col("_m.base_failed"), F.array(F.struct("doc", F.col(host_).alias("host"))))
+    good = measure(tagged, text_).select(F.explode(passed).alias("p")).select("p.*")
     return good.join(storage.broadcast_if_small(bad), "host", "left_anti").select("doc.*")
