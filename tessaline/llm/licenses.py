@@ -92,7 +92,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "
     distinct = rows.where("unit is not null").select("unit", "n").distinct().withColumn("pairs", _pairs(F.split("unit", " ")))
     near = distinct.join(storage.broadcast_if_small(table, 20_000), "n")
     near = near.withColumn("most", F.size(F.array_intersect("pairs", F.transform("marks", lambda m: F.regexp_replace(m, " #[0-9]+$", "")))) + F.col("n") - F.size(F.array_distinct("pairs")))
-    near = near.where(2 * F.col("most") >= similarity * (F.col("n") + F.col("size"))).withColumn("dice", 2 * F.size(F.array_intersect(_numbered(F.col("pairs")), F.col("marks"))) / (F.col("n") + F.col("size")))
+    near = storage.save(near.where(2 * F.col("most") >= similarity * (F.col("n") + F.col("size"))), "near").withColumn("dice", 2 * F.size(F.array_intersect(_numbered(F.col("pairs")), F.col("marks"))) / (F.col("n") + F.col("size")))
     best = near.where(F.col("dice") >= similarity).groupBy("unit").agg(F.max_by(F.struct("template", "dice"), F.struct("dice", _backwards(F.col("template"), sorted(templates)))).alias("b"))
     best = storage.save(best.select("unit", "b.template", "b.dice"), "matches")
     out = rows.join(storage.broadcast_if_small(best), "unit", "left").groupBy("row_no", "doc_id", "n_units")
