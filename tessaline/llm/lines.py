@@ -1,9 +1,8 @@
 """Fuzzy line dedup: MinHash, banding, exact Jaccard, components, one line of each kept.
 
-A line's signature is taken over character shingles that start where words do (SKETCH
-characters each); lines that agree in a band are candidates, and a pair counts if the
-Jaccard similarity of all its character shingles (SHINGLE each) is SIMILARITY or more.
-Only column functions are used.
+A line's signature is taken over all its character shingles (SHINGLE each); lines that
+agree in a band are candidates, and a pair counts if the Jaccard similarity of the same
+shingles is SIMILARITY or more. Only column functions are used.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from tessaline.operators.components import connected_components
 
 SIMILARITY = 0.8
 SHINGLE = 5
-SKETCH = 12
+#: A pair right at SIMILARITY agrees in some band with probability 0.998.
 BANDS, ROWS = 12, 4
 #: Members of a bucket that are all paired; in larger buckets each is paired with the first and the last.
 ALL_PAIRS = 16
@@ -27,16 +26,20 @@ ALL_PAIRS = 16
 IDS = 1_000_000
 
 
-def _masks() -> list[int]:
-    """A number for each row of each band, spread evenly over the highest bits."""
-    rng, n = random.Random(5), BANDS * ROWS
-    spread = [(k << 64) // n + rng.randrange((1 << 64) // n) for k in range(n)]
-    return [x - (1 << 64) if x >> 63 else x for x in spread]
+def _masks(n: int, seed: int = 5) -> list[int]:
+    """n random numbers of 64 bits, signed."""
+    rng = random.Random(seed)
+    return [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
+
+
+def _cut(line: Column, size: int = SHINGLE) -> Column:
+    """The character shingles of a line, repeats included; a shorter line is its own."""
+    return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """The distinct character shingles of a line; a shorter line is its own."""
-    return F.when(F.length(line) < size, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))))
+    return F.array_distinct(_cut(line, size))
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
@@ -50,21 +53,26 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD))
 
 
+def _banded(texts: DataFrame, keep: list[str], seed: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """id, keep, bands of texts (id, keep, line), a row per id.
+
+    A row's minimum is that of the shingles' hashes, each hashed again with the row's
+    number, so rows are permutations of their own. Minima are taken by a plain aggregate
+    over exploded hashes, in the place where the lines of an id already are.
+    """
+    cut = texts.select("id", *keep, F.explode(_cut(F.col("line"))).alias("shingle")).select("id", *keep, F.xxhash64("shingle").alias("h"))
+    least = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{k}") for k, m in enumerate(_masks(bands * rows, seed))]
+    signed = cut.groupBy("id").agg(*(F.min(k).alias(k) for k in keep), *least)
+    return signed.select("id", *keep, F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands))).alias("bands"))
+
+
 def _signed(found: DataFrame) -> DataFrame:
     """id, first_doc, n, bands of the distinct lines of found.
 
-    A row's minimum is that of the sketch shingles' hashes after an exclusive or, which
-    orders them anew. Minima are taken by a plain aggregate over exploded hashes, in the
-    place where the lines of an id already are, so no hash is shuffled and the text of a
-    line is shuffled once and stored nowhere.
+    No hash is shuffled, and the text of a line is shuffled once and stored nowhere.
     """
     distinct = found.select(F.xxhash64("line").alias("id"), "doc_id", "line").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.any_value("line").alias("line"))
-    sketch = F.regexp_extract_all("line", F.lit(rf"(?s)(?:^|\x20)(?=([^\x20].{{0,{SKETCH - 1}}}))"), F.lit(1))
-    rows = distinct.select("id", "first_doc", "n", F.explode(F.transform(sketch, lambda x: F.xxhash64(x))).alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{k}") for k, m in enumerate(_masks())]
-    signed = rows.groupBy("id").agg(F.min("first_doc").alias("first_doc"), F.min("n").alias("n"), *least)
-    bands = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b + BANDS * r}") for r in range(ROWS))) for b in range(BANDS)))
-    return signed.select("id", "first_doc", "n", bands.alias("bands"))
+    return _banded(distinct, ["first_doc", "n"])
 
 
 def _buckets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

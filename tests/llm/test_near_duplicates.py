@@ -4,6 +4,7 @@ from functools import reduce
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessaline.llm import embeddings, lines, simhash
 from tessaline.operators.components import connected_components
@@ -93,6 +94,25 @@ def test_lines_match_brute_force(spark):
     assert lines.report(df.limit(0)).count() == 0
 
 
+def test_bands_find_similar_lines_of_any_script(spark):
+    g = random.Random(11)
+    words = lambda: " ".join(g.choice(VOCABULARY) for _ in range(g.choice([6, 10, 20])))
+    spaceless = lambda: "".join(g.choice("abcdefghijklmnop") for _ in range(60))
+    cjk = lambda: "".join(chr(0x4E00 + g.randrange(3000)) for _ in range(50))
+    for make in (words, spaceless, cjk):
+        pairs = []
+        while len(pairs) < 150:
+            a = make()
+            b = list(a)
+            for _ in range(g.choice([1, 1, 2])):
+                b[g.randrange(len(b))] = g.choice(a)
+            if a != (b := "".join(b)) and brute.similar(a, b):
+                pairs.append((len(pairs), a, b))
+        found = spark.createDataFrame([(k, side, line) for k, *both in pairs for side, line in enumerate(both)], "doc_id long, side int, line string")
+        bands = {(r.doc_id, r.side): set(r.bands) for r in found.join(lines._signed(found).select("id", "bands"), F.xxhash64("line") == F.col("id")).collect()}
+        assert sum(bool(bands[k, 0] & bands[k, 1]) for k, _, _ in pairs) >= 0.98 * len(pairs), make
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_embeddings_match_brute_force(spark, block):
     g = np.random.default_rng(4)
