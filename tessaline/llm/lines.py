@@ -20,8 +20,12 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: A pair right at SIMILARITY agrees in some band with probability 0.998.
 BANDS, ROWS = 12, 4
-#: Members of a bucket that are all paired; in larger buckets each is paired with the first and the last.
+#: Members of a bucket that are all paired; larger buckets are cut by SUB_BANDS of SUB_ROWS further rows (0.99 at SIMILARITY).
 ALL_PAIRS = 16
+SUB_BANDS, SUB_ROWS = 16, 6
+#: Times that buckets are cut; what is large even then is paired in blocks of BLOCK members.
+LEVELS = 3
+BLOCK = 64
 #: Rows of one long that may be broadcast.
 IDS = 1_000_000
 
@@ -75,19 +79,37 @@ def _signed(found: DataFrame) -> DataFrame:
     return _banded(distinct, ["first_doc", "n"])
 
 
-def _buckets(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shared buckets (band, n, lo, hi) and the members (band, n, lo, hi, id) of those with more than two."""
-    keys = lines.select("id", F.explode("bands").alias("band"))
-    shared = storage.save(keys.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1"), "buckets")
-    return shared, storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2")), "band"), "members")
+def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Shared buckets (band, n, lo, hi) of keys (band, id, open) and the members (band, n, lo, id, open) of those with more than two.
+
+    A bucket without an open member is left out: its members are connected already.
+    """
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("open").alias("any"))
+    shared = storage.save(shared.where("n > 1").where("any").drop("any"), "buckets")
+    return shared, storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2").drop("hi")), "band"), "members")
+
+
+def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """id, line of these ids; the texts come from a pass over found (line)."""
+    ids = storage.save(ids.distinct(), "ids")
+    texts = found.select(F.xxhash64("line").alias("id"), "line").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
+    return storage.save(texts.groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+
+
+def _in_blocks(marked: DataFrame, block: int) -> DataFrame:
+    """The pairs (a, b) of marked (band, n, id, open) in a bucket that have an open member; pairs of blocks are the unit of work."""
+    dealt = marked.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+    met = dealt.select("band", "id", "open", "block", F.explode(units).alias("u")).groupBy("band", "u").agg(F.collect_list(F.struct("id", "open", "block")).alias("m"))
+    asked = lambda a: F.filter("m", lambda b: (b["id"] > a["id"]) & (a["open"] | b["open"]) & ((F.col("u.i") == F.col("u.j")) | (a["block"] != b["block"])))
+    pairs = F.flatten(F.transform("m", lambda a: F.transform(asked(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
+    return met.where(F.exists("m", lambda x: x["open"])).select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose lines are that similar; their texts come from a pass over found (line)."""
     pairs = storage.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    texts = found.select(F.xxhash64("line").alias("id"), "line").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
-    texts = storage.save(texts.groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), found)
     left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("a_line")).alias("x"), shingles(F.col("b_line")).alias("y"))
     # exploding keeps the test above the columns x and y: a filter would be pushed below and work them out again for each use
@@ -98,20 +120,28 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
     """Edges (a, b) that connect what the candidates among lines (id, bands) connect.
 
     First every member of a bucket is compared with the bucket's first. Two members that
-    are both similar to it are connected already, so only pairs with a member that isn't
-    are compared then: with all others in buckets of up to ALL_PAIRS, with the last in
-    larger ones. Rows are linear in the members of a bucket.
+    are both similar to it are connected already, so only pairs with an open member, one
+    that isn't, are compared then. In buckets of up to ALL_PAIRS they all are. Larger ones
+    that have open members are cut into smaller ones by bands of further rows, whose
+    members are compared in the same way.
     """
-    shared, members = _buckets(lines)
-    first = _verified(shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.select("lo", "id")), found, similarity)
-    near = first.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.lit(True).alias("near"))
-    marked = members.join(near, ["lo", "id"], "left").select("band", "n", "hi", "id", (F.coalesce("near", F.lit(False)) | (F.col("id") == F.col("lo"))).alias("near"))
-    marked = storage.save(marked, "marked")
-    ends = marked.where(F.col("n") > ALL_PAIRS).where("NOT near").select(F.col("id").alias("a"), F.col("hi").alias("b"))
-    few = marked.where(F.col("n") <= ALL_PAIRS).groupBy("band").agg(F.collect_list(F.struct("id", "near")).alias("m")).where(F.exists("m", lambda x: ~x["near"]))
-    pairs = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: (b["id"] > a["id"]) & ~(a["near"] & b["near"])), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
-    every = few.select(F.explode(pairs).alias("p")).select("p.*")
-    return first.union(_verified(ends.union(every), found, similarity))
+    keys, edges = lines.select("id", F.explode("bands").alias("band"), F.lit(True).alias("open")), None
+    for level in range(LEVELS + 1):
+        shared, members = _buckets(keys)
+        first = _verified(shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.select("lo", "id")), found, similarity)
+        near = first.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.lit(True).alias("near"))
+        marked = members.join(near, ["lo", "id"], "left").select("band", "n", "id", (F.col("near").isNull() & (F.col("id") != F.col("lo"))).alias("open"))
+        marked = storage.save(marked, "marked")
+        large = F.col("n") > (ALL_PAIRS if level < LEVELS else 1 << 62)
+        every = _verified(_in_blocks(marked.where(~large), BLOCK), found, similarity)
+        edges = first.union(every) if edges is None else edges.union(first).union(every)
+        unsettled = storage.save(marked.where(large).groupBy("band").agg(F.max("open").alias("any")).where("any").select("band"), "unsettled")
+        if not unsettled.limit(1).count():
+            break
+        rest = storage.save(marked.where(large).join(storage.broadcast_if_small(unsettled), "band", "left_semi").select("band", "id", "open"), "rest")
+        cut = storage.save(_banded(_texts(rest.select("id"), found), [], 100 + level, SUB_BANDS, SUB_ROWS), "cut")
+        keys = rest.join(cut, "id").select("id", "open", F.col("band").alias("outer"), F.explode("bands").alias("inner")).select("id", F.xxhash64("outer", "inner").alias("band"), "open")
+    return edges
 
 
 def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

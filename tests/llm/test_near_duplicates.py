@@ -113,6 +113,28 @@ def test_bands_find_similar_lines_of_any_script(spark):
         assert sum(bool(bands[k, 0] & bands[k, 1]) for k, _, _ in pairs) >= 0.98 * len(pairs), make
 
 
+@pytest.mark.parametrize("levels", [3, 1, 0])
+def test_large_buckets_link_members_far_from_both_ends(spark, monkeypatch, levels):
+    monkeypatch.setattr(lines, "LEVELS", levels)
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    g = random.Random(12)
+    letters = lambda n: "".join(g.choice("abcdefghijklmnop") for _ in range(n))
+    opening = letters(60)
+    pool = []
+    for _ in range(30):
+        variant = opening + letters(40)
+        pool += [variant, variant[:-1] + "#"]
+    found = spark.createDataFrame([(i, line) for i, line in enumerate(pool)], "doc_id long, line string")
+    ids = [r.id for r in found.orderBy("doc_id").select(F.xxhash64("line").alias("id")).collect()]
+    # all lines share the only bucket there is
+    single = found.select(F.xxhash64("line").alias("id"), F.array(F.lit(1).cast("long")).alias("bands"))
+    root = {r.node: r.component for r in connected_components(lines.similar(single, found)).collect()}
+    expected = brute.components(len(pool), lambda i, j: brute.similar(pool[i], pool[j]))
+    assert len(set(expected)) == 30
+    assert all(root.get(ids[i]) == root.get(ids[j]) is not None for i, j in enumerate(expected) if i != j)
+    assert len({root.get(i) for i in ids}) == 30
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_embeddings_match_brute_force(spark, block):
     g = np.random.default_rng(4)
