@@ -134,6 +134,14 @@ def links(prints: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Data
     return edges.distinct()
 
 
+def _named(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """fp, least (doc_id), root of the distinct fingerprints of prints (doc_id, fp); a root is a component's."""
+    classes = storage.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    joined = connected_components(links(classes.select("fp"), radius, bucket))
+    named = classes.join(storage.broadcast_if_small(joined), classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    return storage.save(named, "named")
+
+
 def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links lead to).
 
@@ -144,24 +152,22 @@ def cluster(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     columns are not read; an empty table gives no rows.
     """
     prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text), F.lit(size)).alias("fp")), "simhash")
-    classes = storage.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    joined = connected_components(links(classes.select("fp"), radius, bucket))
-    named = classes.join(storage.broadcast_if_small(joined), classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = storage.save(named, "named")
+    named = _named(prints, radius, bucket)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = storage.save(named.join(names, "root").select("fp", "component_id"), "names")
     return prints.join(storage.broadcast_if_small(named), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose id names their component, with the columns they had.
+    """One row of docs for each component, with the columns it had.
 
-    Of rows that repeat the id of a component one stays, the one whose columns sort first.
-    A component of null ids alone keeps one row.
+    It is the row with the smallest id, null last, and of those the one whose columns hash
+    lowest. Rows of one id, null or not, that are in components of their own all stay.
     """
-    found = cluster(docs, doc_id, text, size, radius)
-    (key,) = storage.fresh(docs, "_key")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(keep, docs[doc_id].eqNullSafe(keep[key]), "left_semi")
-    rest = [c for c in docs.columns if c != doc_id]
-    return kept.groupBy(doc_id).agg(F.min(F.struct(*rest)).alias("_row")).select(*(F.col(f"_row.`{c}`") if c != doc_id else F.col(c) for c in docs.columns))
+    row, value = storage.fresh(docs, "_row", "_value")
+    hashed = F.xxhash64(*docs.columns)
+    prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("row"), _fingerprints(F.col(text), F.lit(size)).alias("fp")), "simhash")
+    roots = prints.join(storage.broadcast_if_small(_named(prints, radius, BUCKET).select("fp", "root")), "fp")
+    keep = roots.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
+    kept = docs.withColumn(row, hashed).join(keep, row, "left_semi")
+    return kept.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(value)).select(*(F.col(f"{value}.`{c}`") for c in docs.columns))

@@ -63,6 +63,12 @@ def test_simhash_of_null_ids_and_nothing(spark):
     assert simhash.keep_one(docs).count() == 2
 
 
+def test_simhash_keeps_a_row_of_each_component(spark):
+    docs = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (4, "a b c"), (None, "q r s t u v"), (9, "k l m n"), (9, "w x y z")], "doc_id long, text string")
+    kept = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == [("4", "a b c"), ("9", "k l m n"), ("9", "w x y z"), ("None", "q r s t u v")]
+
+
 def test_lines_match_brute_force(spark):
     base = [prose(rng.choice([3, 12, 30, 60])) for _ in range(80)]
     kinds = [" ".join(b) for b in base] + [" ".join(changed(b, rng.choice([1, 1, 2, 4]))) for b in base for _ in range(4)]
