@@ -80,13 +80,17 @@ def _signed(found: DataFrame) -> DataFrame:
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Shared buckets (band, n, lo, hi) of keys (band, id, open) and the members (band, n, lo, id, open) of those with more than two.
+    """Pairs (a, b) of a bucket's first and another component's member, and the members (band, n, id) of buckets with more than two.
 
-    A bucket without an open member is left out: its members are connected already.
+    keys has band, id and component; a bucket of one component is left out: its members
+    are connected already.
     """
-    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.max("open").alias("any"))
-    shared = storage.save(shared.where("n > 1").where("any").drop("any"), "buckets")
-    return shared, storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2").drop("hi")), "band"), "members")
+    first = F.min(F.struct("id", "component")).alias("lo")
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), first, F.max("id").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"))
+    shared = storage.save(shared.where("n > 1 AND c <> d").select("band", "n", F.col("lo.id").alias("lo"), F.col("lo.component").alias("lo_component"), "hi"), "buckets")
+    members = storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2").drop("hi")), "band"), "members")
+    pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    return pairs.union(members.where("component <> lo_component").select("lo", "id")), members.select("band", "n", "id")
 
 
 def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
@@ -97,13 +101,13 @@ def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _in_blocks(marked: DataFrame, block: int) -> DataFrame:
-    """The pairs (a, b) of marked (band, n, id, open) in a bucket that have an open member; pairs of blocks are the unit of work."""
+    """The pairs (a, b) of marked (band, n, id, component) in a bucket that are of two components; pairs of blocks are the unit of work."""
     dealt = marked.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    met = dealt.select("band", "id", "open", "block", F.explode(units).alias("u")).groupBy("band", "u").agg(F.collect_list(F.struct("id", "open", "block")).alias("m"))
-    asked = lambda a: F.filter("m", lambda b: (b["id"] > a["id"]) & (a["open"] | b["open"]) & ((F.col("u.i") == F.col("u.j")) | (a["block"] != b["block"])))
+    met = dealt.select("band", "id", "component", "block", F.explode(units).alias("u")).groupBy("band", "u").agg(F.collect_list(F.struct("id", "component", "block")).alias("m"))
+    asked = lambda a: F.filter("m", lambda b: (b["id"] > a["id"]) & (a["component"] != b["component"]) & ((F.col("u.i") == F.col("u.j")) | (a["block"] != b["block"])))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(asked(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
-    return met.where(F.exists("m", lambda x: x["open"])).select(F.explode(pairs).alias("p")).select("p.*")
+    return met.select(F.explode(pairs).alias("p")).select("p.*")
 
 
 def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
@@ -119,28 +123,28 @@ def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFram
 def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Edges (a, b) that connect what the candidates among lines (id, bands) connect.
 
-    First every member of a bucket is compared with the bucket's first. Two members that
-    are both similar to it are connected already, so only pairs with an open member, one
-    that isn't, are compared then. In buckets of up to ALL_PAIRS they all are. Larger ones
-    that have open members are cut into smaller ones by bands of further rows, whose
+    Every member of a bucket is compared with the bucket's first. Lines that are then in
+    one component, by whatever bucket, are connected already, so only pairs of two
+    components are compared after that. In buckets of up to ALL_PAIRS they all are. Larger
+    ones of several components are cut into smaller ones by bands of further rows, whose
     members are compared in the same way.
     """
-    keys, edges = lines.select("id", F.explode("bands").alias("band"), F.lit(True).alias("open")), None
+    keys, edges = lines.select("id", F.explode("bands").alias("band"), F.col("id").alias("component")), None
     for level in range(LEVELS + 1):
-        shared, members = _buckets(keys)
-        first = _verified(shared.select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(members.select("lo", "id")), found, similarity)
-        near = first.select(F.col("a").alias("lo"), F.col("b").alias("id"), F.lit(True).alias("near"))
-        marked = members.join(near, ["lo", "id"], "left").select("band", "n", "id", (F.col("near").isNull() & (F.col("id") != F.col("lo"))).alias("open"))
-        marked = storage.save(marked, "marked")
-        large = F.col("n") > (ALL_PAIRS if level < LEVELS else 1 << 62)
-        every = _verified(_in_blocks(marked.where(~large), BLOCK), found, similarity)
-        edges = first.union(every) if edges is None else edges.union(first).union(every)
-        unsettled = storage.save(marked.where(large).groupBy("band").agg(F.max("open").alias("any")).where("any").select("band"), "unsettled")
-        if not unsettled.limit(1).count():
+        pairs, members = _buckets(keys)
+        first = _verified(pairs, found, similarity)
+        edges = first if edges is None else edges.union(first)
+        joined = connected_components(edges).withColumnRenamed("node", "id")
+        marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
+        unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
+        marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")
+        large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
+        edges = edges.union(_verified(_in_blocks(marked.where(~large), BLOCK), found, similarity))
+        rest = marked.where(large)
+        if not rest.limit(1).count():
             break
-        rest = storage.save(marked.where(large).join(storage.broadcast_if_small(unsettled), "band", "left_semi").select("band", "id", "open"), "rest")
         cut = storage.save(_banded(_texts(rest.select("id"), found), [], 100 + level, SUB_BANDS, SUB_ROWS), "cut")
-        keys = rest.join(cut, "id").select("id", "open", F.col("band").alias("outer"), F.explode("bands").alias("inner")).select("id", F.xxhash64("outer", "inner").alias("band"), "open")
+        keys = rest.join(cut, "id").select("id", "component", F.col("band").alias("outer"), F.explode("bands").alias("inner")).select("id", F.xxhash64("outer", "inner").alias("band"), "component")
     return edges
 
 
