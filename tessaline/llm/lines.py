@@ -1,8 +1,8 @@
 """Fuzzy line dedup: MinHash, banding, exact Jaccard, components, one line of each kept.
 
-A line's signature is taken over all its character shingles (SHINGLE each); lines that
-agree in a band are candidates, and a pair counts if the Jaccard similarity of the same
-shingles is SIMILARITY or more. Only column functions are used.
+A line's signature is taken over all its character shingles (SHINGLE code points each);
+lines that agree in a band are candidates, and a pair counts if the Jaccard similarity of
+the same shingles is SIMILARITY or more. Only column functions are used.
 """
 
 from __future__ import annotations
@@ -18,11 +18,15 @@ from tessaline.operators.components import connected_components
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: A pair right at SIMILARITY agrees in some band with probability 0.998.
-BANDS, ROWS = 12, 4
-#: Members of a bucket that are all paired; larger buckets are cut by SUB_BANDS of SUB_ROWS further rows (0.99 at SIMILARITY).
-ALL_PAIRS = 16
-SUB_BANDS, SUB_ROWS = 16, 6
+#: A signature is a square of GRID * GRID minima (GRID is prime); its rows and its lines of
+#: SLOPES slopes, wrapped, are the bands. Two bands share one minimum at most, so a pair
+#: right at SIMILARITY agrees in some band with probability 0.99, one at 0.9 with 0.9998.
+GRID, SLOPES = 5, 3
+#: Minima that a candidate pair must share before its texts are compared; a pair right at
+#: SIMILARITY shares fewer with probability 0.0015.
+AGREE = 14
+#: Members of a bucket that are all paired; larger buckets are cut by the bands of a further square.
+ALL_PAIRS = 128
 #: Times that buckets are cut; what is large even then is paired in blocks of BLOCK members.
 LEVELS = 3
 BLOCK = 64
@@ -36,14 +40,26 @@ def _masks(n: int, seed: int = 5) -> list[int]:
     return [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
 
 
-def _cut(line: Column, size: int = SHINGLE) -> Column:
-    """The character shingles of a line, repeats included; a shorter line is its own."""
-    return F.when(F.length(line) < size, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+def _bands() -> list[list[int]]:
+    """The places of a square's rows and lines."""
+    side = range(GRID)
+    return [[GRID * i + j for j in side] for i in side] + [[GRID * j + (i + slope * j) % GRID for j in side] for slope in range(SLOPES) for i in side]
+
+
+def _places(code_points: Column, size: int = SHINGLE) -> Column:
+    """Where a line's shingles begin, from 1: code_points has four bytes for each; a shorter line is its own shingle."""
+    return F.sequence(F.lit(1), F.greatest(F.floor(F.length(code_points) / 4).cast("int") - size + 1, F.lit(1)))
+
+
+def _hashed(code_points: Column, place: Column, size: int = SHINGLE) -> Column:
+    return F.xxhash64(F.substring(code_points, place * 4 - 3, F.lit(4 * size)))
 
 
 def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The distinct character shingles of a line; a shorter line is its own."""
-    return F.array_distinct(_cut(line, size))
+    """The hashes of the distinct character shingles of a line."""
+    # the outer transform binds the code points, which the inner one would work out anew for each place
+    cut = lambda b: F.array_distinct(F.transform(_places(b, size), lambda p: _hashed(b, p, size)))
+    return F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0))
 
 
 def alike(a: Column, b: Column, similarity: float) -> Column:
@@ -57,21 +73,29 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD))
 
 
-def _banded(texts: DataFrame, keep: list[str], seed: int = 5, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """id, keep, bands of texts (id, keep, line), a row per id.
+def _banded(texts: DataFrame, keep: list[str], seed: int = 5) -> DataFrame:
+    """id, keep, minima, bands of texts (id, keep, line), a row per id.
 
-    A row's minimum is that of the shingles' hashes, each hashed again with the row's
-    number, so rows are permutations of their own. Minima are taken by a plain aggregate
-    over exploded hashes, in the place where the lines of an id already are.
+    Shingles are cut out of four-byte code points, so a place is found at once. Each mask
+    gives a shingle's hash two new ones of 32 bits, so every minimum has a permutation of
+    its own. Minima are taken by a plain aggregate, in the place where an id's line is.
     """
-    cut = texts.select("id", *keep, F.explode(_cut(F.col("line"))).alias("shingle")).select("id", *keep, F.xxhash64("shingle").alias("h"))
-    least = [F.min(F.xxhash64(F.col("h").bitwiseXOR(F.lit(m)))).alias(f"m{k}") for k, m in enumerate(_masks(bands * rows, seed))]
-    signed = cut.groupBy("id").agg(*(F.min(k).alias(k) for k in keep), *least)
-    return signed.select("id", *keep, F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * rows + r}") for r in range(rows))) for b in range(bands))).alias("bands"))
+    rows = texts.select("id", *keep, F.encode("line", "UTF-32").alias("b"))
+    rows = rows.select("id", *keep, "b", F.explode(_places(F.col("b"))).alias("p")).select("id", *keep, _hashed(F.col("b"), F.col("p")).alias("h"))
+    mixed = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))) for m in _masks((GRID * GRID + 1) // 2, seed)]
+    halves = [half for m in mixed for half in (F.shiftrightunsigned(m, 32), m.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    signed = rows.groupBy("id", *keep).agg(*(F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: GRID * GRID])))
+    minima = F.array(*((F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(GRID * GRID)))
+    return _with_bands(signed.select("id", *keep, minima.alias("minima")))
+
+
+def _with_bands(signed: DataFrame) -> DataFrame:
+    """signed with the bands of its minima."""
+    return signed.withColumn("bands", F.array(*(F.xxhash64(F.lit(no), *(F.get("minima", F.lit(k)) for k in band)) for no, band in enumerate(_bands()))))
 
 
 def _signed(found: DataFrame) -> DataFrame:
-    """id, first_doc, n, bands of the distinct lines of found.
+    """id, first_doc, n, minima, bands of the distinct lines of found.
 
     No hash is shuffled, and the text of a line is shuffled once and stored nowhere.
     """
@@ -80,22 +104,22 @@ def _signed(found: DataFrame) -> DataFrame:
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of a bucket's first and another component's member, and the members (band, n, id) of buckets with more than two.
+    """Pairs (a, b) of a bucket's first and another member, and the members (band, n, id) of buckets with more than two.
 
-    keys has band, id and component; a bucket of one component is left out: its members
-    are connected already.
+    keys has band and id, and component where lines are connected already; then a bucket of
+    one component is left out, and the first is paired with members of others only.
     """
-    first = F.min(F.struct("id", "component")).alias("lo")
-    shared = keys.groupBy("band").agg(F.count("*").alias("n"), first, F.max("id").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"))
-    shared = storage.save(shared.where("n > 1 AND c <> d").select("band", "n", F.col("lo.id").alias("lo"), F.col("lo.component").alias("lo_component"), "hi"), "buckets")
-    members = storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2").drop("hi")), "band"), "members")
+    known = "component" in keys.columns
+    ends = [F.min("component").alias("c"), F.max("component").alias("d"), F.min_by("component", "id").alias("lo_component")] if known else []
+    shared = keys.groupBy("band").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *ends)
+    shared = storage.save(shared.where("n > 1 AND c <> d" if known else "n > 1"), "buckets")
+    members = storage.save(keys.join(storage.broadcast_if_small(shared.where("n > 2").drop("hi", "c", "d"), IDS), "band"), "members")
     pairs = shared.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    return pairs.union(members.where("component <> lo_component").select("lo", "id")), members.select("band", "n", "id")
+    return pairs.union(members.where("component <> lo_component" if known else "id <> lo").select("lo", "id")), members.select("band", "n", "id")
 
 
 def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
-    """id, line of these ids; the texts come from a pass over found (line)."""
-    ids = storage.save(ids.distinct(), "ids")
+    """id, line of the distinct ids; the texts come from a pass over found (line)."""
     texts = found.select(F.xxhash64("line").alias("id"), "line").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
     return storage.save(texts.groupBy("id").agg(F.any_value("line").alias("line")), "texts")
 
@@ -110,10 +134,21 @@ def _in_blocks(marked: DataFrame, block: int) -> DataFrame:
     return met.select(F.explode(pairs).alias("p")).select("p.*")
 
 
-def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines are that similar; their texts come from a pass over found (line)."""
-    pairs = storage.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("id")), found)
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return storage.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame | None) -> DataFrame:
+    """The pairs (a, b) that share AGREE minima, which are in marks (id, minima); all if there are none."""
+    if marks is None:
+        return pairs
+    left, right = (marks.select(F.col("id").alias(k), F.col("minima").alias(f"{k}_minima")) for k in "ab")
+    shared = F.size(F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda same: same))
+    return storage.save(pairs.join(left, "a").join(right, "b").where(shared >= AGREE).select("a", "b"), "plausible")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose lines, in texts (id, line), are that similar."""
     left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("a_line")).alias("x"), shingles(F.col("b_line")).alias("y"))
     # exploding keeps the test above the columns x and y: a filter would be pushed below and work them out again for each use
@@ -121,29 +156,36 @@ def _verified(pairs: DataFrame, found: DataFrame, similarity: float) -> DataFram
 
 
 def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Edges (a, b) that connect what the candidates among lines (id, bands) connect.
+    """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps minima) connect.
 
     Every member of a bucket is compared with the bucket's first. Lines that are then in
     one component, by whatever bucket, are connected already, so only pairs of two
     components are compared after that. In buckets of up to ALL_PAIRS they all are. Larger
-    ones of several components are cut into smaller ones by bands of further rows, whose
-    members are compared in the same way.
+    ones of several components are cut into smaller ones by bands of further minima, whose
+    members are compared in the same way. What is large after LEVELS cuts is paired whole,
+    in blocks. The texts of candidates are fetched once.
     """
-    keys, edges = lines.select("id", F.explode("bands").alias("band"), F.col("id").alias("component")), None
+    keys, edges, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
     for level in range(LEVELS + 1):
         pairs, members = _buckets(keys)
-        first = _verified(pairs, found, similarity)
+        pairs = _distinct(pairs)
+        if texts is None:
+            ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+            if "minima" in lines.columns:
+                marks = storage.save(lines.select("id", "minima").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
+            texts = _texts(ids, found)
+        first = _verified(_plausible(pairs, marks), texts, similarity)
         edges = first if edges is None else edges.union(first)
         joined = connected_components(edges).withColumnRenamed("node", "id")
         marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
         unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
         marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")
         large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
-        edges = edges.union(_verified(_in_blocks(marked.where(~large), BLOCK), found, similarity))
+        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks), texts, similarity))
         rest = marked.where(large)
         if not rest.limit(1).count():
             break
-        cut = storage.save(_banded(_texts(rest.select("id"), found), [], 100 + level, SUB_BANDS, SUB_ROWS), "cut")
+        cut = storage.save(_banded(texts.join(rest.select("id").distinct(), "id", "left_semi"), [], 100 + level), "cut")
         keys = rest.join(cut, "id").select("id", "component", F.col("band").alias("outer"), F.explode("bands").alias("inner")).select("id", F.xxhash64("outer", "inner").alias("band"), "component")
     return edges
 
@@ -157,12 +199,12 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     agree in id and text are one document, so each keeps what one would.
     """
     found = _occurrences(docs, doc_id, text)
-    lines = storage.save(_signed(found), "lines")
-    roots = connected_components(similar(lines, found, similarity)).withColumnRenamed("node", "id")
+    lines = storage.save(_signed(found).drop("bands"), "lines")
+    roots = connected_components(similar(_with_bands(lines), found, similarity)).withColumnRenamed("node", "id")
     acted = storage.save(lines.select("id", "first_doc", "n").join(storage.broadcast_if_small(roots), "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "first_doc", F.coalesce("component", "id").alias("root")), "acted")
     storage.drop(lines)
-    stays = acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays"))
-    acts = storage.save(acted.join(stays, "root").select("id", F.when(F.col("id") == F.col("stays"), F.struct(F.col("first_doc").alias("doc_id"))).alias("keep")), "acts")
+    stays = storage.save(acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays")), "stays")
+    acts = storage.save(acted.join(storage.broadcast_if_small(stays), "root").select("id", F.when(F.col("id") == F.col("stays"), F.struct(F.col("first_doc").alias("doc_id"))).alias("keep")), "acts")
     hits = found.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id")).join(storage.broadcast_if_small(acts, IDS), "id")
     first = F.col("line_no") == F.min("line_no").over(Window.partitionBy("doc_id", "text_hash", "id"))
     lost = hits.withColumn("first", first).where(~(F.col("first") & F.coalesce(F.struct("doc_id") == F.col("keep"), F.lit(False))))

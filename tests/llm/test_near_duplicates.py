@@ -13,11 +13,11 @@ rng = random.Random(3)
 VOCABULARY = ["".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randint(2, 9))) for _ in range(800)]
 
 
-def prose(n):
+def prose(n, rng=rng):
     return [rng.choice(VOCABULARY) for _ in range(n)]
 
 
-def changed(words, n):
+def changed(words, n, rng=rng):
     words = list(words)
     for _ in range(n):
         words[rng.randrange(len(words))] = rng.choice(VOCABULARY)
@@ -70,8 +70,9 @@ def test_simhash_keeps_a_row_of_each_component(spark):
 
 
 def test_lines_match_brute_force(spark):
-    base = [prose(rng.choice([3, 12, 30, 60])) for _ in range(80)]
-    kinds = [" ".join(b) for b in base] + [" ".join(changed(b, rng.choice([1, 1, 2, 4]))) for b in base for _ in range(4)]
+    rng = random.Random(21)
+    base = [prose(rng.choice([3, 12, 30, 60]), rng) for _ in range(80)]
+    kinds = [" ".join(b) for b in base] + [" ".join(changed(b, rng.choice([1, 1, 2, 4]), rng)) for b in base for _ in range(4)]
     kinds += ["x", "xy", "abcd", "abcde", "é\U0001f600" * 40, "é\U0001f600" * 41]
     pool = sorted(set(kinds))
     docs = [(i, "\n".join(rng.choice([*pool, "", "  "]) for _ in range(12)), "z") for i in range(120)]
@@ -119,10 +120,27 @@ def test_bands_find_similar_lines_of_any_script(spark):
         assert sum(bool(bands[k, 0] & bands[k, 1]) for k, _, _ in pairs) >= 0.98 * len(pairs), make
 
 
+@pytest.mark.parametrize("words", [6, 12, 30])
+@pytest.mark.parametrize("gap", [" ", ""])
+def test_lines_recall_by_length_and_script(spark, words, gap):
+    g = random.Random(31 + words)
+    pairs = []
+    while len(pairs) < 200:
+        a = prose(words, g)
+        b = gap.join(changed(a, 1, g)) if g.random() < 0.5 else gap.join(a)[:-2] + g.choice(VOCABULARY)
+        if (a := gap.join(a)) != b and brute.similar(a, b):
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, line) for i, p in enumerate(pairs) for k, line in enumerate(p)], "doc_id long, text string")
+    lost = {r.doc_id for r in lines.report(docs).where("n_dropped = 1").collect()}
+    assert lost <= {2 * i + 1 for i in range(len(pairs))}
+    assert len(lost) >= 0.95 * len(pairs)
+
+
 @pytest.mark.parametrize("levels", [3, 1, 0])
 def test_large_buckets_link_members_far_from_both_ends(spark, monkeypatch, levels):
     monkeypatch.setattr(lines, "LEVELS", levels)
     monkeypatch.setattr(lines, "BLOCK", 8)
+    monkeypatch.setattr(lines, "ALL_PAIRS", 16)
     g = random.Random(12)
     letters = lambda n: "".join(g.choice("abcdefghijklmnop") for _ in range(n))
     opening = letters(60)
