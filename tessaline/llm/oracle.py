@@ -66,7 +66,12 @@ _NORMAL = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 
 _LICENSES = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-l AS (SELECT r, 1 AS no, unnest(string_split(t, chr(10))) AS line FROM d UNION ALL SELECT r, 2, t FROM d WHERE contains(t, chr(10))),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+worded AS (SELECT *, i - row_number() OVER (PARTITION BY r ORDER BY i) AS run FROM lines WHERE {_NORMAL.format("line")} <> ''),
+runs AS (SELECT r, run, count(*) AS n, string_agg(line, ' ' ORDER BY i) AS line FROM worded GROUP BY r, run),
+l AS (
+  SELECT r, 1 AS no, line FROM lines UNION ALL SELECT r, 2, t FROM d WHERE contains(t, chr(10))
+  UNION ALL SELECT r, 3, line FROM runs WHERE n > 1 AND r IN (SELECT r FROM runs GROUP BY r HAVING count(*) > 1)),
 u AS (SELECT r, row_number() OVER () AS u, {_NORMAL.format("line")} AS unit FROM l),
 n AS (SELECT r, u, unit, len(string_split(unit, ' ')) - 1 AS n FROM u),
 names AS (SELECT template, {_NORMAL.format("text")} AS unit FROM (VALUES {_VALUES}) t(template, text)),
