@@ -3,8 +3,9 @@
 Counts of words and word pairs are quantised to a logarithmic scale; an entry of level q
 is put into the filter q times, each time with its level. Reading a count means probing
 level after level until a probe fails. The filter is cut into shards by hash, each built by
-one task from its own entries, then brought together and broadcast; it never has more than
-a stated number of bytes.
+one task from its own entries, with bits in proportion to them: no entry stays out. Shards
+are broadcast together up to PART_BYTES; a larger filter is broadcast part after part, with
+a pass over the texts for each, and what is read so far is kept as a byte for each token.
 """
 
 from __future__ import annotations
@@ -26,9 +27,8 @@ from tessaline import storage
 BASE = 1.5
 PROBES = 4
 BITS_PER_INSERT = 8
-#: The whole filter's bytes at most. Where more entries come in than fit, the least
-#: frequent ones of a shard stay out, as count cutoffs do in any n-gram model.
-FILTER_BYTES = 64 << 20
+#: Bytes of the filter that are broadcast at once (one shard at least).
+PART_BYTES = 64 << 20
 SHARD_BITS = 12
 #: The words whose exact counts are broadcast, the most frequent ones; others are joined.
 HEAD = 1 << 18
@@ -110,13 +110,9 @@ def _shard(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
 
 
-def build_shard(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.ndarray:
+def build_shard(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A shard's filter, with bits in proportion to what is put in."""
     levels = level(counts)
-    inserts = np.bincount(levels, np.ones(len(levels)) * levels)
-    fits = np.cumsum(inserts[::-1])[::-1] * BITS_PER_INSERT <= most_bytes * 8
-    cut = int(fits.argmax()) if fits.any() else len(inserts)
-    keys, levels = keys[levels >= cut], levels[levels >= cut]
     size = max(1, math.ceil(levels.sum() * BITS_PER_INSERT / 8))
     bits, n = np.zeros(8 * size, bool), np.uint64(8 * size)
     for q in range(1, int(levels.max(initial=0)) + 1):
@@ -126,28 +122,28 @@ def build_shard(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> np.nda
     return np.packbits(bits, bitorder="little")
 
 
-def _built(filter_bytes: int):
-    """Passes word counts on and adds a row for each shard's filter."""
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes word counts on and adds a row for each shard's filter; rows come in the order of shards."""
+    held, now = [], -1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            keys, counts = batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()
-            held.append((keys, counts))
-            single = (keys & _ONE) == 0
-            yield _rows(keys[single].view(np.int64), counts[single], None)
+    def close() -> Iterator[pa.RecordBatch]:
         if held:
             keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            yield _rows(np.array([now]), np.array([len(keys)]), [build_shard(keys, counts).tobytes()])
             held.clear()
-            order = np.argsort(_shard(keys), kind="stable")
-            keys, counts = keys[order], counts[order]
-            shards = _shard(keys)
-            starts = np.flatnonzero(np.diff(shards, prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                block = build_shard(keys[a:b], counts[a:b], filter_bytes >> SHARD_BITS)
-                yield _rows(shards[a : a + 1], np.zeros(1, np.int64), [block.tobytes()])
 
-    return run
+    for batch in batches:
+        keys, counts = batch.column("key").to_numpy().view(np.uint64), batch.column("c").to_numpy()
+        single = (keys & _ONE) == 0
+        yield _rows(keys[single].view(np.int64), counts[single], None)
+        shards = _shard(keys)
+        starts = np.flatnonzero(np.diff(shards, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+            if shards[a] != now:
+                yield from close()
+                now = int(shards[a])
+            held.append((keys[a:b], counts[a:b]))
+    yield from close()
 
 
 def _rows(keys: np.ndarray, counts: np.ndarray, blocks: list | None) -> pa.RecordBatch:
@@ -156,20 +152,16 @@ def _rows(keys: np.ndarray, counts: np.ndarray, blocks: list | None) -> pa.Recor
 
 
 @dataclass
-class Model:
-    """What scoring needs: the filter with its shards' first bytes and bits, and exact head counts."""
+class Part:
+    """A part of the filter: its bytes, and each shard's first byte and bits (0 for shards of other parts)."""
 
     filter: np.ndarray
     first: np.ndarray
     bits: np.ndarray
-    head_keys: np.ndarray
-    head_counts: np.ndarray
-    total: int
-    distinct: int
 
-    def read(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts by repeated probes, 0 if the first level is not there."""
-        out = np.zeros(len(keys), np.int64)
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels by repeated probes, 0 if the first is not there."""
+        out = np.zeros(len(keys), np.uint8)
         shard = _shard(keys)
         active = np.flatnonzero(self.bits[shard] > 0)
         q = 1
@@ -180,81 +172,145 @@ class Model:
                 active = active[(self.filter[self.first[where] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
             out[active] = q
             q += 1
-        return count_of(out)
+        return out
+
+
+@dataclass
+class Model:
+    """Where the filter's blocks are, its parts as lists of shards, and exact counts of the head's words."""
+
+    blocks: DataFrame
+    parts: list[list[int]]
+    head_keys: np.ndarray
+    head_counts: np.ndarray
+    total: int
+    distinct: int
+
+    def part(self, shards: list[int]) -> Part:
+        """The shards' blocks brought together: PART_BYTES at most, or one shard."""
+        found = self.blocks.where(F.col("shard").between(min(shards, default=0), max(shards, default=-1))).orderBy("shard").toArrow()
+        data = [np.frombuffer(b.as_buffer(), np.uint8) for b in found.column("block")]
+        sizes, at = np.array([len(b) for b in data], np.int64), found.column("shard").to_numpy()
+        first, bits = np.zeros(1 << SHARD_BITS, np.int64), np.zeros(1 << SHARD_BITS, np.uint64)
+        first[at], bits[at] = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)[: len(at)], sizes * 8
+        return Part(np.concatenate(data) if data else np.zeros(0, np.uint8), first, bits)
+
+
+@dataclass
+class Head:
+    """Exact counts of the most frequent words, and the sums that base scores take."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    total: int
+    distinct: int
 
     def exact(self, keys: np.ndarray) -> np.ndarray:
         """Counts of the head's words, -1 for others."""
-        if not len(self.head_keys):
+        if not len(self.keys):
             return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.head_keys, keys), len(self.head_keys) - 1)
-        return np.where(self.head_keys[at] == keys, self.head_counts[at], -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], -1)
+
+
+def _levels(batches: Iterator[pa.RecordBatch], part: Part) -> Iterator[tuple]:
+    """Batches with their token hashes and the levels, found so far, of each token and each pair."""
+    for batch, hashed, sizes in _texts(batches):
+        own, place = np.unique(hashed, return_inverse=True)
+        found = part.levels(own)[place], part.levels(pairs(hashed))
+        for known, column in zip(found, ("own", "pair"), strict=True):
+            if batch.column(column).null_count < len(batch):
+                known |= np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8)
+        yield batch, hashed, sizes, *found
+
+
+def _probed(part):
+    """Adds the levels that this part of the filter has to the columns own and pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, sizes, *found in _levels(batches, part.value):
+            ends = np.cumsum(sizes)
+            cut = [pa.array([x[a:b].tobytes() for a, b in zip(ends - sizes, ends, strict=True)], pa.binary()) for x in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_no", "doc_id", "held_out", "text")), *cut], names=["row_no", "doc_id", "held_out", "text", "own", "pair"])
+
+    return run
 
 
-def _scored(broadcast):
+def _scored(part, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = broadcast.value
-        below = model.total + ADDED * (model.distinct + 1)
-        for part, hashed, sizes in _texts(batches):
-            own, place = np.unique(hashed, return_inverse=True)
-            exact, read = model.exact(own), model.read(own)
-            alone = (read + ADDED) / below
-            before = np.concatenate(([np.searchsorted(own, _END)], place[:-1])) if len(place) else place
-            context = read[before]
-            both = np.minimum(model.read(pairs(hashed)), context)
-            score = np.log10((both + PRIOR * alone[place]) / (context + PRIOR))
-            counts = exact[place]
+        known_words = head.value
+        below = known_words.total + ADDED * (known_words.distinct + 1)
+        for batch, hashed, sizes, own, pair in _levels(batches, part.value):
+            words, place = np.unique(hashed, return_inverse=True)
+            counts = known_words.exact(words)[place]
+            read = count_of(own.astype(np.int64))
+            context = np.concatenate((read[-1:], read[:-1]))  # a text follows upon an end, and the last token is one
+            both = np.minimum(count_of(pair.astype(np.int64)), context)
+            score = np.log10((both + PRIOR * (read + ADDED) / below) / (context + PRIOR))
             known = counts >= 0
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
             base = np.where(known, np.log10((np.maximum(counts, 0) + ADDED) / below), 0.0)
             sums = [np.add.reduceat(x, starts) if len(starts) else x for x in (known.astype(np.int64), base, score)]
             rest = np.add.reduceat((~known).astype(np.int64), starts) if len(starts) else sizes
             tail = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(rest))).astype(np.int32), hashed[~known].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("row_no", "doc_id", "held_out")), pa.array(sizes), *map(pa.array, sums), tail], names=["row_no", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row_no", "doc_id", "held_out")), pa.array(sizes), *map(pa.array, sums), tail], names=["row_no", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "tail"])
 
     return run
 
 
+_PROBED = "row_no long, doc_id long, held_out boolean, text string, own binary, pair binary"
 _SCORED = "row_no long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, tail array<long>"
 
 
-def train(docs: DataFrame, filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, part_bytes: int = PART_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all texts of docs (text), and the exact counts (key, c) of all words.
 
-    Counts are added up per batch, dealt out by shard and summed there; the driver gets the
-    filter and the head, both bounded.
+    Counts are added up per batch and per task before they are dealt out, then sorted by
+    shard, so a task holds the entries of one shard at a time. The driver gets the size of
+    each shard and the head, both bounded.
     """
     counted = docs.select("text").mapInArrow(_counted, "key long, c long").withColumn("shard", F.shiftrightunsigned("key", 64 - SHARD_BITS))
-    summed = counted.repartition("shard").groupBy("shard", "key").agg(F.sum("c").alias("c")).select("key", "c")
-    built = storage.save(summed.mapInArrow(_built(filter_bytes), "key long, c long, block binary"), "counts")
+    summed = counted.groupBy("shard", "key").agg(F.sum("c").alias("c")).repartition("shard").sortWithinPartitions("shard").select("key", "c")
+    built = storage.save(summed.mapInArrow(_built, "key long, c long, block binary"), "counts")
     single = built.where("block is null").select("key", "c")
+    blocks = built.where("block is not null").select(F.col("key").alias("shard"), "block")
     total, distinct = single.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = single.orderBy(F.desc("c"), "key").limit(head).toArrow()
     keys, counts = top.column("key").to_numpy().view(np.uint64), top.column("c").to_numpy()
     order = np.argsort(keys)
-    blocks = built.where("block is not null").select("key", "block").toArrow()
-    shards, data = blocks.column("key").to_numpy(), [b.as_py() for b in blocks.column("block")]
-    sizes = np.array([len(b) for b in data], np.int64)
-    first, bits = np.zeros(1 << SHARD_BITS, np.int64), np.zeros(1 << SHARD_BITS, np.uint64)
-    first[shards], bits[shards] = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)[: len(shards)], sizes * 8
-    return Model(np.frombuffer(b"".join(data), np.uint8), first, bits, keys[order], counts[order], total, distinct), single
+    parts, room = [[]], part_bytes
+    for shard, size in blocks.select("shard", F.length("block")).orderBy("shard").collect():  # 1 << SHARD_BITS rows at most
+        if size > room and parts[-1]:
+            parts.append([])
+            room = part_bytes
+        parts[-1].append(shard)
+        room -= size
+    return Model(blocks, parts, keys[order], counts[order], total, distinct), single
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bytes: int = FILTER_BYTES, head: int = HEAD) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Trains on the rows that are not held out. score is the log10 probability of the text,
     token after token: a pair's count out of its first word's, with the word's own
-    probability as prior, all counts from the filter. base_score is that of single words by
-    exact counts; the most frequent ones are broadcast, others are joined to their counts.
+    probability as prior, all counts from the filter. Counts are quantised and read with a
+    few false probes, so over all next words the probabilities sum to about one, not to one.
+    base_score is that of single words by exact counts; the most frequent ones are
+    broadcast, others are joined to their counts.
 
     A null text is empty and has the end token alone. Repeated ids and rows are trained on
     and scored each. Other columns are not read; an empty table gives no rows. Words are
     told apart by 63 bits of a hash.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    model, single = train(rows.where("not held_out"), filter_bytes, head)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    scored = storage.save(rows.mapInArrow(_scored(shared), _SCORED), "scores")
+    model, single = train(rows.where("not held_out"), part_bytes, head)
+    context = docs.sparkSession.sparkContext
+    rows = rows.select("*", F.lit(None).cast("binary").alias("own"), F.lit(None).cast("binary").alias("pair"))
+    for shards in model.parts[:-1]:
+        before, rows = rows, storage.save(rows.mapInArrow(_probed(context.broadcast(model.part(shards))), _PROBED), "levels")
+        storage.drop(before)
+    part, exact = context.broadcast(model.part(model.parts[-1])), context.broadcast(Head(model.head_keys, model.head_counts, model.total, model.distinct))
+    scored = storage.save(rows.mapInArrow(_scored(part, exact), _SCORED), "scores")
     below = model.total + ADDED * (model.distinct + 1)
     count = F.coalesce("c", F.lit(0))
     tail = scored.select("row_no", F.explode("tail").alias("key")).groupBy("row_no", "key").agg(F.count("*").alias("n")).join(single, "key", "left")

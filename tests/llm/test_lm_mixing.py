@@ -39,23 +39,37 @@ def test_filter_reads_counts_back():
     keys, counts = np.unique(g.integers(0, 1 << 63, 20000).astype(np.uint64)), None
     counts = np.minimum(g.zipf(1.5, len(keys)), 10**9)
     shards = lm._shard(keys)
-    blocks = {s: lm.build_shard(keys[shards == s], counts[shards == s], 1 << 20) for s in np.unique(shards)}
+    blocks = {s: lm.build_shard(keys[shards == s], counts[shards == s]) for s in np.unique(shards)}
     sizes = np.zeros(1 << lm.SHARD_BITS, np.int64)
     sizes[list(blocks)] = [len(b) for b in blocks.values()]
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    model = lm.Model(np.concatenate(list(blocks.values())), first, (sizes * 8).astype(np.uint64), np.zeros(0), np.zeros(0), 0, 0)
-    read = model.read(keys)
+    part = lm.Part(np.concatenate(list(blocks.values())), first, (sizes * 8).astype(np.uint64))
+    read = lm.count_of(part.levels(keys).astype(int))
     assert (read >= lm.count_of(lm.level(counts)) - 1e-9).all()
     assert (read == lm.count_of(lm.level(counts))).mean() > 0.9
     unseen = g.integers(0, 1 << 63, 20000).astype(np.uint64) | np.uint64(1 << 63)
-    assert (model.read(np.setdiff1d(unseen, keys)) > 0).mean() < 0.06
+    assert (part.levels(np.setdiff1d(unseen, keys)) > 0).mean() < 0.06
     assert (np.abs(lm.count_of(lm.level(counts)) / counts - 1) <= 0.34).all()
 
 
-def test_small_filter_drops_the_rarest():
-    keys = (np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(lm.SHARD_BITS)
-    counts = np.where(np.arange(2000) < 50, 100, 1)
-    assert len(lm.build_shard(keys, counts, 700)) <= 700
+def test_scores_match_a_plain_model_and_any_number_of_parts(spark):
+    docs = [*documents(120), (9000, "w1 w2 w3 " * 60_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(str, lm.score(df).collect()))
+    assert whole == sorted(map(str, lm.score(df.repartition(3), part_bytes=2000).collect()))
+    words = [[*brute.WORDS.findall((t or "").translate(brute.LOWER)), None] for _, t in docs]
+    train = [ws for ws, (i, _) in zip(words, docs, strict=True) if zlib.crc32(("" if i is None else str(i)).encode()) % 10]
+    singles = Counter(w for ws in train for w in ws)
+    doubles = Counter(p for ws in train for p in zip([None, *ws], ws, strict=False))
+    below = sum(singles.values()) + 0.1 * (len(singles) + 1)
+    read = lambda c: float(lm.count_of(lm.level(np.array([c])))[0]) if c else 0.0
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.score(df).collect()}
+    for (i, _), ws in zip(docs, words, strict=True):
+        want = 0.0
+        for a, b in zip([None, *ws], ws, strict=False):
+            context = read(singles[a])
+            want += math.log10((min(read(doubles[a, b]), context) + 2 * (read(singles[b]) + 0.1) / below) / (context + 2))
+        assert abs(got[i, len(ws)] - want) <= 0.05 * abs(want) + 2, i
 
 
 def test_pairs_predict_held_out_text_better_than_words(spark):
