@@ -3,9 +3,10 @@
 Every document of a source should be taken target / source size times. The whole part is
 given; the fraction is rounded by the pivotal method: two documents pass mass to each
 other at random until one of them has none or a whole copy, so the sum never changes.
-Documents are paired in the order of their sizes, so words hardly change either. Blocks of
-a source are rounded apart, each leaves one fraction at most, and the fractions of up to
-64 blocks meet in the next level of a tree.
+Documents are paired in the order of their sizes, so words hardly change either. A block
+has documents of one source and of sizes close to each other; blocks are rounded apart,
+each leaves one fraction at most, and the fractions of up to 64 blocks meet in the next
+level of a tree.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ SHARE = 1.5
 MOST_COPIES = 2
 BLOCK = 4096
 FAN_IN = 64
+#: Size classes of a block for each doubling of the size.
+CLASSES = 4
+#: Decisions (two longs) that draw() may broadcast.
+DECISIONS = 1_000_000
 SEED = 11
 
 
@@ -76,12 +81,12 @@ def pivot(parts: np.ndarray, chances: np.ndarray) -> tuple[np.ndarray, int]:
     return out, at
 
 
-_SCHEMA = "row_no long, doc_id long, source string, size long, source_size long, target double, whole long, part double, chance double, block long, open boolean"
+_SCHEMA = "row_no long, doc_id long, key long, source string, size long, source_size long, target double, whole long, part double, chance double, block long, open boolean"
 
 
 def _round(last: bool):
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values(["size", "doc_id", "row_no"], kind="stable").reset_index(drop=True)
+        batch = batch.sort_values(["size", "key", "row_no"], kind="stable").reset_index(drop=True)
         parts, at = pivot(batch["part"].to_numpy(), batch["chance"].to_numpy())
         if last and at >= 0:
             parts[at], at = float(batch["chance"].iloc[at] * (1 << 20) % 1 < parts[at]), -1  # later digits of the same number
@@ -91,42 +96,66 @@ def _round(last: bool):
     return run
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
-    """doc_id, size (words), source_size, target, copies, taken (words) of each row of docs.
-
-    A null text has no words; a document without words is rounded like others and takes
-    none. A null source is a source. Repeated ids and rows are rounded each. Chances come
-    from the id, so reruns agree whatever the partitions; rows that agree in id, source and
-    size are alike. An empty table gives no rows. Other columns are not read.
-    """
-    sized = storage.save(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words(F.col(text))).cast("long").alias("size")), "sizes")
-    shares = storage.save(targets(sized, weights, share, most).withColumn("blocks", F.ceil(F.col("n") / block)), "targets")
-    rows = sized.withColumn("s", F.struct("source")).join(storage.broadcast_if_small(shares.withColumn("s", F.struct("source")).drop("source", "n")), "s")
+def _sized(rows: DataFrame, row_no: str, doc_id: str, text: str, source: str) -> DataFrame:
+    """row_no, doc_id, key (of the id and the text), source, size, class of rows."""
+    size = F.size(words(F.col(text))).cast("long")
+    narrow = rows.select(F.col(row_no).alias("row_no"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(doc_id).cast("long"), text).alias("key"), F.col(source).cast("string").alias("source"), size.alias("size"))
+    return storage.save(narrow, "sizes").withColumn("class", F.floor(CLASSES * F.log2(F.col("size") + 1)))
+
+
+def _decided(sized: DataFrame, weights: tuple[float, ...], share: float, most: float, seed: int, block: int) -> DataFrame:
+    """sized's rows with source_size, target and copies."""
+    one = lambda df: df.withColumn("s", F.struct("source")).drop("source")
+    by_class = sized.groupBy("source", "class").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    of_source = Window.partitionBy("source")
+    before = F.coalesce(F.sum("blocks").over(of_source.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_class = by_class.select("*", before.alias("offset"), F.sum("blocks").over(of_source).alias("all_blocks"))
+    shares = storage.save(one(by_class).join(one(targets(sized, weights, share, most).drop("n")), "s"), "targets")
+    rows = sized.withColumn("s", F.struct("source")).join(storage.broadcast_if_small(shares), ["s", "class"])
+    # rows that agree in all are alike; where they would overfill a block they are dealt out by their numbers
+    alike = storage.save(sized.groupBy("key", "source").agg(F.count("*").alias("alike")).where(F.col("alike") > block).select("key", F.struct("source").alias("s"), F.lit(True).alias("many")), "alike")
+    rows = rows.join(storage.broadcast_if_small(alike), ["s", "key"], "left")
+    dealt = F.xxhash64(F.lit(seed + 1), "key", F.when(F.col("many"), F.col("row_no")))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = rows.withColumn("whole", F.floor(copies)).withColumn("part", copies - F.floor(copies))
-    rows = rows.withColumn("chance", _chance(F.col("doc_id"), seed)).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("blocks"))).withColumn("open", F.lit(False))
+    rows = rows.withColumn("whole", F.floor(copies)).withColumn("part", copies - F.floor(copies)).withColumn("open", F.lit(False))
+    rows = rows.withColumn("chance", _chance(F.col("key"), seed)).withColumn("block", F.col("offset") + F.pmod(dealt, F.col("blocks")))
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
-    most_blocks = shares.agg(F.max("blocks")).first()[0] or 1
+    most_blocks = shares.agg(F.max("all_blocks")).first()[0] or 1
     level = storage.save(rows.select(*columns).groupBy("source", "block").applyInPandas(_round(most_blocks == 1), _SCHEMA), "rounded")
     done = level.where("not open")
     while most_blocks > 1:
         most_blocks = -(-most_blocks // FAN_IN)
-        left = level.where("open").withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("chance", _chance(F.col("doc_id"), seed + 2 + most_blocks))
+        left = level.where("open").withColumn("block", F.floor(F.col("block") / FAN_IN)).withColumn("chance", _chance(F.col("key"), seed + 2 + most_blocks))
         level = storage.save(left.groupBy("source", "block").applyInPandas(_round(most_blocks == 1), _SCHEMA), "rounded")
         done = done.union(level.where("not open"))
-    taken = F.col("whole") + F.round("part").cast("long")
-    return done.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))
+    return done.withColumn("copies", F.col("whole") + F.round("part").cast("long"))
+
+
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
+    """doc_id, size (words), source_size, target, copies, taken (words) of each row of docs.
+
+    A null text has no words; a document without words is rounded like others and takes
+    none. A null source is a source. Repeated ids and rows are rounded each. Chances come
+    from id and text, so reruns agree whatever the partitions; rows that agree in these are
+    alike, and only where they are more than a block holds do their row numbers spread them.
+    An empty table gives no rows. Other columns are not read.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    decided = _decided(_sized(rows, "row_no", "doc_id", "text", "source"), weights, share, most, seed, block)
+    return decided.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def draw(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """The mix itself: the rows of docs, each as often as mix() takes it, with their columns.
 
-    Rows that agree in id, source and size are matched to their decisions one by one.
+    Rows are numbered in a written copy of docs, so every row meets its own decision,
+    whatever it shares with others: nulls, repeated ids and repeated rows are no special
+    case. An empty table gives no rows. Texts are shuffled only where the decisions are too
+    many to be broadcast.
     """
-    (no, key, size, copies, origin) = storage.fresh(docs, "_no", "_key", "_size", "_copies", "_origin")
-    taken = mix(docs, doc_id, text, source, **options).select(F.col("doc_id").alias(key), F.col("source").alias(origin), F.col("size").alias(size), F.col("copies").alias(copies))
-    rows = docs.withColumn(key, F.col(doc_id).cast("long")).withColumn(origin, F.col(source).cast("string")).withColumn(size, F.size(words(F.col(text))).cast("long"))
-    left, right = (df.withColumn(no, F.row_number().over(Window.partitionBy(key, origin, size).orderBy(key))) for df in (rows, taken))
-    on = [left[c].eqNullSafe(right[c]) for c in (key, origin, size, no)]
-    drawn = left.join(right, on).where(F.col(copies) > 0)
-    return drawn.select(*(left[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(no)).drop(no)
+    no, copies, copy = storage.fresh(docs, "_no", "_copies", "_copy")
+    rows = storage.save(docs.withColumn(no, F.monotonically_increasing_id()), "numbered")
+    decided = _decided(_sized(rows, no, doc_id, text, source), weights, share, most, seed, block)
+    taken = storage.save(decided.where("copies > 0").select(F.col("row_no").alias(no), F.col("copies").alias(copies)), "taken")
+    drawn = rows.join(storage.broadcast_if_small(taken, DECISIONS), no)
+    return drawn.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)

@@ -5,6 +5,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessaline.llm import lm, mixing
 
@@ -114,7 +115,7 @@ def check_mix(rows, n):
 
 def test_mix_reaches_targets_and_reruns_agree(spark):
     docs = [(i, " ".join(["w"] * rng.choice([0, 1, 30, 31, 32, 200])), f"s{i % 7 if i % 3 else 0}" if i % 11 else None) for i in range(3000)]
-    docs += [(5000, None, "s1"), docs[4], docs[4], (None, "a b", "zz")]
+    docs += [(5000, None, "s1"), docs[4], docs[4], (None, "a b", "zz"), (6000, "long " * 30_000, "s3")]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     for block in (4096, 7):
         first = sorted(map(str, mixing.mix(df, block=block).collect()))
@@ -129,6 +130,18 @@ def test_mix_reaches_targets_and_reruns_agree(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_hot_null_ids_and_repeated_rows_are_dealt_out(spark):
+    docs = [(None, f"{i} b c", "s0") for i in range(3000)] + [(None, "x y z w", "s0")] * 3000 + [(i, "q r", None) for i in range(50)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"size": F.lit(1), "key": F.lit("k"), "copies": F.lit(None)})
+    rows = mixing.mix(df, block=100).collect()
+    check_mix(rows, len(docs))
+    drawn = mixing.draw(df, block=100)
+    assert drawn.columns == df.columns and drawn.count() == sum(r.copies for r in rows)
+    sized = mixing._sized(df.withColumn("_no", F.monotonically_increasing_id()), "_no", "doc_id", "text", "source")
+    groups = mixing._decided(sized, mixing.WEIGHTS, mixing.SHARE, mixing.MOST_COPIES, mixing.SEED, 100).groupBy("source", "block").count()
+    assert groups.agg(F.max("count")).first()[0] < 300
+
+
 def test_pivot_keeps_sums():
     g = np.random.default_rng(2)
     hits = np.zeros(9)
