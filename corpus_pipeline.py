@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessaline import storage
 from tessaline.llm import lines, mixing, packing, quality, simhash
-from tessaline.llm.queries import TOKENIZER
+from tessaline.llm.queries import RANKS, TOKENIZER
 from tessaline.sources.tables import table
 
 
@@ -28,7 +28,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.path(RANKS))
 
 
 STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("simhash_dedup", simhash_dedup), ("mix_sources", mix_sources), ("packing", pack)]

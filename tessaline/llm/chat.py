@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What opens and closes a turn of each role; any other role is named in its opening.
@@ -140,3 +140,19 @@ def format_log(events: DataFrame) -> DataFrame:
 def turns_as_events(turns: DataFrame) -> DataFrame:
     """The log of finished turns (conv_id, turn, role, text): a message each."""
     return turns.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("event"), F.lit(None).cast("long").alias("msg"), "role", "text")
+
+
+def turns_as_log(turns: DataFrame) -> DataFrame:
+    """A log of which format_log() makes the turns (conv_id, turn, role, text), as a chat client would write it.
+
+    An assistant's turn is begun, generated anew and streamed in two deltas; any other is
+    sent as a draft and edited. Turns are in the order of turn (null first), then role and
+    text, and each has a message of its own, repeated rows too.
+    """
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    text, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    event = lambda no, name, piece: F.struct(F.lit(no).alias("no"), F.lit(name).alias("event"), piece.alias("piece"))
+    streamed = F.array(event(0, "message", F.lit("")), event(1, "delta", F.reverse(text)), event(2, "regenerate", F.lit(None).cast("string")), event(3, "delta", F.substring(text, F.lit(1), half)), event(4, "delta", F.substr(text, half + 1)))
+    drafted = F.array(event(0, "message", F.reverse(text)), event(1, "edit", text))
+    rows = turns.select("conv_id", "role", place.alias("msg"), text.alias("text")).select("conv_id", "role", "msg", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(drafted)).alias("e"))
+    return rows.select("conv_id", (F.col("msg") * 8 + F.col("e.no")).alias("seq"), "e.event", "msg", "role", F.col("e.piece").alias("text"))

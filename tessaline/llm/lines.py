@@ -8,6 +8,7 @@ the same shingles is SIMILARITY or more. Only column functions are used.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -147,15 +148,15 @@ def _plausible(pairs: DataFrame, marks: DataFrame | None) -> DataFrame:
     return storage.save(pairs.join(left, "a").join(right, "b").where(shared >= AGREE).select("a", "b"), "plausible")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines, in texts (id, line), are that similar."""
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose lines, in texts (id, line), have shingles that similar."""
     left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("a_line")).alias("x"), shingles(F.col("b_line")).alias("y"))
     # exploding keeps the test above the columns x and y: a filter would be pushed below and work them out again for each use
     return storage.save(both.select(F.explode(F.when(alike(F.col("x"), F.col("y"), similarity), F.array(F.struct("a", "b")))).alias("p")).select("p.*"), "similar")
 
 
-def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingles: Callable[[Column], Column] = shingles) -> DataFrame:
     """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps minima) connect.
 
     Every member of a bucket is compared with the bucket's first. Lines that are then in
@@ -163,7 +164,8 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
     components are compared after that. In buckets of up to ALL_PAIRS they all are. Larger
     ones of several components are cut into smaller ones by bands of further minima, whose
     members are compared in the same way. What is large after LEVELS cuts is paired whole,
-    in blocks. The texts of candidates are fetched once.
+    in blocks. The texts of candidates are fetched once. ids are hashes of found's lines;
+    shingles gives the set of a line by which pairs are judged.
     """
     keys, edges, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
     for level in range(LEVELS + 1):
@@ -174,14 +176,14 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY)
             if "minima" in lines.columns:
                 marks = storage.save(lines.select("id", "minima").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
             texts = _texts(ids, found)
-        first = _verified(_plausible(pairs, marks), texts, similarity)
+        first = _verified(_plausible(pairs, marks), texts, similarity, shingles)
         edges = first if edges is None else edges.union(first)
         joined = connected_components(edges).withColumnRenamed("node", "id")
         marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
         unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
         marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")
         large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
-        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks), texts, similarity))
+        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks), texts, similarity, shingles))
         rest = marked.where(large)
         if not rest.limit(1).count():
             break

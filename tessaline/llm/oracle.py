@@ -49,15 +49,15 @@ y AS (SELECT r, kind_no, kind, hits[i] AS hit, vals[i] AS v,
 z AS (
   SELECT r, kind_no, kind, CAST(start AS BIGINT) AS start, CAST(start + length(hit) AS BIGINT) AS stop, v FROM y
   WHERE kind = 'assign' AND length(v) >= 12 OR kind = 'access' AND length(v) >= 18 OR kind = 'hex' OR kind = 'live' AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')),
-owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n FROM z JOIN d USING (r) GROUP BY v),
+owners AS (SELECT v, count(DISTINCT coalesce(source, chr(1))) AS n, count(DISTINCT {{'s': source, 'l': lang}}) AS repos FROM z JOIN d USING (r) GROUP BY v),
 base AS (SELECT * FROM z WHERE kind <> 'live'),
 spans AS (
-  SELECT z.*, n > 3 AS copied FROM z JOIN owners USING (v)
-  WHERE kind <> 'live' OR n <= 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = z.r AND b.start < z.stop AND z.start < b.stop)),
+  SELECT z.*, repos, n > 3 OR repos > 6 AS copied FROM z JOIN owners USING (v)
+  WHERE kind <> 'live' OR n <= 3 AND repos <= 6 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = z.r AND b.start < z.stop AND z.start < b.stop)),
 s AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) FILTER (kind <> 'live') AS b, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no) AS spans,
-    count(DISTINCT v) FILTER (NOT copied) AS n_live, count(DISTINCT v) FILTER (copied) AS n_copied FROM spans GROUP BY r)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    count(DISTINCT v) FILTER (NOT copied) AS n_live, count(DISTINCT v) FILTER (copied) AS n_copied, max(repos) AS most_repos FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN s USING (r)
 """
 

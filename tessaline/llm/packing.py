@@ -133,9 +133,9 @@ class Packer:
                     demands[best] = (end - middle, 1, self._loss(doc, middle, end))
                 else:
                     break
-            if free.any() or room[0] < LEAST_CUT or not last and room[1] < 1:
+            if room[0] < LEAST_CUT:
                 yield taken
-            elif last:
+            elif last or free.any() or room[1] < 1 or room[2] < 1:  # another limit closes it
                 yield from _powers_of_two(taken)
             else:
                 self.open += taken
@@ -171,8 +171,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, doc_id: str
     A document's ids are those of its prompt, if a column is named, then of its text, then
     END; those of the prompt bear no loss. ids are little-endian unsigned 32-bit numbers.
     Each id lies in one piece. Sequences hold at most length tokens, max_segments pieces
-    and max_loss tokens that bear loss (all of them unless given). Cuts fall anywhere; at a task's end the last sequence is split into
-    powers of two.
+    and max_loss tokens that bear loss (all of them unless given). Cuts fall anywhere. The last
+    sequence of a task and one that another limit than length closes are split into powers
+    of two, which need no padding.
 
     A null text or prompt is empty, so its document is END alone. Repeated ids and rows are packed each.
     An empty table gives no rows. sequence_id is unique and holds the task's number; other

@@ -21,8 +21,9 @@ BASE = {
 }
 #: Long mixed strings that no base kind covers; they count as spans only if they look live.
 OPAQUE = r"[A-Za-z0-9_-]{24,}"
-#: A value held by more owners than this is a copied example.
+#: A value held by more owners or more repositories than this is a copied example.
 MAX_OWNERS = 3
+MAX_REPOS = 6
 
 
 def _matches(text: Column, kind: str, order: int, pattern: str, group: int) -> Column:
@@ -73,20 +74,23 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: list[str] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repo: list[str] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS) -> DataFrame:
     """One row per row of docs: counts of base kinds, digest of base spans, all spans, ownership.
 
     Base spans always stay. A long mixed string that overlaps none of them is added when at
-    most max_owners owners hold it. n_live and n_copied count the distinct values of each
-    verdict. A null text is empty; a null owner or repository counts as one of its own.
-    Repeated ids and rows each give a row. Other columns of docs are not read.
+    most max_owners owners and max_repos repositories hold it. n_live and n_copied count the
+    distinct values of each verdict, most_repos is the largest number of repositories that
+    hold one of the row's spans, 0 without spans. A null text is empty; a null owner or
+    repository counts as one of its own. Repeated ids and rows each give a row. Other
+    columns of docs are not read. An empty table gives no rows.
     """
     parts = F.to_json(F.array(*(F.col(c).cast("string") for c in repo)))
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(owner).cast("string"), F.lit("\x00")).alias("owner"), parts.alias("repo"), F.col(text).alias("text"))
     found = storage.save(candidates(narrow, "text").withColumn("digest", F.sha2("value", 256)).drop("value"), "secrets")
     owned = storage.save(ownership(found.where("digest is not null").select("digest", "repo", "owner")), "owners")
-    judged = found.join(storage.broadcast_if_small(owned.where(F.col("n_owners") > max_owners).select("digest", F.lit(True).alias("copied"))), "digest", "left")
-    span = F.struct("start", "kind_no", "end", "kind", F.coalesce("copied", F.lit(False)).alias("copied"), "digest")
+    copied = (F.col("n_owners") > max_owners) | (F.col("n_repos") > max_repos)
+    judged = found.join(storage.broadcast_if_small(owned.select("digest", "n_repos", copied.alias("copied"))), "digest", "left")
+    span = F.struct("start", "kind_no", "end", "kind", F.coalesce("copied", F.lit(False)).alias("copied"), "digest", "n_repos")
     rows = judged.groupBy("row_no", "doc_id").agg(F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), span))).alias("all"))
     rows = rows.withColumn("base", F.filter("all", lambda s: s["kind"] != "live"))
     free = F.filter("all", lambda s: (s["kind"] == "live") & ~s["copied"] & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -100,4 +104,5 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str
         _joined(F.col("spans")).alias("spans"),
         values(False).alias("n_live"),
         values(True).alias("n_copied"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repos"])), F.lit(0)).cast("long").alias("most_repos"),
     )

@@ -55,6 +55,11 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashed) > len(hashed))
 
 
+def word_shingles(text, size=5):
+    words = WORDS.findall((text or "").translate(LOWER))
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
+
+
 def components(n, linked):
     """The smallest number that each of 0..n-1 reaches."""
     root = list(range(n))

@@ -1,12 +1,14 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from tessaline.llm import chat, packing
+from tessaline.llm import chat, packing, queries
 from tessaline.llm.chat import CONTROL
 
 LOG = "conv_id long, seq long, event string, msg long, role string, text string, formatted string"
@@ -75,6 +77,49 @@ def test_every_id_in_one_piece(spark):
     assert zlib.crc32(b"") == 0
 
 
+@pytest.mark.parametrize("sizes", [[4], [1, 9], [2] * 9 + [400]])
+def test_short_documents_need_hardly_any_padding(spark, sizes):
+    texts = ["the " * (sizes[i % len(sizes)] - 1) + "the" for i in range(4000)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {t: np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes() for t in set(texts)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")).collect()
+    assert check_pieces(rows, {i: ids[t] for i, t in enumerate(texts)}, 2048) <= 0.01 * sum(len(ids[t]) // 4 for t in texts)
+
+
+def test_packing_query_gives_the_checks_of_its_pieces(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "word " * 5000)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op8_packing(spark, str(tmp_path)).collect()
+    pieces = {(r.doc_id, r.start): r for r in packing.pack(docs.coalesce(1), public_tokenizers.path("byte_bpe_50k.json")).collect()}
+    whole = {d: b"".join(bytes(p.ids) for k, p in sorted(pieces.items()) if k[0] == d) for d in (1, 2, 3)}
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(whole[r.doc_id][4 * r.start : 4 * (r.start + r.length)])
+        assert r.doc_tokens == len(whole[r.doc_id]) // 4
+
+
+def test_chat_query_against_plain_digests(spark, tmp_path):
+    rng = random.Random(5)
+    texts = [None, "", "\\", "</s> <s>", "[/INST]<<SYS>>", "é\U0001f600 x", "line\n\nline", "long " * 20_000]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "tool"]), rng.choice(texts)) for c in range(30) for t in range(rng.randint(1, 6))]
+    rows += [(90, 0, "user", "same"), (90, 0, "user", "same"), (91, None, "assistant", "no turn")]
+    spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, event string, msg int").write.parquet(f"{tmp_path}/conversations.parquet")
+    said = "</s>[INST] ok [/INST]"
+    rows += [(-1, 0, "user", said), (-1, 1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op5_chat_format(spark, str(tmp_path)).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1])):
+        by[c].append((role, text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        learned = "".join(text for role, text in turns if role == "assistant")
+        r = got[c]
+        assert (r.n_turns, r.loss_chars) == (len(turns), len(learned))
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
+        assert r.formatted_chars == len(chat.render(turns)[0])
+
+
 def test_limits_hold_together(spark):
     docs = spark.createDataFrame([(i, "q " * (i % 7), "a b c " * (1 + i % 50)) for i in range(300)], "doc_id long, prompt string, text string")
     rows = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), prompt="prompt", length=256, max_segments=4, max_loss=128).collect()

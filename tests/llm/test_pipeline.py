@@ -40,7 +40,9 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 
     prints = {r.doc_id: brute.fingerprint(r.text) for r in lined}
     ids = sorted(prints)
-    classes = brute.components(len(ids), lambda i, j: (prints[ids[i]] ^ prints[ids[j]]).bit_count() <= 3)
+    grams = {r.doc_id: brute.word_shingles(r.text) for r in lined}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6 and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])
+    classes = brute.components(len(ids), lambda i, j: near(ids[i], ids[j]))
     assert sorted(r.doc_id for r in unique) == [ids[i] for i in sorted(set(classes))]
 
     size = {r.doc_id: len(brute.WORDS.findall(r.text)) for r in unique}
