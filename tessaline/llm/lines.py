@@ -19,16 +19,18 @@ from tessaline.operators.components import connected_components
 
 SIMILARITY = 0.8
 SHINGLE = 5
-#: A signature is a square of GRID * GRID minima (GRID is prime); its rows and its lines of
-#: SLOPES slopes, wrapped, are the bands. Two bands share one minimum at most, so a pair
-#: right at SIMILARITY agrees in some band with probability 0.99, one at 0.9 with 0.9998.
+#: A signature is a square of GRID * GRID minima; its rows and its lines of SLOPES slopes,
+#: wrapped, are the bands. Two bands hardly share minima, so a pair right at SIMILARITY
+#: agrees in some band with probability 0.99, one at 0.9 with 0.9998.
 GRID, SLOPES = 5, 3
 #: Minima that a candidate pair must share before its texts are compared; a pair right at
 #: SIMILARITY shares fewer with probability 0.0015.
 AGREE = 14
-#: Members of a bucket that are all paired; larger buckets are cut by the bands of a further square.
+#: Members of a bucket that are all paired. Lines of larger ones are banded anew by further
+#: squares, each wider by WIDER, so pairs that are less similar part (0.997, 0.98 and 0.92 at SIMILARITY).
 ALL_PAIRS = 128
-#: Times that buckets are cut; what is large even then is paired in blocks of BLOCK members.
+WIDER = 3
+#: Times that lines are banded anew; what is large even then is paired in blocks of BLOCK members.
 LEVELS = 3
 BLOCK = 64
 #: Rows of one long that may be broadcast.
@@ -41,10 +43,10 @@ def _masks(n: int, seed: int = 5) -> list[int]:
     return [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
 
 
-def _bands() -> list[list[int]]:
+def _bands(grid: int) -> list[list[int]]:
     """The places of a square's rows and lines."""
-    side = range(GRID)
-    return [[GRID * i + j for j in side] for i in side] + [[GRID * j + (i + slope * j) % GRID for j in side] for slope in range(SLOPES) for i in side]
+    side = range(grid)
+    return [[grid * i + j for j in side] for i in side] + [[grid * j + (i + slope * j) % grid for j in side] for slope in range(SLOPES) for i in side]
 
 
 def _places(code_points: Column, size: int = SHINGLE) -> Column:
@@ -74,34 +76,33 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD))
 
 
-def _banded(texts: DataFrame, keep: list[str], seed: int = 5) -> DataFrame:
-    """id, keep, minima, bands of texts (id, keep, line), a row per id.
+def _banded(texts: DataFrame, also: list[Column], seed: int = 5, grid: int = GRID) -> DataFrame:
+    """id, also, minima, bands of texts (id, line, perhaps doc_id), a row per id.
 
-    Shingles are cut out of four-byte code points, so a place is found at once. Each mask
-    gives a shingle's hash two new ones of 32 bits, so every minimum has a permutation of
-    its own. Minima are taken by a plain aggregate, in the place where an id's line is.
+    also are further aggregates; p is the place of a shingle in a line, from 1. Shingles
+    are cut out of four-byte code points, so a place is found at once. Each mask gives a
+    shingle's hash two new ones of 32 bits, so every minimum has a permutation of its own.
+    Minima are taken by a plain aggregate before and after the shuffle; no text and no
+    shingle is shuffled, and a line that is everywhere is one row from each task.
     """
-    rows = texts.select("id", *keep, F.encode("line", "UTF-32").alias("b"))
-    rows = rows.select("id", *keep, "b", F.explode(_places(F.col("b"))).alias("p")).select("id", *keep, _hashed(F.col("b"), F.col("p")).alias("h"))
-    mixed = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))) for m in _masks((GRID * GRID + 1) // 2, seed)]
+    others = [c for c in texts.columns if c not in ("id", "line")]
+    rows = texts.select("id", *others, F.encode("line", "UTF-32").alias("b"))
+    rows = rows.select("id", *others, "b", F.explode(_places(F.col("b"))).alias("p")).select("id", *others, "p", _hashed(F.col("b"), F.col("p")).alias("h"))
+    mixed = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))) for m in _masks((grid * grid + 1) // 2, seed)]
     halves = [half for m in mixed for half in (F.shiftrightunsigned(m, 32), m.bitwiseAND(F.lit(0xFFFFFFFF)))]
-    signed = rows.groupBy("id", *keep).agg(*(F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: GRID * GRID])))
-    minima = F.array(*((F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(GRID * GRID)))
-    return _with_bands(signed.select("id", *keep, minima.alias("minima")))
+    signed = rows.groupBy("id").agg(*also, *(F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: grid * grid])))
+    minima = F.array(*((F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(grid * grid)))
+    return _with_bands(signed.withColumn("minima", minima).drop(*(f"m{k}" for k in range(grid * grid))), grid)
 
 
-def _with_bands(signed: DataFrame) -> DataFrame:
+def _with_bands(signed: DataFrame, grid: int = GRID) -> DataFrame:
     """signed with the bands of its minima."""
-    return signed.withColumn("bands", F.array(*(F.xxhash64(F.lit(no), *(F.get("minima", F.lit(k)) for k in band)) for no, band in enumerate(_bands()))))
+    return signed.withColumn("bands", F.array(*(F.xxhash64(F.lit(no), *(F.get("minima", F.lit(k)) for k in band)) for no, band in enumerate(_bands(grid)))))
 
 
 def _signed(found: DataFrame) -> DataFrame:
-    """id, first_doc, n, minima, bands of the distinct lines of found.
-
-    No hash is shuffled, and the text of a line is shuffled once and stored nowhere.
-    """
-    distinct = found.select(F.xxhash64("line").alias("id"), "doc_id", "line").groupBy("id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"), F.any_value("line").alias("line"))
-    return _banded(distinct, ["first_doc", "n"])
+    """id, first_doc, n, minima, bands of the distinct lines of found."""
+    return _banded(found.select(F.xxhash64("line").alias("id"), "line", "doc_id"), [F.min("doc_id").alias("first_doc"), F.count_if(F.col("p") == 1).alias("n")])
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -161,9 +162,9 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
 
     Every member of a bucket is compared with the bucket's first. Lines that are then in
     one component, by whatever bucket, are connected already, so only pairs of two
-    components are compared after that. In buckets of up to ALL_PAIRS they all are. Larger
-    ones of several components are cut into smaller ones by bands of further minima, whose
-    members are compared in the same way. What is large after LEVELS cuts is paired whole,
+    components are compared after that. In buckets of up to ALL_PAIRS they all are. Lines of
+    larger ones of several components are banded anew by more minima a band, and the new
+    buckets are treated in the same way. What is large after LEVELS times is paired whole,
     in blocks. The texts of candidates are fetched once. ids are hashes of found's lines;
     shingles gives the set of a line by which pairs are judged.
     """
@@ -187,8 +188,9 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
         rest = marked.where(large)
         if not rest.limit(1).count():
             break
-        cut = storage.save(_banded(texts.join(rest.select("id").distinct(), "id", "left_semi"), [], 100 + level), "cut")
-        keys = rest.join(cut, "id").select("id", "component", F.col("band").alias("outer"), F.explode("bands").alias("inner")).select("id", F.xxhash64("outer", "inner").alias("band"), "component")
+        named = storage.save(rest.select("id", "component").distinct(), "rest")
+        cut = storage.save(_banded(texts.join(named, "id", "left_semi"), [], 100 + level, GRID + WIDER * (level + 1)).select("id", "bands"), "cut")
+        keys = named.join(cut, "id").select("id", "component", F.explode("bands").alias("band"))
     return edges
 
 
