@@ -140,13 +140,17 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return storage.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def _plausible(pairs: DataFrame, marks: DataFrame | None) -> DataFrame:
-    """The pairs (a, b) that share AGREE minima, which are in marks (id, minima); all if there are none."""
+def _agree(a: Column, b: Column) -> Column:
+    """Whether two signatures share AGREE minima."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+
+
+def _plausible(pairs: DataFrame, marks: DataFrame | None, agree: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose marks (id, mark) agree; all if there are none."""
     if marks is None:
         return pairs
-    left, right = (marks.select(F.col("id").alias(k), F.col("minima").alias(f"{k}_minima")) for k in "ab")
-    shared = F.size(F.filter(F.zip_with("a_minima", "b_minima", lambda x, y: x == y), lambda same: same))
-    return storage.save(pairs.join(left, "a").join(right, "b").where(shared >= AGREE).select("a", "b"), "plausible")
+    left, right = (marks.select(F.col("id").alias(k), F.col("mark").alias(f"{k}_mark")) for k in "ab")
+    return storage.save(pairs.join(left, "a").join(right, "b").where(agree(F.col("a_mark"), F.col("b_mark"))).select("a", "b"), "plausible")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
@@ -157,8 +161,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: C
     return storage.save(both.select(F.explode(F.when(alike(F.col("x"), F.col("y"), similarity), F.array(F.struct("a", "b")))).alias("p")).select("p.*"), "similar")
 
 
-def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingles: Callable[[Column], Column] = shingles) -> DataFrame:
-    """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps minima) connect.
+def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingles: Callable[[Column], Column] = shingles, agree: Callable[[Column, Column], Column] = _agree) -> DataFrame:
+    """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps mark) connect.
 
     Every member of a bucket is compared with the bucket's first. Lines that are then in
     one component, by whatever bucket, are connected already, so only pairs of two
@@ -166,7 +170,8 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     larger ones of several components are banded anew by more minima a band, and the new
     buckets are treated in the same way. What is large after LEVELS times is paired whole,
     in blocks. The texts of candidates are fetched once. ids are hashes of found's lines;
-    shingles gives the set of a line by which pairs are judged.
+    shingles gives the set of a line by which pairs are judged; agree tells from two marks
+    whether that can be worth while.
     """
     keys, edges, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
     for level in range(LEVELS + 1):
@@ -174,17 +179,17 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
         pairs = _distinct(pairs)
         if texts is None:
             ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-            if "minima" in lines.columns:
-                marks = storage.save(lines.select("id", "minima").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
+            if "mark" in lines.columns:
+                marks = storage.save(lines.select("id", "mark").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
             texts = _texts(ids, found)
-        first = _verified(_plausible(pairs, marks), texts, similarity, shingles)
+        first = _verified(_plausible(pairs, marks, agree), texts, similarity, shingles)
         edges = first if edges is None else edges.union(first)
         joined = connected_components(edges).withColumnRenamed("node", "id")
         marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
         unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
         marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")
         large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
-        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks), texts, similarity, shingles))
+        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks, agree), texts, similarity, shingles))
         rest = marked.where(large)
         if not rest.limit(1).count():
             break
@@ -204,7 +209,7 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     """
     found = _occurrences(docs, doc_id, text)
     lines = storage.save(_signed(found).drop("bands"), "lines")
-    roots = connected_components(similar(_with_bands(lines), found, similarity)).withColumnRenamed("node", "id")
+    roots = connected_components(similar(_with_bands(lines).withColumnRenamed("minima", "mark"), found, similarity)).withColumnRenamed("node", "id")
     acted = storage.save(lines.select("id", "first_doc", "n").join(storage.broadcast_if_small(roots), "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "first_doc", F.coalesce("component", "id").alias("root")), "acted")
     storage.drop(lines)
     stays = storage.save(acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays")), "stays")

@@ -32,6 +32,8 @@ SEED = 42
 #: radius within which fingerprints are sure to meet. Measured over sf0.1 that holds for 0.58 of
 #: the pairs of similarity 0.8 to 0.85, 0.95 of those to 0.9 and 0.999 of those above.
 WORDS, SIMILARITY, KEEP_RADIUS = 5, 0.8, 6
+#: Texts that meet are compared up to so many differing bits; a pair of similarity 0.8 differs in some 7.
+FAR = 12
 #: Rows of one long that may be broadcast.
 IDS = 1_000_000
 #: Fingerprints of one bucket that are compared with each other; larger ones go by flipped bits.
@@ -177,7 +179,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     """One row of docs for each group of near copies, with the columns it had.
 
     Texts whose fingerprints agree under a covering mask are candidates, which all that
-    differ in radius bits or fewer do; they are near copies if the Jaccard similarity of their shingles of
+    differ in radius bits or fewer do and some of up to FAR; they are near copies if the Jaccard similarity of their shingles of
     WORDS words is similarity or more, and groups are what these links connect. Equal
     texts, null and empty ones being equal, are always of one group. The row that stays has
     the smallest id, null last, and of those the columns that hash lowest. Rows of one id,
@@ -188,7 +190,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("row"), F.xxhash64(body).alias("id"), _fingerprints(body, F.lit(SHINGLE)).alias("fp")), "simhash")
     distinct = storage.save(prints.groupBy("id").agg(F.min("fp").alias("fp")), "distinct")
     keys = F.array(*(F.xxhash64(F.lit(no), F.col("fp").bitwiseAND(F.lit(m))) for no, m in enumerate(masks(radius))))
-    edges = lines.similar(distinct.select("id", keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles)
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FAR
+    edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles, near)
     roots = storage.broadcast_if_small(connected_components(edges))
     rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "row", F.coalesce("component", "id").alias("root"))
     keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
