@@ -137,3 +137,39 @@ def number_literal(text: Column) -> Column:
 def round2(value: Column) -> Column:
     """Two places, halves away from zero."""
     return F.round(value, 2)
+
+
+def power(a: Column, exponent: Column) -> Column:
+    """a ^ exponent as a double, exact for whole results below 2 ^ 53; null if it isn't a finite number."""
+    value = F.pow(a.cast("double"), exponent.cast("double"))
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def negated(a: Column) -> Column:
+    """-a of a whole number; null where it overflows, and for null."""
+    return F.try_subtract(F.lit(0).cast("long"), a)
+
+
+def inverted(a: Column) -> Column:
+    """All bits of a whole number turned over; null for null. For booleans use ~."""
+    return F.bitwise_not(a)
+
+
+def number_text(value: Column) -> Column:
+    """A number as text: no decimal point for whole numbers below 1e15, else the shortest form; null for null."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, F.floor(value).cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def looks_like_utf16le(payload: Column) -> Column:
+    """Whether bytes begin with the mark of UTF-16LE, or most of their odd places are zero; false for fewer than two bytes."""
+    odd = F.regexp_extract_all(F.hex(payload), F.lit("..(..)"), F.lit(1))
+    zeros = F.size(F.filter(odd, lambda x: x == "00"))
+    marked = F.hex(F.substring(payload, F.lit(1), F.lit(2))) == "FFFE"
+    return F.coalesce((F.length(payload) >= 2) & (marked | (2 * zeros > F.size(odd))), F.lit(False))
+
+
+def decoded(payload: Column) -> Column:
+    """Bytes as text: UTF-16LE where they look so, without its mark, else UTF-8; null for null."""
+    wide = F.regexp_replace(F.decode(payload, "UTF-16LE"), "^\ufeff", "")
+    return F.when(looks_like_utf16le(payload), wide).otherwise(F.decode(payload, "UTF-8"))

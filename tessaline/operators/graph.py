@@ -204,3 +204,12 @@ def top_partners(pairs: DataFrame, src: str, dst: str, weight: str, n: int) -> D
     w = Window.partitionBy(src).orderBy(F.desc(weight), dst)
     ranked = pairs.where(F.col(src) != F.col(dst)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
     return ranked.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+
+
+def participation(cycles: DataFrame) -> DataFrame:
+    """node, cycles: in how many of the cycles (cycle, an array of nodes) each node is.
+
+    The counts are complete if cycles are; nodes in none give no row. A null cycle counts
+    for nothing; no cycles give no rows.
+    """
+    return cycles.select(F.explode("cycle").alias("node")).groupBy("node").agg(F.count("*").alias("cycles"))

@@ -108,3 +108,18 @@ def rotated(cycle: Column) -> Column:
     """A cycle of keys turned so that its smallest key comes first."""
     at = F.array_position(cycle, F.array_min(cycle)).cast("int")
     return F.concat(F.slice(cycle, at, F.size(cycle)), F.slice(cycle, F.lit(1), at - 1))
+
+
+def rank_of(column: str, order: list[str]) -> Column:
+    """The place of a value in a stated order, from 0; null and unknown values come after all."""
+    place = F.array_position(F.array(*(F.lit(x) for x in order)), F.col(column)) - 1
+    return F.when(place >= 0, place.cast("int")).otherwise(len(order))
+
+
+def total_and_first(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """The first rows of df in that order, with the total of its rows beside each.
+
+    The total is one aggregate, the first rows are kept by each task before they meet. An
+    empty df gives no rows.
+    """
+    return df.orderBy(*order).limit(limit).withColumn("total", df.agg(F.count("*")).scalar())

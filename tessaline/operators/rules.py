@@ -77,9 +77,9 @@ def unmatched(df: DataFrame, used: DataFrame, key: list[str]) -> DataFrame:
 
 
 def precision(reviews: DataFrame, group: list[str], truth: Column, claim: Column) -> DataFrame:
-    """true_positive, false_positive, precision (null if none were claimed) and n of each group."""
+    """true_positive, false_positive, precision (null if none were claimed), n and unreviewed (rows whose truth is null) of each group."""
     tp, fp = F.count_if(claim & truth), F.count_if(claim & ~truth)
-    return reviews.groupBy(*group).agg(tp.alias("true_positive"), fp.alias("false_positive"), F.count("*").alias("n")).withColumn("precision", F.try_divide("true_positive", F.col("true_positive") + F.col("false_positive")))
+    return reviews.groupBy(*group).agg(tp.alias("true_positive"), fp.alias("false_positive"), F.count("*").alias("n"), F.count_if(truth.isNull()).alias("unreviewed")).withColumn("precision", F.try_divide("true_positive", F.col("true_positive") + F.col("false_positive")))
 
 
 def consume(reviews: DataFrame, rows: DataFrame, key: list[str], review_id: str, row_id: str) -> DataFrame:
@@ -154,3 +154,12 @@ def match_expectations(expected: DataFrame, actual: DataFrame, location: list[st
         return pd.DataFrame([(*key, len(left), len(right), n)], columns=[*location, "n_expected", "n_actual", "n_matched"])
 
     return expected.groupBy(*location).cogroup(actual.groupBy(*location)).applyInPandas(match, f"{schema}, n_expected long, n_actual long, n_matched long")
+
+
+def in_order(found: DataFrame, file: list[str], line: str, column: str, code: str) -> DataFrame:
+    """found with place, the number of a diagnostic in its file by line, column and code.
+
+    Nulls come first. Diagnostics that agree in all of these are numbered in any order.
+    Files are sorted apart, so no task sorts all.
+    """
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*file).orderBy(line, column, code)).cast("long"))

@@ -162,13 +162,13 @@ SQL: dict[str, str] = {
     "a4_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, 2 - CASE WHEN grouping(l_returnflag) = 1 THEN 1 ELSE 0 END - CASE WHEN grouping(l_linestatus) = 1 THEN 1 ELSE 0 END AS level FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_returnflag, l_linestatus))",
     "a4_surface_pivot": "SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'view') AS n_view, count(*) FILTER (event_type = 'purchase') AS n_purchase FROM events GROUP BY 1",
     "a5_inventory": "WITH a AS (SELECT o_custkey AS key, count(*) AS actual FROM orders GROUP BY 1), d AS (SELECT c_custkey AS key, c_custkey % 20 AS declared FROM customer) SELECT key, actual, declared FROM a FULL JOIN d USING (key) WHERE actual IS DISTINCT FROM declared",
-    "a8_precision": """SELECT lang, tp AS true_positive, fp AS false_positive, n, tp / nullif(tp + fp, 0) AS precision FROM (
-        SELECT lang, count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality <> 1) AS fp, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)""",
+    "a8_precision": """SELECT lang, tp AS true_positive, fp AS false_positive, n, tp / nullif(tp + fp, 0) AS precision, unreviewed FROM (
+        SELECT lang, count(*) FILTER (quality IS NULL) AS unreviewed, count(*) FILTER (n_chars > 500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 500 AND quality <> 1) AS fp, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang)""",
     "a11_fans": """WITH e AS (SELECT DISTINCT o_custkey % 500 AS src, l_suppkey % 500 AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey % 500 <> l_suppkey % 500)
         SELECT node, CAST(sum(i) AS BIGINT) AS fan_in, CAST(sum(o) AS BIGINT) AS fan_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node""",
     "a12_module_rollup": "SELECT c_nationkey, CAST(sum(CAST(floor(c_acctbal) AS BIGINT)) AS BIGINT) AS sum_balance, max(CAST(floor(c_acctbal) AS BIGINT)) AS max_balance, count(*) FILTER (c_mktsegment = 'BUILDING') AS n_building FROM customer GROUP BY 1",
     "a13_counters": "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS bought, count(*) FILTER (event_type NOT IN ('view', 'purchase')) AS other, count(*) FILTER (value > 50) AS large FROM events GROUP BY 1",
-    "a15_evidence": "SELECT l_suppkey, l_returnflag, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS evidence FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1, 2",
+    "a15_evidence": "SELECT l_suppkey, l_returnflag, array_to_string(list_sort(list(DISTINCT l_partkey)), ',') AS evidence FROM lineitem GROUP BY 1, 2",
     "a17_stage_totals": """WITH s AS (SELECT event_type, event_id, CAST(floor(value) AS BIGINT) AS elapsed, CASE WHEN event_id % 1000 = 7 THEN 2 WHEN event_id % 50 = 3 THEN 1 ELSE 0 END AS rank FROM events)
         SELECT event_type, CAST(sum(elapsed) AS BIGINT) AS elapsed, ['ok', 'error', 'canceled'][max(rank) + 1] AS outcome, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS place FROM s GROUP BY event_type""",
     "a19_first_wins": "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
@@ -179,8 +179,8 @@ SQL: dict[str, str] = {
         SELECT site, s_suppkey, s_suppkey % 3 <> 0 OR s_nationkey = module AS seen FROM c LEFT JOIN supplier ON s_suppkey = name)
         SELECT site, count(*) FILTER (seen) AS n_candidates, min(s_suppkey) FILTER (seen) AS candidate,
           CASE WHEN count(*) FILTER (seen) = 1 THEN 'matched' WHEN count(*) FILTER (seen) > 1 THEN 'ambiguous' WHEN count(s_suppkey) > 0 THEN 'inaccessible' ELSE 'unresolved' END AS status FROM v GROUP BY site""",
-    "j9_followers": "SELECT p.p_partkey, a.p_name AS anchor_formula, CASE WHEN a.p_partkey IS NULL THEN 'failed' ELSE 'ok' END AS parse_status FROM part p LEFT JOIN part a ON a.p_partkey = p.p_partkey % 60 AND a.p_partkey <= 50",
-    "j10_expand": """SELECT p_partkey, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col FROM (SELECT p_partkey, p_size AS r0, p_size + p_partkey % 4 - 1 AS r1, p_partkey % 3 + 1 AS c1 FROM part WHERE p_partkey <= 200),
+    "j9_followers": "SELECT p.p_partkey, a.p_name AS anchor_formula, CASE WHEN a.p_partkey IS NULL THEN 'failed' ELSE 'ok' END AS parse_status FROM part p LEFT JOIN part a ON a.p_partkey = p.p_partkey % 60 AND a.p_partkey % 5 <> 0",
+    "j10_expand": """SELECT p_partkey, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col FROM (SELECT p_partkey, p_size AS r0, p_size + p_partkey % 4 - 1 AS r1, p_partkey % 3 + 1 AS c1 FROM part),
         LATERAL (SELECT unnest(range(r0, r1 + 1)) AS "row"), LATERAL (SELECT unnest(range(1, c1 + 1)) AS col)""",
     "p11_detectors": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings",
     "j12_suppressed": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.doc_id = f.doc_id AND d.target_line = f.line_no AND d.code = f.code)",
@@ -188,22 +188,22 @@ SQL: dict[str, str] = {
         WHERE rn > 1 OR NOT EXISTS (SELECT 1 FROM findings f WHERE d.doc_id = f.doc_id AND d.target_line = f.line_no AND d.code = f.code)""",
     "j13_unreached": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "j15_shadowing": """WITH l AS (SELECT p_partkey, p_partkey % 400 AS k, row_number() OVER (PARTITION BY p_brand, p_partkey % 400 ORDER BY p_partkey) AS rn FROM part)
-        SELECT * FROM (SELECT p_partkey, CASE WHEN k IN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 40) THEN 'module' WHEN k IN (SELECT s_suppkey * 3 FROM supplier) THEN 'procedure' WHEN rn > 1 THEN 'duplicate' END AS shadows FROM l) WHERE shadows IS NOT NULL""",
+        SELECT * FROM (SELECT p_partkey, CASE WHEN k IN (SELECT s_suppkey * 7 FROM supplier) THEN 'module' WHEN k IN (SELECT s_suppkey * 3 FROM supplier) THEN 'procedure' WHEN rn > 1 THEN 'duplicate' END AS shadows FROM l) WHERE shadows IS NOT NULL""",
     "j16_consume": """WITH a AS (SELECT user_id, event_type, event_id AS review_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 3 = 0),
-        b AS (SELECT user_id, event_type, event_id AS row_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 3 <> 0 AND user_id % 2 = 0)
+        b AS (SELECT user_id, event_type, event_id AS row_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events WHERE event_id % 3 <> 0)
         SELECT review_id, row_id FROM a JOIN b USING (user_id, event_type, rn)""",
     "p7_empty_groups": "SELECT n_nationkey, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 GROUP BY 1",
     "p13_violations": """SELECT p_partkey, 'large_is_dear' AS "constraint" FROM part WHERE p_size > 45 AND NOT p_retailprice > 1000
         UNION ALL SELECT p_partkey, 'unique' FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_name, p_brand, p_type, p_size) AS n FROM part) WHERE n > 1""",
     "p5_point_in_range": f"WITH {_RANGES} SELECT o_orderkey, arg_min(r.o_custkey, (low, r.o_custkey)) AS o_custkey FROM orders o JOIN ranges r ON {_DAY} BETWEEN low AND high GROUP BY o_orderkey",
-    "p6_overlap": f"WITH {_RANGES} SELECT a.o_custkey, b.o_custkey AS other FROM ranges a JOIN ranges b ON a.low <= b.high AND b.low <= a.high WHERE b.o_custkey % 25 = 0",
+    "p6_overlap": f"WITH {_RANGES} SELECT a.o_custkey, b.o_custkey AS other FROM ranges a JOIN ranges b ON a.low <= b.high AND b.low <= a.high",
     "s18_layered": """WITH base AS (SELECT 'K' || p_partkey % 700 AS name, max(p_size) AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)
         SELECT lower(name) AS name, CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_size END AS p_size, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'base,over' ELSE 'base' END AS tags FROM base""",
     "g1_impact": f"""WITH RECURSIVE {_TRADE}, d AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM d JOIN trade ON src = node WHERE distance < 3),
         u AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT src, distance + 1 FROM u JOIN trade ON dst = node WHERE distance < 3)
         SELECT node, min(distance) AS distance FROM (SELECT * FROM d UNION ALL SELECT * FROM u) WHERE node <> 0 GROUP BY node""",
     "g3_reachability": f"""WITH RECURSIVE {_REACH} SELECT CAST(n_nationkey AS BIGINT) AS node, CASE WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 0) THEN 'confirmed' WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 1) THEN 'possible' ELSE 'unreachable' END AS tier FROM nation""",
-    "g5_components": f"""WITH RECURSIVE {_TRADE}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation WHERE n_nationkey % 3 <> 0),
+    "g5_components": f"""WITH RECURSIVE {_TRADE}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation),
         e AS (SELECT src, dst FROM trade WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
         c AS (SELECT node, node AS other FROM n UNION SELECT c.node, b.dst FROM c JOIN b ON c.other = b.src)
         SELECT node, min(other) AS component FROM c GROUP BY node""",
@@ -211,6 +211,13 @@ SQL: dict[str, str] = {
     "g7_cycles": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
         UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
         SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE at_ = root""",
+    "g8_participation": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
+        UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
+        SELECT CAST(node AS BIGINT) AS node, count(*) AS cycles FROM (SELECT unnest(path) AS node FROM p WHERE at_ = root) GROUP BY node""",
+    "l2_custom_order": "SELECT c_mktsegment, CAST(CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END AS INTEGER) AS rank, count(*) AS n FROM customer GROUP BY ALL",
+    "l5_total_and_first": "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 25) AS total FROM part WHERE p_size > 25 ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
+    "r3_diagnostic_order": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, code) AS place FROM findings",
+    "x36_unary": "SELECT p_partkey, CAST(-p_partkey AS BIGINT) AS negated, CAST(-p_partkey - 1 AS BIGINT) AS inverted, CAST(NULL AS BIGINT) AS overflow, pow(p_partkey, -(p_partkey % 3)) AS power FROM part",
     "g9_affected": f"WITH RECURSIVE {_REACH} SELECT src, count(DISTINCT n_regionkey) AS regions, count(*) AS nodes FROM reach JOIN nation ON n_nationkey = dst GROUP BY src",
     "g13_dominators": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node),
         s AS (SELECT r.node AS without, 0 AS node FROM r WHERE r.node <> 0 UNION SELECT without, dst FROM s JOIN flow ON src = s.node WHERE dst <> without)
@@ -220,7 +227,7 @@ SQL: dict[str, str] = {
         SELECT CAST(r.node AS BIGINT) AS node, CAST(f AS BIGINT) AS fact FROM r, range(3) t(f) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.fact = f AND m.node = r.node)""",
     "g15_cleanup": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node WHERE dst NOT IN (2, 7, 8))
         SELECT CAST(n_nationkey AS BIGINT) AS node, n_nationkey NOT IN (SELECT node FROM r) AS guaranteed FROM nation WHERE n_nationkey >= 20""",
-    "d6_effects": f"WITH RECURSIVE {_REACH} SELECT DISTINCT src AS node, c_mktsegment AS fact FROM reach JOIN customer ON c_nationkey = dst WHERE dst % 6 = 0",
+    "d6_effects": f"WITH RECURSIVE {_REACH} SELECT DISTINCT src AS node, c_mktsegment AS fact FROM reach JOIN customer ON c_nationkey = dst",
     "a14_depths": "WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS depth FROM part WHERE p_partkey <= 3 UNION ALL SELECT p_partkey, depth + 1 FROM d JOIN part ON p_partkey > 3 AND p_partkey // 3 = node) SELECT node, depth FROM d",
     "l8_rotation": """WITH c AS (SELECT p_partkey, list_transform(range(1, 6), lambda i: (p_partkey * 7 + i * 31) % 101) AS c FROM part), m AS (SELECT *, list_position(c, list_min(c)) AS at_ FROM c)
         SELECT p_partkey, array_to_string(list_concat(c[at_:], c[:at_ - 1]), '>') AS cycle FROM m""",
@@ -232,7 +239,7 @@ SQL: dict[str, str] = {
           CASE WHEN big * s * 1000000 <= 9223372036854775807 THEN CAST(big * s * 1000000 AS BIGINT) END AS value_0, CASE WHEN big * s * 1000000 <= 9223372036854775807 THEN 'known' ELSE 'unknown' END AS status_0,
           CAST(big + s AS BIGINT) AS value_1, 'known' AS status_1, CAST(s AS DOUBLE) / nullif(k % 3, 0) AS value_2, CASE WHEN k % 3 = 0 THEN 'invalid' ELSE 'known' END AS status_2,
           k // nullif(k % 4, 0) AS value_3, CASE WHEN k % 4 = 0 THEN 'invalid' ELSE 'known' END AS status_3, k % nullif(k % 5, 0) AS value_4, CASE WHEN k % 5 = 0 THEN 'invalid' ELSE 'known' END AS status_4 FROM p""",
-    "t1_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE value < 90) WHERE rn = 1",
+    "t1_upsert": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "t3_sessions": """SELECT user_id, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events)) GROUP BY user_id, s""",
     "p1_calls_from": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE caller_module = 'N7'",
@@ -244,7 +251,7 @@ SQL: dict[str, str] = {
           UNION ALL SELECT 'module', caller_module, 'N' || o_orderkey % 25, o_orderkey % 9 FROM calls WHERE caller_module <> 'N' || o_orderkey % 25
           UNION ALL SELECT 'type', caller_module, member, o_orderkey % 5 FROM calls)
         SELECT kind, src, dst, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM e GROUP BY ALL""",
-    "a21_state_access": """WITH e AS (SELECT event_type, CAST(user_id % 12 AS VARCHAR) AS p, event_id % 4 AS k FROM events WHERE event_id % 7 = 0)
+    "a21_state_access": """WITH e AS (SELECT event_type, CAST(user_id % 12 AS VARCHAR) AS p, event_id % 4 AS k FROM events)
         SELECT event_type, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (0, 3)), '') AS readers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (1, 3)), '') AS writers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (2, 3)), '') AS mutators FROM e GROUP BY 1""",
     "d1_taint": f"WITH RECURSIVE {_TAINT} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
     "d2_sinks": f"WITH RECURSIVE {_TAINT} SELECT DISTINCT CAST(dst AS BIGINT) AS node, 'exec' AS sink, var, CAST(origin AS BIGINT) AS origin FROM taint JOIN flow ON src = node WHERE dst % 2 = 1 AND var = 'v' || dst % 4",

@@ -246,7 +246,7 @@ def a13_counters(spark, sf_dir):
 @query
 def a15_evidence(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    found = rollup.with_evidence(lines.where("l_linenumber <= 2"), ["l_suppkey", "l_returnflag"], ["l_partkey"])
+    found = rollup.with_evidence(lines, ["l_suppkey", "l_returnflag"], ["l_partkey"])
     return found.select("l_suppkey", "l_returnflag", F.array_join(F.transform("evidence", lambda e: e["l_partkey"].cast("string")), ",").alias("evidence"))
 
 
@@ -296,13 +296,13 @@ def j6_visibility(spark, sf_dir):
 def j9_followers(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     cells = part.select("p_partkey", (F.col("p_partkey") % 60).alias("idx"))
-    anchors = part.where("p_partkey <= 50").select(F.col("p_partkey").alias("idx"), "p_name")
+    anchors = part.select(F.when(F.col("p_partkey") % 5 != 0, F.col("p_partkey")).alias("idx"), "p_name")
     return resolve.followers(cells, anchors, ["idx"], "p_name").select("p_partkey", "anchor_formula", "parse_status")
 
 
 @query
 def j10_expand(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 200").selectExpr("p_partkey", "p_size AS r0", "p_size + CAST(p_partkey % 4 AS INT) - 1 AS r1", "1 AS c0", "CAST(p_partkey % 3 AS INT) + 1 AS c1")
+    part = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size AS r0", "p_size + CAST(p_partkey % 4 AS INT) - 1 AS r1", "1 AS c0", "CAST(p_partkey % 3 AS INT) + 1 AS c1")
     return resolve.expand(part, "r0", "r1", "c0", "c1").select("p_partkey", "row", "col")
 
 
@@ -342,7 +342,7 @@ def j15_shadowing(spark, sf_dir):
     part, supplier = table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     name = F.concat(F.lit("N"), (F.col("p_partkey") % 400).cast("string"))
     locals_ = part.select("p_partkey", "p_brand", name.alias("name"))
-    modules = supplier.where("s_suppkey <= 40").select(F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("name"))
+    modules = supplier.select(F.concat(F.lit("n"), (F.col("s_suppkey") * 7).cast("string")).alias("name"))
     procedures = supplier.select(F.concat(F.lit("n"), (F.col("s_suppkey") * 3).cast("string")).alias("name"))
     return resolve.shadowing(locals_, modules, procedures, "name", ["p_brand"], ["p_partkey"]).select("p_partkey", "shadows")
 
@@ -351,7 +351,7 @@ def j15_shadowing(spark, sf_dir):
 def j16_consume(spark, sf_dir):
     lines = table(spark, sf_dir, "events")
     reviews = lines.where("event_id % 3 = 0").select("user_id", "event_type", F.col("event_id").alias("review_id"))
-    rows = lines.where("event_id % 3 <> 0 AND user_id % 2 = 0").select("user_id", "event_type", F.col("event_id").alias("row_id"))
+    rows = lines.where("event_id % 3 <> 0").select("user_id", "event_type", F.col("event_id").alias("row_id"))
     return rules.consume(reviews, rows, ["user_id", "event_type"], "review_id", "row_id")
 
 
@@ -384,8 +384,7 @@ def p5_point_in_range(spark, sf_dir):
 @query
 def p6_overlap(spark, sf_dir):
     ranges = _month_ranges(spark, sf_dir)
-    few = ranges.where("o_custkey % 25 = 0").withColumnRenamed("o_custkey", "other")
-    return resolve.overlaps(ranges, few, "low", "high", ["o_custkey"], ["other"], 30)
+    return resolve.overlaps(ranges, ranges.withColumnRenamed("o_custkey", "other"), "low", "high", ["o_custkey"], ["other"], 30)
 
 
 @query
@@ -422,8 +421,7 @@ def g3_reachability(spark, sf_dir):
 
 @query
 def g5_components(spark, sf_dir):
-    n = _nodes(spark, sf_dir).where("node % 3 <> 0")
-    return graph.clusters(n, _trade(spark, sf_dir))
+    return graph.clusters(_nodes(spark, sf_dir), _trade(spark, sf_dir))
 
 
 @query
@@ -436,11 +434,40 @@ def g7_cycles(spark, sf_dir):
     return graph.cycles(_trade(spark, sf_dir), 5).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
 
 
+@query
+def g8_participation(spark, sf_dir):
+    return graph.participation(graph.cycles(_trade(spark, sf_dir), 5))
+
+
+@query
+def l2_custom_order(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").withColumn("rank", ranking.rank_of("c_mktsegment", ["MACHINERY", "BUILDING", "AUTOMOBILE"]))
+    return c.groupBy("c_mktsegment", "rank").agg(F.count("*").alias("n"))
+
+
+@query
+def l5_total_and_first(spark, sf_dir):
+    part = table(spark, sf_dir, "part").where("p_size > 25")
+    return ranking.total_and_first(part, [F.desc("p_retailprice"), F.asc("p_partkey")], 10).select("p_partkey", "total")
+
+
+@query
+def r3_diagnostic_order(spark, sf_dir):
+    return rules.in_order(_findings(spark, sf_dir).withColumn("column", F.col("line_no") % 3), ["doc_id"], "line_no", "column", "code").select("doc_id", "line_no", "code", "place")
+
+
+@query
+def x36_unary(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    k = F.col("p_partkey").cast("long")
+    return part.select("p_partkey", scalars.negated(k).alias("negated"), scalars.inverted(k).alias("inverted"), scalars.negated(F.lit(-(1 << 63))).alias("overflow"), scalars.power(k, -(k % 3)).alias("power"))
+
+
 @query
 def g9_affected(spark, sf_dir):
     reach = graph.closure(_nodes(spark, sf_dir), _trade(spark, sf_dir))
     nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("dst"), "n_regionkey")
-    return reach.join(F.broadcast(nation), "dst").groupBy("src").agg(F.count_distinct("n_regionkey").alias("regions"), F.count("*").alias("nodes"))
+    return reach.join(storage.broadcast_if_small(nation), "dst").groupBy("src").agg(F.count_distinct("n_regionkey").alias("regions"), F.count("*").alias("nodes"))
 
 
 def _flow(spark, sf_dir):
@@ -470,7 +497,7 @@ def g15_cleanup(spark, sf_dir):
 
 @query
 def d6_effects(spark, sf_dir):
-    facts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).where("node % 6 = 0").distinct()
+    facts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).distinct()
     return graph.propagate(facts, _trade(spark, sf_dir))
 
 
@@ -498,7 +525,7 @@ def x_scalars(spark, sf_dir):
 
 @query
 def t1_upsert(spark, sf_dir):
-    return ranking.latest(table(spark, sf_dir, "events").where("value < 90"), ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"])
+    return ranking.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"])
 
 
 @query
@@ -548,7 +575,7 @@ def g10_dependencies(spark, sf_dir):
 @query
 def a21_state_access(spark, sf_dir):
     kind = F.element_at(F.array(*(F.lit(k) for k in ("read", "write", "mutate", "readwrite"))), (F.col("event_id") % 4 + 1).cast("int"))
-    rows = table(spark, sf_dir, "events").where("event_id % 7 = 0").select("event_type", (F.col("user_id") % 12).cast("string").alias("procedure"), kind.alias("kind"))
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 12).cast("string").alias("procedure"), kind.alias("kind"))
     found = calls.state_access(rows, ["event_type"])
     return found.select("event_type", *(F.array_join(c, ",").alias(c) for c in ("readers", "writers", "mutators")))
 

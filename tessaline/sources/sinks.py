@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline.functions.scalars import sheet_slug
 from tessaline.operators.ranking import numbered_names
 
 
+def publish(path: str, spark: SparkSession, write: Callable[[str], None]) -> None:
+    """Lets write() fill a folder beside path and moves it to path when it is complete.
+
+    If writing fails the old folder stays as it was. The old one is moved aside before the
+    new one comes in, moved back if that fails, and deleted at the end.
+    """
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    at = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    files = at[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new)
+    except Exception:
+        files.delete(at[new], True)
+        raise
+    there = files.exists(at[path])
+    if there and not files.rename(at[path], at[old]):
+        raise OSError(f"{path} can't be moved aside; the new folder is {new}")
+    if not files.rename(at[new], at[path]):
+        if there:
+            files.rename(at[old], at[path])
+        raise OSError(f"{new} can't be moved to {path}")
+    files.delete(at[old], True)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """A row per line, null fields left out; an old table is replaced when the new one is complete."""
-    df.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+    publish(path, df.sparkSession, lambda new: df.write.option("ignoreNullFields", "true").json(new))
 
 
 def sheet_paths(sheets: DataFrame) -> DataFrame:
@@ -23,7 +50,7 @@ def sheet_paths(sheets: DataFrame) -> DataFrame:
 def write_by_sheet(rows: DataFrame, sheets: DataFrame, path: str) -> None:
     """JSON lines in a folder per sheet; the sheets' table is small and joined by name."""
     named = rows.join(sheet_paths(sheets).select(F.col("name").alias("sheet"), F.col("path").alias("sheet_path")), "sheet")
-    named.write.mode("overwrite").partitionBy("sheet_path").json(path)
+    publish(path, rows.sparkSession, lambda new: named.write.partitionBy("sheet_path").json(new))
 
 
 def write_checked(df: DataFrame, path: str, problems: DataFrame) -> None:
