@@ -96,9 +96,11 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))
 
 
-def _pairs(words: Column) -> Column:
-    """The hashes of the word bigrams."""
-    return F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<bigint>"))
+def _pairs(unit: Column) -> Column:
+    """The hashes of a unit's word bigrams."""
+    # the outer transform binds the words, which the inner one would split off anew for each bigram
+    cut = lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<bigint>"))
+    return F.get(F.transform(F.array(F.split(unit, " ")), cut), F.lit(0))
 
 
 def _bigrams(templates: dict[str, str], similarity: float) -> tuple[list[tuple], set[tuple[str, str]]]:
@@ -147,7 +149,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "
     whole = F.when(F.size("lines") > 1, F.array(F.array_join(F.filter("lines", lambda x: x != ""), " "))).otherwise(none)
     units = F.transform(F.concat("lines", blocks, whole), lambda u: F.struct(u.alias("unit"), (F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))).alias("n")))
     counted = lines.select("row_no", "doc_id", units.alias("units")).select("row_no", "doc_id", F.size(F.filter("units", lambda u: u["n"] > 0)).cast("long").alias("n_units"), F.filter("units", lambda u: F.array_contains(possible, u["n"])).alias("units"))
-    judged = counted.select("row_no", "doc_id", "n_units", F.posexplode_outer("units").alias("no", "u")).select("row_no", "doc_id", "n_units", "no", "u.n", _pairs(F.split("u.unit", " ")).alias("pairs"))
+    judged = counted.select("row_no", "doc_id", "n_units", F.posexplode_outer("units").alias("no", "u")).select("row_no", "doc_id", "n_units", "no", "u.n", _pairs(F.col("u.unit")).alias("pairs"))
     held = F.coalesce(F.arrays_overlap("pairs", anchors), F.lit(False))
     judged = storage.save(judged.where(held | F.coalesce(F.col("no") == 0, F.lit(True))).select("row_no", "doc_id", "n_units", "no", "n", F.when(held, F.col("pairs")).alias("pairs")), "units")
     own = judged.select("row_no", "no", "n", F.explode("pairs").alias("pair")).groupBy("row_no", "no", "n", "pair").agg(F.count("*").alias("k"))
