@@ -37,6 +37,8 @@ PRIOR = 2.0
 ADDED = 0.1
 HELD_OUT = 10
 SEED = 42
+#: Counts that a task holds before it adds them up.
+COUNTS = 1 << 22
 #: Texts tokenised together.
 TOGETHER = 1000
 
@@ -84,10 +86,27 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield part, *tokens(part.column("text").to_pylist())
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+    return keys, np.bincount(place, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of tokens and pairs, added up within a task as far as COUNTS of them go."""
+    held, n = [], 0
+    row = lambda keys, counts: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "c"])
     for _, hashed, _ in _texts(batches):
-        found, counts = zip(*(np.unique(x, return_counts=True) for x in (hashed, pairs(hashed))), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(counts))], names=["key", "c"])
+        for x in (hashed, pairs(hashed)):
+            held.append(np.unique(x, return_counts=True))
+            n += len(held[-1][0])
+        if n > COUNTS:
+            held = [_merged(held)]
+            n = len(held[0][0])
+            if n > COUNTS // 2:
+                yield row(*held[0])
+                held, n = [], 0
+    if held:
+        yield row(*_merged(held))
 
 
 def level(counts: np.ndarray) -> np.ndarray:
@@ -265,12 +284,11 @@ _SCORED = "row_no long, doc_id long, held_out boolean, n_tokens long, n_known lo
 def train(docs: DataFrame, part_bytes: int = PART_BYTES, head: int = HEAD) -> tuple[Model, DataFrame]:
     """The model of all texts of docs (text), and the exact counts (key, c) of all words.
 
-    Counts are added up per batch and per task before they are dealt out, then sorted by
-    shard, so a task holds the entries of one shard at a time. The driver gets the size of
+    Counts are added up in each task before they are dealt out by shard, then sorted by it, so a task holds the entries of one shard at a time. The driver gets the size of
     each shard and the head, both bounded.
     """
     counted = docs.select("text").mapInArrow(_counted, "key long, c long").withColumn("shard", F.shiftrightunsigned("key", 64 - SHARD_BITS))
-    summed = counted.groupBy("shard", "key").agg(F.sum("c").alias("c")).repartition("shard").sortWithinPartitions("shard").select("key", "c")
+    summed = counted.repartition("shard").groupBy("shard", "key").agg(F.sum("c").alias("c")).sortWithinPartitions("shard").select("key", "c")
     built = storage.save(summed.mapInArrow(_built, "key long, c long, block binary"), "counts")
     single = built.where("block is null").select("key", "c")
     blocks = built.where("block is not null").select(F.col("key").alias("shard"), "block")
