@@ -2,19 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.operators.graph import distances
 
 
-def taint(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills: DataFrame, group: list[str] = ()) -> DataFrame:
+#: Kinds of sources and sinks, and their labels.
+SOURCES = {
+    "parameter": "procedure parameter",
+    "worksheet_cell": "worksheet cell value",
+    "inputbox": "InputBox",
+    "file_input": "text/CSV file input",
+    "environment_variable": "environment variable",
+    "command_line_argument": "command-line argument",
+    "http_response": "HTTP response",
+    "database_result": "database result",
+}
+SINKS = {
+    "shell": "Shell",
+    "wscript_shell_run": "WScript.Shell.Run",
+    "wscript_shell_exec": "WScript.Shell.Exec",
+    "shell_execute": "ShellExecute",
+    "sql_execution": "SQL execution",
+    "destructive_file_operation": "destructive file operation",
+    "workbooks_open": "Workbooks.Open",
+    "save_as": "SaveAs",
+    "http_request_url": "HTTP request URL",
+    "http_request_header": "HTTP request header",
+}
+#: A literal of a comparison or a case: a string with doubled quotes, a number or a truth value.
+LITERAL = r'(?:"(?:[^"]|"")*"|[+-]?[0-9]+(?:\.[0-9]+)?|True|False)'
+
+
+def kinds(spark: SparkSession, labels: dict[str, str]) -> DataFrame:
+    """kind, label of SOURCES or SINKS as a small table to join with what was found."""
+    return spark.createDataFrame(list(labels.items()), "kind string, label string")
+
+
+def equality_guards(branches: DataFrame) -> DataFrame:
+    """src, dst, var: edges on which a variable equals a literal, so that it carries no taint.
+
+    branches has src, dst, kind, condition, selector. An edge of kind branch_true guards the
+    name in a condition "name = literal"; one of kind case guards its selector if its
+    condition is a list of literals. Anything else, nulls included, guards nothing.
+    """
+    compared = rf"(?i)^\s*([a-z]\w*)\s*=\s*{LITERAL}\s*$"
+    listed = rf"(?i)^\s*{LITERAL}(\s*,\s*{LITERAL})*\s*$"
+    var = F.when((F.col("kind") == "branch_true") & F.col("condition").rlike(compared), F.regexp_extract("condition", compared, 1))
+    var = var.when((F.col("kind") == "case") & F.col("condition").rlike(listed), F.col("selector"))
+    return branches.select("src", "dst", var.alias("var")).where("var is not null").distinct()
+
+
+def _entered(tainted: DataFrame, edges: DataFrame, guards: DataFrame | None, group: list[str], keep: list[str]) -> DataFrame:
+    """What is tainted when a node begins: what leaves the nodes before it, less the guarded variables of an edge."""
+    rows = tainted.select(*group, F.col("node").alias("src"), *keep).join(edges.select(*group, "src", "dst"), [*group, "src"])
+    if guards is not None:
+        rows = rows.join(guards.select(*group, "src", "dst", "var"), [*group, "src", "dst", "var"], "left_anti")
+    return rows.select(*group, F.col("dst").alias("node"), *keep).distinct()
+
+
+def taint(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills: DataFrame, group: list[str] = (), guards: DataFrame | None = None) -> DataFrame:
     """group, node, var, origin: variables that may be tainted when a node ends, and from where.
 
     edges (src, dst); sources (node, var, origin) taint a variable at a node; assigns (node,
     target, value) pass taint on; kills (node, var) clean a variable, assigned targets are
-    cleaned unless their value is tainted. Sets only grow, and each round joins what is
+    cleaned unless their value is tainted. guards (src, dst, var) clean a variable along an
+    edge. Sets only grow, and each round joins what is
     new, so schedules don't matter.
     """
     group = list(group)
@@ -23,7 +78,7 @@ def taint(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills: DataF
     moves = assigns.select(*group, "node", F.col("target"), F.col("value").alias("var"))
     known = new = storage.save(sources.select(*key).distinct(), "taint")
     while True:
-        entered = new.join(edges.select(*group, F.col("src").alias("node"), "dst"), [*group, "node"]).select(*group, F.col("dst").alias("node"), "var", "origin").distinct()
+        entered = _entered(new, edges, guards, group, ["var", "origin"])
         kept = entered.join(cleaned, [*group, "node", "var"], "left_anti").select(*key)
         passed = entered.join(moves, [*group, "node", "var"]).select(*group, "node", F.col("target").alias("var"), "origin")
         new = storage.save(kept.union(passed).distinct().join(known, key, "left_anti"), "taint")
@@ -32,10 +87,10 @@ def taint(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills: DataF
         known = storage.save(known.unionByName(new), "taint")
 
 
-def sink_findings(tainted: DataFrame, edges: DataFrame, sinks: DataFrame, group: list[str] = ()) -> DataFrame:
+def sink_findings(tainted: DataFrame, edges: DataFrame, sinks: DataFrame, group: list[str] = (), guards: DataFrame | None = None) -> DataFrame:
     """group, node, sink, var, origin where a variable is tainted when a node with a sink (node, sink, var) begins."""
     group = list(group)
-    entry = tainted.withColumnRenamed("node", "src").join(edges, [*group, "src"]).select(*group, F.col("dst").alias("node"), "var", "origin").distinct()
+    entry = _entered(tainted, edges, guards, group, ["var", "origin"])
     return entry.join(sinks, [*group, "node", "var"]).select(*group, "node", "sink", "var", "origin")
 
 

@@ -213,3 +213,40 @@ def participation(cycles: DataFrame) -> DataFrame:
     for nothing; no cycles give no rows.
     """
     return cycles.select(F.explode("cycle").alias("node")).groupBy("node").agg(F.count("*").alias("cycles"))
+
+
+def witnesses(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """component, cycle, length: the shortest cycle through each cyclic component's smallest node.
+
+    components is strong_components()' result. Of several shortest cycles the one with the
+    smallest nodes from the front on is given; a loop is a cycle of one node. The search
+    takes one step a round in all open components and ends for each with its first cycle,
+    which every cyclic component has. Components without a cycle give no row.
+    """
+    of = components.where("cyclic").select("node", "component")
+    inside = edges.select("src", "dst").distinct().join(of.withColumnRenamed("node", "src"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst")
+    inside = storage.save(inside.where("component = other").select("component", "src", "dst"), "inside")
+    new = storage.save(of.where("node = component").select("component", "node", F.array("node").alias("path")), "paths")
+    known, found, length = new.select("component", "node"), None, 0
+    while new.limit(1).count():
+        length += 1
+        steps = new.join(inside.withColumnRenamed("src", "node"), ["component", "node"]).groupBy("component", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        steps = storage.save(steps, "steps")
+        closed = steps.where("node = component").select("component", F.col("path").alias("cycle"), F.lit(length).alias("length"))
+        found = closed if found is None else found.union(closed)
+        going = steps.join(closed.select("component"), "component", "left_anti").join(known, ["component", "node"], "left_anti")
+        new = storage.save(going.select("component", "node", F.concat("path", F.array("node")).alias("path")), "paths")
+        known = known.union(new.select("component", "node"))
+    return found if found is not None else new.select("component", F.col("path").alias("cycle"), F.lit(0).alias("length"))
+
+
+def provenance(owners: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
+    """owner, and the distinct evidence of the other nodes that each owner (owner) reaches along edges.
+
+    evidence has node and further columns. Only the owners asked about are followed, when
+    the result is read. An owner's own evidence is left out, also where a cycle leads back;
+    an owner that reaches nothing gives no row.
+    """
+    asked = owners.select("owner", F.col("owner").alias("node")).distinct()
+    reached = distances(asked, edges, ["owner"]).where("node <> owner").select("owner", "node")
+    return reached.join(evidence, "node").select("owner", *evidence.columns).distinct()

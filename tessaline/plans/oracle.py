@@ -111,16 +111,24 @@ calls AS (
   SELECT o_orderkey, 'Cust' || c_custkey % 50 AS caller_name, 'N' || c_nationkey AS caller_module, 'Do' || o_orderkey % 40 AS base_name, o_orderstatus AS member
   FROM orders JOIN customer ON o_custkey = c_custkey)
 """
-_TAINT = f"""
+
+
+def _tainted(guarded: str) -> str:
+    """Taint, less a variable t.var on the edges src, dst for which guarded holds."""
+    return f"""
 {_FLOW}, assigns AS (SELECT n_nationkey AS node, 'v' || (n_nationkey + 1) % 4 AS target, 'v' || n_nationkey % 4 AS value FROM nation WHERE n_nationkey % 3 = 1),
 cleaned AS (SELECT node, target AS var FROM assigns UNION SELECT n_nationkey, 'v' || n_nationkey % 4 FROM nation WHERE n_nationkey % 5 = 3),
 taint AS (
   SELECT n_nationkey AS node, 'v' || n_nationkey // 8 % 4 AS var, n_nationkey AS origin FROM nation WHERE n_nationkey % 8 = 0
-  UNION SELECT dst, coalesce(target, t.var), origin FROM taint t JOIN flow ON src = t.node
+  UNION SELECT dst, coalesce(target, t.var), origin FROM taint t JOIN flow ON src = t.node AND NOT ({guarded})
     LEFT JOIN (SELECT node, value AS var, target FROM assigns UNION ALL SELECT dst, v, NULL FROM (SELECT DISTINCT dst FROM flow), (VALUES ('v0'), ('v1'), ('v2'), ('v3')) x(v)) m ON m.node = dst AND m.var = t.var
   WHERE target IS NOT NULL OR NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.node = dst AND c.var = t.var))
 """
 
+
+_TAINT = _tainted("FALSE")
+_GUARDED = _tainted("dst = 2 * src + 1 AND src % 3 < 2 AND t.var = 'v' || src % 4")
+
 SQL: dict[str, str] = {
     "w1_runs": f"WITH {_RUNS} SELECT user_id, event_type, start_ts, end_ts, n FROM runs",
     "w2_outlier_runs": f"""WITH {_RUNS} SELECT user_id, event_type, start_ts FROM (
@@ -208,6 +216,10 @@ SQL: dict[str, str] = {
         c AS (SELECT node, node AS other FROM n UNION SELECT c.node, b.dst FROM c JOIN b ON c.other = b.src)
         SELECT node, min(other) AS component FROM c GROUP BY node""",
     "g6_scc": f"""WITH RECURSIVE {_REACH}, c AS (SELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, component, size, size > 1 AS cyclic FROM c""",
+    "g6_witness": f"""WITH RECURSIVE {_REACH}, c AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1),
+        p AS (SELECT component, component AS at_, [component] AS path FROM c WHERE node = component
+          UNION ALL SELECT p.component, dst, list_append(path, dst) FROM p JOIN trade ON src = at_ JOIN c ON c.node = dst AND c.component = p.component WHERE len(path) <= 25 AND (dst = p.component AND at_ <> dst OR NOT list_contains(path, dst)) AND (len(path) = 1 OR at_ <> p.component))
+        SELECT component, array_to_string(min(path[:-2]), '>') AS cycle, CAST(len(min(path[:-2])) AS INTEGER) AS length FROM p JOIN (SELECT component, min(len(path)) AS l FROM p WHERE at_ = component AND len(path) > 1 GROUP BY component) m USING (component) WHERE at_ = component AND len(path) = l GROUP BY component""",
     "g7_cycles": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
         UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
         SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE at_ = root""",
@@ -255,6 +267,13 @@ SQL: dict[str, str] = {
         SELECT event_type, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (0, 3)), '') AS readers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (1, 3)), '') AS writers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (2, 3)), '') AS mutators FROM e GROUP BY 1""",
     "d1_taint": f"WITH RECURSIVE {_TAINT} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
     "d2_sinks": f"WITH RECURSIVE {_TAINT} SELECT DISTINCT CAST(dst AS BIGINT) AS node, 'exec' AS sink, var, CAST(origin AS BIGINT) AS origin FROM taint JOIN flow ON src = node WHERE dst % 2 = 1 AND var = 'v' || dst % 4",
+    "d3_guards": f"WITH RECURSIVE {_GUARDED} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
+    "d4_catalogues": """SELECT * FROM (VALUES ('parameter', 'procedure parameter', 'source'), ('worksheet_cell', 'worksheet cell value', 'source'), ('inputbox', 'InputBox', 'source'), ('file_input', 'text/CSV file input', 'source'),
+        ('environment_variable', 'environment variable', 'source'), ('command_line_argument', 'command-line argument', 'source'), ('http_response', 'HTTP response', 'source'), ('database_result', 'database result', 'source'),
+        ('shell', 'Shell', 'sink'), ('wscript_shell_run', 'WScript.Shell.Run', 'sink'), ('wscript_shell_exec', 'WScript.Shell.Exec', 'sink'), ('shell_execute', 'ShellExecute', 'sink'), ('sql_execution', 'SQL execution', 'sink'),
+        ('destructive_file_operation', 'destructive file operation', 'sink'), ('workbooks_open', 'Workbooks.Open', 'sink'), ('save_as', 'SaveAs', 'sink'), ('http_request_url', 'HTTP request URL', 'sink'), ('http_request_header', 'HTTP request header', 'sink')) x(kind, label, side)""",
+    "d7_provenance": f"""WITH RECURSIVE {_REACH} SELECT src AS owner, dst AS origin, c_mktsegment AS fact, count(*) AS n FROM reach JOIN customer ON c_nationkey = dst WHERE src <> dst GROUP BY ALL""",
+    "t7_watched_files": "SELECT user_id, CASE WHEN arg_max(event_id, event_id) % 3 = 0 THEN 'remove' ELSE 'refresh' END AS action, count(*) AS n FROM events GROUP BY user_id",
     "g11_affected": f"""WITH RECURSIVE {_TRADE}, {_FLOW}, b AS (SELECT src, dst FROM trade UNION SELECT src, dst FROM flow),
         a AS (SELECT CAST(6 AS BIGINT) AS node, 0 AS distance UNION SELECT CAST(src AS BIGINT), distance + 1 FROM a JOIN b ON dst = node WHERE distance < 30)
         SELECT node, min(distance) AS distance FROM a GROUP BY node""",

@@ -12,7 +12,7 @@ from tessaline.functions import scalars
 from tessaline.operators import calls, dataflow, diff, graph, ranking, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
-from tessaline.streaming.events import sessions
+from tessaline.streaming.events import sessions, settled_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -429,6 +429,13 @@ def g6_scc(spark, sf_dir):
     return graph.strong_components(_nodes(spark, sf_dir), _trade(spark, sf_dir))
 
 
+@query
+def g6_witness(spark, sf_dir):
+    trade = _trade(spark, sf_dir)
+    found = graph.witnesses(trade, graph.strong_components(_nodes(spark, sf_dir), trade))
+    return found.select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
+
+
 @query
 def g7_cycles(spark, sf_dir):
     return graph.cycles(_trade(spark, sf_dir), 5).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
@@ -602,6 +609,32 @@ def d2_sinks(spark, sf_dir):
     return dataflow.sink_findings(dataflow.taint(flow, sources, assigns, kills), flow, sinks)
 
 
+@query
+def d3_guards(spark, sf_dir):
+    flow, sources, assigns, kills = _taint(spark, sf_dir)
+    name = F.concat(F.lit("v"), (F.col("src") % 4).cast("string"))
+    text = F.when(F.col("src") % 3 == 0, F.concat(name, F.lit(" = 7"))).when(F.col("src") % 3 == 1, F.lit('"a", 2')).otherwise(F.concat(name, F.lit(" > 7")))
+    branches = flow.withColumn("kind", F.when(F.col("src") % 3 == 1, "case").otherwise("branch_true")).withColumn("condition", text).withColumn("selector", name)
+    return dataflow.taint(flow, sources, assigns, kills, guards=dataflow.equality_guards(branches.where("dst = 2 * src + 1")))
+
+
+@query
+def d4_catalogues(spark, sf_dir):
+    return dataflow.kinds(spark, dataflow.SOURCES).withColumn("side", F.lit("source")).union(dataflow.kinds(spark, dataflow.SINKS).withColumn("side", F.lit("sink")))
+
+
+@query
+def d7_provenance(spark, sf_dir):
+    evidence = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).agg(F.count("*").alias("n"))
+    return graph.provenance(_nodes(spark, sf_dir).withColumnRenamed("node", "owner"), _trade(spark, sf_dir), evidence).withColumnRenamed("node", "origin")
+
+
+@query
+def t7_watched_files(spark, sf_dir):
+    change = F.when(F.col("event_id") % 3 == 0, "deleted").when(F.col("event_id") % 3 == 1, "changed").otherwise("created")
+    return settled_changes(table(spark, sf_dir, "events").select("user_id", change.alias("change"), "event_id"), "user_id", "change", "event_id")
+
+
 @query
 def g11_affected(spark, sf_dir):
     flow, trade = _flow(spark, sf_dir), _trade(spark, sf_dir)

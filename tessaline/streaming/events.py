@@ -95,3 +95,23 @@ def dependents(changes: DataFrame, calls: DataFrame, name: str, target: str) ->
     return changes.withColumn("_name", F.lower(name)).join(known, "_name").drop("_name")
 
 
+def file_changes(before: DataFrame, after: DataFrame, key: str, stamp: str) -> DataFrame:
+    """key, change (created, changed or deleted) between two listings of files; equal stamps, nulls too, are no change."""
+    old, new = (df.groupBy(key).agg(F.max(stamp).alias(name), F.lit(True).alias(f"_{name}")) for df, name in ((before, "was"), (after, "is")))
+    change = F.when(F.col("_was").isNull(), "created").when(F.col("_is").isNull(), "deleted").when(~F.col("was").eqNullSafe(F.col("is")), "changed")
+    return old.join(new, key, "full_outer").select(key, change.alias("change")).where("change is not null")
+
+
+def settled_changes(changes: DataFrame, key: str, change: str, order: str) -> DataFrame:
+    """key, action, n of a batch of file changes: deleted files go (remove), all others are read anew (refresh).
+
+    The last change by order counts, and of those of one order the largest change by name.
+    """
+    last = F.max(F.struct(order, change))[change]
+    return changes.groupBy(key).agg(F.when(last == "deleted", "remove").otherwise("refresh").alias("action"), F.count("*").alias("n"))
+
+
+def apply_changes(table: DataFrame, actions: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """table without the rows of files that were removed or refreshed, with fresh's rows of the refreshed ones."""
+    kept = table.join(actions.select(key), key, "left_anti")
+    return kept.unionByName(fresh.join(actions.where("action = 'refresh'").select(key), key, "left_semi").select(*kept.columns))

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessaline.functions import scalars
-from tessaline.operators import graph, ranking, rules
+from tessaline.operators import dataflow, graph, ranking, rules
 from tessaline.sources import sinks
+from tessaline.streaming import events
 
 
 def one(spark, *columns):
@@ -59,3 +60,35 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     with pytest.raises(Exception, match="bad row"):
         sinks.write_jsonl(spark.range(2).select(F.raise_error(F.lit("bad row")).alias("x")), path)
     assert spark.read.json(path).count() == 5 and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out"]
+
+
+def test_witnesses_of_loops_and_ties(spark):
+    edges = [(1, 2), (2, 3), (3, 1), (1, 4), (4, 1), (1, 5), (5, 1), (7, 7), (8, 9), (3, 8)]
+    edges = spark.createDataFrame(edges, "src long, dst long")
+    nodes = spark.createDataFrame([(n,) for n in (1, 2, 3, 4, 5, 7, 8, 9)], "node long")
+    got = graph.witnesses(edges, graph.strong_components(nodes, edges)).collect()
+    assert {r.component: (list(r.cycle), r.length) for r in got} == {1: ([1, 4], 2), 7: ([7], 1)}
+    assert graph.witnesses(edges.limit(0), graph.strong_components(nodes, edges.limit(0))).count() == 0
+
+
+def test_guards(spark):
+    rows = [(1, 2, "branch_true", 'x = "a""b"', None), (1, 3, "branch_false", "x = 1", None), (2, 4, "case", "1, -2.5, True", "y"), (2, 5, "case", "Is > 3", "y"), (3, 6, "branch_true", "x = y", None), (3, 7, "branch_true", None, None)]
+    branches = spark.createDataFrame(rows, "src long, dst long, kind string, condition string, selector string")
+    assert {tuple(r) for r in dataflow.equality_guards(branches).collect()} == {(1, 2, "x"), (2, 4, "y")}
+
+
+def test_provenance_leaves_the_owner_out(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (4, 4)], "src long, dst long")
+    facts = spark.createDataFrame([(1, "own"), (2, "two"), (2, "two"), (3, None), (4, "loop")], "node long, fact string")
+    got = graph.provenance(spark.createDataFrame([(1,), (4,), (9,)], "owner long"), edges, facts).collect()
+    assert sorted((r.owner, r.node, str(r.fact)) for r in got) == [(1, 2, "two"), (1, 3, "None")]
+
+
+def test_file_changes(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "file string, stamp int")
+    got = events.file_changes(frame([("a", 1), ("b", 1), ("c", None), ("d", 2)]), frame([("a", 1), ("b", 2), ("c", None), ("e", 1)]), "file", "stamp")
+    assert {tuple(r) for r in got.collect()} == {("b", "changed"), ("d", "deleted"), ("e", "created")}
+    log = spark.createDataFrame([("b", "deleted", 1), ("b", "created", 2), ("d", "changed", 1), ("d", "deleted", 3)], "file string, change string, at int")
+    actions = events.settled_changes(log, "file", "change", "at")
+    assert {tuple(r) for r in actions.collect()} == {("b", "refresh", 2), ("d", "remove", 2)}
+    assert {tuple(r) for r in events.apply_changes(frame([("a", 1), ("b", 1), ("d", 2)]), actions, frame([("a", 9), ("b", 2)]), "file").collect()} == {("a", 1), ("b", 2)}
