@@ -87,4 +87,18 @@ m AS (SELECT r, count(*) FILTER (n > 0) AS n_units, count(template) AS n_matches
 SELECT doc_id, n_units, n_matches, licenses, best_dice FROM d JOIN m USING (r)
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_secret_scan": _SECRETS, "op4_license_scan": _LICENSES}
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(ts) > 0) AS BIGINT) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS all_terms FROM d),
+q AS (SELECT r, item_id, unnest(list_distinct(ts)) AS term FROM (SELECT row_number() OVER () AS r, item_id, {_TERMS} AS ts FROM benchmark)),
+c AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM c GROUP BY term), s),
+m AS (SELECT r, doc_id, 10 + (90 * len(ts) * n_docs) // all_terms AS m FROM d, s WHERE len(ts) > 0),
+x AS (SELECT q.r, item_id, c.r AS doc, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN c USING (term) JOIN w USING (term) JOIN m ON m.r = c.r GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_secret_scan": _SECRETS, "op4_license_scan": _LICENSES, "op11_lexical_search": _SEARCH}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, quality, secrets, simhash
+from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, quality, search, secrets, simhash
 from tessaline.sources.tables import table
 
 #: The vocabulary as files of public tokenizers; paths are the operator's parameters.
@@ -76,6 +76,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing)
+    f.__name__: f
+    for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing, op11_lexical_search)
 }
