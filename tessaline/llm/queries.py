@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, quality, search, secrets, simhash
+from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, periods, quality, search, secrets, simhash
+from tessaline.llm.words import words
 from tessaline.sources.tables import table
 
 #: The vocabulary as files of public tokenizers; paths are the operator's parameters.
@@ -80,7 +81,25 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _made_periodic(docs: DataFrame) -> DataFrame:
+    """doc_id, words of docs; in a tenth of them a stretch of words is repeated up to the end."""
+    col, h = F.col, F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", words(col("text")).alias("w"), F.floor(h / 10).alias("g"), (h % 10 == 0).alias("changed"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(col("changed") & (col("n") > 0), col("g") % col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((col("n") - col("a")) / (3 + col("g") % 8)))
+    unit = F.slice("w", (col("a") + 1).cast("int"), col("p").cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((col("n") - col("a")) / col("p")).cast("int"))), 1, (col("n") - col("a")).cast("int"))
+    return rows.select("doc_id", F.when(col("a").isNotNull(), F.concat(F.slice("w", 1, col("a").cast("int")), tail)).otherwise(col("w")).alias("words"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(_made_periodic(table(spark, sf_dir, "documents"))).withColumn("best", periods.strongest(F.col("runs")))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    every = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period AS exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing, op11_lexical_search)
+    for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing, op11_lexical_search, op12_periodic_runs)
 }
