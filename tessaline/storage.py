@@ -32,12 +32,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, which clear() deletes."""
+    _saved.append(f"{scratch_dir(spark).rstrip('/')}/tessaline-{label}-{uuid.uuid4().hex}")
+    return _saved[-1]
+
+
 def save(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and return the table read back."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/tessaline-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _saved.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
