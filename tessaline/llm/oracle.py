@@ -101,4 +101,11 @@ k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, doc_id NU
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 10
 """
 
-SQL: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_secret_scan": _SECRETS, "op4_license_scan": _LICENSES, "op11_lexical_search": _SEARCH}
+_WARC = """
+WITH p AS (SELECT row_number() OVER () AS r, page_id, strlen(coalesce(html, '')) AS bytes, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT *, first_value(r) OVER w AS first_r, first_value(page_id) OVER w AS first_id FROM p WHERE bytes >= 100 WINDOW w AS (PARTITION BY digest ORDER BY page_id NULLS LAST, r))
+SELECT page_id, CAST(bytes AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN r <> first_r THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN r <> first_r THEN first_id END AS refers_to
+FROM p LEFT JOIN (SELECT r, first_r, first_id FROM f) USING (r)
+"""
+
+SQL: dict[str, str] = {"op1_quality_rules": _QUALITY, "op2_secret_scan": _SECRETS, "op4_license_scan": _LICENSES, "op11_lexical_search": _SEARCH, "op13_warc": _WARC}

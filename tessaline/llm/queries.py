@@ -10,7 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, periods, quality, search, secrets, simhash
+from tessaline import storage
+from tessaline.llm import chat, embeddings, licenses, lines, lm, mixing, packing, periods, quality, search, secrets, simhash, warc
 from tessaline.llm.words import words
 from tessaline.sources.tables import table
 
@@ -99,7 +100,15 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period AS exponent_milli"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = storage.new_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.resolve(storage.save(warc.read_archives(spark, path, payload=False), "records"))
+    sound = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(": ", "archive", "offset", "error")))
+    return records.where("error IS NOT NULL OR record_type IN ('response', 'revisit')").select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing, op11_lexical_search, op12_periodic_runs)
+    for f in (op1_quality_rules, op2_secret_scan, op3_simhash, op4_license_scan, op5_chat_format, op6_lm_score, op7_line_dedup, op8_packing, op9_embedding_dedup, op10_mixing, op11_lexical_search, op12_periodic_runs, op13_warc)
 }
