@@ -2,45 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.operators.graph import distances
 
 
-#: Kinds of sources and sinks, and their labels.
-SOURCES = {
-    "parameter": "procedure parameter",
-    "worksheet_cell": "worksheet cell value",
-    "inputbox": "InputBox",
-    "file_input": "text/CSV file input",
-    "environment_variable": "environment variable",
-    "command_line_argument": "command-line argument",
-    "http_response": "HTTP response",
-    "database_result": "database result",
-}
-SINKS = {
-    "shell": "Shell",
-    "wscript_shell_run": "WScript.Shell.Run",
-    "wscript_shell_exec": "WScript.Shell.Exec",
-    "shell_execute": "ShellExecute",
-    "sql_execution": "SQL execution",
-    "destructive_file_operation": "destructive file operation",
-    "workbooks_open": "Workbooks.Open",
-    "save_as": "SaveAs",
-    "http_request_url": "HTTP request URL",
-    "http_request_header": "HTTP request header",
-}
 #: A literal of a comparison or a case: a string with doubled quotes, a number or a truth value.
 LITERAL = r'(?:"(?:[^"]|"")*"|[+-]?[0-9]+(?:\.[0-9]+)?|True|False)'
 
 
-def kinds(spark: SparkSession, labels: dict[str, str]) -> DataFrame:
-    """kind, label of SOURCES or SINKS as a small table to join with what was found."""
-    return spark.createDataFrame(list(labels.items()), "kind string, label string")
-
-
 def equality_guards(branches: DataFrame) -> DataFrame:
     """src, dst, var: edges on which a variable equals a literal, so that it carries no taint.
 
@@ -94,6 +66,104 @@ def sink_findings(tainted: DataFrame, edges: DataFrame, sinks: DataFrame, group:
     return entry.join(sinks, [*group, "node", "var"]).select(*group, "node", "sink", "var", "origin")
 
 
+def _fact_rows(rows: DataFrame, group: list[str]) -> DataFrame:
+    """One row a key: the worse state, the better path, and the sinks that all ways are safe for."""
+    best = F.min(F.struct(F.size("path").alias("steps"), "path"))["path"].alias("path")
+    return rows.groupBy(*group, "node", "var", "origin").agg(F.max("state").alias("state"), best, F.bit_and("safe").alias("safe"))
+
+
+#: States of a variable in the order in which they outweigh each other.
+TAINTED, UNKNOWN = 1, 2
+#: Origin of a variable that some way to a node leaves without a value.
+UNBOUND = "unbound"
+
+
+def _unbound(edges: DataFrame, binds: DataFrame, entries: DataFrame, group: list[str]) -> DataFrame:
+    """group, node, var where, of the reached nodes before a node, some end with the variable bound and some without."""
+    bound = distances(binds.select(*group, "var", "node"), edges.select("src", "dst"), [*group, "var"]).select("var", F.col("node").alias("src"), F.lit(1).alias("bound"))
+    reached = distances(entries.select("node"), edges.select("src", "dst")).select(F.col("node").alias("src"))
+    before = edges.select(*group, "src", "dst").distinct().join(reached, "src")
+    many = before.groupBy("dst").agg(F.count("*").alias("ways"))
+    some = before.join(bound, "src").groupBy(*group, "dst", "var").agg(F.count("*").alias("bound"))
+    return some.join(many, "dst").where("bound < ways").select(*group, F.col("dst").alias("node"), "var")
+
+
+def taint_paths(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills: DataFrame, sinks: list[str], cleaners: DataFrame | None = None, guards: DataFrame | None = None, entries: DataFrame | None = None, group: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Two tables of facts, where nodes end and where they begin: group, node, var, origin, state, path, safe.
+
+    As taint(), with what is known of a variable and an origin kept as one fact: its state is
+    1 (tainted) or 2 (unknown), the worst of all ways to the node; path (kind, node) has the
+    source and the assignments it came by, the shortest of them, of several the smallest;
+    safe is a bit mask of sinks, those that every way has been cleaned for. cleaners (node,
+    var, sink) clean a variable for one sink from that node on. sources may have a column
+    state (tainted unless given). With entries (node) a variable that has a value on some
+    ways to a node but not on all may be anything there: it gets the origin "unbound" and
+    the state unknown.
+
+    A fact changes a few times at most (states and masks only grow worse, paths only better),
+    and each round derives anew only from facts that changed; nodes are global, group says
+    which graph they are in. origin is a string; a null one counts for nothing.
+    """
+    group, key = list(group), [*group, "node", "var", "origin"]
+    if len(sinks) > 62:
+        raise ValueError("62 sinks at most")
+    edges = storage.save(edges.select(*group, "src", "dst").distinct(), "flow")
+    step = lambda kind: F.array(F.struct(F.lit(kind).alias("kind"), F.col("node").cast("long").alias("node")))
+    state = F.coalesce("state", F.lit(TAINTED)) if "state" in sources.columns else F.lit(TAINTED)
+    facts = sources.where("origin IS NOT NULL AND var IS NOT NULL").select(*group, "node", "var", F.col("origin").cast("string").alias("origin"), state.cast("int").alias("state"), step("source").alias("path"), F.lit(0).cast("long").alias("safe"))
+    cleaned = kills.select(*group, "node", "var").union(assigns.select(*group, "node", F.col("target").alias("var"))).distinct()
+    moves = storage.save(assigns.select(*group, "node", "target", F.col("value").alias("var")).where("var IS NOT NULL").distinct(), "moves")
+    made = None
+    if cleaners is not None:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.array(*(F.lit(s) for s in sinks)), F.col("sink")) - 1).cast("int"))
+        made = storage.save(cleaners.where(F.col("sink").isin(*sinks)).groupBy(*group, "node", "var").agg(F.bit_or(bit).alias("made")), "cleaners")
+
+    def left(entered: DataFrame) -> DataFrame:
+        """What entered facts become where their nodes end."""
+        if made is not None:
+            entered = entered.join(made, [*group, "node", "var"], "left").withColumn("safe", F.col("safe").bitwiseOR(F.coalesce("made", F.lit(0)))).drop("made")
+        kept = entered.join(cleaned, [*group, "node", "var"], "left_anti").select(*key, "state", "path", "safe")
+        passed = entered.join(moves, [*group, "node", "var"]).select(*group, "node", F.col("target").alias("var"), "origin", "state", F.concat("path", step("assignment")).alias("path"), "safe")
+        return kept.union(passed)
+
+    start = None
+    if entries is not None:
+        binds = sources.select(*group, "node", "var").union(cleaned.select(*group, "node", "var")).distinct()
+        start = _unbound(edges, binds, entries, group).select(*group, "node", "var", F.lit(UNBOUND).alias("origin"), F.lit(UNKNOWN).alias("state"), step("unbound").alias("path"), F.lit(0).cast("long").alias("safe"))
+        start = storage.save(start, "unbound")
+        facts = facts.union(left(start))
+    known = new = storage.save(_fact_rows(facts, group), "facts")
+    while True:
+        arrived = left(_entering(new, edges, guards, group))
+        grown = storage.save(_fact_rows(known.union(arrived), group), "facts")
+        new = storage.save(grown.join(known.withColumnsRenamed({"state": "s", "path": "p", "safe": "f"}), key, "left").where("s IS NULL OR s <> state OR p <> path OR f <> safe").select(*key, "state", "path", "safe"), "changed")
+        known = grown
+        if not new.limit(1).count():
+            break
+    begins = _entering(known, edges, guards, group)
+    begins = begins if start is None else begins.union(start)
+    return known, storage.save(_fact_rows(begins, group), "begins")
+
+
+def _entering(facts: DataFrame, edges: DataFrame, guards: DataFrame | None, group: list[str]) -> DataFrame:
+    rows = facts.withColumnRenamed("node", "src").join(edges, [*group, "src"])
+    if guards is not None:
+        rows = rows.join(guards.select(*group, "src", "dst", "var"), [*group, "src", "dst", "var"], "left_anti")
+    return rows.select(*group, F.col("dst").alias("node"), "var", "origin", "state", "path", "safe")
+
+
+def path_findings(begins: DataFrame, uses: DataFrame, sinks: list[str], group: list[str] = ()) -> DataFrame:
+    """group, node, sink, var, origin, state, path of facts that reach a sink (node, sink, var) that they aren't safe for.
+
+    begins is the second table of taint_paths(), which was given the same sinks. Sinks of
+    another kind are safe for nothing.
+    """
+    position = F.array_position(F.array(*(F.lit(s) for s in sinks)), F.col("sink"))
+    is_safe = (position > 0) & (F.call_function("shiftright", F.col("safe"), F.greatest(position - 1, F.lit(0)).cast("int")).bitwiseAND(1) == 1)
+    found = begins.join(uses.select(*group, "node", "sink", "var").distinct(), [*group, "node", "var"]).where(~is_safe)
+    return found.select(*group, "node", "sink", "var", "origin", "state", "path")
+
+
 def risk(text: str = "text") -> Column:
     """What kind of statement a string starts or contains, for the risk of what is put into it."""
     t = F.lower(F.col(text))

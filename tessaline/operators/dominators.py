@@ -8,12 +8,16 @@ ends in a few rounds, whatever its depth. What is left (loops with several entri
 from a breadth-first tree and moves each head up to the common ancestor of its predecessors
 until none moves: dominators always stay among the ancestors, and at the end they are these.
 
-All graphs of a table run together. Rows are nodes and edges, and nodes times the logarithm
+All graphs of a table run together; where they have few edges in all, one task searches them. Rows are nodes and edges, and nodes times the logarithm
 of the depth while ancestors are looked up; no reachability of pairs is built.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +80,57 @@ def nearest(sets: DataFrame, parents: DataFrame) -> DataFrame:
     return storage.save(done.distinct(), "nearest")
 
 
-def dominator_tree(edges: DataFrame, entries: DataFrame) -> DataFrame:
+#: Edges of all graphs that one task may search.
+LOCAL_EDGES = 50_000
+
+
+def _tree_of(pairs: list[tuple[int | None, int]]) -> list[tuple[int, int | None, int]]:
+    """(node, idom, depth) of a few edges; entries come as edges from None.
+
+    Nodes are numbered as a depth-first search leaves them. Each one's dominator is where
+    the ways up from its predecessors meet, in falling numbers, until none moves.
+    """
+    onward, before = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        onward[a].append(b)
+        before[b].append(a)
+    number, order, stack, seen = {}, [], [(None, iter(onward[None]))], {None}
+    while stack:
+        after = next((n for n in stack[-1][1] if n not in seen), stack)
+        if after is stack:
+            node = stack.pop()[0]
+            number[node] = len(order)
+            order.append(node)
+        else:
+            seen.add(after)
+            stack.append((after, iter(onward[after])))
+    above, moved = {None: None}, True
+    while moved:
+        moved = False
+        for node in order[-2::-1]:
+            known = [n for n in before[node] if n in above]
+            meet = known[0]
+            for other in known[1:]:
+                while meet != other:
+                    if number[meet] < number[other]:
+                        meet = above[meet]
+                    else:
+                        other = above[other]
+            if node not in above or above[node] != meet:
+                above[node], moved = meet, True
+    depth, out = {None: -1}, []
+    for node in order[-2::-1]:
+        depth[node] = depth[above[node]] + 1
+        out.append((node, above[node], depth[node]))
+    return out
+
+
+def _tree_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _tree_of([p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], pa.int64()) for k in range(3)], names=["node", "idom", "depth"])
+
+
+def dominator_tree(edges: DataFrame, entries: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, idom, depth of every node that entries (node) reach along edges (src, dst), which are longs.
 
     idom is the nearest node that all paths from the entry to the node go through; it is null
@@ -87,6 +141,9 @@ def dominator_tree(edges: DataFrame, entries: DataFrame) -> DataFrame:
     entries = storage.save(entries.select(F.col("node").cast("long").alias("node")).where("node IS NOT NULL").distinct(), "entries")
     edges = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src <> dst").distinct()
     edges = storage.save(edges.join(entries.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
+    every = edges.union(entries.select(F.lit(None).cast("long"), "node"))
+    if every.limit(local_edges + 1).count() <= local_edges:
+        return storage.save(every.coalesce(1).mapInArrow(_tree_here, "node long, idom long, depth long"), "tree")
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(entries).distinct()
     groups = storage.save(nodes.select("node", F.col("node").alias("head"), F.col("node").alias("up")), "groups")
     while True:

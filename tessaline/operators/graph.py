@@ -6,6 +6,10 @@ is written to the shared folder, so lineage stays short and lost executors cost
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +47,6 @@ def impact(target: DataFrame, edges: DataFrame, direction: str, depth: int = 1)
     return found.where("distance > 0").join(target.select("node"), "node", "left_anti").groupBy("node").agg(F.min("distance").alias("distance"))
 
 
-def reachability(nodes: DataFrame, edges: DataFrame, confirmed: DataFrame, possible: DataFrame) -> DataFrame:
-    """node, tier: confirmed beats possible, the rest is unreachable."""
-    sure = distances(confirmed, edges).select("node", F.lit("confirmed").alias("sure"))
-    maybe = distances(possible, edges).select("node", F.lit("possible").alias("maybe"))
-    return nodes.join(sure, "node", "left").join(maybe, "node", "left").select("node", F.coalesce("sure", "maybe", F.lit("unreachable")).alias("tier"))
-
-
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component of the undirected graph between the given nodes."""
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
@@ -63,17 +60,63 @@ def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return distances(roots, edges, ["root"]).select(F.col("root").alias("src"), F.col("node").alias("dst"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+#: Edges that one task may search for strong components when no more are left.
+LOCAL_EDGES = 50_000
+
+
+def _components_of(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, largest node of its strong component) of a few edges: a search onward that numbers nodes as it leaves them, then one back in falling numbers."""
+    onward, back = defaultdict(list), defaultdict(list)
+    for a, b in pairs:
+        onward[a].append(b)
+        back[b].append(a)
+    left, seen = [], set()
+    for start in {**onward, **back}:
+        stack = [] if start in seen else [(start, iter(onward[start]))]
+        seen.add(start)
+        while stack:
+            after = next((n for n in stack[-1][1] if n not in seen), None)
+            if after is None:
+                left.append(stack.pop()[0])
+            else:
+                seen.add(after)
+                stack.append((after, iter(onward[after])))
+    out, taken = [], set()
+    for start in reversed(left):
+        if start not in taken:
+            members, queue = [], [start]
+            taken.add(start)
+            while queue:
+                members.append(queue.pop())
+                found = [n for n in back[members[-1]] if n not in taken]
+                taken.update(found)
+                queue += dict.fromkeys(found)
+            out += [(m, max(members)) for m in members]
+    return out
+
+
+def _components_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = _components_of([p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)])
+    yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], names=["node", "colour"])
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """node, component (its smallest node), size, cyclic (several nodes or a loop).
 
     Nodes without an edge in or out of the rest are trimmed off until none goes. What is
     left is coloured with the largest node that reaches it; the nodes that reach their
-    colour's root back are its component and go. Rows never exceed nodes and edges.
+    colour's root back are its component and go. Rows never exceed nodes and edges. As soon
+    as no more than local_edges edges are left, one task finishes them, which saves the long
+    tail of rounds over little; nodes are longs.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop")).distinct()
     left = storage.save(edges.where("src <> dst").select("src", "dst").distinct(), "scc")
     found = None
     while left.limit(1).count():
+        if left.limit(local_edges + 1).count() <= local_edges:
+            part = storage.save(left.coalesce(1).selectExpr("CAST(src AS long) AS src", "CAST(dst AS long) AS dst").mapInArrow(_components_here, "node long, colour long"), "members")
+            found = part if found is None else found.union(part)
+            break
         while True:
             both = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
             kept = storage.save(left.join(both.withColumnRenamed("node", "src"), "src", "left_semi").join(both.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "scc")
@@ -117,44 +160,6 @@ def _spread(edges: DataFrame) -> DataFrame:
         total = mark
 
 
-def cycles(edges: DataFrame, longest: int) -> DataFrame:
-    """cycle (smallest node first), length of all elementary cycles of at most that many nodes."""
-    edges = edges.select("src", "dst").distinct()
-    paths = edges.where("dst >= src").select(F.col("src").alias("root"), F.col("dst").alias("at"), F.array("src").alias("path"))
-    out = None
-    for n in range(1, longest + 1):
-        paths = storage.save(paths, "paths")
-        closed = paths.where("at = root").select(F.col("path").alias("cycle"), F.lit(n).alias("length"))
-        out = closed if out is None else out.union(closed)
-        going = paths.where("at <> root").withColumn("path", F.concat("path", F.array("at")))
-        onward = F.col("dst") == F.col("root")
-        onward |= (F.col("dst") > F.col("root")) & ~F.array_contains(F.col("path"), F.col("dst"))
-        paths = going.join(edges, F.col("at") == F.col("src")).where(onward).select("root", F.col("dst").alias("at"), "path")
-    return out
-
-
-def dominators(edges: DataFrame, entry: int) -> DataFrame:
-    """node, dominator: d dominates n if n isn't reached from the entry node without d.
-
-    Only nodes that d reaches are asked about. All removals run as one search with the
-    removed node as its group.
-    """
-    spark = edges.sparkSession
-    inside = distances(spark.createDataFrame([(entry,)], "node long"), edges).select("node")
-    every = storage.save(closure(inside, edges).select(F.col("src").alias("without"), F.col("dst").alias("node")), "closure")
-    roots = every.select("without").distinct().where(F.col("without") != entry).withColumn("node", F.lit(entry).cast("long"))
-    return every.join(_avoiding(roots, edges), ["without", "node"], "left_anti").select("node", F.col("without").alias("dominator"))
-
-
-def _avoiding(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    known = new = storage.save(roots.select("without", "node"), "avoiding")
-    while True:
-        new = storage.save(_step(new, edges, ["without"]).where("node <> without").join(known, ["without", "node"], "left_anti"), "frontier")
-        if not new.limit(1).count():
-            return known
-        known = storage.save(known.unionByName(new), "avoiding")
-
-
 def guaranteed(exits: DataFrame, edges: DataFrame, entry: DataFrame, cleanup: DataFrame) -> DataFrame:
     """exits (node) with guaranteed: it isn't reached from the entry without a cleanup node."""
     gone = cleanup.select("node")
@@ -163,26 +168,18 @@ def guaranteed(exits: DataFrame, edges: DataFrame, entry: DataFrame, cleanup: Da
     return exits.select("node").join(seen, "node", "left").select("node", F.col("open").isNull().alias("guaranteed"))
 
 
-def propagate(facts: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, fact: facts (node, fact) of all nodes that each node reaches, its own included.
-
-    Facts meet by union, so they travel once against the edges and no node set is closed.
-    """
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return distances(facts.select("fact", "node"), turned, ["fact"]).select("node", "fact")
-
-
-def must_facts(edges: DataFrame, entry: int, gives: DataFrame) -> DataFrame:
-    """node, fact that hold on every path from the entry node to the end of the node: gives (node, fact).
+def must_facts(edges: DataFrame, entries: DataFrame, gives: DataFrame) -> DataFrame:
+    """node, fact that hold on every path from the entry (graph, node) of its graph to the end of the node: gives (graph, node, fact).
 
     The complement is a may analysis: a fact can miss at a node if a path gets there
     without it; so each fact is a search that avoids the nodes that give it. Only facts
-    that reach a node by some path can hold there.
+    that some node of the graph gives and that reach a node by some path can hold there.
+    Graphs share no nodes; edges are src, dst.
     """
-    spark = edges.sparkSession
-    inside = distances(spark.createDataFrame([(entry,)], "node long"), edges).select("node")
+    edges = edges.select("src", "dst")
+    inside = distances(entries.select("node"), edges).select("node")
     every = storage.save(distances(gives.select("fact", "node").join(inside, "node", "left_semi"), edges, ["fact"]).select("fact", "node"), "may")
-    start = gives.select("fact").distinct().withColumn("node", F.lit(entry).cast("long")).join(gives, ["fact", "node"], "left_anti")
+    start = gives.select("graph", "fact").distinct().join(entries, "graph").select("fact", "node").join(gives, ["fact", "node"], "left_anti")
     known = new = storage.save(start, "missing")
     while True:
         new = storage.save(_step(new, edges, ["fact"]).join(gives, ["fact", "node"], "left_anti").join(known, ["fact", "node"], "left_anti"), "frontier")
@@ -206,15 +203,6 @@ def top_partners(pairs: DataFrame, src: str, dst: str, weight: str, n: int) -> D
     return ranked.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
 
 
-def participation(cycles: DataFrame) -> DataFrame:
-    """node, cycles: in how many of the cycles (cycle, an array of nodes) each node is.
-
-    The counts are complete if cycles are; nodes in none give no row. A null cycle counts
-    for nothing; no cycles give no rows.
-    """
-    return cycles.select(F.explode("cycle").alias("node")).groupBy("node").agg(F.count("*").alias("cycles"))
-
-
 def witnesses(edges: DataFrame, components: DataFrame) -> DataFrame:
     """component, cycle, length: the shortest cycle through each cyclic component's smallest node.
 

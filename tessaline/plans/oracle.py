@@ -87,23 +87,32 @@ directives AS (
 _DAY = "date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE))"
 _RANGES = f"ranges AS (SELECT o_custkey, min({_DAY}) AS low, min({_DAY}) + count(*) * 3 AS high FROM orders GROUP BY o_custkey)"
 
-_TRADE = """
-revenue AS (
-  SELECT c_nationkey, s_nationkey, sum(CAST(l_extendedprice AS DECIMAL(20, 2))) AS revenue
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL),
-trade AS (
-  SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst FROM (
-    SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY revenue DESC, s_nationkey) AS rn FROM revenue WHERE c_nationkey <> s_nationkey) WHERE rn <= 2)
+_REFERRALS = """
+SELECT a.c_custkey AS src, b.c_custkey AS dst FROM customer a JOIN customer b ON a.c_custkey // 8 = b.c_custkey // 8
+WHERE a.c_custkey <> b.c_custkey AND (a.c_nationkey + 2 * b.c_nationkey + a.c_custkey + {}) % 4 = 0
 """
+_TRADE = f"trade AS ({_REFERRALS.format(0)})"
 _REACH = f"""
-{_TRADE}, reach AS (
-  SELECT CAST(n_nationkey AS BIGINT) AS src, CAST(n_nationkey AS BIGINT) AS dst FROM nation
-  UNION SELECT reach.src, trade.dst FROM reach JOIN trade ON reach.dst = trade.src)
+{_TRADE}, reach AS (SELECT c_custkey AS src, c_custkey AS dst FROM customer UNION SELECT reach.src, trade.dst FROM reach JOIN trade ON reach.dst = trade.src)
+"""
+#: All ways round from each smallest node.
+_CYCLES = f"""
+{_TRADE}, p AS (
+  SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
+  UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
 """
 _FLOW = """
 flow AS (
-  SELECT DISTINCT n_nationkey AS src, dst FROM nation, LATERAL (SELECT unnest([n_nationkey + 1, n_nationkey * 2 + 1, n_nationkey + 7]) AS dst)
-  WHERE dst < 25 AND (n_nationkey % 4 <> 1 OR dst <> n_nationkey + 1))
+  SELECT DISTINCT p_partkey AS src, p_partkey - p_partkey % 12 + j AS dst FROM part, LATERAL (SELECT unnest([p_partkey % 12 + 1, p_partkey % 12 * 2 + 1, p_partkey % 12 + 5]) AS j)
+  WHERE j < 12 AND (p_size % 4 <> 1 OR j <> p_partkey % 12 + 1))
+"""
+_EFFECTS = f"""
+{_TRADE}, calls AS (
+  SELECT src, dst, CASE WHEN (src + dst) % 7 = 0 THEN 'ambiguous' WHEN (src + dst) % 19 = 3 THEN 'external' ELSE 'matched' END AS status FROM trade WHERE src % 11 <> 0 AND dst % 13 <> 0),
+matched AS (SELECT src, dst FROM calls WHERE status = 'matched'),
+facts AS (
+  SELECT c_custkey AS node, ['effect', 'state_change', 'state_restore', 'error', 'uncertainty'][c_custkey % 5 + 1] AS family, CASE WHEN c_custkey % 10 = 3 THEN 'may_raise' ELSE c_mktsegment END AS fact FROM customer
+  UNION SELECT src, 'uncertainty', status FROM calls WHERE status <> 'matched')
 """
 
 _CALLS = """
@@ -113,22 +122,32 @@ calls AS (
 """
 
 
-def _tainted(guarded: str) -> str:
-    """Taint, less a variable t.var on the edges src, dst for which guarded holds."""
-    return f"""
-{_FLOW}, assigns AS (SELECT n_nationkey AS node, 'v' || (n_nationkey + 1) % 4 AS target, 'v' || n_nationkey % 4 AS value FROM nation WHERE n_nationkey % 3 = 1),
-cleaned AS (SELECT node, target AS var FROM assigns UNION SELECT n_nationkey, 'v' || n_nationkey % 4 FROM nation WHERE n_nationkey % 5 = 3),
-taint AS (
-  SELECT n_nationkey AS node, 'v' || n_nationkey // 8 % 4 AS var, n_nationkey AS origin FROM nation WHERE n_nationkey % 8 = 0
-  UNION SELECT dst, coalesce(target, t.var), origin FROM taint t JOIN flow ON src = t.node AND NOT ({guarded})
-    LEFT JOIN (SELECT node, value AS var, target FROM assigns UNION ALL SELECT dst, v, NULL FROM (SELECT DISTINCT dst FROM flow), (VALUES ('v0'), ('v1'), ('v2'), ('v3')) x(v)) m ON m.node = dst AND m.var = t.var
+_SINK = "['shell', 'sql', 'http'][{} % 3 + 1]"
+_MOVES = f"""
+{_FLOW}, assigns AS (SELECT p_partkey AS node, 'v' || (p_partkey + 1) % 4 AS target, 'v' || p_partkey % 4 AS value FROM part WHERE p_partkey % 3 = 1),
+cleaned AS (SELECT node, target AS var FROM assigns UNION SELECT p_partkey, 'v' || p_partkey % 4 FROM part WHERE p_partkey % 5 = 3),
+moves AS (SELECT node, value AS var, target FROM assigns UNION ALL SELECT dst, v, NULL FROM (SELECT DISTINCT dst FROM flow), (VALUES ('v0'), ('v1'), ('v2'), ('v3')) x(v)),
+sources AS (SELECT p_partkey AS node, 'v' || p_partkey // 8 % 4 AS var, CAST(p_partkey AS VARCHAR) AS origin, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS state FROM part WHERE p_partkey % 8 = 0)
+"""
+#: Every way of every fact, in the first steps of its nodes (begun) and the last (paths); the better of them are picked afterwards.
+_PATHS = f"""
+{_MOVES}, paths AS (
+  SELECT node, var, origin, state, [{{'kind': 'source', 'node': node}}] AS path, CAST(0 AS BIGINT) AS safe FROM sources
+  UNION SELECT dst, coalesce(target, f.var), origin, state, CASE WHEN target IS NULL THEN path ELSE list_append(path, {{'kind': 'assignment', 'node': dst}}) END,
+    safe | CASE WHEN dst % 7 = 2 AND f.var = 'v' || dst % 4 THEN 1 << (dst % 3) ELSE 0 END
+  FROM paths f JOIN flow ON src = f.node JOIN moves m ON m.node = dst AND m.var = f.var
+  WHERE target IS NOT NULL OR NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.node = dst AND c.var = f.var)),
+ends AS (SELECT node, var, origin, max(state) AS state, arg_min(path, {{'n': len(path), 'p': path}}) AS path, bit_and(safe) AS safe FROM paths GROUP BY ALL),
+begins AS (SELECT dst AS node, var, origin, max(state) AS state, arg_min(path, {{'n': len(path), 'p': path}}) AS path, bit_and(safe) AS safe FROM ends JOIN flow ON src = node GROUP BY ALL)
+"""
+_PATH = "array_to_string(list_transform(path, lambda x: x.kind || ':' || x.node), '>') AS path"
+_GUARDED = f"""
+{_MOVES}, taint AS (
+  SELECT node, var, CAST(origin AS BIGINT) AS origin FROM sources
+  UNION SELECT dst, coalesce(target, t.var), origin FROM taint t JOIN flow ON src = t.node AND NOT (dst - src > 1 AND src % 3 < 2 AND t.var = 'v' || src % 4) JOIN moves m ON m.node = dst AND m.var = t.var
   WHERE target IS NOT NULL OR NOT EXISTS (SELECT 1 FROM cleaned c WHERE c.node = dst AND c.var = t.var))
 """
 
-
-_TAINT = _tainted("FALSE")
-_GUARDED = _tainted("dst = 2 * src + 1 AND src % 3 < 2 AND t.var = 'v' || src % 4")
-
 SQL: dict[str, str] = {
     "w1_runs": f"WITH {_RUNS} SELECT user_id, event_type, start_ts, end_ts, n FROM runs",
     "w2_outlier_runs": f"""WITH {_RUNS} SELECT user_id, event_type, start_ts FROM (
@@ -207,39 +226,56 @@ SQL: dict[str, str] = {
     "p6_overlap": f"WITH {_RANGES} SELECT a.o_custkey, b.o_custkey AS other FROM ranges a JOIN ranges b ON a.low <= b.high AND b.low <= a.high",
     "s18_layered": """WITH base AS (SELECT 'K' || p_partkey % 700 AS name, max(p_size) AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)
         SELECT lower(name) AS name, CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_size END AS p_size, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'base,over' ELSE 'base' END AS tags FROM base""",
-    "g1_impact": f"""WITH RECURSIVE {_TRADE}, d AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT dst, distance + 1 FROM d JOIN trade ON src = node WHERE distance < 3),
-        u AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS distance UNION SELECT src, distance + 1 FROM u JOIN trade ON dst = node WHERE distance < 3)
-        SELECT node, min(distance) AS distance FROM (SELECT * FROM d UNION ALL SELECT * FROM u) WHERE node <> 0 GROUP BY node""",
-    "g3_reachability": f"""WITH RECURSIVE {_REACH} SELECT CAST(n_nationkey AS BIGINT) AS node, CASE WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 0) THEN 'confirmed' WHEN n_nationkey IN (SELECT dst FROM reach WHERE src = 1) THEN 'possible' ELSE 'unreachable' END AS tier FROM nation""",
-    "g5_components": f"""WITH RECURSIVE {_TRADE}, n AS (SELECT CAST(n_nationkey AS BIGINT) AS node FROM nation),
-        e AS (SELECT src, dst FROM trade WHERE src IN (SELECT node FROM n) AND dst IN (SELECT node FROM n)), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-        c AS (SELECT node, node AS other FROM n UNION SELECT c.node, b.dst FROM c JOIN b ON c.other = b.src)
+    "g1_impact": f"""WITH RECURSIVE {_TRADE}, d AS (SELECT c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 16 = 1 UNION SELECT dst, distance + 1 FROM d JOIN trade ON src = node WHERE distance < 3),
+        u AS (SELECT c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 16 = 1 UNION SELECT src, distance + 1 FROM u JOIN trade ON dst = node WHERE distance < 3)
+        SELECT node, min(distance) AS distance FROM (SELECT * FROM d UNION ALL SELECT * FROM u) WHERE node % 16 <> 1 GROUP BY node""",
+    "g3_reachability": f"""WITH RECURSIVE {_TRADE}, c AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 24 = 0 UNION SELECT dst FROM c JOIN trade ON src = node),
+        named AS (SELECT c_custkey AS src, c_custkey + 8 AS dst FROM customer WHERE c_custkey % 10 = 3 AND c_custkey // 8 % 4 <> 3), every AS (SELECT * FROM trade UNION SELECT * FROM named),
+        several AS (SELECT c_custkey // 24 AS root FROM customer WHERE c_custkey % 24 IN (9, 10) GROUP BY 1 HAVING count(*) > 1),
+        alone AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 24 IN (9, 10) AND c_custkey // 24 NOT IN (SELECT root FROM several)),
+        sure AS (SELECT node FROM c UNION SELECT node FROM alone UNION SELECT dst FROM sure JOIN trade ON src = node),
+        maybe AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 24 = 5 OR c_custkey % 24 IN (9, 10) AND c_custkey // 24 IN (SELECT root FROM several) UNION SELECT dst FROM named WHERE src IN (SELECT node FROM sure)
+          UNION SELECT dst FROM maybe JOIN every ON src = node)
+        SELECT node, tier FROM (SELECT c_custkey AS node, CASE WHEN c_custkey IN (SELECT node FROM sure) THEN 'confirmed' WHEN c_custkey IN (SELECT node FROM maybe) THEN 'possible' WHEN c_nationkey % 2 = 0 THEN 'unreachable' END AS tier FROM customer) WHERE tier IS NOT NULL""",
+    "g5_components": f"""WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM trade UNION SELECT dst, src FROM trade), c AS (SELECT c_custkey AS node, c_custkey AS other FROM customer UNION SELECT c.node, b.dst FROM c JOIN b ON c.other = b.src)
         SELECT node, min(other) AS component FROM c GROUP BY node""",
     "g6_scc": f"""WITH RECURSIVE {_REACH}, c AS (SELECT a.src AS node, min(a.dst) AS component, count(*) AS size FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT node, component, size, size > 1 AS cyclic FROM c""",
     "g6_witness": f"""WITH RECURSIVE {_REACH}, c AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src HAVING count(*) > 1),
         p AS (SELECT component, component AS at_, [component] AS path FROM c WHERE node = component
           UNION ALL SELECT p.component, dst, list_append(path, dst) FROM p JOIN trade ON src = at_ JOIN c ON c.node = dst AND c.component = p.component WHERE len(path) <= 25 AND (dst = p.component AND at_ <> dst OR NOT list_contains(path, dst)) AND (len(path) = 1 OR at_ <> p.component))
         SELECT component, array_to_string(min(path[:-2]), '>') AS cycle, CAST(len(min(path[:-2])) AS INTEGER) AS length FROM p JOIN (SELECT component, min(len(path)) AS l FROM p WHERE at_ = component AND len(path) > 1 GROUP BY component) m USING (component) WHERE at_ = component AND len(path) = l GROUP BY component""",
-    "g7_cycles": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
-        UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
-        SELECT array_to_string(path, '>') AS cycle, CAST(len(path) AS INTEGER) AS length FROM p WHERE at_ = root""",
-    "g8_participation": f"""WITH RECURSIVE {_TRADE}, p AS (SELECT src AS root, dst AS at_, [src] AS path FROM trade WHERE dst >= src
-        UNION ALL SELECT root, dst, list_append(path, at_) FROM p JOIN trade ON src = at_ WHERE at_ <> root AND len(path) < 5 AND (dst = root OR dst > root AND NOT list_contains(list_append(path, at_), dst)))
-        SELECT CAST(node AS BIGINT) AS node, count(*) AS cycles FROM (SELECT unnest(path) AS node FROM p WHERE at_ = root) GROUP BY node""",
+    "g7_cycles": f"""WITH RECURSIVE {_CYCLES}, w AS (SELECT src, dst FROM trade UNION SELECT w.src, trade.dst FROM w JOIN trade ON w.dst = trade.src),
+        s AS (SELECT a.src AS node, min(a.dst) AS component FROM w a JOIN w b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)
+        SELECT component, array_to_string(path, '>') AS cycle, CAST(len(path) AS BIGINT) AS length, true AS complete FROM p JOIN s ON s.node = root WHERE at_ = root""",
+    "g8_participation": f"WITH RECURSIVE {_CYCLES} SELECT node, count(*) AS cycles, true AS complete FROM (SELECT unnest(path) AS node FROM p WHERE at_ = root) GROUP BY node",
     "l2_custom_order": "SELECT c_mktsegment, CAST(CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 WHEN 'AUTOMOBILE' THEN 2 ELSE 3 END AS INTEGER) AS rank, count(*) AS n FROM customer GROUP BY ALL",
     "l5_total_and_first": "SELECT p_partkey, (SELECT count(*) FROM part WHERE p_size > 25) AS total FROM part WHERE p_size > 25 ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
     "r3_diagnostic_order": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code, row_number() OVER (PARTITION BY doc_id ORDER BY line_no, code) AS place FROM findings",
     "x36_unary": "SELECT p_partkey, CAST(-p_partkey AS BIGINT) AS negated, CAST(-p_partkey - 1 AS BIGINT) AS inverted, CAST(NULL AS BIGINT) AS overflow, pow(p_partkey, -(p_partkey % 3)) AS power FROM part",
-    "g9_affected": f"WITH RECURSIVE {_REACH} SELECT src, count(DISTINCT n_regionkey) AS regions, count(*) AS nodes FROM reach JOIN nation ON n_nationkey = dst GROUP BY src",
-    "g13_dominators": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node),
-        s AS (SELECT r.node AS without, 0 AS node FROM r WHERE r.node <> 0 UNION SELECT without, dst FROM s JOIN flow ON src = s.node WHERE dst <> without)
-        SELECT CAST(r.node AS BIGINT) AS node, CAST(d.node AS BIGINT) AS dominator FROM r, r d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.without = d.node AND s.node = r.node)""",
-    "g14_assigned": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node),
-        m AS (SELECT f AS fact, 0 AS node FROM range(3) t(f) WHERE f <> 0 UNION SELECT fact, dst FROM m JOIN flow ON src = m.node WHERE dst % 3 <> fact)
-        SELECT CAST(r.node AS BIGINT) AS node, CAST(f AS BIGINT) AS fact FROM r, range(3) t(f) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.fact = f AND m.node = r.node)""",
-    "g15_cleanup": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT 0 AS node UNION SELECT dst FROM r JOIN flow ON src = node WHERE dst NOT IN (2, 7, 8))
-        SELECT CAST(n_nationkey AS BIGINT) AS node, n_nationkey NOT IN (SELECT node FROM r) AS guaranteed FROM nation WHERE n_nationkey >= 20""",
-    "d6_effects": f"WITH RECURSIVE {_REACH} SELECT DISTINCT src AS node, c_mktsegment AS fact FROM reach JOIN customer ON c_nationkey = dst",
+    "g9_affected": f"WITH RECURSIVE {_REACH} SELECT src, count(DISTINCT c_nationkey) AS nations, count(*) AS nodes FROM reach JOIN customer ON c_custkey = dst GROUP BY src",
+    "g13_dominators": f"""WITH RECURSIVE {_FLOW}, loops AS (SELECT src, dst FROM flow UNION SELECT p_partkey, p_partkey - 4 FROM part WHERE p_size % 5 = 0 AND p_partkey % 12 >= 4),
+        r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 12 = 0 UNION SELECT dst FROM r JOIN loops ON src = node),
+        s AS (SELECT node AS without, node - node % 12 AS node FROM r WHERE node % 12 <> 0 UNION SELECT without, dst FROM s JOIN loops ON src = s.node WHERE dst <> without),
+        d AS (SELECT a.node, b.node AS over FROM r a JOIN r b ON a.node // 12 = b.node // 12 WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.without = b.node AND s.node = a.node)),
+        n AS (SELECT node, count(*) - 1 AS depth FROM d GROUP BY node)
+        SELECT d.node, arg_max(over, o.depth) FILTER (over <> d.node) AS idom, any_value(n.depth) AS depth FROM d JOIN n ON n.node = d.node JOIN n o ON o.node = over GROUP BY d.node""",
+    "g14_assigned": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 12 = 0 UNION SELECT dst FROM r JOIN flow ON src = node),
+        m AS (SELECT f AS fact, p_partkey AS node FROM part, range(3) t(f) WHERE p_partkey % 12 = 0 AND p_partkey % 3 <> f UNION SELECT fact, dst FROM m JOIN flow ON src = m.node WHERE dst % 3 <> fact OR dst > (SELECT max(p_partkey) FROM part))
+        SELECT r.node, CAST(f AS BIGINT) AS fact FROM r, range(3) t(f) WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.fact = f AND m.node = r.node)""",
+    "g15_cleanup": f"""WITH RECURSIVE {_FLOW}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 12 = 0 UNION SELECT dst FROM r JOIN flow ON src = node WHERE dst % 12 NOT IN (2, 7, 8))
+        SELECT p_partkey AS node, p_partkey NOT IN (SELECT node FROM r) AS guaranteed FROM part WHERE p_partkey % 12 >= 9""",
+    "d6_witness": f"""WITH RECURSIVE {_EFFECTS}, w AS (SELECT DISTINCT node, [node] AS chain FROM facts WHERE fact = 'may_raise'
+          UNION SELECT src, list_prepend(src, chain) FROM w JOIN matched ON dst = w.node WHERE NOT list_contains(chain, src)),
+        b AS (SELECT node, arg_min(chain, {{'n': len(chain), 'c': chain}}) AS chain FROM w GROUP BY node)
+        SELECT node, chain[2] AS witness, array_to_string(chain, '>') AS chain FROM b WHERE len(chain) > 1""",
+    "g12_flow_reachable": f"""WITH RECURSIVE {_FLOW}, normal AS (SELECT src, dst FROM flow WHERE (src + dst) % 3 <> 0),
+        r AS (SELECT p_partkey AS node FROM part WHERE p_partkey % 12 = 0 UNION SELECT dst FROM r JOIN normal ON src = node),
+        o AS (SELECT DISTINCT p_partkey // 12 AS graph FROM part WHERE p_size % 17 = 3 AND p_partkey IN (SELECT node FROM r)),
+        m AS (SELECT p_partkey AS node FROM part WHERE p_partkey // 12 IN (SELECT graph FROM o) AND p_partkey % 12 NOT IN (0, 11) UNION SELECT dst FROM m JOIN normal ON src = node)
+        SELECT p_partkey // 12 AS graph, p_partkey AS node, CASE p_partkey % 12 WHEN 0 THEN 'entry' WHEN 11 THEN 'exit' ELSE 'statement' END AS kind,
+          CASE WHEN p_partkey IN (SELECT node FROM r) THEN 'flow' WHEN p_partkey IN (SELECT node FROM m) THEN 'unknown' END AS via FROM part""",
+    "d6_effects": f"""WITH RECURSIVE {_EFFECTS}, r AS (SELECT c_custkey AS src, c_custkey AS dst FROM customer UNION SELECT r.src, m.dst FROM r JOIN matched m ON r.dst = m.src)
+        SELECT src AS node, family, fact, bool_or(src = node) AS direct FROM r JOIN facts ON node = dst GROUP BY ALL""",
     "a14_depths": "WITH RECURSIVE d AS (SELECT p_partkey AS node, 1 AS depth FROM part WHERE p_partkey <= 3 UNION ALL SELECT p_partkey, depth + 1 FROM d JOIN part ON p_partkey > 3 AND p_partkey // 3 = node) SELECT node, depth FROM d",
     "l8_rotation": """WITH c AS (SELECT p_partkey, list_transform(range(1, 6), lambda i: (p_partkey * 7 + i * 31) % 101) AS c FROM part), m AS (SELECT *, list_position(c, list_min(c)) AS at_ FROM c)
         SELECT p_partkey, array_to_string(list_concat(c[at_:], c[:at_ - 1]), '>') AS cycle FROM m""",
@@ -265,17 +301,12 @@ SQL: dict[str, str] = {
         SELECT kind, src, dst, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM e GROUP BY ALL""",
     "a21_state_access": """WITH e AS (SELECT event_type, CAST(user_id % 12 AS VARCHAR) AS p, event_id % 4 AS k FROM events)
         SELECT event_type, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (0, 3)), '') AS readers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (1, 3)), '') AS writers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (2, 3)), '') AS mutators FROM e GROUP BY 1""",
-    "d1_taint": f"WITH RECURSIVE {_TAINT} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
-    "d2_sinks": f"WITH RECURSIVE {_TAINT} SELECT DISTINCT CAST(dst AS BIGINT) AS node, 'exec' AS sink, var, CAST(origin AS BIGINT) AS origin FROM taint JOIN flow ON src = node WHERE dst % 2 = 1 AND var = 'v' || dst % 4",
-    "d3_guards": f"WITH RECURSIVE {_GUARDED} SELECT CAST(node AS BIGINT) AS node, var, CAST(origin AS BIGINT) AS origin FROM taint",
-    "d4_catalogues": """SELECT * FROM (VALUES ('parameter', 'procedure parameter', 'source'), ('worksheet_cell', 'worksheet cell value', 'source'), ('inputbox', 'InputBox', 'source'), ('file_input', 'text/CSV file input', 'source'),
-        ('environment_variable', 'environment variable', 'source'), ('command_line_argument', 'command-line argument', 'source'), ('http_response', 'HTTP response', 'source'), ('database_result', 'database result', 'source'),
-        ('shell', 'Shell', 'sink'), ('wscript_shell_run', 'WScript.Shell.Run', 'sink'), ('wscript_shell_exec', 'WScript.Shell.Exec', 'sink'), ('shell_execute', 'ShellExecute', 'sink'), ('sql_execution', 'SQL execution', 'sink'),
-        ('destructive_file_operation', 'destructive file operation', 'sink'), ('workbooks_open', 'Workbooks.Open', 'sink'), ('save_as', 'SaveAs', 'sink'), ('http_request_url', 'HTTP request URL', 'sink'), ('http_request_header', 'HTTP request header', 'sink')) x(kind, label, side)""",
-    "d7_provenance": f"""WITH RECURSIVE {_REACH} SELECT src AS owner, dst AS origin, c_mktsegment AS fact, count(*) AS n FROM reach JOIN customer ON c_nationkey = dst WHERE src <> dst GROUP BY ALL""",
+    "d1_taint": f"WITH RECURSIVE {_PATHS} SELECT node, var, origin, state, {_PATH}, safe FROM ends",
+    "d2_sinks": f"""WITH RECURSIVE {_PATHS} SELECT node, {_SINK.format("(node // 2)")} AS sink, var, origin, state, {_PATH} FROM begins WHERE node % 2 = 1 AND var = 'v' || node % 4 AND (safe >> (node // 2 % 3)) & 1 = 0""",
+    "d3_guards": f"WITH RECURSIVE {_GUARDED} SELECT node, var, origin FROM taint",
+    "d7_provenance": f"WITH RECURSIVE {_REACH} SELECT src AS owner, dst AS origin, c_mktsegment AS fact, CAST(c_nationkey AS BIGINT) AS nation FROM reach JOIN customer ON c_custkey = dst WHERE src <> dst",
     "t7_watched_files": "SELECT user_id, CASE WHEN arg_max(event_id, event_id) % 3 = 0 THEN 'remove' ELSE 'refresh' END AS action, count(*) AS n FROM events GROUP BY user_id",
-    "g11_affected": f"""WITH RECURSIVE {_TRADE}, {_FLOW}, b AS (SELECT src, dst FROM trade UNION SELECT src, dst FROM flow),
-        a AS (SELECT CAST(6 AS BIGINT) AS node, 0 AS distance UNION SELECT CAST(src AS BIGINT), distance + 1 FROM a JOIN b ON dst = node WHERE distance < 30)
+    "g11_affected": f"""WITH RECURSIVE b AS ({_REFERRALS.format(0)} UNION {_REFERRALS.format(1)}), a AS (SELECT c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 32 = 6 UNION SELECT src, distance + 1 FROM a JOIN b ON dst = node WHERE distance < 8)
         SELECT node, min(distance) AS distance FROM a GROUP BY node""",
     "j19_assignable": """WITH RECURSIVE up AS (SELECT n_nationkey AS s, n_nationkey AS t FROM nation UNION SELECT s, t // 2 FROM up WHERE t > 0)
         SELECT 'T' || n_nationkey AS source, name AS target, CASE WHEN n_nationkey < 23 AND k < 23 THEN EXISTS (SELECT 1 FROM up WHERE s = n_nationkey AND t = k) END AS assignable FROM nation, (VALUES ('t1', 1), ('t2', 2), ('T24', 24)) x(name, k)""",

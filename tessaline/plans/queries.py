@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.functions import scalars
-from tessaline.operators import calls, dataflow, diff, graph, ranking, resolve, rollup, rules
+from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, reach, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
 from tessaline.streaming.events import sessions, settled_changes
@@ -396,27 +396,40 @@ def s18_layered(spark, sf_dir):
     return out.select("name", "p_size", "p_partkey", F.array_join("tags", ",").alias("tags"))
 
 
+def _customers(spark, sf_dir):
+    """Customers in neighbourhoods of eight, as many as the table has."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey").cast("long")
+    return c.select(key.alias("node"), F.floor(key / 8).alias("block"), F.col("c_nationkey").cast("long").alias("nation"), "c_mktsegment")
+
+
+def _referrals(spark, sf_dir, shift=0):
+    a, b = (_customers(spark, sf_dir).select("block", F.col("node").alias(x), F.col("nation").alias(f"{x}_nation")) for x in ("src", "dst"))
+    return a.join(b, "block").where((F.col("src") != F.col("dst")) & ((F.col("src_nation") + 2 * F.col("dst_nation") + F.col("src") + shift) % 4 == 0))
+
+
 def _trade(spark, sf_dir):
-    """Each nation's customers' two best partner nations by whole revenue."""
-    lines, orders, customer, supplier = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customer, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
-    pairs = rows.groupBy("c_nationkey", "s_nationkey").agg(F.sum(F.col("l_extendedprice").cast("decimal(20,2)")).alias("revenue"))
-    return storage.save(graph.top_partners(pairs, "c_nationkey", "s_nationkey", "revenue", 2), "trade")
+    """Whom a customer refers to in its neighbourhood."""
+    return storage.save(_referrals(spark, sf_dir).select("src", "dst"), "trade")
 
 
 def _nodes(spark, sf_dir):
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
+    return _customers(spark, sf_dir).select("node")
 
 
 @query
 def g1_impact(spark, sf_dir):
-    return graph.impact(_nodes(spark, sf_dir).where("node = 0"), _trade(spark, sf_dir), "both", 3)
+    return graph.impact(_nodes(spark, sf_dir).where("node % 16 = 1"), _trade(spark, sf_dir), "both", 3)
 
 
 @query
 def g3_reachability(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    return graph.reachability(n, _trade(spark, sf_dir), n.where("node = 0"), n.where("node = 1"))
+    c, key = _customers(spark, sf_dir), F.col("node")
+    nodes = c.select("node", F.when(F.col("nation") % 2 == 0, "Private").otherwise("Public").alias("visibility"))
+    roots = c.select(F.concat(F.lit("R"), F.floor(key / 24).cast("string"), F.when(key % 24 == 0, "a").when(key % 24 == 5, "b").when(key % 24 < 11, "c").cast("string")).alias("root"), "node", F.when(key % 24 == 5, "possible").otherwise("confirmed").alias("confidence"), F.lit(True).alias("exact"))
+    roots = roots.where("node % 24 IN (0, 5, 9, 10)")
+    dynamic = c.where("node % 10 = 3 AND block % 4 <> 3").select(key.alias("caller"), (key + 8).alias("target"))
+    return reach.reachability(nodes, _trade(spark, sf_dir), roots, dynamic)
 
 
 @query
@@ -438,12 +451,12 @@ def g6_witness(spark, sf_dir):
 
 @query
 def g7_cycles(spark, sf_dir):
-    return graph.cycles(_trade(spark, sf_dir), 5).select(F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length")
+    return cycles.cycles(_trade(spark, sf_dir)).select("component", F.array_join(F.transform("cycle", lambda x: x.cast("string")), ">").alias("cycle"), "length", "complete")
 
 
 @query
 def g8_participation(spark, sf_dir):
-    return graph.participation(graph.cycles(_trade(spark, sf_dir), 5))
+    return cycles.participation(cycles.cycles(_trade(spark, sf_dir)))
 
 
 @query
@@ -472,40 +485,77 @@ def x36_unary(spark, sf_dir):
 
 @query
 def g9_affected(spark, sf_dir):
-    reach = graph.closure(_nodes(spark, sf_dir), _trade(spark, sf_dir))
-    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("dst"), "n_regionkey")
-    return reach.join(storage.broadcast_if_small(nation), "dst").groupBy("src").agg(F.count_distinct("n_regionkey").alias("regions"), F.count("*").alias("nodes"))
+    closed = graph.closure(_nodes(spark, sf_dir), _trade(spark, sf_dir))
+    nation = _customers(spark, sf_dir).select(F.col("node").alias("dst"), "nation")
+    return closed.join(nation, "dst").groupBy("src").agg(F.count_distinct("nation").alias("nations"), F.count("*").alias("nodes"))
+
+
+def _steps(spark, sf_dir):
+    """Parts as steps of flow graphs of twelve: graph, node, place in it, p_size."""
+    key = F.col("p_partkey").cast("long")
+    return table(spark, sf_dir, "part").select(F.floor(key / 12).alias("graph"), key.alias("node"), (key % 12).alias("place"), "p_size")
 
 
 def _flow(spark, sf_dir):
-    """A flow graph from node 0: a nation leads to the next and to two more by arithmetic."""
-    n = _nodes(spark, sf_dir)
-    to = F.array(F.col("node") + 1, F.col("node") * 2 + 1, F.col("node") + 7)
-    keep = (F.col("src") % 4 != 1) | (F.col("dst") != F.col("src") + 1)
-    return n.select(F.col("node").alias("src"), F.explode(to).alias("dst")).where("dst < 25").where(keep).distinct()
+    """A step leads to the next, unless its size forbids it, and to two more by arithmetic; always onward."""
+    to = F.array(F.col("place") + 1, F.col("place") * 2 + 1, F.col("place") + 5)
+    rows = _steps(spark, sf_dir).select("graph", F.col("node").alias("src"), "place", "p_size", F.explode(to).alias("to"))
+    rows = rows.where((F.col("to") < 12) & ((F.col("p_size") % 4 != 1) | (F.col("to") != F.col("place") + 1)))
+    return rows.select("graph", "src", (F.col("graph") * 12 + F.col("to")).alias("dst")).distinct()
+
+
+def _entries(spark, sf_dir):
+    return _steps(spark, sf_dir).where("place = 0").select("graph", "node")
 
 
 @query
 def g13_dominators(spark, sf_dir):
-    return graph.dominators(_flow(spark, sf_dir), 0)
+    back = _steps(spark, sf_dir).where("p_size % 5 = 0 AND place >= 4").select(F.col("node").alias("src"), (F.col("node") - 4).alias("dst"))
+    return dominators.dominator_tree(_flow(spark, sf_dir).select("src", "dst").union(back), _entries(spark, sf_dir))
+
+
+@query
+def g12_flow_reachable(spark, sf_dir):
+    steps = _steps(spark, sf_dir)
+    nodes = steps.select("graph", "node", F.when(F.col("place") == 0, "entry").when(F.col("place") == 11, "exit").otherwise("statement").alias("kind"))
+    edges = _flow(spark, sf_dir).withColumn("class", F.when((F.col("src") + F.col("dst")) % 3 == 0, "exceptional").otherwise("normal"))
+    return reach.flow_reachable(nodes, edges, _entries(spark, sf_dir), steps.where("p_size % 17 = 3").select("node"), ["normal"])
 
 
 @query
 def g14_assigned(spark, sf_dir):
-    gives = _nodes(spark, sf_dir).select("node", (F.col("node") % 3).alias("fact"))
-    return graph.must_facts(_flow(spark, sf_dir), 0, gives)
+    gives = _steps(spark, sf_dir).select("graph", "node", (F.col("node") % 3).alias("fact"))
+    return graph.must_facts(_flow(spark, sf_dir), _entries(spark, sf_dir), gives)
 
 
 @query
 def g15_cleanup(spark, sf_dir):
-    n = _nodes(spark, sf_dir)
-    return graph.guaranteed(n.where("node >= 20"), _flow(spark, sf_dir), n.where("node = 0"), n.where("node IN (2, 7, 8)"))
+    n = _steps(spark, sf_dir)
+    return graph.guaranteed(n.where("place >= 9"), _flow(spark, sf_dir).select("src", "dst"), n.where("place = 0"), n.where("place IN (2, 7, 8)"))
+
+
+def _effect_calls(spark, sf_dir):
+    a, b = F.col("src"), F.col("dst")
+    status = F.when((a + b) % 7 == 0, "ambiguous").when((a + b) % 19 == 3, "external").otherwise("matched")
+    found = F.when((a + b) % 7 == 0, F.array(b, b + 1)).otherwise(F.array(b))
+    return _trade(spark, sf_dir).select("src", status.alias("status"), found.alias("candidates"), (a % 11 != 0).alias("reachable"), (b % 13 == 0).alias("recovered"))
+
+
+def _facts(spark, sf_dir):
+    family = F.element_at(F.array(*(F.lit(f) for f in effects.FAMILIES)), (F.col("node") % 5 + 1).cast("int"))
+    own = _customers(spark, sf_dir).select("node", family.alias("family"), F.when(F.col("node") % 10 == 3, effects.MAY_RAISE).otherwise(F.col("c_mktsegment")).alias("fact"))
+    return own.union(effects.uncertain(_effect_calls(spark, sf_dir)))
 
 
 @query
 def d6_effects(spark, sf_dir):
-    facts = table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).distinct()
-    return graph.propagate(facts, _trade(spark, sf_dir))
+    return effects.propagate(_facts(spark, sf_dir), effects.call_edges(_effect_calls(spark, sf_dir)))
+
+
+@query
+def d6_witness(spark, sf_dir):
+    found = effects.witnesses(_facts(spark, sf_dir), effects.call_edges(_effect_calls(spark, sf_dir)))
+    return found.select("node", "witness", F.array_join(F.transform("chain", lambda x: x.cast("string")), ">").alias("chain"))
 
 
 @query
@@ -587,26 +637,41 @@ def a21_state_access(spark, sf_dir):
     return found.select("event_type", *(F.array_join(c, ",").alias(c) for c in ("readers", "writers", "mutators")))
 
 
+SINK_KINDS = ["shell", "sql", "http"]
+
+
 def _taint(spark, sf_dir):
-    n, flow = _nodes(spark, sf_dir), _flow(spark, sf_dir)
+    n = _steps(spark, sf_dir)
     name = lambda x: F.concat(F.lit("v"), (x % 4).cast("string"))
-    sources = n.where("node % 8 = 0").select("node", name(F.floor(F.col("node") / 8)).alias("var"), F.col("node").alias("origin"))
+    sources = n.where("node % 8 = 0").select("node", name(F.floor(F.col("node") / 8)).alias("var"), F.col("node").alias("origin"), F.when(F.col("p_size") % 3 == 0, 2).otherwise(1).alias("state"))
     assigns = n.where("node % 3 = 1").select("node", name(F.col("node") + 1).alias("target"), name(F.col("node")).alias("value"))
     kills = n.where("node % 5 = 3").select("node", name(F.col("node")).alias("var"))
-    return flow, sources, assigns, kills
+    return _flow(spark, sf_dir).select("src", "dst"), sources, assigns, kills
+
+
+def _sink_of(node):
+    return F.element_at(F.array(*(F.lit(s) for s in SINK_KINDS)), (node % 3 + 1).cast("int")).alias("sink")
+
+
+def _taint_paths(spark, sf_dir):
+    flow, sources, assigns, kills = _taint(spark, sf_dir)
+    cleaners = _steps(spark, sf_dir).where("node % 7 = 2").select("node", F.concat(F.lit("v"), (F.col("node") % 4).cast("string")).alias("var"), _sink_of(F.col("node")))
+    return dataflow.taint_paths(flow, sources, assigns, kills, SINK_KINDS, cleaners)
+
+
+def _written(path):
+    return F.array_join(F.transform(path, lambda s: F.concat(s["kind"], F.lit(":"), s["node"].cast("string"))), ">").alias("path")
 
 
 @query
 def d1_taint(spark, sf_dir):
-    flow, sources, assigns, kills = _taint(spark, sf_dir)
-    return dataflow.taint(flow, sources, assigns, kills)
+    return _taint_paths(spark, sf_dir)[0].select("node", "var", "origin", "state", _written("path"), "safe")
 
 
 @query
 def d2_sinks(spark, sf_dir):
-    flow, sources, assigns, kills = _taint(spark, sf_dir)
-    sinks = _nodes(spark, sf_dir).where("node % 2 = 1").select("node", F.lit("exec").alias("sink"), F.concat(F.lit("v"), (F.col("node") % 4).cast("string")).alias("var"))
-    return dataflow.sink_findings(dataflow.taint(flow, sources, assigns, kills), flow, sinks)
+    uses = _steps(spark, sf_dir).where("node % 2 = 1").select("node", _sink_of(F.floor(F.col("node") / 2)), F.concat(F.lit("v"), (F.col("node") % 4).cast("string")).alias("var"))
+    return dataflow.path_findings(_taint_paths(spark, sf_dir)[1], uses, SINK_KINDS).select("node", "sink", "var", "origin", "state", _written("path"))
 
 
 @query
@@ -615,17 +680,12 @@ def d3_guards(spark, sf_dir):
     name = F.concat(F.lit("v"), (F.col("src") % 4).cast("string"))
     text = F.when(F.col("src") % 3 == 0, F.concat(name, F.lit(" = 7"))).when(F.col("src") % 3 == 1, F.lit('"a", 2')).otherwise(F.concat(name, F.lit(" > 7")))
     branches = flow.withColumn("kind", F.when(F.col("src") % 3 == 1, "case").otherwise("branch_true")).withColumn("condition", text).withColumn("selector", name)
-    return dataflow.taint(flow, sources, assigns, kills, guards=dataflow.equality_guards(branches.where("dst = 2 * src + 1")))
-
-
-@query
-def d4_catalogues(spark, sf_dir):
-    return dataflow.kinds(spark, dataflow.SOURCES).withColumn("side", F.lit("source")).union(dataflow.kinds(spark, dataflow.SINKS).withColumn("side", F.lit("sink")))
+    return dataflow.taint(flow, sources, assigns, kills, guards=dataflow.equality_guards(branches.where("dst - src > 1")))
 
 
 @query
 def d7_provenance(spark, sf_dir):
-    evidence = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("node"), F.col("c_mktsegment").alias("fact")).agg(F.count("*").alias("n"))
+    evidence = _customers(spark, sf_dir).select("node", F.col("c_mktsegment").alias("fact"), "nation")
     return graph.provenance(_nodes(spark, sf_dir).withColumnRenamed("node", "owner"), _trade(spark, sf_dir), evidence).withColumnRenamed("node", "origin")
 
 
@@ -637,8 +697,7 @@ def t7_watched_files(spark, sf_dir):
 
 @query
 def g11_affected(spark, sf_dir):
-    flow, trade = _flow(spark, sf_dir), _trade(spark, sf_dir)
-    return dataflow.affected(flow, trade, _nodes(spark, sf_dir).where("node = 6"))
+    return dataflow.affected(_trade(spark, sf_dir), _referrals(spark, sf_dir, 1), _nodes(spark, sf_dir).where("node % 32 = 6"))
 
 
 @query

@@ -41,11 +41,6 @@ def test_orders(spark):
     assert {(r.file, r.line, r.code): r.place for r in rules.in_order(found, ["file"], "line", "column", "code").collect()} == {("f", 1, "A"): 1, ("f", 2, "A"): 2, ("f", 2, "B"): 3, ("g", None, None): 1}
 
 
-def test_participation(spark):
-    cycles = spark.createDataFrame([([1, 2],), ([2, 3, 4],), (None,)], "cycle array<long>")
-    assert {r.node: r.cycles for r in graph.participation(cycles).collect()} == {1: 1, 2: 2, 3: 1, 4: 1}
-
-
 def test_precision_counts_what_nobody_reviewed(spark):
     df = spark.createDataFrame([("r", True, True), ("r", False, True), ("r", None, True), ("s", None, False)], "rule string, truth boolean, claim boolean")
     got = {r.rule: r for r in rules.precision(df, ["rule"], F.col("truth"), F.col("claim")).collect()}

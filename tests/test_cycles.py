@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessaline.operators import cycles
+from tessaline.operators import cycles, graph
 
 rng = random.Random(7)
 
@@ -90,3 +90,11 @@ def test_steps_keep_the_earliest_parallel_edge(spark):
     got = cycles.cycle_edges(cycles.cycles(edges), edges, ["line"]).orderBy("src").collect()
     assert [(list(r.cycle), r.place, r.src, r.dst, r.line, r.file) for r in got] == [([1], 0, 1, 1, 9, None), ([2, 3], 0, 2, 3, 2, "g"), ([2, 3], 1, 3, 2, 3, "f")]
     assert cycles.cycle_edges(cycles.cycles(edges.where(F.lit(False))), edges, ["line"]).count() == 0
+
+
+def test_strong_components_by_rounds_and_in_one_task(spark):
+    edges = [e for name in ("loops, nulls, repeats", "nested", "random", "several") for e in CASES[name] if None not in e]
+    nodes = spark.createDataFrame([(n,) for n in sorted({n for e in edges for n in e})], "node long")
+    df = spark.createDataFrame(edges, "src long, dst long")
+    once, rounds = (sorted(tuple(r) for r in graph.strong_components(nodes, df, local_edges=n).collect()) for n in (graph.LOCAL_EDGES, 0))
+    assert once == rounds and len(once) == nodes.count() and any(size > 3 for _, _, size, _ in once)

@@ -46,6 +46,8 @@ def test_trees_match_brute_force(spark):
     entries = spark.createDataFrame([(1000 * k,) for k in range(8)] + [(None,)], "node long")
     tree = dominators.dominator_tree(edges, entries)
     assert {r.node: (r.idom, r.depth) for r in tree.collect()} == want
+    rounds = dominators.dominator_tree(edges, entries, local_edges=0)
+    assert {r.node: (r.idom, r.depth) for r in rounds.collect()} == want
     nodes = sorted(want)
     asked = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(300)] + [(d, n) for n in nodes for d in sorted(strict[n])[:2]] + [(0, 0), (77777, 0), (None, 0)]
     got = dominators.dominates(spark.createDataFrame(asked, "dominator long, node long"), tree).collect()
