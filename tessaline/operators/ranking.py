@@ -1,39 +1,26 @@
-"""Percentiles, scores, retention and other choices by rank.
-
-Windows without a partition run over cohorts that the caller has aggregated, never over
-raw rows; everything else is partitioned by the caller's keys.
-"""
+"""Scores, retention and other choices by rank, partitioned by the caller's keys; ranks.py has what runs over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def percentile(value: Column, cohort: list[str | Column]) -> Column:
-    """The average-rank percentile from 0 to 100 of a value in its cohort; 0 if all are equal."""
-    everyone = Window.partitionBy(*cohort)
-    first = F.rank().over(everyone.orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*cohort, value))
-    n = F.count("*").over(everyone)
-    varies = F.min(value).over(everyone) < F.max(value).over(everyone)
-    return F.when(varies, 100.0 * (first - 1 + (ties - 1) / 2) / (n - 1)).otherwise(0.0)
+from tessaline import storage
+from tessaline.operators.ranks import percentiles, positions
 
 
 def hotspots(df: DataFrame, signals: list[str], ties: list[str], cohort: list[str] = ()) -> DataFrame:
     """Adds a percentile per signal (p_...), score and position.
 
     The score is the mean percentile of the signals that vary in the cohort, rounded to two
-    places; the position follows the score, then the ties.
+    places, 0 if none does; the position follows the score, then the ties. An empty df gives
+    no rows.
     """
-    everyone = Window.partitionBy(*cohort)
-    for s in signals:
-        df = df.withColumn(f"p_{s}", percentile(F.col(s), list(cohort)))
-    active = [(F.min(s).over(everyone) < F.max(s).over(everyone)).cast("int") for s in signals]
+    df = percentiles(df, signals, cohort)
     total = sum((F.col(f"p_{s}") for s in signals[1:]), F.col(f"p_{signals[0]}"))
-    n = sum(active[1:], active[0])
-    df = df.withColumn("score", F.round(F.when(n > 0, total / n).otherwise(0.0), 2))
-    return df.withColumn("position", F.row_number().over(everyone.orderBy(F.desc("score"), *ties)))
+    n = sum((F.col(f"v_{s}").cast("int") for s in signals[1:]), F.col(f"v_{signals[0]}").cast("int"))
+    scored = df.withColumn("score", F.round(F.when(n > 0, total / n).otherwise(0.0), 2)).drop(*(f"v_{s}" for s in signals))
+    return positions(scored, [F.desc("score"), *ties], cohort)
 
 
 def top_or_threshold(ranked: DataFrame, top: int, threshold: float) -> DataFrame:
@@ -75,9 +62,14 @@ def size_budget(df: DataFrame, cohort: list[str], oldest: list[str], size: str,
 
 
 def last_n(df: DataFrame, cohort: list[str], newest: list[str], n: int) -> DataFrame:
-    """The last n rows of a cohort with how many there were and whether some are missing."""
-    total = F.count("*").over(Window.partitionBy(*cohort))
-    out = newest_numbers(df.withColumn("total", total), cohort, newest).where(F.col("recency") <= n)
+    """The last n rows of a cohort with how many there were and whether some are missing.
+
+    Rows are counted apart from their order, so each task keeps its last n of a cohort before
+    they meet. Null keys are a cohort.
+    """
+    totals = df.groupBy(*cohort).agg(F.count("*").alias("total")).select(F.struct(*cohort).alias("_cohort"), "total")
+    kept = keep_last(df, cohort, newest, n).withColumn("_cohort", F.struct(*cohort))
+    out = kept.join(storage.broadcast_if_small(storage.save(totals, "totals")), "_cohort").drop("_cohort")
     return out.withColumn("truncated", F.col("total") > n)
 
 

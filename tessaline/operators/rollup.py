@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaline import storage
+from tessaline.operators.ranks import positions
+
 
 def status_summary(df: DataFrame, group: list[str], status: str, known: list[str], default: str) -> DataFrame:
     """Rows per group and over all (group null, total true) of each known status; others count as the default."""
@@ -64,8 +67,28 @@ def compared_counts(actual: DataFrame, declared: DataFrame, key: list[str], n: s
     return a.join(d, key, "full_outer").where(~F.col("actual").eqNullSafe(F.col("declared")))
 
 
-def digest(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """SHA-256 over each group's values in order; each is hashed first, so a group's rows are short."""
-    rows = df.select(*group, F.struct(*order, F.sha2(F.col(value).cast("string"), 256).alias("_h")).alias("_r"))
-    lines = F.transform(F.sort_array(F.collect_list("_r")), lambda r: r["_h"])
-    return rows.groupBy(*group).agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest"))
+#: Hashes that are joined into one on each level of a digest.
+CHUNK = 256
+
+
+def digest(df: DataFrame, group: list[str], order: list[str], value: str, chunk: int = CHUNK) -> DataFrame:
+    """group, digest of each group's values in order: the root of a tree of SHA-256 hashes.
+
+    A value's leaf is its hash, "" for a null. On each level the hashes of so many places in
+    order are joined by line feeds and hashed, until a group has one; a group of one value
+    goes through one level too. So no row is longer than a chunk, and a changed value changes
+    the hashes on its path alone. order tells the rows of a group apart; null keys are a group.
+    """
+    leaf = F.coalesce(F.sha2(F.col(value).cast("string"), 256), F.lit(""))
+    level = positions(df.select(*group, leaf.alias("_h"), *(c for c in order if c not in group)), list(order), group, "_at")
+    level, done = level.select(F.struct(*group).alias("_g"), (F.col("_at") - 1).cast("long").alias("_at"), "_h"), None
+    while True:
+        rows = F.sort_array(F.collect_list(F.struct("_at", "_h")))
+        parts = level.groupBy("_g", F.floor(F.col("_at") / chunk).alias("_up")).agg(F.array_join(F.transform(rows, lambda r: r["_h"]), "\n").alias("_l"))
+        level = storage.save(parts.select("_g", F.col("_up").alias("_at"), F.sha2("_l", 256).alias("_h")), "digest")
+        open_ = level.where("_at > 0").select("_g").distinct()
+        roots = level.join(open_, "_g", "left_anti").select("_g.*", F.col("_h").alias("digest"))
+        done = roots if done is None else done.union(roots)
+        level = storage.save(level.join(open_, "_g", "left_semi"), "digest")
+        if not level.limit(1).count():
+            return done

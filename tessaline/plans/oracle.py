@@ -199,7 +199,11 @@ SQL: dict[str, str] = {
     "a17_stage_totals": """WITH s AS (SELECT event_type, event_id, CAST(floor(value) AS BIGINT) AS elapsed, CASE WHEN event_id % 1000 = 7 THEN 2 WHEN event_id % 50 = 3 THEN 1 ELSE 0 END AS rank FROM events)
         SELECT event_type, CAST(sum(elapsed) AS BIGINT) AS elapsed, ['ok', 'error', 'canceled'][max(rank) + 1] AS outcome, CAST(row_number() OVER (ORDER BY min(event_id)) AS INTEGER) AS place FROM s GROUP BY event_type""",
     "a19_first_wins": "SELECT p_brand, p_type, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2",
-    "a23_digest": "SELECT source, sha256(string_agg(sha256(text), chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY source",
+    "a23_digest": """WITH l AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, coalesce(sha256(text), '') AS h FROM documents),
+        a AS (SELECT source, i // 256 AS i, sha256(string_agg(h, chr(10) ORDER BY i)) AS h FROM l GROUP BY source, i // 256),
+        b AS (SELECT source, i // 256 AS i, CASE WHEN count(*) = 1 AND i // 256 = 0 THEN any_value(h) ELSE sha256(string_agg(h, chr(10) ORDER BY i)) END AS h FROM a GROUP BY source, i // 256),
+        c AS (SELECT source, i // 256 AS i, CASE WHEN count(*) = 1 AND i // 256 = 0 THEN any_value(h) ELSE sha256(string_agg(h, chr(10) ORDER BY i)) END AS h FROM b GROUP BY source, i // 256)
+        SELECT source, h AS digest FROM c""",
     "j6_resolution": f"WITH {_RESOLVED} SELECT * FROM resolved",
     "a9_status_counts": f"WITH {_RESOLVED} SELECT status, count(*) AS n FROM resolved GROUP BY status",
     "j6_visibility": """WITH c AS (SELECT c_custkey AS site, c_nationkey AS module, c_custkey % 120 AS name FROM customer), v AS (

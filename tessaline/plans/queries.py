@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.functions import scalars
-from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, reach, resolve, rollup, rules
+from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, ranks, reach, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
 from tessaline.streaming.events import sessions, settled_changes
@@ -41,7 +41,7 @@ def _suppliers(spark, sf_dir):
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     own = lines.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_distinct("l_partkey").alias("n_parts"), F.max(F.floor("l_extendedprice").cast("long")).alias("top_price"))
     customers = lines.select("l_suppkey", "l_orderkey").distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("l_suppkey").agg(F.count_distinct("o_custkey").alias("n_customers"))
-    return own.join(customers, "l_suppkey")
+    return storage.save(own.join(customers, "l_suppkey"), "suppliers")
 
 
 SIGNALS = ["n_lines", "n_parts", "n_customers", "top_price"]
@@ -49,8 +49,8 @@ SIGNALS = ["n_lines", "n_parts", "n_customers", "top_price"]
 
 @query
 def w3_percentile(spark, sf_dir):
-    df = _suppliers(spark, sf_dir)
-    return df.select("l_suppkey", *(F.round(ranking.percentile(F.col(s), []), 6).alias(f"p_{s}") for s in SIGNALS))
+    df = ranks.percentiles(_suppliers(spark, sf_dir), SIGNALS)
+    return df.select("l_suppkey", *(F.round(f"p_{s}", 6).alias(f"p_{s}") for s in SIGNALS))
 
 
 @query
