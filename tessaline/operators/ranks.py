@@ -55,19 +55,23 @@ def percentiles(df: DataFrame, signals: list[str], cohort: list[str] = (), prefi
 
     The smallest value has 0 and the largest 100 if no others equal them; equal values share
     the mean of their ranks, and where all are equal they have 0. A null counts as a value
-    below all others but doesn't make a signal vary. Only the different values of a signal
-    and their counts are sorted; they come back by a join. An empty df gives no rows.
+    below all others but doesn't make a signal vary. Only the different values of all signals
+    and their counts are sorted, together; they come back by joins. Whole numbers are compared
+    as longs, if all signals are whole, else all as doubles. An empty df gives no rows.
     """
-    cohort = list(cohort)
-    for s in signals:
-        key, whole = storage.fresh(df, "_key", "_whole")
-        counts = df.groupBy(*cohort, s).agg(F.count("*").alias("_n"))
-        placed = storage.save(_same(running(counts, [*cohort, s], F.col("_n"), "_before"), cohort, "_cohort"), "values")
-        totals = placed.groupBy("_cohort").agg(F.sum("_n").alias("_all"), F.min("_before").alias("_start"), (F.min(s) < F.max(s)).alias("_varies"))
-        totals = storage.save(totals, "totals")
-        of = placed.join(storage.broadcast_if_small(totals), "_cohort")
-        varies = F.coalesce(F.col("_varies"), F.lit(False))
-        rank = F.when(varies, 100.0 * (F.col("_before") - F.col("_start") + (F.col("_n") - 1) / 2) / (F.col("_all") - 1)).otherwise(0.0)
-        table = storage.save(_same(of, [*cohort, s], key).select(key, rank.alias(f"{prefix}{s}"), varies.alias(f"v_{s}")), "percentiles")
-        df = _same(df, [*cohort, s], key).join(storage.broadcast_if_small(table), key).drop(key, whole)
+    cohort, kinds = list(cohort), dict(df.dtypes)
+    kind = "long" if all(kinds[s] in ("tinyint", "smallint", "int", "bigint") for s in signals) else "double"
+    values = F.array(*(F.struct(F.lit(k).alias("_no"), F.col(s).cast(kind).alias("_value")) for k, s in enumerate(signals)))
+    counts = df.select(F.struct(*(F.col(c) for c in cohort), F.lit(1).alias("_one")).alias("_cohort"), F.explode(values).alias("_v")).groupBy("_v._no", "_cohort", "_v._value").agg(F.count("*").alias("_n"))
+    placed = storage.save(running(counts, ["_no", "_cohort", "_value"], F.col("_n"), "_before"), "values")
+    totals = placed.groupBy("_no", "_cohort").agg(F.sum("_n").alias("_all"), F.min("_before").alias("_start"), (F.min("_value") < F.max("_value")).alias("_varies"))
+    of = placed.join(storage.broadcast_if_small(storage.save(totals, "totals")), ["_no", "_cohort"])
+    varies = F.coalesce(F.col("_varies"), F.lit(False))
+    rank = F.when(varies, 100.0 * (F.col("_before") - F.col("_start") + (F.col("_n") - 1) / 2) / (F.col("_all") - 1)).otherwise(0.0)
+    table = storage.save(of.select("_no", F.struct("_cohort", "_value").alias("_key"), rank.alias("_p"), varies.alias("_varies")), "percentiles")
+    key = storage.fresh(df, "_key")[0]
+    for k, s in enumerate(signals):
+        of_signal = storage.broadcast_if_small(table.where(F.col("_no") == k).select(F.col("_key").alias(key), F.col("_p").alias(f"{prefix}{s}"), F.col("_varies").alias(f"v_{s}")))
+        own = F.struct(F.struct(*(F.col(c) for c in cohort), F.lit(1).alias("_one")).alias("_cohort"), F.col(s).cast(kind).alias("_value"))
+        df = df.withColumn(key, own).join(of_signal, key).drop(key)
     return df
