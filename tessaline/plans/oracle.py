@@ -309,6 +309,8 @@ SQL: dict[str, str] = {
     "d2_sinks": f"""WITH RECURSIVE {_PATHS} SELECT node, {_SINK.format("(node // 2)")} AS sink, var, origin, state, {_PATH} FROM begins WHERE node % 2 = 1 AND var = 'v' || node % 4 AND (safe >> (node // 2 % 3)) & 1 = 0""",
     "d3_guards": f"WITH RECURSIVE {_GUARDED} SELECT node, var, origin FROM taint",
     "d7_provenance": f"WITH RECURSIVE {_REACH} SELECT src AS owner, dst AS origin, c_mktsegment AS fact, CAST(c_nationkey AS BIGINT) AS nation FROM reach JOIN customer ON c_custkey = dst WHERE src <> dst",
+    "t2_postings": """WITH r AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS generation, event_id, event_type FROM events), t AS (SELECT user_id, max(generation) AS g FROM r GROUP BY user_id)
+        SELECT user_id, generation, event_id, event_type FROM r JOIN t USING (user_id) WHERE generation = g AND NOT (g = 1 AND user_id % 5 = 0)""",
     "t7_watched_files": "SELECT user_id, CASE WHEN arg_max(event_id, event_id) % 3 = 0 THEN 'remove' ELSE 'refresh' END AS action, count(*) AS n FROM events GROUP BY user_id",
     "g11_affected": f"""WITH RECURSIVE b AS ({_REFERRALS.format(0)} UNION {_REFERRALS.format(1)}), a AS (SELECT c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 32 = 6 UNION SELECT src, distance + 1 FROM a JOIN b ON dst = node WHERE distance < 8)
         SELECT node, min(distance) AS distance FROM a GROUP BY node""",

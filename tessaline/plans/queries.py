@@ -12,7 +12,8 @@ from tessaline.functions import scalars
 from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, ranks, reach, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
-from tessaline.streaming.events import sessions, settled_changes
+from tessaline.streaming import postings
+from tessaline.streaming.events import current, publish, sessions, settled_changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -582,7 +583,19 @@ def x_scalars(spark, sf_dir):
 
 @query
 def t1_upsert(spark, sf_dir):
-    return ranking.latest(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["event_id", "value"], ["ts", "event_id"])
+    path, rows = storage.new_path(spark, "upserts"), table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id", "value")
+    for part in (1, 2, 0):  # as three batches, out of order
+        publish(rows.where(F.col("event_id") % 3 == part), path, ["user_id", "event_type"], "ts")
+    return current(spark, path).select("user_id", "event_type", "event_id", "value")
+
+
+@query
+def t2_postings(spark, sf_dir):
+    path, rows = storage.new_path(spark, "postings"), table(spark, sf_dir, "events")
+    rows = rows.select("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).alias("generation"), ((F.col("event_id") % 3 == 0) & (F.col("user_id") % 5 == 0)).alias("removed"), "event_id", "event_type")
+    for number in (0, 1):
+        postings.replace(rows.where(F.col("generation") == number), number, path, ["user_id"], "generation", "removed", 16)
+    return postings.current(spark, path, "removed").select("user_id", "generation", "event_id", "event_type")
 
 
 @query
