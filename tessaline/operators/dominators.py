@@ -182,7 +182,8 @@ def _joined(groups: DataFrame, joining: DataFrame, between: DataFrame, lost: Dat
     up = single.where("n = 1").select("x", "up")
     if single.where("n > 1").limit(1).count():
         several = sets.join(single.where("n > 1").select("x"), "x", "left_semi")
-        up = up.union(nearest(several, groups.select("node", "up")))
+        of = between.join(several.select(F.col("x").alias("dst")), "dst", "left_semi").select(F.col("a").alias("head")).distinct()
+        up = up.union(nearest(several, groups.join(of, "head", "left_semi").select("node", "up")))
     moved = groups.join(tops.select(F.col("node").alias("head"), "root"), "head").join(up.select(F.col("x").alias("node"), F.col("up").alias("new")), "node", "left")
     return storage.save(moved.select("node", F.col("root").alias("head"), F.coalesce("new", "up").alias("up")), "groups")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaline import storage
 from tessaline.functions.scalars import text_lines
 
 
@@ -129,31 +131,87 @@ def recovered(findings: DataFrame, generic: Column, file: list[str], start: str,
     return findings.join(specific, on, "left_anti")
 
 
-def match_expectations(expected: DataFrame, actual: DataFrame, location: list[str], fields: list[str]) -> DataFrame:
-    """location, n_expected, n_actual, n_matched: a largest matching of expectations to diagnostics.
+def _most(pairs: list[tuple[int, int, int, int]]) -> int:
+    """The largest matching of pairs (left, how often it is there, right, how often), each pair as often as both are free.
 
-    A null field of an expectation matches anything. Locations are few rows each and are
-    matched apart, by augmenting paths.
+    Phases of a breadth-first search over what is free, then ways along its layers, found
+    with a stack of their own, until no way is left.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in expected.select(*location).schema)
-
-    def match(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        fits = [[j for j, a in enumerate(right[fields].itertuples(index=False)) if all(pd.isna(x) or x == y for x, y in zip(e, a, strict=True))] for e in left[fields].itertuples(index=False)]
-        taken: dict[int, int] = {}
+    fits, left, right, back = defaultdict(list), {}, {}, defaultdict(dict)
+    for a, n, b, m in pairs:
+        fits[a].append(b)
+        left[a], right[b] = n, m
+    total = 0
+    while True:
+        layer, queue = {(0, a): 0 for a, n in left.items() if n}, deque((0, a) for a, n in left.items() if n)
+        found = False
+        while queue:
+            side, x = node = queue.popleft()
+            found = found or side == 1 and right[x] > 0
+            for y in fits[x] if side == 0 else [a for a, used in back[x].items() if used]:
+                if (1 - side, y) not in layer:
+                    layer[1 - side, y] = layer[node] + 1
+                    queue.append((1 - side, y))
+        if not found:
+            return total
+        after = {node: iter(fits[node[1]] if node[0] == 0 else [a for a, used in back[node[1]].items() if used]) for node in layer}
+        for start in [a for a, n in left.items() if n]:
+            while left[start]:
+                path = [(0, start)]
+                while path:
+                    side, x = path[-1]
+                    if side == 1 and right[x]:
+                        break
+                    step = next((y for y in after[path[-1]] if layer.get((1 - side, y)) == layer[path[-1]] + 1 and (side == 0 or back[x][y])), None)
+                    if step is None:
+                        path.pop()
+                    else:
+                        path.append((1 - side, step))
+                if not path:
+                    break
+                held = [back[path[k][1]][path[k + 1][1]] for k in range(1, len(path) - 1, 2)]
+                many = min(left[start], right[path[-1][1]], *held)
+                for k in range(0, len(path) - 1, 2):
+                    a, b = path[k][1], path[k + 1][1]
+                    back[b][a] = back[b].get(a, 0) + many
+                    if k + 2 < len(path):
+                        back[b][path[k + 2][1]] -= many
+                left[start] -= many
+                right[path[-1][1]] -= many
+                total += many
+                after |= {node: iter(fits[node[1]] if node[0] == 0 else [a for a, used in back[node[1]].items() if used]) for node in path}
 
-        def place(i: int, seen: set[int]) -> bool:
-            for j in fits[i]:
-                if j not in seen:
-                    seen.add(j)
-                    if j not in taken or place(taken[j], seen):
-                        taken[j] = i
-                        return True
-            return False
 
-        n = sum(place(i, set()) for i in range(len(fits)))
-        return pd.DataFrame([(*key, len(left), len(right), n)], columns=[*location, "n_expected", "n_actual", "n_matched"])
+def match_expectations(expected: DataFrame, actual: DataFrame, location: list[str], fields: list[str]) -> DataFrame:
+    """location, n_expected, n_actual, n_matched: a largest matching of expectations to diagnostics, one to one.
 
-    return expected.groupBy(*location).cogroup(actual.groupBy(*location)).applyInPandas(match, f"{schema}, n_expected long, n_actual long, n_matched long")
+    A null field of an expectation matches anything; a null field of a diagnostic only that.
+    Alike rows of a location are one with a count. What may match is found by joins, one for
+    each set of null fields, so no pairs of a location are made that don't match. A location
+    is matched in one task, which holds its pairs. Locations of one side alone match nothing;
+    null locations are a location.
+    """
+    at = F.struct(*location).alias("_at")
+    sides = {}
+    for name, df in (("e", expected), ("a", actual)):
+        rows = df.select(at, *fields).groupBy("_at", *fields).agg(F.count("*").alias(f"n_{name}"))
+        sides[name] = storage.save(rows.withColumn(name, F.monotonically_increasing_id()), "expectations")
+    e, a, pairs = sides["e"], sides["a"], None
+    for mask in range(1 << len(fields)):
+        known = [f for k, f in enumerate(fields) if not mask >> k & 1]
+        some = e.where(reduce(lambda x, y: x & y, [F.col(f).isNull() if mask >> k & 1 else F.col(f).isNotNull() for k, f in enumerate(fields)], F.lit(True)))
+        fit = some.select("_at", *known, "e", "n_e").join(a.select("_at", *known, "a", "n_a"), ["_at", *known]).select("_at", "e", "n_e", "a", "n_a")
+        pairs = fit if pairs is None else pairs.union(fit)
+    kind = e.schema["_at"].dataType.simpleString()
+
+    def most(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"_no": [int(key[0])], "n_matched": [_most(list(zip(*(rows[c].tolist() for c in ("e", "n_e", "a", "n_a")), strict=True)))]})
+
+    totals = e.select("_at", F.col("n_e"), F.lit(0).cast("long").alias("n_a")).union(a.select("_at", F.lit(0).cast("long"), "n_a")).groupBy("_at").agg(F.sum("n_e").alias("n_expected"), F.sum("n_a").alias("n_actual"))
+    totals = storage.save(totals.withColumn("_no", F.monotonically_increasing_id()), "locations")
+    numbered = pairs.join(totals.select(F.col("_at").cast(kind).alias("_at"), "_no"), "_at").select("_no", "e", "n_e", "a", "n_a")
+    matched = numbered.groupBy("_no").applyInPandas(most, "_no long, n_matched long")
+    return totals.join(matched, "_no", "left").select("_at.*", "n_expected", "n_actual", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
 
 def in_order(found: DataFrame, file: list[str], line: str, column: str, code: str) -> DataFrame:

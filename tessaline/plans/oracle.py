@@ -297,6 +297,10 @@ SQL: dict[str, str] = {
     "p1_calls_from": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE caller_module = 'N7'",
     "p2_calls_to": f"WITH {_CALLS} SELECT o_orderkey FROM calls WHERE base_name = 'Do7'",
     "p3_search": "SELECT p_partkey FROM part WHERE contains(lower(p_name), 'e')",
+    "j17_matching": """WITH e AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 0 AND event_id % 6 <> 0 GROUP BY ALL), w AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 6 = 0 GROUP BY ALL),
+        a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY ALL), m AS (SELECT e.user_id, sum(least(e.n, a.n)) AS n FROM e JOIN a USING (user_id, event_type) GROUP BY ALL),
+        t AS (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS n_expected, count(*) FILTER (event_id % 2 = 1) AS n_actual FROM events GROUP BY user_id)
+        SELECT user_id, n_expected, n_actual, CAST(coalesce(m.n, 0) + least(coalesce(w.n, 0), n_actual - coalesce(m.n, 0)) AS BIGINT) AS n_matched FROM t LEFT JOIN m USING (user_id) LEFT JOIN w USING (user_id)""",
     "j18_hierarchy": f"WITH {_CALLS} SELECT caller_name, base_name, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS places FROM calls GROUP BY ALL",
     "g10_dependencies": f"""WITH {_CALLS}, e AS (
           SELECT 'procedure' AS kind, caller_name AS src, base_name AS dst, o_orderkey % 9 AS line FROM calls

@@ -627,6 +627,13 @@ def p3_search(spark, sf_dir):
     return calls.search(part, "E", "contains").select("p_partkey")
 
 
+@query
+def j17_matching(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    expected = rows.where("event_id % 2 = 0").withColumn("event_type", F.when(F.col("event_id") % 6 != 0, F.col("event_type")))
+    return rules.match_expectations(expected, rows.where("event_id % 2 = 1"), ["user_id"], ["event_type"])
+
+
 @query
 def j18_hierarchy(spark, sf_dir):
     found = calls.hierarchy(_calls(spark, sf_dir), "caller_name", "base_name", ["o_orderkey"])

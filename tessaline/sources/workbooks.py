@@ -92,7 +92,7 @@ def cells(found: DataFrame) -> DataFrame:
     """sheet, row, col, kind, shared_index, shared_ref, formula, value, value_type of all cells of all sheets.
 
     kind is the formula's storage (normal, shared, array), null for plain values. Values of
-    the shared string table are indexes; strings() has the table.
+    the shared string table are indexes into it.
     """
     listed = sheets(found).select("workbook", F.col("name").alias("sheet"), F.col("path").alias("part"))
     rows = _read(found.where("part LIKE 'xl/worksheets/%.xml'"), {"c": ["r", "t", "s"]}, ("f", "v"))

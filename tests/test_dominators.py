@@ -31,7 +31,7 @@ def graphs():
     yield [(0, 1), (0, 2), (1, 2), (2, 1), (1, 3), (2, 3)]  # a loop with two entries
     yield [(0, 1), (0, 2), (1, 3), (2, 4), (3, 4), (4, 3), (3, 5), (4, 6), (5, 7), (6, 7), (7, 3)]
     yield []
-    for size, many in ((8, 12), (25, 60), (30, 40), (40, 52)):
+    for size, many in ((25, 60), (40, 52)):
         yield [(rng.randrange(size), rng.randrange(size)) for _ in range(many)]
 
 
@@ -43,7 +43,7 @@ def test_trees_match_brute_force(spark):
         want |= {1000 * k + n: (None if d is None else 1000 * k + d, depth) for n, (d, depth) in found.items()}
         strict |= {1000 * k + n: {1000 * k + d for d in ds} for n, ds in above.items()}
     edges = spark.createDataFrame([*all_, *all_[:5], (None, 3), (4, None)], "src long, dst long")
-    entries = spark.createDataFrame([(1000 * k,) for k in range(8)] + [(None,)], "node long")
+    entries = spark.createDataFrame([(1000 * k,) for k in range(6)] + [(None,)], "node long")
     tree = dominators.dominator_tree(edges, entries)
     assert {r.node: (r.idom, r.depth) for r in tree.collect()} == want
     rounds = dominators.dominator_tree(edges, entries, local_edges=0)

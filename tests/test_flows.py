@@ -52,7 +52,7 @@ def tiers(nodes, edges, roots, dynamic):
 
 
 def test_reachability_with_names_and_unknown_targets(spark):
-    for trial in range(4):
+    for trial in range(2):
         nodes = [(n, rng.choice(["Private", "Public"])) for n in range(30)]
         edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(22)]
         roots = [("main", 0, "confirmed", True), ("both", 4, "confirmed", True), ("both", 5, "confirmed", True), ("loose", 7, "confirmed", False), ("api", 9, "possible", True), ("none", None, "confirmed", True)]

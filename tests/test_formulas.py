@@ -30,12 +30,12 @@ def test_patterns(spark):
 
 
 def test_expand_and_shift(spark):
-    df = spark.createDataFrame([("=RC[-2]*R1C1", 2, 3), ('=SUM(R[8]C[-2])&"RC"', 2, 3), ("=R[-5]C", 2, 3)], "p string, row int, col int")
-    assert [r[0] for r in df.select(formulas.expanded(F.col("p"), F.col("row"), F.col("col"))).collect()] == ["=A2*$A$1", '=SUM(A10)&"RC"', None]
-    df = spark.createDataFrame([("=A2*$B2+C$3+Sheet1!Z9",)], "f string")
-    assert df.select(formulas.shifted(F.col("f"), F.lit(3), F.lit(1))).first()[0] == "=B5*$B5+D$3+Sheet1!AA12"
-    text = df.select(formulas.functions(F.lit('=sum(A1)+IF("MAX(1)",min (2))')), formulas.sheets(F.lit("='It''s'!A1+Data!B2+C3")), formulas.folded_string(F.lit('"a" & "b""c"')), formulas.folded_string(F.lit('"a" & x'))).first()
-    assert list(text) == [["IF", "MIN", "SUM"], ["Data", "It's"], 'ab"c', None]
+    df = spark.createDataFrame([("=R[-3]C*RC[4]-R9C[1]", 12, 6), ('=MIN(R[2]C[-1]:R[4]C)&"R1"', 12, 6), ("=RC[-6]", 12, 6)], "p string, row int, col int")
+    assert [r[0] for r in df.select(formulas.expanded(F.col("p"), F.col("row"), F.col("col"))).collect()] == ["=F9*J12-G$9", '=MIN(E14:F16)&"R1"', None]
+    df = spark.createDataFrame([("=H7/$K7-M$2&Ledger!AA40",)], "f string")
+    assert df.select(formulas.shifted(F.col("f"), F.lit(2), F.lit(5))).first()[0] == "=M9/$K9-R$2&Ledger!AF42"
+    text = df.select(formulas.functions(F.lit('=Round(K2)/LEN("AVG(2)")+ROUND (x)')), formulas.sheets(F.lit("=North!C4-'Cash ''n'' carry'!D2+North!C5")), formulas.folded_string(F.lit('"up" & " ""to"" " & "ten"')), formulas.folded_string(F.lit('y & "z"'))).first()
+    assert list(text) == [["LEN", "ROUND"], ["Cash 'n' carry", "North"], 'up "to" ten', None]
 
 
 def test_tokens_cover_the_formula(spark):
@@ -54,23 +54,27 @@ def found(spark, rows):
     return {r["range"]: r for r in regions.regions(cells).collect()}
 
 
-def test_contiguous_and_outlier(spark):
-    normal = lambda row, f: (row, 7, "normal", None, None, f)
-    got = found(spark, [normal(r, f"=E{r}*F{r}") for r in (2, 3, 4)])
-    assert got["G2:G4"]["count"] == 3 and got["G2:G4"].formula_r1c1 == "=RC[-2]*RC[-1]" and len(got) == 1
-    got = found(spark, [normal(r, f"=E{r}*F{r}") for r in (2, 3, 5, 6)] + [normal(4, '=IF(E4="",0,E4*F4)')])
-    assert {k: v.is_outlier for k, v in got.items()} == {"G2:G3": False, "G4": True, "G5:G6": False}
-
-
-def test_shared_formulas(spark):
-    got = found(spark, [(2, 3, "shared", "0", "C2:C4", "=A2*B2"), (3, 3, "shared", "0", None, ""), (4, 3, "shared", "0", None, "")])
-    assert got["C2:C4"]["count"] == 3 and got["C2:C4"].storage_kinds == ["shared"]
-    got = found(spark, [(2, 4, "shared", "0", "D2:D65", "=B2*C2"), (66, 4, "shared", "1", "D66:D101", "=B66*C66")])
-    assert list(got) == ["D2:D101"]
-    got = found(spark, [(2, 3, "shared", "0", "C2:C4", "=A2*B2"), (3, 3, "normal", None, None, "=A3+1")])
-    assert got["C3"].example_formula == "=A3+1"
-    got = found(spark, [(2, 3, "shared", "9", None, ""), (5, 3, "shared", "8", "C9:C1", "=A5")])
-    assert got["C2"].parse_status == "failed" and "C5" in got
+def test_runs_of_one_pattern_and_what_breaks_them(spark):
+    normal = lambda row, col, f: (row, col, "normal", None, None, f)
+    got = found(spark, [normal(r, 11, f"=SQRT($B{r})-K{r - 1}") for r in range(8, 15)])
+    assert {k: (v["count"], v.formula_r1c1) for k, v in got.items()} == {"K8:K14": (7, "=SQRT(RC2)-R[-1]C")}
+    # one cell among its like, two cells of another pattern, and a gap
+    column = {r: f"=J{r}+1" for r in (*range(20, 29), *range(32, 35))} | {24: "=J24+2"} | {r: f"=J{r}-J$20" for r in (27, 28)}
+    got = found(spark, [normal(r, 12, f) for r, f in column.items()])
+    assert {k: v.is_outlier for k, v in got.items()} == {"L20:L23": False, "L24": True, "L25:L26": False, "L27:L28": False, "L32:L34": False}
+
+
+def test_shared_rectangles(spark):
+    # an anchor whose rectangle spans two columns, with a follower that has a formula of its own
+    rows = [(5, 2, "shared", "3", "B5:C7", "=$A5*B$1")] + [(r, c, "shared", "3", None, "") for r in (5, 6, 7) for c in (2, 3) if (r, c) not in ((5, 2), (6, 3))] + [(6, 3, "normal", None, None, "=77")]
+    got = found(spark, rows)
+    assert {k: v["count"] for k, v in got.items()} == {"B5:B7": 3, "C5": 1, "C6": 1, "C7": 1}
+    assert got["B5:B7"].storage_kinds == ["shared"] and got["C6"].example_formula == "=77" and got["C7"].formula_r1c1 == "=RC1*R1C"
+    # two rectangles one above the other that say the same are one run, a third that says something else is not
+    got = found(spark, [(10, 8, "shared", "0", "H10:H19", "=LEN(G10)"), (20, 8, "shared", "1", "H20:H31", "=LEN(G20)"), (32, 8, "shared", "2", "H32:H40", "=LEN(F32)")])
+    assert sorted(got) == ["H10:H31", "H32:H40"]
+    got = found(spark, [(3, 15, "shared", "6", None, ""), (8, 16, "shared", "4", "P20:P2", "=O8")])
+    assert got["O3"].parse_status == "failed" and "P8" in got
 
 
 def test_snapshot_queries(spark):
