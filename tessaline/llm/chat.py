@@ -73,21 +73,32 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def _fold(messages: dict, events: Iterator[tuple]) -> None:
-    """Applies the events (seq, event, msg, role, text) of a conversation to messages, in order."""
-    for seq, event, msg, role, text in events:
-        text = text or ""
-        if event == "edit" and msg in messages:
-            messages[msg] = [messages[msg][0], [text]]
-        elif event == "regenerate":
-            keys = list(messages)
-            for later in keys[keys.index(msg) + 1 :] if msg in messages else []:
-                del messages[later]
-            messages[msg] = [role if role is not None else messages.get(msg, [None])[0], [text]]
-        elif event == "delta" and msg in messages:
-            messages[msg][1].append(text)
+class Messages:
+    """A conversation's messages as its events leave them, each event in constant time but for the messages that it takes away."""
+
+    def __init__(self) -> None:
+        self._order: list = []
+        self._place: dict = {}
+
+    def __iter__(self) -> Iterator[tuple[str | None, str]]:
+        return ((role, "".join(pieces)) for _, role, pieces in self._order)
+
+    def apply(self, seq: int | None, event: str | None, msg: int | None, role: str | None, text: str | None) -> None:
+        text, at = text or "", self._place.get(msg) if msg is not None else None
+        if event == "edit" and at is not None:
+            self._order[at][2] = [text]
+        elif event == "delta" and at is not None:
+            self._order[at][2].append(text)
+        elif event == "regenerate" and at is not None:
+            while len(self._order) > at + 1:
+                self._place.pop(self._order.pop()[0], None)
+            self._order[at][1:] = [role if role is not None else self._order[at][1], [text]]
+        elif at is not None:
+            self._order[at][1:] = [role, [text]]
         else:
-            messages[(seq, len(messages)) if msg is None else msg] = [role, [text]]
+            if msg is not None:
+                self._place[msg] = len(self._order)
+            self._order.append([msg, role, [text]])
 
 
 _SCHEMA = "conv_id long, formatted string, loss array<struct<start: long, end: long>>"
@@ -96,10 +107,10 @@ _ARROW = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss"
 
 def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     done: dict[str, list] = {"conv_id": [], "formatted": [], "loss": []}
-    chars, now, messages = 0, object(), {}
+    chars, now, messages = 0, object(), None
 
     def close() -> int:
-        formatted, mask = render([(role, "".join(pieces)) for role, pieces in messages.values()])
+        formatted, mask = render(list(messages))
         for column, value in zip(done.values(), (now, formatted, [{"start": a, "end": b} for a, b in mask]), strict=True):
             column.append(value)
         return len(formatted)
@@ -110,11 +121,11 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if conv != now:
                 if messages:
                     chars += close()
-                now, messages = conv, {}
+                now, messages = conv, Messages()
                 if chars > 4_000_000:
                     yield pa.RecordBatch.from_pydict(done, schema=_ARROW)
                     done, chars = {c: [] for c in done}, 0
-            _fold(messages, iter([tuple(event)]))
+            messages.apply(*event)
     if messages:
         close()
     yield pa.RecordBatch.from_pydict(done, schema=_ARROW)

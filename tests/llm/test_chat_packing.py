@@ -128,3 +128,18 @@ def test_limits_hold_together(spark):
         for k, v in enumerate((r.length, 1, r.loss_tokens)):
             sums[r.sequence_id][k] += v
     assert all(a <= 256 and b <= 4 and c <= 128 for a, b, c in sums.values())
+
+
+def test_a_long_conversation_is_folded_in_linear_time():
+    import time
+
+    n, messages, began = 200_000, chat.Messages(), time.time()
+    for k in range(n):
+        messages.apply(3 * k, "message", k, "assistant", "draft")
+        messages.apply(3 * k + 1, "regenerate", k, None, None)
+        messages.apply(3 * k + 2, "delta", k, None, f"t{k}")
+    messages.apply(3 * n, "regenerate", n - 3, "user", "end")  # takes the two behind it away
+    messages.apply(3 * n + 1, "delta", n - 1, "assistant", "new")  # isn't there any more, so it starts anew
+    turns = list(messages)
+    assert len(turns) == n - 1 and turns[-3:] == [("assistant", f"t{n - 4}"), ("user", "end"), ("assistant", "new")]
+    assert time.time() - began < 20
