@@ -60,6 +60,24 @@ def write_checked(df: DataFrame, path: str, problems: DataFrame) -> None:
     write_jsonl(df, path)
 
 
+def write_checked_set(tables: dict[str, tuple[DataFrame, DataFrame]], path: str) -> None:
+    """Writes tables (name: rows, problems) as JSON lines into folders of path, all of them or none.
+
+    All problems are looked at before anything is written, and the set takes the place of the
+    old one when the last table is complete. An empty set writes nothing.
+    """
+    found = {name: [r.asDict() for r in problems.limit(5).collect()] for name, (_, problems) in tables.items()}
+    if found := {name: rows for name, rows in found.items() if rows}:
+        raise ValueError(f"not written: {found}")
+
+    def write(new: str) -> None:
+        for name, (df, _) in tables.items():
+            df.write.option("ignoreNullFields", "true").json(f"{new}/{name}")
+
+    if tables:
+        publish(path, next(iter(tables.values()))[0].sparkSession, write)
+
+
 def report_line(template: str, *columns: Column) -> Column:
     return F.format_string(template, *columns)
 
