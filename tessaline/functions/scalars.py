@@ -37,6 +37,21 @@ def masked_strings(line: Column) -> Column:
     return F.regexp_replace(line, '"(?:[^"]|"")*"', '""')
 
 
+def statements(line: Column) -> Column:
+    """The statements of a line, cut at colons outside of strings and comments: structs of column (from 1) and text; blank ones are left out."""
+    pieces = F.regexp_extract_all(without_comment(line), F.lit('("(?:[^"]|"")*"?|[^":]+|:)'), F.lit(1))
+    start = F.struct(F.lit(1).alias("at"), F.array(F.struct(F.lit(1).alias("column"), F.lit("").alias("text"))).alias("found"))
+
+    def add(acc: Column, piece: Column) -> Column:
+        last, at = F.element_at(acc["found"], -1), acc["at"] + F.length(piece)
+        longer = F.concat(F.slice(acc["found"], F.lit(1), F.size(acc["found"]) - 1), F.array(F.struct(last["column"].alias("column"), F.concat(last["text"], piece).alias("text"))))
+        return F.struct(at.alias("at"), F.when(piece == ":", F.concat(acc["found"], F.array(F.struct(at.alias("column"), F.lit("").alias("text"))))).otherwise(longer).alias("found"))
+
+    found = F.aggregate(pieces, start, add)["found"]
+    trimmed = F.transform(found, lambda s: F.struct((s["column"] + F.length(s["text"]) - F.length(F.ltrim(s["text"]))).alias("column"), F.trim(s["text"]).alias("text")))
+    return F.filter(trimmed, lambda s: s["text"] != "")
+
+
 def sheet_selector(selector: Column) -> Column:
     """A struct (sheet, address) of "'It''s'!A1:B2" or "Sheet!A1"; nulls if it is neither."""
     quoted = F.regexp_replace(F.regexp_extract(selector, r"^'((?:[^']|'')+)'!([^!']+)$", 1), "''", "'")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.functions.scalars import last_name_part
+from tessaline.operators.graph import distances
 from tessaline.operators.rollup import with_evidence
 
 
@@ -98,3 +99,15 @@ def state_access(accesses: DataFrame, field: list[str]) -> DataFrame:
     """Per field: sorted readers, writers and mutators; a read-write access is all three."""
     who = lambda *kinds: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("procedure"))))
     return accesses.groupBy(*field).agg(who("read", "readwrite").alias("readers"), who("write", "readwrite").alias("writers"), who("mutate", "readwrite").alias("mutators"))
+
+
+def state_roots(accesses: DataFrame, edges: DataFrame, roots: DataFrame, components: DataFrame, field: list[str]) -> DataFrame:
+    """field, kind, root: which roots (root, node) reach a procedure that accesses a field, and cyclic: whether one that does is in a circle of calls.
+
+    accesses has the field's columns, procedure (a node) and kind; components is
+    strong_components(). A field that no root reaches has no row; repeats count once.
+    """
+    reached = distances(roots.select("root", "node"), edges, ["root"]).select("root", F.col("node").alias("procedure"))
+    circles = components.select(F.col("node").alias("procedure"), "cyclic")
+    rows = accesses.select(*field, "procedure", "kind").distinct().join(circles, "procedure", "left").join(reached, "procedure")
+    return rows.groupBy(*field, "kind", "root").agg(F.coalesce(F.max("cyclic"), F.lit(False)).alias("cyclic"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.functions.scalars import text_lines
+from tessaline.operators.ranks import positions
 
 
 def added_removed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -64,6 +65,16 @@ def delta_by(delta: DataFrame, group: list[str]) -> DataFrame:
     return delta.groupBy(*group).agg(count("missing").alias("missing"), count("unexpected").alias("unexpected"))
 
 
+def delta_rows(delta: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """The rows of a multiset_delta with the missing and unexpected totals of their group, and their place in the group's list of their kind.
+
+    Both lists stay rows, so a group may be as long as it is; nulls are a group.
+    """
+    totals = delta_by(delta, group).select(F.struct(*group).alias("_g"), "missing", "unexpected")
+    placed = positions(delta, order, [*group, "kind"], "place").withColumn("_g", F.struct(*group))
+    return placed.join(totals, "_g").drop("_g")
+
+
 def summary(diff: DataFrame, kind: str = "kind") -> DataFrame:
     """Rows per kind, and the total under the kind 'total'."""
     return diff.rollup(kind).agg(F.count("*").alias("n")).select(F.coalesce(kind, F.lit("total")).alias("kind"), "n")

@@ -47,6 +47,32 @@ def impact(target: DataFrame, edges: DataFrame, direction: str, depth: int = 1)
     return found.where("distance > 0").join(target.select("node"), "node", "left_anti").groupBy("node").agg(F.min("distance").alias("distance"))
 
 
+def scanned_edges(target: DataFrame, edges: DataFrame, direction: str, depth: int = 1) -> DataFrame:
+    """src, dst and the other columns of all edges that impact() looks along, those to nodes seen before too.
+
+    These are the edges out of (callees) or into (callers) the target and the nodes nearer
+    than depth; nodes at the depth itself are not looked from, so depth 0 has none.
+    """
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    parts = []
+    for side in ("callees", "callers") if direction == "both" else (direction,):
+        near = distances(target, edges.select("src", "dst") if side == "callees" else turned, depth=depth).where(F.col("distance") < depth)
+        end = "src" if side == "callees" else "dst"
+        parts.append(edges.join(near.select(F.col("node").alias(end)), end, "left_semi").select(*edges.columns))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1]).distinct()
+
+
+def targets(asked: DataFrame, symbols: DataFrame, name: str) -> DataFrame:
+    """name, status, node: a row for each symbol (name, node) that has an asked name, case ignored, so that candidates are listed.
+
+    status is matched, ambiguous (several) or missing (then node is null).
+    """
+    known = symbols.select(F.lower(name).alias("_name"), "node").distinct()
+    counts = known.groupBy("_name").agg(F.count("*").alias("_n"))
+    found = asked.select(name).distinct().withColumn("_name", F.lower(name)).join(counts, "_name", "left").join(known, "_name", "left")
+    return found.select(name, F.when(F.col("_n") > 1, "ambiguous").when(F.col("_n") == 1, "matched").otherwise("missing").alias("status"), "node")
+
+
 def clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, component of the undirected graph between the given nodes."""
     inside = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")

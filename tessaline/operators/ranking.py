@@ -61,6 +61,12 @@ def size_budget(df: DataFrame, cohort: list[str], oldest: list[str], size: str,
     return df.withColumn("_left", left).where(~F.col(protected) & (F.col("_left") > budget)).drop("_left")
 
 
+def removal_totals(removed: DataFrame, size: str, failed: str) -> DataFrame:
+    """matched, failed, freed: of what was to be removed how many rows, how many of them couldn't be, and the size of the others. One row, of zeros if there are none."""
+    good = ~F.coalesce(F.col(failed), F.lit(False))
+    return removed.agg(F.count("*").alias("matched"), F.count_if(~good).alias("failed"), F.coalesce(F.sum(F.when(good, F.col(size))), F.lit(0)).alias("freed"))
+
+
 def last_n(df: DataFrame, cohort: list[str], newest: list[str], n: int) -> DataFrame:
     """The last n rows of a cohort with how many there were and whether some are missing.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline import storage
-from tessaline.functions.scalars import text_lines
+from tessaline.functions.scalars import masked_strings, text_lines, without_comment
 
 
 @dataclass(frozen=True)
@@ -43,9 +43,14 @@ def evaluate(df: DataFrame, rules: list[Rule], keep: list[str], off: set[str] =
     return df.select(*keep, F.explode(hits).alias("_f")).select(*keep, "_f.*")
 
 
-def detect_lines(docs: DataFrame, key: list[str], text: str, detectors: dict[str, str], ignore: dict[str, str] | None = None) -> DataFrame:
-    """key, line_no (from 1), code of each line that a detector's pattern finds and its ignore pattern doesn't."""
+def detect_lines(docs: DataFrame, key: list[str], text: str, detectors: dict[str, str], ignore: dict[str, str] | None = None, code_only: bool = False) -> DataFrame:
+    """key, line_no (from 1), code of each line that a detector's pattern finds and its ignore pattern doesn't.
+
+    With code_only patterns see a line without its comment and with empty string literals.
+    """
     lines = docs.select(*key, F.posexplode(text_lines(F.col(text))).alias("_pos", "_line")).select(*key, (F.col("_pos") + 1).alias("line_no"), "_line")
+    if code_only:
+        lines = lines.withColumn("_line", masked_strings(without_comment(F.col("_line"))))
     rules = [Rule(code, F.col("_line").rlike(p) & (~F.col("_line").rlike(ignore[code]) if code in (ignore or {}) else F.lit(True))) for code, p in detectors.items()]
     return evaluate(lines, rules, [*key, "line_no"]).select(*key, "line_no", "code")
 
@@ -214,6 +219,27 @@ def match_expectations(expected: DataFrame, actual: DataFrame, location: list[st
     return totals.join(matched, "_no", "left").select("_at.*", "n_expected", "n_actual", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
 
+def compile_equivalent(diagnostics: DataFrame, catalogue: DataFrame, procedures: DataFrame, file: list[str]) -> DataFrame:
+    """diagnostics (file, code, line) with severity, procedure, analyze and preflight: what the compiler would say too, as findings.
+
+    catalogue (code, family, surfaces, compile_equivalent, preflight_blocking,
+    default_severity) has a row a code; a diagnostic of a code that it doesn't have is left
+    out. procedure is the first of procedures (file, name, start_line, end_line) around the
+    line, null if none is. analyze tells whether the rule has that surface, preflight whether
+    the finding blocks what comes next. Procedures of a file meet its diagnostics by lines of
+    a width, not all with all.
+    """
+    width = 128
+    known = diagnostics.join(F.broadcast(catalogue.select("code", "family", "surfaces", "compile_equivalent", "preflight_blocking", F.col("default_severity").alias("severity"))), "code")
+    known = storage.save(known.withColumn("_no", F.monotonically_increasing_id()), "known")
+    tiles = procedures.select(*file, F.struct("start_line", "end_line", "name").alias("_p"), F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))).alias("_tile"))
+    hits = known.select("_no", *file, "line", F.floor(F.col("line") / width).alias("_tile")).join(tiles, [*file, "_tile"]).where("line BETWEEN _p.start_line AND _p.end_line")
+    around = hits.groupBy("_no").agg(F.min("_p")["name"].alias("procedure"))
+    blocks = (F.col("family") == "lint") & F.col("compile_equivalent") & F.col("preflight_blocking")
+    out = known.join(around, "_no", "left")
+    return out.select(*diagnostics.columns, "severity", "procedure", F.array_contains("surfaces", "analyze").alias("analyze"), F.coalesce(blocks, F.lit(False)).alias("preflight"))
+
+
 def in_order(found: DataFrame, file: list[str], line: str, column: str, code: str) -> DataFrame:
     """found with place, the number of a diagnostic in its file by line, column and code.
 
