@@ -115,6 +115,17 @@ facts AS (
   UNION SELECT src, 'uncertainty', status FROM calls WHERE status <> 'matched')
 """
 
+_REGIONS = """
+f AS (SELECT 'S' || p_partkey // 500 AS sheet, p_partkey % 500 + 1 AS at_, CASE WHEN p_size % 10 = 3 THEN 0 WHEN p_size % 10 > 7 THEN 1 ELSE 2 END AS kind FROM part),
+g AS (SELECT *, at_ - row_number() OVER (PARTITION BY sheet, kind ORDER BY at_) AS run FROM f),
+r AS (SELECT sheet, kind, min(at_) AS a, max(at_) AS b, count(*) AS n FROM g GROUP BY sheet, kind, run)
+"""
+
+
+def _formula(row: str) -> str:
+    return f"CASE kind WHEN 0 THEN '=A' || {row} || '+''Rate card''!$B$1' WHEN 1 THEN '=ROUND($A' || {row} || '*B$1,2)' ELSE '=A' || {row} || '*B' || {row} END"
+
+
 _CALLS = """
 calls AS (
   SELECT o_orderkey, 'Cust' || c_custkey % 50 AS caller_name, 'N' || c_nationkey AS caller_module, 'Do' || o_orderkey % 40 AS base_name, o_orderstatus AS member
@@ -227,7 +238,12 @@ SQL: dict[str, str] = {
     "p13_violations": """SELECT p_partkey, 'large_is_dear' AS "constraint" FROM part WHERE p_size > 45 AND NOT p_retailprice > 1000
         UNION ALL SELECT p_partkey, 'unique' FROM (SELECT p_partkey, count(*) OVER (PARTITION BY p_name, p_brand, p_type, p_size) AS n FROM part) WHERE n > 1""",
     "p5_point_in_range": f"WITH {_RANGES} SELECT o_orderkey, arg_min(r.o_custkey, (low, r.o_custkey)) AS o_custkey FROM orders o JOIN ranges r ON {_DAY} BETWEEN low AND high GROUP BY o_orderkey",
-    "p6_overlap": f"WITH {_RANGES} SELECT a.o_custkey, b.o_custkey AS other FROM ranges a JOIN ranges b ON a.low <= b.high AND b.low <= a.high",
+    "p6_overlap": f"WITH o AS (SELECT o_custkey, o_orderkey, {_DAY} AS low FROM orders) SELECT a.o_custkey, a.o_orderkey, b.o_orderkey AS other FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.low <= b.low + 90 AND b.low <= a.low + 90",
+    "c1_formula_regions": f"""WITH {_REGIONS} SELECT sheet, CASE WHEN a = b THEN 'C' || a ELSE 'C' || a || ':C' || b END AS range, formula_r1c1, {_formula("a")} AS example_formula, n AS count,
+          coalesce(n = 1 AND n0 > 1 AND n1 > 1 AND k0 = k1 AND k0 <> kind, false) AS is_outlier, CASE kind WHEN 1 THEN 'ROUND' ELSE '' END AS functions, CASE kind WHEN 0 THEN 'Rate card' ELSE '' END AS depends_on_sheets
+        FROM (SELECT *, ['=RC[-2]+''Rate card''!R1C2', '=ROUND(RC1*R1C[-1],2)', '=RC[-2]*RC[-1]'][kind + 1] AS formula_r1c1, lag(n) OVER w AS n0, lead(n) OVER w AS n1, lag(kind) OVER w AS k0, lead(kind) OVER w AS k1,
+          lag(b) OVER w AS b0, lead(a) OVER w AS a1 FROM r WINDOW w AS (PARTITION BY sheet ORDER BY a))""",
+    "c1_region_at": f"WITH {_REGIONS} SELECT CASE WHEN a = b THEN 'C' || a ELSE 'C' || a || ':C' || b END AS range, n AS count FROM r WHERE sheet = 'S1' AND a <= 200 AND b >= 100",
     "s18_layered": """WITH base AS (SELECT 'K' || p_partkey % 700 AS name, max(p_size) AS p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1)
         SELECT lower(name) AS name, CASE WHEN p_partkey % 10 = 0 THEN -1 ELSE p_size END AS p_size, p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'base,over' ELSE 'base' END AS tags FROM base""",
     "g1_impact": f"""WITH RECURSIVE {_TRADE}, d AS (SELECT c_custkey AS node, 0 AS distance FROM customer WHERE c_custkey % 16 = 1 UNION SELECT dst, distance + 1 FROM d JOIN trade ON src = node WHERE distance < 3),
@@ -310,7 +326,7 @@ SQL: dict[str, str] = {
     "a21_state_access": """WITH e AS (SELECT event_type, CAST(user_id % 12 AS VARCHAR) AS p, event_id % 4 AS k FROM events)
         SELECT event_type, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (0, 3)), '') AS readers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (1, 3)), '') AS writers, coalesce(string_agg(DISTINCT p, ',' ORDER BY p) FILTER (k IN (2, 3)), '') AS mutators FROM e GROUP BY 1""",
     "d1_taint": f"WITH RECURSIVE {_PATHS} SELECT node, var, origin, state, {_PATH}, safe FROM ends",
-    "d2_sinks": f"""WITH RECURSIVE {_PATHS} SELECT node, {_SINK.format("(node // 2)")} AS sink, var, origin, state, {_PATH} FROM begins WHERE node % 2 = 1 AND var = 'v' || node % 4 AND (safe >> (node // 2 % 3)) & 1 = 0""",
+    "d2_sinks": f"""WITH RECURSIVE {_PATHS} SELECT node, {_SINK.format("(node // 2)")} AS sink, var, origin, state, {_PATH} FROM begins WHERE node % 2 = 1 AND node IN (SELECT p_partkey FROM part) AND var = 'v' || node % 4 AND (safe >> (node // 2 % 3)) & 1 = 0""",
     "d3_guards": f"WITH RECURSIVE {_GUARDED} SELECT node, var, origin FROM taint",
     "d7_provenance": f"WITH RECURSIVE {_REACH} SELECT src AS owner, dst AS origin, c_mktsegment AS fact, CAST(c_nationkey AS BIGINT) AS nation FROM reach JOIN customer ON c_custkey = dst WHERE src <> dst",
     "t2_postings": """WITH r AS (SELECT user_id, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS generation, event_id, event_type FROM events), t AS (SELECT user_id, max(generation) AS g FROM r GROUP BY user_id)

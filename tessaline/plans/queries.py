@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.functions import scalars
-from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, ranks, reach, resolve, rollup, rules
+from tessaline.operators import calls, cycles, dataflow, diff, dominators, effects, graph, ranking, ranks, reach, regions, resolve, rollup, rules
 from tessaline.operators import runs as runs_
 from tessaline.sources.tables import table
 from tessaline.streaming import postings
@@ -384,8 +384,30 @@ def p5_point_in_range(spark, sf_dir):
 
 @query
 def p6_overlap(spark, sf_dir):
-    ranges = _month_ranges(spark, sf_dir)
-    return resolve.overlaps(ranges, ranges.withColumnRenamed("o_custkey", "other"), "low", "high", ["o_custkey"], ["other"], 30)
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date"))
+    open_ = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", day.alias("low"), (day + 90).alias("high"))
+    return resolve.overlaps(open_, open_.withColumnRenamed("o_orderkey", "other"), "low", "high", ["o_orderkey"], ["other"], 90, ["o_custkey"])
+
+
+def _formula_cells(spark, sf_dir):
+    """Each five hundred parts are a sheet whose third column has a formula for each part, of three patterns."""
+    row = (F.col("p_partkey") % 500 + 1).cast("int")
+    here = row.cast("string")
+    text = F.when(F.col("p_size") % 10 == 3, F.concat(F.lit("=A"), here, F.lit("+'Rate card'!$B$1"))).when(F.col("p_size") % 10 > 7, F.concat(F.lit("=ROUND($A"), here, F.lit("*B$1,2)"))).otherwise(F.concat(F.lit("=A"), here, F.lit("*B"), here))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("S"), F.floor(F.col("p_partkey") / 500).cast("string")).alias("sheet"), row.alias("row"), F.lit(3).alias("col"), text.alias("formula"))
+    return rows.withColumn("storage", F.lit("normal"))
+
+
+@query
+def c1_formula_regions(spark, sf_dir):
+    found = regions.regions(_formula_cells(spark, sf_dir))
+    return found.select("sheet", "range", "formula_r1c1", "example_formula", "count", "is_outlier", F.array_join("functions", ",").alias("functions"), F.array_join("depends_on_sheets", ",").alias("depends_on_sheets"))
+
+
+@query
+def c1_region_at(spark, sf_dir):
+    found = regions.regions_in(regions.regions(_formula_cells(spark, sf_dir)), "S1", "B100:C200")
+    return found.select("range", "count")
 
 
 @query
