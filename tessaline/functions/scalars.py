@@ -29,12 +29,12 @@ def last_name_part(name: Column) -> Column:
 
 def without_comment(line: Column) -> Column:
     """A line up to an apostrophe that is not inside a string literal; doubled quotes stay inside."""
-    return F.regexp_extract(line, "^((?:[^\"']|\"(?:[^\"]|\"\")*(?:\"|$))*)", 1)
+    return F.regexp_extract(line, "^((?:[^\"']++|\"(?:[^\"]++|\"\")*+(?:\"|$))*+)", 1)
 
 
 def masked_strings(line: Column) -> Column:
     """A line with its string literals blanked out, quotes kept."""
-    return F.regexp_replace(line, '"(?:[^"]|"")*"', '""')
+    return F.regexp_replace(line, '"(?:[^"]++|"")*+"', '""')
 
 
 def statements(line: Column) -> Column:

@@ -129,11 +129,21 @@ def with_empty_groups(df: DataFrame, spine: DataFrame, group: list[str], conditi
     return spine.select(*group).distinct().join(counts, group, "left").select(*group, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def recovered(findings: DataFrame, generic: Column, file: list[str], start: str, end: str) -> DataFrame:
-    """Findings without the generic ones that overlap a specific one of the same file."""
-    specific = findings.where(~generic).select(*file, F.col(start).alias("_s"), F.col(end).alias("_e"))
-    on = [findings[c] == specific[c] for c in file] + [findings[start] <= specific["_e"], specific["_s"] <= findings[end], generic]
-    return findings.join(specific, on, "left_anti")
+def recovered(findings: DataFrame, generic: Column, file: list[str], start: str, end: str, width: int = 64) -> DataFrame:
+    """Findings without the generic ones that overlap a specific one of the same file.
+
+    Generic and specific findings of a file meet by tiles of so many lines, and the specific
+    ones of a tile are first reduced to their ranges, so a file of many findings isn't
+    compared all with all. A finding without a file, start or end overlaps nothing.
+    """
+    no = storage.fresh(findings, "_no")[0]
+    rows = storage.save(findings.withColumn(no, F.monotonically_increasing_id()), "findings")
+    tiles = F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width))).alias("_tile")
+    known = F.col(start).isNotNull() & F.col(end).isNotNull()
+    specific = rows.where(~generic & known).select(*file, F.col(start).alias("_s"), F.col(end).alias("_e"), tiles).distinct()
+    asked = rows.where(generic & known).select(no, *file, F.col(start).alias("_from"), F.col(end).alias("_to"), tiles)
+    gone = asked.join(specific, [*file, "_tile"]).where("_from <= _e AND _s <= _to").select(no).distinct()
+    return rows.join(gone, no, "left_anti").drop(no)
 
 
 def _most(pairs: list[tuple[int, int, int, int]]) -> int:

@@ -224,6 +224,9 @@ SQL: dict[str, str] = {
     "j9_followers": "SELECT p.p_partkey, a.p_name AS anchor_formula, CASE WHEN a.p_partkey IS NULL THEN 'failed' ELSE 'ok' END AS parse_status FROM part p LEFT JOIN part a ON a.p_partkey = p.p_partkey % 60 AND a.p_partkey % 5 <> 0",
     "j10_expand": """SELECT p_partkey, CAST("row" AS INTEGER) AS "row", CAST(col AS INTEGER) AS col FROM (SELECT p_partkey, p_size AS r0, p_size + p_partkey % 4 - 1 AS r1, p_partkey % 3 + 1 AS c1 FROM part),
         LATERAL (SELECT unnest(range(r0, r1 + 1)) AS "row"), LATERAL (SELECT unnest(range(1, c1 + 1)) AS col)""",
+    "p11_code_only": f"""WITH {_LINES}, code AS (SELECT doc_id, line_no, regexp_replace(regexp_extract(line, '^((?:[^"'']|"(?:[^"]|"")*(?:"|$))*)', 1), '"(?:[^"]|"")*"', '""', 'g') AS line FROM lines)
+        SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM code, (VALUES ('R001', 'token|secret|password'), ('R003', '[Ll]icen[sc]e'), ('R006', '^[^ ]+$')) d(code, pattern)
+        WHERE regexp_matches(line, pattern) AND NOT (code = 'R001' AND regexp_matches(line, '=$'))""",
     "p11_detectors": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings",
     "j12_suppressed": f"WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, code FROM findings f WHERE NOT EXISTS (SELECT 1 FROM directives d WHERE d.doc_id = f.doc_id AND d.target_line = f.line_no AND d.code = f.code)",
     "j12_unused_directives": f"""WITH {_FINDINGS} SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, CAST(target_line AS INTEGER) AS target_line, code FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, target_line, code ORDER BY line_no, no) AS rn FROM directives) d

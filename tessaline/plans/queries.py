@@ -312,6 +312,12 @@ def _findings(spark, sf_dir):
     return rules.detect_lines(docs, ["doc_id"], "text", {"R001": "token|secret|password", "R002": "[#$%&*]{3}", "R003": "[Ll]icen[sc]e", "R004": "@[a-z0-9]+[.]", "R005": "[0-9]{6}", "R006": "^[^ ]+$"}, {"R005": "[A-Za-z]{30}"})
 
 
+@query
+def p11_code_only(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rules.detect_lines(docs, ["doc_id"], "text", {"R001": "token|secret|password", "R003": "[Ll]icen[sc]e", "R006": "^[^ ]+$"}, {"R001": "=$"}, code_only=True)
+
+
 @query
 def p11_detectors(spark, sf_dir):
     return _findings(spark, sf_dir)

@@ -98,3 +98,13 @@ def test_catalogues_and_cases(spark):
     assert sorted((r.id, r.duplicate) for r in files.test_cases(symbols).collect()) == [("M/TestAdd/one", False), ("M/TestAdd/two", True), ("M/TestAdd/two", True), ("N/testBare", False)]
     kept = spark.createDataFrame([(1, 10, False), (2, 10, True), (3, 10, False), (4, 10, False)], "at int, size int, held boolean").withColumn("all", F.lit(1))
     assert sorted(r.at for r in ranking.size_budget(kept, ["all"], ["at"], "size", "held", 20).collect()) == [1, 3]
+
+
+def test_generic_findings_give_way_to_specific_ones(spark):
+    rows = [(rng.choice(["f", "g", None]), rng.choice(["GEN", "S1", "S2"]), a := rng.randrange(600), a + rng.choice([0, 1, 9, 150])) for _ in range(260)] + [("f", "GEN", None, 3), ("f", "S1", 2, None)]
+    df = spark.createDataFrame(rows, "file string, code string, s int, e int")
+    clash = lambda r: r[1] == "GEN" and None not in r and any(o[1] != "GEN" and None not in o and o[0] == r[0] and o[2] <= r[3] and r[2] <= o[3] for o in rows)
+    got = sorted(map(str, (tuple(r) for r in rules.recovered(df, F.col("code") == "GEN", ["file"], "s", "e").collect())))
+    assert got == sorted(str(r) for r in rows if not clash(r)) and 10 < len(got) < len(rows)
+    long = "x" * 200_000 + ' "' + "y" * 200_000 + '" \' z'
+    assert spark.createDataFrame([(long,)], "line string").select(F.length(scalars.masked_strings(scalars.without_comment(F.col("line"))))).first()[0] == 200_004
