@@ -23,30 +23,11 @@ from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.operators.graph import distances
-
-
-def _doubled(parents: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (node, up) of the 1st, 2nd, 4th ... ancestor, and (node, root, depth).
-
-    parents (node, up) has every node; a root is its own parent. A cycle has no root, and
-    its nodes and those below it stay out of the second table.
-    """
-    now = storage.save(parents.select("node", "up", (F.col("node") != F.col("up")).cast("long").alias("steps")), "ancestors")
-    tables, most = [now], now.count()
-    while 1 << len(tables) - 1 < most:
-        higher = now.select(F.col("node").alias("up"), F.col("up").alias("top"), F.col("steps").alias("more"))
-        after = storage.save(now.join(higher, "up").select("node", F.col("top").alias("up"), (F.col("steps") + F.col("more")).alias("steps")), "ancestors")
-        if not after.where(f"steps = {1 << len(tables)}").limit(1).count():
-            now = after
-            break
-        tables.append(after)
-        now = after
-    roots = parents.where("node = up").select(F.col("node").alias("up"))
-    return [t.select("node", "up") for t in tables], storage.save(now.join(roots, "up", "left_semi").select("node", F.col("up").alias("root"), F.col("steps").alias("depth")), "depths")
+from tessaline.operators.trees import doubled
 
 
 def _lifted(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with to, the ancestor of their node at by a table of _doubled()."""
+    """rows with to, the ancestor of their node at by a table of doubled()."""
     return rows.join(table.select(F.col("node").alias("at"), F.col("up").alias("to")), "at")
 
 
@@ -55,7 +36,7 @@ def nearest(sets: DataFrame, parents: DataFrame) -> DataFrame:
 
     All nodes of a set are in one tree of parents (node, up).
     """
-    tables, depths = _doubled(parents)
+    tables, depths = doubled(parents)
     rows = sets.join(depths.select(F.col("node").alias("at"), "depth"), "at").select("x", "at", "depth")
     least = rows.groupBy("x").agg(F.min("depth").alias("least"))
     rows = storage.save(rows.join(least, "x").select("x", "at", (F.col("depth") - F.col("least")).alias("above")).distinct(), "sets")
@@ -169,14 +150,14 @@ def dominator_tree(edges: DataFrame, entries: DataFrame, local_edges: int = LOCA
                 continue
             groups = _settled(groups, between, found)
             break
-    depths = _doubled(groups.select("node", "up"))[1]
+    depths = doubled(groups.select("node", "up"))[1]
     return depths.join(groups.select("node", "up"), "node").select("node", F.when(F.col("depth") > 0, F.col("up")).alias("idom"), "depth")
 
 
 def _joined(groups: DataFrame, joining: DataFrame, between: DataFrame, lost: DataFrame) -> DataFrame:
     """groups (node, head, up) after the heads joining (node, up) have gone to the group before them, less lost heads and heads in circles."""
     kept = groups.where("node = head").select("node").join(joining.select("node"), "node", "left_anti").join(lost, "node", "left_anti")
-    tops = _doubled(joining.union(kept.select("node", F.col("node").alias("up"))).union(lost.select("node", F.lit(-1).cast("long"))))[1]
+    tops = doubled(joining.union(kept.select("node", F.col("node").alias("up"))).union(lost.select("node", F.lit(-1).cast("long"))))[1]
     sets = between.join(joining.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("x"), F.col("src").alias("at")).distinct()
     single = storage.save(sets.groupBy("x").agg(F.min("at").alias("up"), F.count("*").alias("n")), "single")
     up = single.where("n = 1").select("x", "up")
@@ -206,7 +187,7 @@ def dominates(pairs: DataFrame, tree: DataFrame) -> DataFrame:
 
     tree is dominator_tree()'s result. Pairs with a node that isn't reached, or a null, get null.
     """
-    tables, _ = _doubled(tree.select("node", F.coalesce("idom", "node").alias("up")))
+    tables, _ = doubled(tree.select("node", F.coalesce("idom", "node").alias("up")))
     of = tree.select("node", "depth")
     known = pairs.select("dominator", "node").distinct().join(of, "node").join(of.select(F.col("node").alias("dominator"), F.col("depth").alias("wanted")), "dominator")
     rows = storage.save(known.select("dominator", "node", F.col("node").alias("at"), (F.col("depth") - F.col("wanted")).alias("above")), "pairs")

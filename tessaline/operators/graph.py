@@ -10,11 +10,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline import storage
 from tessaline.operators.components import connected_components
+from tessaline.operators.trees import doubled
 
 
 def _step(new: DataFrame, edges: DataFrame, group: list[str]) -> DataFrame:
@@ -216,17 +217,13 @@ def must_facts(edges: DataFrame, entries: DataFrame, gives: DataFrame) -> DataFr
 
 
 def depths(df: DataFrame, node: str, parent: str) -> DataFrame:
-    """node, depth of a forest given by parent pointers; roots (null parent) have depth 1."""
-    roots = df.where(F.col(parent).isNull()).select(F.col(node).alias("node"))
-    edges = df.where(F.col(parent).isNotNull()).select(F.col(parent).alias("src"), F.col(node).alias("dst"))
-    return distances(roots, edges).select("node", (F.col("distance") + 1).alias("depth"))
+    """node, depth of a forest given by parent pointers; roots (null parent) have depth 1.
 
-
-def top_partners(pairs: DataFrame, src: str, dst: str, weight: str, n: int) -> DataFrame:
-    """Edges (src, dst) from each source to its n heaviest targets, itself left out; ties by target."""
-    w = Window.partitionBy(src).orderBy(F.desc(weight), dst)
-    ranked = pairs.where(F.col(src) != F.col(dst)).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
-    return ranked.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst"))
+    Nodes in a circle, below one, or below a parent that isn't there give no row; a null node
+    counts for nothing. Rounds grow with the logarithm of the depth.
+    """
+    rows = df.where(F.col(node).isNotNull()).select(F.col(node).cast("long").alias("node"), F.coalesce(F.when(F.col(parent) != F.col(node), F.col(parent)).cast("long"), F.when(F.col(parent).isNull(), F.col(node)).cast("long")).alias("up"))
+    return doubled(rows.where("up IS NOT NULL").distinct())[1].select("node", (F.col("depth") + 1).alias("depth"))
 
 
 def witnesses(edges: DataFrame, components: DataFrame) -> DataFrame:

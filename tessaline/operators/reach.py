@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline import storage
-from tessaline.operators.dominators import _doubled, dominator_tree
+from tessaline.operators.dominators import dominator_tree
 from tessaline.operators.graph import distances
+from tessaline.operators.trees import doubled
 
 #: Kinds of nodes that an unknown flow may lead to.
 OPEN_KINDS = ("statement", "unknown_exit")
@@ -67,7 +68,7 @@ def flow_dominators(nodes: DataFrame, edges: DataFrame, entries: DataFrame, unkn
     over = tree.where("node < 0").select(F.col("node").alias("idom"), F.col("idom").alias("above"))
     parents = tree.where("node >= 0").join(over, "idom", "left").select("node", F.coalesce("above", "idom").alias("idom"))
     parents = storage.save(parents, "tree")
-    depths = _doubled(parents.select("node", F.coalesce("idom", "node").alias("up")))[1]
+    depths = doubled(parents.select("node", F.coalesce("idom", "node").alias("up")))[1]
     return parents.join(depths.select("node", "depth"), "node").select("node", "idom", "depth")
 
 

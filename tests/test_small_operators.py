@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessaline.functions import scalars
-from tessaline.operators import calls, dataflow, ranking, resolve, rules
+from tessaline.operators import calls, dataflow, graph, ranking, resolve, rules
 from tessaline.sources import files, sinks
 from tessaline.streaming import events
 
@@ -108,3 +108,10 @@ def test_generic_findings_give_way_to_specific_ones(spark):
     assert got == sorted(str(r) for r in rows if not clash(r)) and 10 < len(got) < len(rows)
     long = "x" * 200_000 + ' "' + "y" * 200_000 + '" \' z'
     assert spark.createDataFrame([(long,)], "line string").select(F.length(scalars.masked_strings(scalars.without_comment(F.col("line"))))).first()[0] == 200_004
+
+
+def test_depths_of_a_deep_forest(spark):
+    deep = spark.range(50_000).selectExpr("id AS node", "if(id = 0, NULL, id - 1) AS parent")
+    assert graph.depths(deep, "node", "parent").where("depth <> node + 1").count() == 0
+    odd = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 4), (7, 99), (8, 8), (None, 1), (3, 2)], "n long, p long")
+    assert {(r.node, r.depth) for r in graph.depths(odd, "n", "p").collect()} == {(1, 1), (2, 2), (3, 3)} and graph.depths(odd.limit(0), "n", "p").count() == 0
