@@ -89,6 +89,22 @@ def roots(symbols: DataFrame, entries: list[str]) -> DataFrame:
     return symbols.select("name", reason.alias("reason")).where("reason is not null").withColumn("confidence", F.when(F.col("reason") == "public_api", "possible").otherwise("confirmed"))
 
 
+def handler_roots(symbols: DataFrame, fields: DataFrame, reason: str) -> DataFrame:
+    """module, name, reason, confidence of the procedures named after a field of their module and an event: "field_event".
+
+    symbols (module, name), fields (module, field): fields declared with events, or controls
+    of a form. Names compare without case and may have underscores themselves, so every
+    beginning of a name that ends before an underscore is looked up. All are confirmed;
+    several fields that fit give one row; nulls fit nothing.
+    """
+    parts = F.split(F.lower(last_name_part(F.col("name"))), "_")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "_"))
+    rows = symbols.where("name LIKE '%\\_%'").select("module", "name", F.explode(begins).alias("_field"), F.lower("module").alias("_module"))
+    known = fields.where("trim(field) <> ''").select(F.lower("module").alias("_module"), F.lower("field").alias("_field")).distinct()
+    found = rows.join(known, ["_module", "_field"], "left_semi").select("module", "name").distinct()
+    return found.select("module", "name", F.lit(reason).alias("reason"), F.lit("confirmed").alias("confidence"))
+
+
 def uncertainty(calls: DataFrame, visited: DataFrame) -> DataFrame:
     """Counts of ambiguous, unresolved and dynamic calls made by the visited nodes."""
     own = calls.join(visited.select(F.col("node").alias("src")), "src", "left_semi")

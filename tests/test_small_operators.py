@@ -115,3 +115,10 @@ def test_depths_of_a_deep_forest(spark):
     assert graph.depths(deep, "node", "parent").where("depth <> node + 1").count() == 0
     odd = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 4), (7, 99), (8, 8), (None, 1), (3, 2)], "n long, p long")
     assert {(r.node, r.depth) for r in graph.depths(odd, "n", "p").collect()} == {(1, 1), (2, 2), (3, 3)} and graph.depths(odd.limit(0), "n", "p").count() == 0
+
+
+def test_handlers_of_fields_and_controls(spark):
+    symbols = spark.createDataFrame([("Form1", "cmdOk_Click"), ("Form1", "Form1.CMD_OK_Click"), ("Form2", "cmdOk_Click"), ("Form1", "cmdOk"), ("Form1", "cmdOkay_Click"), (None, "cmdOk_Click"), ("Form1", None)], "module string, name string")
+    fields = spark.createDataFrame([("form1", "CmdOK"), ("FORM1", "cmd_ok"), ("Form1", "cmd"), ("Form3", "x"), ("Form1", " "), ("Form1", None)], "module string, field string")
+    got = {(r.module, r.name, r.reason, r.confidence) for r in calls.handler_roots(symbols, fields, "control").collect()}
+    assert got == {("Form1", "cmdOk_Click", "control", "confirmed"), ("Form1", "Form1.CMD_OK_Click", "control", "confirmed")}
