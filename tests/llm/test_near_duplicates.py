@@ -199,3 +199,24 @@ def test_embeddings_match_brute_force(spark, block):
         if got[i].n_links == degrees[i]:
             assert got[i].component_id == roots[i] and got[i].kept == (roots[i] == i)
     assert embeddings.cluster(df.limit(0)).count() == 0
+
+
+def test_simhash_stage_finds_pairs_of_every_similarity(spark):
+    """Pairs of long texts by the Jaccard similarity of their five-word shingles; the pairs share nothing with each other."""
+    g, texts, classes = random.Random(43), [], {}
+    while len(texts) < 1600:
+        size = g.randrange(80, 700)
+        words_ = [f"{g.choice(VOCABULARY)}{g.randrange(40)}" for _ in range(size)]
+        a, b = " ".join(words_), " ".join(changed(words_, max(1, round(size * g.uniform(0.002, 0.023))), g))
+        x, y = brute.word_shingles(a), brute.word_shingles(b)
+        similarity = len(x & y) / len(x | y)
+        if similarity >= 0.8:
+            classes.setdefault(min(int(similarity * 20), 18), []).append(len(texts))
+            texts += [a, b]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.keep_one(docs).select("doc_id").collect()}
+    found = {c / 20: sum(i + 1 not in kept for i in firsts) / len(firsts) for c, firsts in classes.items()}
+    print("found by similarity", {k: (round(v, 3), len(classes[round(k * 20)])) for k, v in sorted(found.items())})
+    assert all(i in kept for firsts in classes.values() for i in firsts)
+    assert len(found) == 3 and all(len(v) > 100 for v in classes.values()) and found[0.8] >= 0.88 and found[0.85] >= 0.93 and found[0.9] >= 0.97
+    assert sum(v * len(classes[round(k * 20)]) for k, v in found.items()) >= 0.92 * len(texts) / 2
