@@ -66,7 +66,7 @@ def test_effects_of_diamonds_and_circles(spark):
     facts = [(rng.randrange(40), rng.choice(effects.FAMILIES), rng.choice("abc")) for _ in range(25)] + [(53, "effect", "writes"), (53, "effect", "writes"), (None, "effect", "x"), (60, "error", "alone")]
     f, e = spark.createDataFrame(facts, "node long, family string, fact string"), spark.createDataFrame([*calls, calls[0], (None, 1)], "src long, dst long")
     own = {x for x in facts if x[0] is not None}
-    want = {(n, family, fact): (n, family, fact) in own for n in {x for c in calls for x in c} | {60} for m, family, fact in own if m in reached({n}, calls)}
+    want = {(n, family, fact): (n, family, fact) in own for n in {x for c in calls for x in c} | {n for n, _, _ in own} for m, family, fact in own if m in reached({n}, calls)}
     got = effects.propagate(f, e).collect()
     assert {(r.node, r.family, r.fact): r.direct for r in got} == want and len(got) == len(want)
     assert effects.propagate(f.limit(0), e).count() == 0
