@@ -33,6 +33,8 @@ WIDER = 3
 #: Times that lines are banded anew; what is large even then is paired in blocks of BLOCK members.
 LEVELS = 3
 BLOCK = 64
+#: Shingles that a row hashes before its minima meet those of its line's other rows.
+STEP = 4
 #: Rows of one long that may be broadcast.
 IDS = 1_000_000
 
@@ -49,9 +51,9 @@ def _bands(grid: int) -> list[list[int]]:
     return [[grid * i + j for j in side] for i in side] + [[grid * j + (i + slope * j) % grid for j in side] for slope in range(SLOPES) for i in side]
 
 
-def _places(code_points: Column, size: int = SHINGLE) -> Column:
-    """Where a line's shingles begin, from 1: code_points has four bytes for each; a shorter line is its own shingle."""
-    return F.sequence(F.lit(1), F.greatest(F.floor(F.length(code_points) / 4).cast("int") - size + 1, F.lit(1)))
+def _last(code_points: Column, size: int = SHINGLE) -> Column:
+    """Where a line's last shingle begins, from 1: code_points has four bytes for each; a shorter line is its own shingle."""
+    return F.greatest(F.floor(F.length(code_points) / 4).cast("int") - size + 1, F.lit(1))
 
 
 def _hashed(code_points: Column, place: Column, size: int = SHINGLE) -> Column:
@@ -61,7 +63,7 @@ def _hashed(code_points: Column, place: Column, size: int = SHINGLE) -> Column:
 def shingles(line: Column, size: int = SHINGLE) -> Column:
     """The hashes of the distinct character shingles of a line."""
     # the outer transform binds the code points, which the inner one would work out anew for each place
-    cut = lambda b: F.array_distinct(F.transform(_places(b, size), lambda p: _hashed(b, p, size)))
+    cut = lambda b: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(b, size)), lambda p: _hashed(b, p, size)))
     return F.get(F.transform(F.array(F.encode(line, "UTF-32")), cut), F.lit(0))
 
 
@@ -79,25 +81,35 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _banded(texts: DataFrame, also: list[Column], seed: int = 5, grid: int = GRID) -> DataFrame:
     """id, also, minima, bands of texts (id, line, perhaps doc_id), a row per id.
 
-    also are further aggregates; p is the place of a shingle in a line, from 1. Shingles
-    are cut out of four-byte code points, so a place is found at once. Each mask gives a
-    shingle's hash two new ones of 32 bits, so every minimum has a permutation of its own.
-    Minima are taken by a plain aggregate before and after the shuffle; no text and no
-    shingle is shuffled, and a line that is everywhere is one row from each task.
+    also are further aggregates; p is the place of a row's first shingle in a line, from 1.
+    Shingles are cut out of four-byte code points, so a place is found at once, and a row
+    takes STEP of them (the last one again where a line ends), since to look its line up
+    costs more than to hash one. Each mask gives a shingle's hash two new ones of 32 bits,
+    so every minimum has a permutation of its own. Minima are taken by a plain aggregate
+    before and after the shuffle; no text and no shingle is shuffled, and a line that is
+    everywhere is one row from each task.
     """
     others = [c for c in texts.columns if c not in ("id", "line")]
     rows = texts.select("id", *others, F.encode("line", "UTF-32").alias("b"))
-    rows = rows.select("id", *others, "b", F.explode(_places(F.col("b"))).alias("p")).select("id", *others, "p", _hashed(F.col("b"), F.col("p")).alias("h"))
-    mixed = [F.xxhash64(F.col("h").bitwiseXOR(F.lit(m))) for m in _masks((grid * grid + 1) // 2, seed)]
-    halves = [half for m in mixed for half in (F.shiftrightunsigned(m, 32), m.bitwiseAND(F.lit(0xFFFFFFFF)))]
+    rows = rows.select("id", *others, "b", F.explode(F.sequence(F.lit(1), _last(F.col("b")), F.lit(STEP))).alias("p"))
+    taken = [_hashed(F.col("b"), F.least(F.col("p") + k, _last(F.col("b")))).alias(f"h{k}") for k in range(STEP)]
+    rows = rows.select("id", *others, "p", *taken)
+    mixed = [[F.xxhash64(F.col(f"h{k}").bitwiseXOR(F.lit(m))) for k in range(STEP)] for m in _masks((grid * grid + 1) // 2, seed)]
+    halves = [half for m in mixed for half in (F.least(*(F.shiftrightunsigned(x, 32) for x in m)), F.least(*(x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in m)))]
     signed = rows.groupBy("id").agg(*also, *(F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: grid * grid])))
     minima = F.array(*((F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(grid * grid)))
     return _with_bands(signed.withColumn("minima", minima).drop(*(f"m{k}" for k in range(grid * grid))), grid)
 
 
 def _with_bands(signed: DataFrame, grid: int = GRID) -> DataFrame:
-    """signed with the bands of its minima."""
-    return signed.withColumn("bands", F.array(*(F.xxhash64(F.lit(no), *(F.get("minima", F.lit(k)) for k in band)) for no, band in enumerate(_bands(grid)))))
+    """signed with the bands of its minima.
+
+    One short expression runs over the bands' places: one for each band makes generated
+    code that is too long for the JVM to compile.
+    """
+    places = F.array(*(F.array(*(F.lit(k) for k in band)) for band in _bands(grid)))
+    hashed = lambda at, no: F.xxhash64(no, *(F.get("minima", F.get(at, F.lit(k))) for k in range(grid)))
+    return signed.withColumn("bands", F.transform(places, hashed))
 
 
 def _signed(found: DataFrame) -> DataFrame:
@@ -184,7 +196,8 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
             texts = _texts(ids, found)
         first = _verified(_plausible(pairs, marks, agree), texts, similarity, shingles)
         edges = first if edges is None else edges.union(first)
-        joined = connected_components(edges).withColumnRenamed("node", "id")
+        joined = storage.save(connected_components(edges).withColumnRenamed("node", "id"), "joined")
+        edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
         marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
         unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
         marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")

@@ -189,7 +189,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     hashed, body = F.xxhash64(*docs.columns), F.coalesce(F.col(text), F.lit(""))
     prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("row"), F.xxhash64(body).alias("id"), _fingerprints(body, F.lit(SHINGLE)).alias("fp")), "simhash")
     distinct = storage.save(prints.groupBy("id").agg(F.min("fp").alias("fp")), "distinct")
-    keys = F.array(*(F.xxhash64(F.lit(no), F.col("fp").bitwiseAND(F.lit(m))) for no, m in enumerate(masks(radius))))
+    keys = F.transform(F.array(*(F.lit(m) for m in masks(radius))), lambda m, no: F.xxhash64(no, F.col("fp").bitwiseAND(m)))
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FAR
     edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles, near)
     roots = storage.broadcast_if_small(connected_components(edges))
