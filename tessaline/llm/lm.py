@@ -14,6 +14,7 @@ import math
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,8 +67,7 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
         sizes[i] = len(words) + 1
         hashed = np.full(len(words) + 1, _END, np.uint64)
-        if words:
-            hashed[:-1] = [xxhash.xxh64_intdigest(w, SEED) for w in words]
+        hashed[:-1] = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words, repeat(SEED))), ">u8")
         out.append(hashed)
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)) & ~_ONE, sizes
 
@@ -179,16 +179,22 @@ class Part:
     bits: np.ndarray
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Levels by repeated probes, 0 if the first is not there."""
+        """Levels by repeated probes, 0 if the first is not there.
+
+        Sorted keys ask one shard after the other, which stays in the processor's cache.
+        """
         out = np.zeros(len(keys), np.uint8)
         shard = _shard(keys)
         active = np.flatnonzero(self.bits[shard] > 0)
+        keys, shard = keys[active], shard[active]
+        bits, first = self.bits[shard], self.first[shard]
         q = 1
         while len(active):
             for probe in range(PROBES):
-                where = shard[active]
-                at = _places(keys[active], np.full(len(active), q), probe, self.bits[where]).astype(np.int64)
-                active = active[(self.filter[self.first[where] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                at = _places(keys, np.int64(q), probe, bits).astype(np.int64)
+                there = np.flatnonzero((self.filter[first + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1)
+                if len(there) < len(active):
+                    active, keys, bits, first = active[there], keys[there], bits[there], first[there]
             out[active] = q
             q += 1
         return out
@@ -235,8 +241,8 @@ class Head:
 def _levels(batches: Iterator[pa.RecordBatch], part: Part) -> Iterator[tuple]:
     """Batches with their token hashes and the levels, found so far, of each token and each pair."""
     for batch, hashed, sizes in _texts(batches):
-        own, place = np.unique(hashed, return_inverse=True)
-        found = part.levels(own)[place], part.levels(pairs(hashed))
+        own, pair = (np.unique(x, return_inverse=True) for x in (hashed, pairs(hashed)))
+        found = tuple(part.levels(keys)[place] for keys, place in (own, pair))
         for known, column in zip(found, ("own", "pair"), strict=True):
             if batch.column(column).null_count < len(batch):
                 known |= np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8)
