@@ -157,22 +157,37 @@ def _agree(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
 
 
+def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (id, ...) that pairs (a, b) name; others would be shuffled for nothing."""
+    ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+    return rows.join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
+
+
 def _plausible(pairs: DataFrame, marks: DataFrame | None, agree: Callable[[Column, Column], Column]) -> DataFrame:
     """The pairs (a, b) whose marks (id, mark) agree; all if there are none."""
     if marks is None:
         return pairs
+    marks = _of(marks, pairs)
     left, right = (marks.select(F.col("id").alias(k), F.col("mark").alias(f"{k}_mark")) for k in "ab")
     return storage.save(pairs.join(left, "a").join(right, "b").where(agree(F.col("a_mark"), F.col("b_mark"))).select("a", "b"), "plausible")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
     """The pairs (a, b) whose lines, in texts (id, line), have shingles that similar."""
+    texts = _of(texts, pairs)
     left, right = (texts.select(F.col("id").alias(k), F.col("line").alias(f"{k}_line")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", shingles(F.col("a_line")).alias("x"), shingles(F.col("b_line")).alias("y"))
     # exploding keeps the test above the columns x and y: a filter would be pushed below and work them out again for each use
     return storage.save(both.select(F.explode(F.when(alike(F.col("x"), F.col("y"), similarity), F.array(F.struct("a", "b")))).alias("p")).select("p.*"), "similar")
 
 
+def _compared(pairs: DataFrame, marks: DataFrame | None, agree: Callable[[Column, Column], Column], texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
+    """The pairs (a, b) that are similar; only they stay on disk."""
+    with storage.passing() as keep:
+        keep.append(_verified(_plausible(pairs, marks, agree), texts, similarity, shingles))
+    return keep[0]
+
+
 def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingles: Callable[[Column], Column] = shingles, agree: Callable[[Column, Column], Column] = _agree) -> DataFrame:
     """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps mark) connect.
 
@@ -185,30 +200,38 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     shingles gives the set of a line by which pairs are judged; agree tells from two marks
     whether that can be worth while.
     """
-    keys, edges, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
+    keys, joined, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
     for level in range(LEVELS + 1):
-        pairs, members = _buckets(keys)
-        pairs = _distinct(pairs)
-        if texts is None:
-            ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-            if "mark" in lines.columns:
-                marks = storage.save(lines.select("id", "mark").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
-            texts = _texts(ids, found)
-        first = _verified(_plausible(pairs, marks, agree), texts, similarity, shingles)
-        edges = first if edges is None else edges.union(first)
-        joined = storage.save(connected_components(edges).withColumnRenamed("node", "id"), "joined")
-        edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
-        unsettled = storage.save(marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band"), "unsettled")
-        marked = storage.save(marked.join(storage.broadcast_if_small(unsettled), "band", "left_semi"), "open")
-        large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
-        edges = edges.union(_verified(_plausible(_distinct(_in_blocks(marked.where(~large), BLOCK)), marks, agree), texts, similarity, shingles))
-        rest = marked.where(large)
-        if not rest.limit(1).count():
+        with storage.passing() as keep:
+            pairs, members = _buckets(keys)
+            pairs = _distinct(pairs)
+            if texts is None:
+                ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+                if "mark" in lines.columns:
+                    marks = storage.save(lines.select("id", "mark").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
+                texts = _texts(ids, found)
+            first = _compared(pairs, marks, agree, texts, similarity, shingles)
+            with storage.passing() as stars:
+                stars.append(storage.save(connected_components(first if joined is None else edges.union(first)).withColumnRenamed("node", "id"), "joined"))
+            storage.drop(joined)
+            joined = stars[0]
+            edges = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+            marked = storage.save(members.join(joined, "id", "left").select("band", "n", "id", F.coalesce("component", "id").alias("component")), "marked")
+            unsettled = marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band")
+            open_ = storage.save(marked.join(storage.broadcast_if_small(storage.save(unsettled, "unsettled")), "band", "left_semi"), "open")
+            large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
+            others = _compared(_distinct(_in_blocks(open_.where(~large), BLOCK)), marks, agree, texts, similarity, shingles)
+            edges = edges.union(others)
+            keep += [t for t in (marks, texts, joined, others) if t is not None]
+            rest = open_.where(large)
+            more = rest.limit(1).count() > 0
+            if more:
+                named = storage.save(rest.select("id", "component").distinct(), "rest")
+                cut = storage.save(_banded(texts.join(named, "id", "left_semi"), [], 100 + level, GRID + WIDER * (level + 1)).select("id", "bands"), "cut")
+                keys = named.join(cut, "id").select("id", "component", F.explode("bands").alias("band"))
+                keep += [named, cut]
+        if not more:
             break
-        named = storage.save(rest.select("id", "component").distinct(), "rest")
-        cut = storage.save(_banded(texts.join(named, "id", "left_semi"), [], 100 + level, GRID + WIDER * (level + 1)).select("id", "bands"), "cut")
-        keys = named.join(cut, "id").select("id", "component", F.explode("bands").alias("band"))
     return edges
 
 
@@ -220,17 +243,21 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     Lines without a word are never dropped. A null id comes after all others. Rows that
     agree in id and text are one document, so each keeps what one would.
     """
-    found = _occurrences(docs, doc_id, text)
-    lines = storage.save(_signed(found).drop("bands"), "lines")
-    roots = connected_components(similar(_with_bands(lines).withColumnRenamed("minima", "mark"), found, similarity)).withColumnRenamed("node", "id")
-    acted = storage.save(lines.select("id", "first_doc", "n").join(storage.broadcast_if_small(roots), "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "first_doc", F.coalesce("component", "id").alias("root")), "acted")
-    storage.drop(lines)
-    stays = storage.save(acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays")), "stays")
-    acts = storage.save(acted.join(storage.broadcast_if_small(stays), "root").select("id", F.when(F.col("id") == F.col("stays"), F.struct(F.col("first_doc").alias("doc_id"))).alias("keep")), "acts")
-    hits = found.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id")).join(storage.broadcast_if_small(acts, IDS), "id")
-    first = F.col("line_no") == F.min("line_no").over(Window.partitionBy("doc_id", "text_hash", "id"))
-    lost = hits.withColumn("first", first).where(~(F.col("first") & F.coalesce(F.struct("doc_id") == F.col("keep"), F.lit(False))))
-    return lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    with storage.passing() as keep:
+        found = _occurrences(docs, doc_id, text)
+        lines = storage.save(_signed(found).drop("bands"), "lines")
+        # seven bits of each minimum tell nearly as well whether two agree, in a quarter of the bytes
+        mark = F.transform("minima", lambda m: m.bitwiseAND(F.lit(127)).cast("byte"))
+        roots = connected_components(similar(_with_bands(lines).select("id", "bands", mark.alias("mark")), found, similarity)).withColumnRenamed("node", "id")
+        acted = storage.save(lines.select("id", "first_doc", "n").join(storage.broadcast_if_small(roots), "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "first_doc", F.coalesce("component", "id").alias("root")), "acted")
+        storage.drop(lines)
+        stays = storage.save(acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays")), "stays")
+        acts = storage.save(acted.join(storage.broadcast_if_small(stays), "root").select("id", F.when(F.col("id") == F.col("stays"), F.struct(F.col("first_doc").alias("doc_id"))).alias("keep")), "acts")
+        hits = found.select("doc_id", "text_hash", "line_no", F.xxhash64("line").alias("id")).join(storage.broadcast_if_small(acts, IDS), "id")
+        first = F.col("line_no") == F.min("line_no").over(Window.partitionBy("doc_id", "text_hash", "id"))
+        lost = hits.withColumn("first", first).where(~(F.col("first") & F.coalesce(F.struct("doc_id") == F.col("keep"), F.lit(False))))
+        keep.append(storage.save(lost.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("dropped")), "dropped"))
+    return keep[0]
 
 
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -239,7 +266,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarit
     A null text stays null, an empty one empty; a text whose lines all go is empty.
     """
     key, hashed, dropped = storage.fresh(docs, "_key", "_hash", "_dropped")
-    gone = storage.save(decide(docs, doc_id, text, similarity).toDF(key, hashed, dropped), "dropped")
+    gone = decide(docs, doc_id, text, similarity).toDF(key, hashed, dropped)
     if sum(gone.agg(F.count("*"), F.coalesce(F.sum(F.size(dropped)), F.lit(0))).first()) <= IDS:  # rows and numbers: some 40 MB at most
         gone = F.broadcast(gone)
     rows = docs.join(gone, docs[doc_id].eqNullSafe(gone[key]) & (F.xxhash64(docs[text]) == gone[hashed]), "left")

@@ -187,13 +187,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
     """
     row, value = storage.fresh(docs, "_row", "_value")
     hashed, body = F.xxhash64(*docs.columns), F.coalesce(F.col(text), F.lit(""))
-    prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("row"), F.xxhash64(body).alias("id"), _fingerprints(body, F.lit(SHINGLE)).alias("fp")), "simhash")
-    distinct = storage.save(prints.groupBy("id").agg(F.min("fp").alias("fp")), "distinct")
-    keys = F.transform(F.array(*(F.lit(m) for m in masks(radius))), lambda m, no: F.xxhash64(no, F.col("fp").bitwiseAND(m)))
-    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FAR
-    edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles, near)
-    roots = storage.broadcast_if_small(connected_components(edges))
-    rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "row", F.coalesce("component", "id").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
-    kept = docs.withColumn(row, hashed).join(storage.broadcast_if_small(storage.save(keep, "keep"), IDS), row, "left_semi")
+    with storage.passing() as stays:
+        prints = storage.save(docs.select(F.col(doc_id).alias("doc_id"), hashed.alias("row"), F.xxhash64(body).alias("id"), _fingerprints(body, F.lit(SHINGLE)).alias("fp")), "simhash")
+        distinct = storage.save(prints.groupBy("id").agg(F.min("fp").alias("fp")), "distinct")
+        keys = F.transform(F.array(*(F.lit(m) for m in masks(radius))), lambda m, no: F.xxhash64(no, F.col("fp").bitwiseAND(m)))
+        near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FAR
+        edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles, near)
+        roots = storage.broadcast_if_small(connected_components(edges))
+        rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "row", F.coalesce("component", "id").alias("root"))
+        keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
+        stays.append(storage.save(keep, "keep"))
+    kept = docs.withColumn(row, hashed).join(storage.broadcast_if_small(stays[0], IDS), row, "left_semi")
     return kept.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(value)).select(*(F.col(f"{value}.`{c}`") for c in docs.columns))
