@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +38,8 @@ LEVELS = 3
 BLOCK = 64
 #: Shingles that a row hashes before its minima meet those of its line's other rows.
 STEP = 4
+#: Words of 64 bits in a bitmap of a line's shingles.
+BITMAP = 32
 #: Rows of one long that may be broadcast.
 IDS = 1_000_000
 
@@ -78,24 +83,31 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.where(F.col("line").rlike(WORD))
 
 
-def _banded(texts: DataFrame, also: list[Column], seed: int = 5, grid: int = GRID) -> DataFrame:
-    """id, also, minima, bands of texts (id, line, perhaps doc_id), a row per id.
+def _places(texts: DataFrame) -> DataFrame:
+    """texts (id, line, perhaps doc_id) with STEP shingle hashes h0, h1, ... a row instead of line; p is the first one's place in the line, from 1.
 
-    also are further aggregates; p is the place of a row's first shingle in a line, from 1.
     Shingles are cut out of four-byte code points, so a place is found at once, and a row
     takes STEP of them (the last one again where a line ends), since to look its line up
-    costs more than to hash one. Each mask gives a shingle's hash two new ones of 32 bits,
+    costs more than to hash one.
+    """
+    others = [c for c in texts.columns if c != "line"]
+    rows = texts.select(*others, F.encode("line", "UTF-32").alias("b"))
+    rows = rows.select(*others, "b", F.explode(F.sequence(F.lit(1), _last(F.col("b")), F.lit(STEP))).alias("p"))
+    return rows.select(*others, "p", *(_hashed(F.col("b"), F.least(F.col("p") + k, _last(F.col("b")))).alias(f"h{k}") for k in range(STEP)))
+
+
+def _banded(rows: DataFrame, also: list[Column], seed: int = 5, grid: int = GRID) -> DataFrame:
+    """id, also, minima, bands of rows (id, h0, h1, ... of its shingles), a row per id.
+
+    also are further aggregates. Each mask gives a shingle's hash two new ones of 32 bits,
     so every minimum has a permutation of its own. Minima are taken by a plain aggregate
     before and after the shuffle; no text and no shingle is shuffled, and a line that is
     everywhere is one row from each task.
     """
-    others = [c for c in texts.columns if c not in ("id", "line")]
-    rows = texts.select("id", *others, F.encode("line", "UTF-32").alias("b"))
-    rows = rows.select("id", *others, "b", F.explode(F.sequence(F.lit(1), _last(F.col("b")), F.lit(STEP))).alias("p"))
-    taken = [_hashed(F.col("b"), F.least(F.col("p") + k, _last(F.col("b")))).alias(f"h{k}") for k in range(STEP)]
-    rows = rows.select("id", *others, "p", *taken)
-    mixed = [[F.xxhash64(F.col(f"h{k}").bitwiseXOR(F.lit(m))) for k in range(STEP)] for m in _masks((grid * grid + 1) // 2, seed)]
-    halves = [half for m in mixed for half in (F.least(*(F.shiftrightunsigned(x, 32) for x in m)), F.least(*(x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in m)))]
+    hashes = [c for c in rows.columns if c[0] == "h"]
+    least = lambda x: F.least(*x) if len(x) > 1 else x[0]
+    mixed = [[F.xxhash64(F.col(h).bitwiseXOR(F.lit(m))) for h in hashes] for m in _masks((grid * grid + 1) // 2, seed)]
+    halves = [half for m in mixed for half in (least([F.shiftrightunsigned(x, 32) for x in m]), least([x.bitwiseAND(F.lit(0xFFFFFFFF)) for x in m]))]
     signed = rows.groupBy("id").agg(*also, *(F.min(h).alias(f"m{k}") for k, h in enumerate(halves[: grid * grid])))
     minima = F.array(*((F.col(f"m{k}") - F.lit(1 << 31)).cast("int") for k in range(grid * grid)))
     return _with_bands(signed.withColumn("minima", minima).drop(*(f"m{k}" for k in range(grid * grid))), grid)
@@ -114,7 +126,7 @@ def _with_bands(signed: DataFrame, grid: int = GRID) -> DataFrame:
 
 def _signed(found: DataFrame) -> DataFrame:
     """id, first_doc, n, minima, bands of the distinct lines of found."""
-    return _banded(found.select(F.xxhash64("line").alias("id"), "line", "doc_id"), [F.min("doc_id").alias("first_doc"), F.count_if(F.col("p") == 1).alias("n")])
+    return _banded(_places(found.select(F.xxhash64("line").alias("id"), "line", "doc_id")), [F.min("doc_id").alias("first_doc"), F.count_if(F.col("p") == 1).alias("n")])
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,18 +144,73 @@ def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.union(members.where("component <> lo_component" if known else "id <> lo").select("lo", "id")), members.select("band", "n", "id")
 
 
-def _texts(ids: DataFrame, found: DataFrame) -> DataFrame:
-    """id, line of the distinct ids; the texts come from a pass over found (line)."""
+def _agree(a: Column, b: Column) -> Column:
+    """Whether two marks share AGREE minima; each of their longs holds seven of them in bytes of seven bits."""
+    packed = -(-GRID * GRID // 7)
+    differ = lambda k: F.bit_count((F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))) + F.lit(0x7F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x80808080808080)))
+    return reduce(add, map(differ, range(packed))) <= GRID * GRID - AGREE
+
+
+def _mark(minima: Column) -> Column:
+    """Seven bits of each minimum, which tell nearly as well whether two agree; bytes that are left over are zero."""
+    part = lambda k: F.shiftleft(F.get(minima, F.lit(k)).bitwiseAND(F.lit(127)).cast("long"), 8 * (k % 7))
+    return F.array(*(reduce(add, (part(k) for k in range(at, min(at + 7, GRID * GRID)))) for at in range(0, GRID * GRID, 7)))
+
+
+@dataclass(frozen=True)
+class Judged:
+    """How pairs are judged: kept is made of a line once and stored, shingles gives its set of hashes, rows deals those of a table (id, line) out as (id, h0, ...), agree tells from two marks whether a pair can be worth while, and wider is by how much each further square is."""
+
+    kept: Callable[[Column], Column] = lambda line: line
+    shingles: Callable[[Column], Column] = shingles
+    rows: Callable[[DataFrame], DataFrame] = _places
+    agree: Callable[[Column, Column], Column] = _agree
+    wider: int = WIDER
+
+
+def _texts(ids: DataFrame, found: DataFrame, judged: Judged) -> DataFrame:
+    """id, line (what is kept of it) of the distinct ids; the texts come from a pass over found (line)."""
     texts = found.select(F.xxhash64("line").alias("id"), "line").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
-    return storage.save(texts.groupBy("id").agg(F.any_value("line").alias("line")), "texts")
+    return storage.save(texts.groupBy("id").agg(F.any_value("line").alias("line")).select("id", judged.kept(F.col("line")).alias("line")), "texts")
+
+
+def _bitmaps(rows: DataFrame) -> DataFrame:
+    """id, bits of rows (id, h0, ...): n, how many hashes there are at most, and a bitmap of them in words w0, w1, ..."""
+    rows = rows.select("id", F.explode(F.array(*(c for c in rows.columns if c[0] == "h"))).alias("h"))
+    # words first, so that a hash meets one buffer and not all of them
+    word, bit = F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("word"), F.expr("shiftleft(1L, CAST(h >> 5 & 63 AS INT))")
+    rows = rows.groupBy("id", word).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
+    words = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(BITMAP))
+    return rows.groupBy("id").agg(F.sum("n").alias("n"), *words).select("id", F.struct("n", *(f"w{k}" for k in range(BITMAP))).alias("bits"))
+
 
+def _can_be_alike(a: Column, b: Column, similarity: float) -> Column:
+    """Whether two sets' bits leave room for that Jaccard similarity; true of all that reach it.
 
-def _in_blocks(marked: DataFrame, block: int) -> DataFrame:
-    """The pairs (a, b) of marked (band, n, id, component) in a bucket that are of two components; pairs of blocks are the unit of work."""
-    dealt = marked.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    A bit of one bitmap alone is a hash of that set alone at least, so what is counted in
+    one only is no more than there is, and what may be common no less.
+    """
+    alone = lambda x, y: reduce(add, (F.bit_count(x[f"w{k}"].bitwiseAND(F.bitwise_not(y[f"w{k}"]))) for k in range(BITMAP)))
+    left, right = alone(a, b), alone(b, a)
+    return F.least(a["n"] - left, b["n"] - right) * (1 - similarity) >= similarity * (left + right) - 1e-9
+
+
+def _worth(a: Column, b: Column, judged: Judged, similarity: float, marked: bool) -> Column:
+    """Whether a pair of rows (mark, if marked, and bits) is to be compared."""
+    bound = _can_be_alike(a["bits"], b["bits"], similarity)
+    return judged.agree(a["mark"], b["mark"]) & bound if marked else bound
+
+
+def _in_blocks(members: DataFrame, block: int, worth: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) of members (band, n, id, component, mark, bits) in a bucket that are of two components and worth while.
+
+    Pairs of blocks are the unit of work; a pair becomes a row only if it passes.
+    """
+    dealt = members.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     units = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    met = dealt.select("band", "id", "component", "block", F.explode(units).alias("u")).groupBy("band", "u").agg(F.collect_list(F.struct("id", "component", "block")).alias("m"))
-    asked = lambda a: F.filter("m", lambda b: (b["id"] > a["id"]) & (a["component"] != b["component"]) & ((F.col("u.i") == F.col("u.j")) | (a["block"] != b["block"])))
+    row = F.struct("id", "component", "block", *(c for c in ("mark", "bits") if c in members.columns))
+    met = dealt.select("band", row.alias("r"), F.explode(units).alias("u")).groupBy("band", "u").agg(F.collect_list("r").alias("m"))
+    asked = lambda a: F.filter("m", lambda b: (b["id"] > a["id"]) & (a["component"] != b["component"]) & ((F.col("u.i") == F.col("u.j")) | (a["block"] != b["block"])) & worth(a, b))
     pairs = F.flatten(F.transform("m", lambda a: F.transform(asked(a), lambda b: F.struct(a["id"].alias("a"), b["id"].alias("b")))))
     return met.select(F.explode(pairs).alias("p")).select("p.*")
 
@@ -152,24 +219,17 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return storage.save(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Whether two signatures share AGREE minima."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
-
-
 def _of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows (id, ...) that pairs (a, b) name; others would be shuffled for nothing."""
     ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
     return rows.join(storage.broadcast_if_small(ids, IDS), "id", "left_semi")
 
 
-def _plausible(pairs: DataFrame, marks: DataFrame | None, agree: Callable[[Column, Column], Column]) -> DataFrame:
-    """The pairs (a, b) whose marks (id, mark) agree; all if there are none."""
-    if marks is None:
-        return pairs
+def _plausible(pairs: DataFrame, marks: DataFrame, worth: Callable[[Column, Column], Column]) -> DataFrame:
+    """The pairs (a, b) whose marks (id, ...) are worth comparing."""
     marks = _of(marks, pairs)
-    left, right = (marks.select(F.col("id").alias(k), F.col("mark").alias(f"{k}_mark")) for k in "ab")
-    return storage.save(pairs.join(left, "a").join(right, "b").where(agree(F.col("a_mark"), F.col("b_mark"))).select("a", "b"), "plausible")
+    left, right = (marks.select(F.col("id").alias(k), F.struct(*(c for c in marks.columns if c != "id")).alias(f"{k}_mark")) for k in "ab")
+    return storage.save(pairs.join(left, "a").join(right, "b").where(worth(F.col("a_mark"), F.col("b_mark"))).select("a", "b"), "plausible")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
@@ -181,36 +241,33 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: C
     return storage.save(both.select(F.explode(F.when(alike(F.col("x"), F.col("y"), similarity), F.array(F.struct("a", "b")))).alias("p")).select("p.*"), "similar")
 
 
-def _compared(pairs: DataFrame, marks: DataFrame | None, agree: Callable[[Column, Column], Column], texts: DataFrame, similarity: float, shingles: Callable[[Column], Column]) -> DataFrame:
-    """The pairs (a, b) that are similar; only they stay on disk."""
-    with storage.passing() as keep:
-        keep.append(_verified(_plausible(pairs, marks, agree), texts, similarity, shingles))
-    return keep[0]
-
-
-def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, shingles: Callable[[Column], Column] = shingles, agree: Callable[[Column, Column], Column] = _agree) -> DataFrame:
+def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, judged: Judged = Judged()) -> DataFrame:  # noqa: B008
     """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps mark) connect.
 
     Every member of a bucket is compared with the bucket's first. Lines that are then in
     one component, by whatever bucket, are connected already, so only pairs of two
-    components are compared after that. In buckets of up to ALL_PAIRS they all are. Lines of
-    larger ones of several components are banded anew by more minima a band, and the new
-    buckets are treated in the same way. What is large after LEVELS times is paired whole,
-    in blocks. The texts of candidates are fetched once. ids are hashes of found's lines;
-    shingles gives the set of a line by which pairs are judged; agree tells from two marks
-    whether that can be worth while.
+    components are compared after that. In buckets of up to ALL_PAIRS they all are, of
+    which those that can't be similar by their marks and bitmaps never leave their block.
+    Lines of larger ones of several components are banded anew by more minima a band, and
+    the new buckets are treated in the same way. What is large after LEVELS times is paired
+    whole, in blocks. The texts of candidates are fetched once. ids are hashes of found's lines.
     """
     keys, joined, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
+    worth = lambda a, b: _worth(a, b, judged, similarity, "mark" in lines.columns)
     for level in range(LEVELS + 1):
         with storage.passing() as keep:
             pairs, members = _buckets(keys)
             pairs = _distinct(pairs)
             if texts is None:
                 ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+                texts = _texts(ids, found, judged)
+                marks = _bitmaps(judged.rows(texts))
                 if "mark" in lines.columns:
-                    marks = storage.save(lines.select("id", "mark").join(storage.broadcast_if_small(ids, IDS), "id", "left_semi"), "marks")
-                texts = _texts(ids, found)
-            first = _compared(pairs, marks, agree, texts, similarity, shingles)
+                    marks = marks.join(lines.select("id", "mark"), "id")
+                marks = storage.save(marks, "marks")
+            with storage.passing() as verified:
+                verified.append(_verified(_plausible(pairs, marks, worth), texts, similarity, judged.shingles))
+            first = verified[0]
             with storage.passing() as stars:
                 stars.append(storage.save(connected_components(first if joined is None else edges.union(first)).withColumnRenamed("node", "id"), "joined"))
             storage.drop(joined)
@@ -220,14 +277,17 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
             unsettled = marked.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band")
             open_ = storage.save(marked.join(storage.broadcast_if_small(storage.save(unsettled, "unsettled")), "band", "left_semi"), "open")
             large = F.col("n") > ALL_PAIRS if level < LEVELS else F.lit(False)
-            others = _compared(_distinct(_in_blocks(open_.where(~large), BLOCK)), marks, agree, texts, similarity, shingles)
+            with storage.passing() as verified:
+                met = _distinct(_in_blocks(open_.where(~large).join(marks, "id"), BLOCK, worth))
+                verified.append(_verified(met, texts, similarity, judged.shingles))
+            others = verified[0]
             edges = edges.union(others)
-            keep += [t for t in (marks, texts, joined, others) if t is not None]
+            keep += [marks, texts, joined, others]
             rest = open_.where(large)
             more = rest.limit(1).count() > 0
             if more:
                 named = storage.save(rest.select("id", "component").distinct(), "rest")
-                cut = storage.save(_banded(texts.join(named, "id", "left_semi"), [], 100 + level, GRID + WIDER * (level + 1)).select("id", "bands"), "cut")
+                cut = storage.save(_banded(judged.rows(texts.join(named, "id", "left_semi")), [], 100 + level, GRID + judged.wider * (level + 1)).select("id", "bands"), "cut")
                 keys = named.join(cut, "id").select("id", "component", F.explode("bands").alias("band"))
                 keep += [named, cut]
         if not more:
@@ -246,9 +306,7 @@ def decide(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similari
     with storage.passing() as keep:
         found = _occurrences(docs, doc_id, text)
         lines = storage.save(_signed(found).drop("bands"), "lines")
-        # seven bits of each minimum tell nearly as well whether two agree, in a quarter of the bytes
-        mark = F.transform("minima", lambda m: m.bitwiseAND(F.lit(127)).cast("byte"))
-        roots = connected_components(similar(_with_bands(lines).select("id", "bands", mark.alias("mark")), found, similarity)).withColumnRenamed("node", "id")
+        roots = connected_components(similar(_with_bands(lines).select("id", "bands", _mark(F.col("minima")).alias("mark")), found, similarity)).withColumnRenamed("node", "id")
         acted = storage.save(lines.select("id", "first_doc", "n").join(storage.broadcast_if_small(roots), "id", "left").where("n > 1 OR component IS NOT NULL").select("id", "first_doc", F.coalesce("component", "id").alias("root")), "acted")
         storage.drop(lines)
         stays = storage.save(acted.groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull(), "first_doc", "id"))["id"].alias("stays")), "stays")

@@ -192,7 +192,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", simila
         distinct = storage.save(prints.groupBy("id").agg(F.min("fp").alias("fp")), "distinct")
         keys = F.transform(F.array(*(F.lit(m) for m in masks(radius))), lambda m, no: F.xxhash64(no, F.col("fp").bitwiseAND(m)))
         near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= FAR
-        edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, word_shingles, near)
+        # a text is kept as its set of shingles, by which it is judged and, where buckets are large (one mask has a
+        # single bit, so all texts of a large table are in one), banded anew
+        judged = lines.Judged(word_shingles, lambda kept: kept, lambda sets: sets.select("id", F.explode("line").alias("h0")), near, 2)
+        edges = lines.similar(distinct.select("id", F.col("fp").alias("mark"), keys.alias("bands")), docs.select(body.alias("line")), similarity, judged)
         roots = storage.broadcast_if_small(connected_components(edges))
         rooted = prints.join(roots, prints.id == roots.node, "left").select("doc_id", "row", F.coalesce("component", "id").alias("root"))
         keep = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(row)).select(row)
