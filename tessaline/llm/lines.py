@@ -241,6 +241,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingles: C
     return storage.save(both.select(F.explode(F.when(alike(F.col("x"), F.col("y"), similarity), F.array(F.struct("a", "b")))).alias("p")).select("p.*"), "similar")
 
 
+def _narrowed(table: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of a written table that ids (id) name, written in its place."""
+    found = storage.save(table.join(ids, "id", "left_semi"), "narrowed")
+    storage.drop(table)
+    return found
+
+
 def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY, judged: Judged = Judged()) -> DataFrame:  # noqa: B008
     """Edges (a, b) that connect what the candidates among lines (id, bands, perhaps mark) connect.
 
@@ -282,14 +289,17 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
                 verified.append(_verified(met, texts, similarity, judged.shingles))
             others = verified[0]
             edges = edges.union(others)
-            keep += [marks, texts, joined, others]
             rest = open_.where(large)
             more = rest.limit(1).count() > 0
             if more:
                 named = storage.save(rest.select("id", "component").distinct(), "rest")
-                cut = storage.save(_banded(judged.rows(texts.join(named, "id", "left_semi")), [], 100 + level, GRID + judged.wider * (level + 1)).select("id", "bands"), "cut")
+                asked = storage.broadcast_if_small(named.select("id"), IDS)
+                if 2 * named.count() <= texts.count():  # further levels ask for no others
+                    texts, marks = _narrowed(texts, asked), _narrowed(marks, asked)
+                cut = storage.save(_banded(judged.rows(texts.join(asked, "id", "left_semi")), [], 100 + level, GRID + judged.wider * (level + 1)).select("id", "bands"), "cut")
                 keys = named.join(cut, "id").select("id", "component", F.explode("bands").alias("band"))
                 keep += [named, cut]
+            keep += [marks, texts, joined, others]
         if not more:
             break
     return edges

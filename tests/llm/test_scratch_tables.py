@@ -1,4 +1,6 @@
 import random
+import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -28,3 +30,32 @@ def test_only_rows_that_pairs_name_are_joined(spark):
     rows = spark.range(1000).select("id", F.col("id").cast("string").alias("line"))
     pairs = spark.createDataFrame([(1, 2), (2, 7), (1, 2)], "a long, b long")
     assert sorted(r.id for r in lines._of(rows, pairs).collect()) == [1, 2, 7]
+
+
+def shuffle_files(spark):
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {path.name for folder in disk.localDirs() for path in Path(folder.getPath()).rglob("shuffle_*")}
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    setting, before = spark.conf.get(storage.CLEANUP), shuffle_files(spark)
+    saved = storage.save(spark.range(0, 100_000, 1, 4).groupBy(F.xxhash64("id").alias("h")).agg(F.max("id").alias("m")), "sums")
+    deadline = time.monotonic() + 10  # executors are told, and not waited for
+    while (left := shuffle_files(spark) - before) and time.monotonic() < deadline:
+        time.sleep(0.1)
+    assert not left
+    assert spark.conf.get(storage.CLEANUP) == setting and saved.count() == 100_000
+
+
+def test_later_levels_keep_only_what_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(lines, "ALL_PAIRS", 4)
+    seen = []
+    monkeypatch.setattr(lines, "_plausible", lambda pairs, marks, worth, real=lines._plausible: seen.append(marks.count()) or real(pairs, marks, worth))
+    g = random.Random(8)
+    letters = lambda n: "".join(g.choice("abcdefghijklmnop") for _ in range(n))
+    texts = [letters(60) for _ in range(60)] + [f"{opening}{letters(30)}" for opening in [letters(50)] for _ in range(6)]
+    found = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, line string")
+    # pairs of the first sixty meet in a bucket each, the last six in one that is large
+    band = F.when(F.col("doc_id") < 60, F.floor(F.col("doc_id") / 2)).otherwise(-1)
+    lines.similar(found.select(F.xxhash64("line").alias("id"), F.array(band).alias("bands")), found)
+    assert seen[0] == 66 and len(seen) > 1 and set(seen[1:]) == {6}
