@@ -176,12 +176,13 @@ def _texts(ids: DataFrame, found: DataFrame, judged: Judged) -> DataFrame:
 
 def _bitmaps(rows: DataFrame) -> DataFrame:
     """id, bits of rows (id, h0, ...): n, how many hashes there are at most, and a bitmap of them in words w0, w1, ..."""
-    rows = rows.select("id", F.explode(F.array(*(c for c in rows.columns if c[0] == "h"))).alias("h"))
-    # words first, so that a hash meets one buffer and not all of them
-    word, bit = F.col("h").bitwiseAND(F.lit(BITMAP - 1)).alias("word"), F.expr("shiftleft(1L, CAST(h >> 5 & 63 AS INT))")
-    rows = rows.groupBy("id", word).agg(F.count("*").alias("n"), F.bit_or(bit).alias("bits"))
-    words = (F.coalesce(F.bit_or(F.when(F.col("word") == k, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k in range(BITMAP))
-    return rows.groupBy("id").agg(F.sum("n").alias("n"), *words).select("id", F.struct("n", *(f"w{k}" for k in range(BITMAP))).alias("bits"))
+    hashes = [c for c in rows.columns if c[0] == "h"]
+    # all words in one aggregate: a line's rows are in one task, so that the shuffle takes a row for each line
+    word, bit = "{0} & %d AS at_{0}" % (BITMAP - 1), "shiftleft(1L, CAST({0} >> 5 & 63 AS INT)) AS bit_{0}"
+    rows = rows.selectExpr("id", *(x.format(h) for h in hashes for x in (word, bit)))
+    of = lambda k: reduce(Column.bitwiseOR, (F.when(F.col(f"at_{h}") == k, F.col(f"bit_{h}")).otherwise(F.lit(0).cast("long")) for h in hashes))
+    rows = rows.groupBy("id").agg((F.count("*") * len(hashes)).alias("n"), *(F.bit_or(of(k)).alias(f"w{k}") for k in range(BITMAP)))
+    return rows.select("id", F.struct("n", *(f"w{k}" for k in range(BITMAP))).alias("bits"))
 
 
 def _can_be_alike(a: Column, b: Column, similarity: float) -> Column:
@@ -257,7 +258,8 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
     which those that can't be similar by their marks and bitmaps never leave their block.
     Lines of larger ones of several components are banded anew by more minima a band, and
     the new buckets are treated in the same way. What is large after LEVELS times is paired
-    whole, in blocks. The texts of candidates are fetched once. ids are hashes of found's lines.
+    whole, in blocks. The texts of pairs whose marks agree and of members of buckets of more
+    than two are fetched once. ids are hashes of found's lines.
     """
     keys, joined, texts, marks = lines.select("id", F.explode("bands").alias("band")), None, None, None
     worth = lambda a, b: _worth(a, b, judged, similarity, "mark" in lines.columns)
@@ -266,7 +268,9 @@ def similar(lines: DataFrame, found: DataFrame, similarity: float = SIMILARITY,
             pairs, members = _buckets(keys)
             pairs = _distinct(pairs)
             if texts is None:
-                ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+                if "mark" in lines.columns:  # most pairs go by their marks, which need no texts
+                    pairs = _plausible(pairs, lines.select("id", "mark"), lambda a, b: judged.agree(a["mark"], b["mark"]))
+                ids = storage.save(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct(), "ids")
                 texts = _texts(ids, found, judged)
                 marks = _bitmaps(judged.rows(texts))
                 if "mark" in lines.columns:

@@ -47,6 +47,23 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
     assert spark.conf.get(storage.CLEANUP) == setting and saved.count() == 100_000
 
 
+def test_bitmaps_shuffle_a_row_for_each_text(spark):
+    texts = spark.createDataFrame([(i, f"line {i} of some text") for i in range(20)], "id long, line string")
+    plan = lines._bitmaps(lines._places(texts))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_texts_are_fetched_of_pairs_whose_marks_agree(spark, monkeypatch):
+    fetched = []
+    monkeypatch.setattr(lines, "_texts", lambda ids, *more, real=lines._texts: fetched.append(ids.count()) or real(ids, *more))
+    texts = ["one line that has a near copy, here", "one line that has a near copy, there", "quite another line", "and one without copies"]
+    found = spark.createDataFrame(list(enumerate(texts)), "doc_id long, line string")
+    # two buckets of two; only the first one's marks agree
+    signed = found.select(F.xxhash64("line").alias("id"), F.array(F.floor(F.col("doc_id") / 2)).alias("bands"), F.greatest("doc_id", F.lit(1)).alias("mark"))
+    edges = lines.similar(signed, found, 0.7, lines.Judged(agree=lambda a, b: a == b))
+    assert fetched == [2] and edges.where("a <> b").count() > 0
+
+
 def test_later_levels_keep_only_what_they_ask_for(spark, monkeypatch):
     monkeypatch.setattr(lines, "ALL_PAIRS", 4)
     seen = []
