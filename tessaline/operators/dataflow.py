@@ -67,10 +67,29 @@ def sink_findings(tainted: DataFrame, edges: DataFrame, sinks: DataFrame, group:
 
 
 def _fact_rows(rows: DataFrame, group: list[str]) -> DataFrame:
-    """One row a key: the worse state, the better path, and the sinks that all ways are safe for."""
+    """One row a key: the worse state, the better path, the sinks that all ways are safe for, and whether that differs from the row known before."""
     best = F.min(F.struct(F.size("path").alias("steps"), "path"))["path"].alias("path")
-    return rows.groupBy(*group, "node", "var", "origin").agg(F.max("state").alias("state"), best, F.bit_and("safe").alias("safe"))
+    before = F.max(F.when(F.col("_known"), F.struct("state", "path", "safe"))).alias("_before")
+    found = rows.groupBy(*group, "node", "var", "origin").agg(F.max("state").alias("state"), best, F.bit_and("safe").alias("safe"), before)
+    return found.withColumn("changed", ~F.col("_before").eqNullSafe(F.struct("state", "path", "safe"))).drop("_before")
+
+
+def _done_by_nodes(cleaned: DataFrame, assigns: DataFrame, cleaners: DataFrame | None, sinks: list[str], group: list[str]) -> DataFrame:
+    """group, node, var, made (sinks that var becomes safe for), cleaned, moves (targets that get its value)."""
+    key = [*group, "node", "var"]
+    row = lambda df, made, is_clean, target: df.select(*key, made.cast("long").alias("made"), F.lit(is_clean).alias("cleaned"), target.alias("move"))
+    to = F.struct("target")
+    none = F.lit(None).cast(f"struct<target:{assigns.schema['target'].dataType.simpleString()}>")
+    rows = row(cleaned, F.lit(0), True, none).union(row(assigns.select(*group, "node", "target", F.col("value").alias("var")), F.lit(0), False, to))
+    if cleaners is not None:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.array(*(F.lit(s) for s in sinks)), F.col("sink")) - 1).cast("int"))
+        rows = rows.union(row(cleaners.where(F.col("sink").isin(*sinks)), bit, False, none))
+    found = rows.where("var IS NOT NULL").groupBy(*key).agg(F.bit_or("made").alias("made"), F.max("cleaned").alias("cleaned"), F.collect_set("move").alias("moves"))
+    return storage.save(found, "does")
+
 
+#: Facts that are broadcast to the edges; a row has a path.
+FEW_FACTS = 20_000
 
 #: States of a variable in the order in which they outweigh each other.
 TAINTED, UNKNOWN = 1, 2
@@ -112,19 +131,17 @@ def taint_paths(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills:
     state = F.coalesce("state", F.lit(TAINTED)) if "state" in sources.columns else F.lit(TAINTED)
     facts = sources.where("origin IS NOT NULL AND var IS NOT NULL").select(*group, "node", "var", F.col("origin").cast("string").alias("origin"), state.cast("int").alias("state"), step("source").alias("path"), F.lit(0).cast("long").alias("safe"))
     cleaned = kills.select(*group, "node", "var").union(assigns.select(*group, "node", F.col("target").alias("var"))).distinct()
-    moves = storage.save(assigns.select(*group, "node", "target", F.col("value").alias("var")).where("var IS NOT NULL").distinct(), "moves")
-    made = None
-    if cleaners is not None:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(F.array(*(F.lit(s) for s in sinks)), F.col("sink")) - 1).cast("int"))
-        made = storage.save(cleaners.where(F.col("sink").isin(*sinks)).groupBy(*group, "node", "var").agg(F.bit_or(bit).alias("made")), "cleaners")
+    does = _done_by_nodes(cleaned, assigns, cleaners, sinks, group)
 
     def left(entered: DataFrame) -> DataFrame:
         """What entered facts become where their nodes end."""
-        if made is not None:
-            entered = entered.join(made, [*group, "node", "var"], "left").withColumn("safe", F.col("safe").bitwiseOR(F.coalesce("made", F.lit(0)))).drop("made")
-        kept = entered.join(cleaned, [*group, "node", "var"], "left_anti").select(*key, "state", "path", "safe")
-        passed = entered.join(moves, [*group, "node", "var"]).select(*group, "node", F.col("target").alias("var"), "origin", "state", F.concat("path", step("assignment")).alias("path"), "safe")
-        return kept.union(passed)
+        found = entered.join(does.hint("merge"), [*group, "node", "var"], "left").withColumn("safe", F.col("safe").bitwiseOR(F.coalesce("made", F.lit(0))))
+        one = lambda var, moved: F.struct(var.alias("_var"), F.lit(moved).alias("_moved"))
+        passed = F.coalesce(F.transform("moves", lambda m: one(m["target"], True)), F.array())
+        kept = F.when(~F.coalesce("cleaned", F.lit(False)), F.array(one(F.col("var"), False))).otherwise(F.array())
+        out = found.select(*group, "node", "origin", "state", "path", "safe", F.inline(F.concat(kept, passed)))
+        path = F.when(F.col("_moved"), F.concat("path", step("assignment"))).otherwise(F.col("path"))
+        return out.select(*group, "node", F.col("_var").alias("var"), "origin", "state", path.alias("path"), "safe")
 
     start = None
     if entries is not None:
@@ -132,23 +149,32 @@ def taint_paths(edges: DataFrame, sources: DataFrame, assigns: DataFrame, kills:
         start = _unbound(edges, binds, entries, group).select(*group, "node", "var", F.lit(UNBOUND).alias("origin"), F.lit(UNKNOWN).alias("state"), step("unbound").alias("path"), F.lit(0).cast("long").alias("safe"))
         start = storage.save(start, "unbound")
         facts = facts.union(left(start))
-    known = new = storage.save(_fact_rows(facts, group), "facts")
+    fact = ["state", "path", "safe"]
+    known = storage.save(_fact_rows(facts.withColumn("_known", F.lit(False)), group), "facts")
     while True:
-        arrived = left(_entering(new, edges, guards, group))
-        grown = storage.save(_fact_rows(known.union(arrived), group), "facts")
-        new = storage.save(grown.join(known.withColumnsRenamed({"state": "s", "path": "p", "safe": "f"}), key, "left").where("s IS NULL OR s <> state OR p <> path OR f <> safe").select(*key, "state", "path", "safe"), "changed")
-        known = grown
+        new = known.where("changed").select(*key, *fact)
         if not new.limit(1).count():
             break
+        arrived = left(_entering(storage.broadcast_if_small(new, FEW_FACTS), edges, guards, group))
+        grown = known.select(*key, *fact, F.lit(True).alias("_known")).unionByName(arrived.withColumn("_known", F.lit(False)))
+        grown = storage.save(_fact_rows(grown, group), "facts")
+        storage.drop(known)
+        known = grown
+    known = known.select(*key, *fact)
     begins = _entering(known, edges, guards, group)
     begins = begins if start is None else begins.union(start)
-    return known, storage.save(_fact_rows(begins, group), "begins")
+    return known, storage.save(_fact_rows(begins.withColumn("_known", F.lit(False)), group).drop("changed"), "begins")
 
 
 def _entering(facts: DataFrame, edges: DataFrame, guards: DataFrame | None, group: list[str]) -> DataFrame:
-    rows = facts.withColumnRenamed("node", "src").join(edges, [*group, "src"])
+    """What enters the nodes after those where facts hold.
+
+    Joins are sorted merges: by the few bytes of its file a written table of millions of
+    short rows would be broadcast, and held by the driver.
+    """
+    rows = facts.withColumnRenamed("node", "src").join(edges.hint("merge"), [*group, "src"])
     if guards is not None:
-        rows = rows.join(guards.select(*group, "src", "dst", "var"), [*group, "src", "dst", "var"], "left_anti")
+        rows = rows.join(guards.select(*group, "src", "dst", "var").hint("merge"), [*group, "src", "dst", "var"], "left_anti")
     return rows.select(*group, F.col("dst").alias("node"), "var", "origin", "state", "path", "safe")
 
 
