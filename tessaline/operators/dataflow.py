@@ -186,7 +186,7 @@ def path_findings(begins: DataFrame, uses: DataFrame, sinks: list[str], group: l
     """
     position = F.array_position(F.array(*(F.lit(s) for s in sinks)), F.col("sink"))
     is_safe = (position > 0) & (F.call_function("shiftright", F.col("safe"), F.greatest(position - 1, F.lit(0)).cast("int")).bitwiseAND(1) == 1)
-    found = begins.join(uses.select(*group, "node", "sink", "var").distinct(), [*group, "node", "var"]).where(~is_safe)
+    found = begins.join(uses.select(*group, "node", "sink", "var").distinct().hint("merge"), [*group, "node", "var"]).where(~is_safe)
     return found.select(*group, "node", "sink", "var", "origin", "state", "path")
 
 

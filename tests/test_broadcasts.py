@@ -4,7 +4,7 @@ from tessaline import storage
 from tessaline.operators import dataflow
 
 
-def test_facts_and_edges_meet_without_broadcasts(spark, monkeypatch):
+def test_facts_edges_and_uses_meet_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(dataflow, "FEW_FACTS", 0, raising=False)
     plans, save = [], storage.save
     monkeypatch.setattr(storage, "save", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or save(df, label))
@@ -15,6 +15,8 @@ def test_facts_and_edges_meet_without_broadcasts(spark, monkeypatch):
     kills = n.where("id % 8 = 5").selectExpr("id AS node", "'x' AS var")
     cleaners = n.where("id % 16 = 4").selectExpr("id AS node", "'y' AS var", "'sql' AS sink")
     guards = n.where("id % 8 = 6").selectExpr("id AS src", "id + 1 AS dst", "'x' AS var")
-    ends, _ = dataflow.taint_paths(edges, sources, assigns, kills, ["shell", "sql"], cleaners, guards)
+    ends, begins = dataflow.taint_paths(edges, sources, assigns, kills, ["shell", "sql"], cleaners, guards)
+    found = dataflow.path_findings(begins, n.selectExpr("id AS node", "'sql' AS sink", "'y' AS var"), ["shell", "sql"])
+    plans.append(("findings", found._jdf.queryExecution().executedPlan().toString()))
     assert not [label for label, plan in plans if "BroadcastHashJoin" in plan]
-    assert sorted(r.node % 8 for r in ends.where("var = 'y'").collect()) == sorted([3, 4, 5, 6, 7] * 50)
+    assert sorted(r.node % 8 for r in ends.where("var = 'y'").collect()) == sorted([3, 4, 5, 6, 7] * 50) and found.count() == 4 * 50 - 3 * 25
